@@ -8,6 +8,8 @@ import importlib
 #: perhaps ``ORACLE_SQL``.
 MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op2_best_fit_packing": "packing",
+    "op4_token_store": "token_store",
 }
 
 
