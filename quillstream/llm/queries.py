@@ -9,6 +9,7 @@ import importlib
 MODULES = {
     "op1_quality_rules": "quality_rules",
     "op2_best_fit_packing": "packing",
+    "op3_ngram_jaccard_join": "ngram_join",
     "op4_token_store": "token_store",
 }
 

@@ -52,3 +52,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now: it does so when the
+    driver's garbage collector finds them unused."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

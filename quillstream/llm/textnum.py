@@ -117,7 +117,7 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     out = hashes[:m] * _WINDOW_MUL[0]
     for k in range(1, n):
         out = out + hashes[k : k + m] * _WINDOW_MUL[k]
-    return mix(out + U(n * int(_END) & _MASK))
+    return mix(out + U(int(n) * int(_END) & _MASK))
 
 
 def shingle_set(hashes: np.ndarray, grams: np.ndarray, a: int, b: int, n: int = 5) -> np.ndarray:
