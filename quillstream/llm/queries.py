@@ -11,6 +11,7 @@ MODULES = {
     "op2_best_fit_packing": "packing",
     "op3_ngram_jaccard_join": "ngram_join",
     "op4_token_store": "token_store",
+    "op5_pii": "pii",
     "op10_lm_scoring": "lm_score",
 }
 
