@@ -12,6 +12,7 @@ MODULES = {
     "op3_ngram_jaccard_join": "ngram_join",
     "op4_token_store": "token_store",
     "op5_pii": "pii",
+    "op6_benchmark_decontamination": "decontaminate",
     "op10_lm_scoring": "lm_score",
 }
 

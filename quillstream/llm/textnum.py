@@ -31,6 +31,8 @@ _LOWER = _TABLE.copy()
 _LOWER[65:91] = _TABLE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation.
+PUNCTUATION = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 _WINDOW_MUL = np.array([pow(0xC2B2AE3D27D4EB4F | 1, k, 1 << 64) for k in range(64)], dtype=U)
 _END = U(0x5851F42D4C957F2D)
 
@@ -69,10 +71,10 @@ class Words:
     """Words of a run of rows: ``starts``, ``ends`` (bytes), ``hashes``, and
     ``first[d]:first[d + 1]``, the words of row d."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, hashes: bool = True, between: np.ndarray = _SPACE):
         n = len(data)
         self.data, self.offsets = data, offsets
-        word = ~_SPACE[data]
+        word = ~between[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.zeros(n, bool)
@@ -102,11 +104,13 @@ def runs(offsets: np.ndarray, size: int = 1 << 20):
         at = to
 
 
-def words_by_run(column, lower: bool, hashes: bool = True, size: int = 1 << 20):
-    """(first row, last row + 1, Words) over the column, about a megabyte at a time."""
+def words_by_run(column, lower: bool, hashes: bool = True, size: int = 1 << 20, between: np.ndarray = _SPACE):
+    """(first row, last row + 1, Words) over the column, about a megabyte at a time.
+
+    ``between``: which bytes stand between words."""
     data, offsets = text_buffer(column)
     for a, b in runs(offsets, size):
-        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower, hashes)
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower, hashes, between)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
