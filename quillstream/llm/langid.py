@@ -46,74 +46,86 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, length, row
 
 
+def _gate(x: np.ndarray) -> np.ndarray:
+    """Piecewise linear sigmoid."""
+    return np.minimum(np.maximum(x + F4(0.5), F4(0)), F4(1))
+
+
 class Network:
-    """Gated recurrent units in both directions; features first, lanes last.
+    """Gated recurrent units in both directions, lanes by features.
 
-    ``table[d]`` (3h x 257) is the input's share in the gates (update, reset,
-    candidate) of direction d, ``u[d]`` (3h x h) the state's, ``v[d]``
-    (languages x h) and ``b`` the read-out.
+    ``table[d, g]`` (257 x h) is the input's share in gate g (update, reset,
+    candidate) of direction d, ``u[d, g]`` (h x h) the state's, ``v[d]``
+    (h x languages) and ``b`` the read-out.  Gates are piecewise linear sigmoids
+    and candidates x / (1 + |x|): reading takes no transcendental function.
     """
 
     def __init__(self, languages: int, units: int = UNITS, seed: int = 1):
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(F4)
-        self.table = draw(2, 3 * units, 257, scale=0.4)
-        self.u = draw(2, 3 * units, units, scale=1 / np.sqrt(units))
-        self.v = draw(2, languages, units, scale=0.3)
+        self.table = draw(2, 3, 257, units, scale=0.4)
+        self.table[:, :2] *= F4(0.3)
+        self.u = draw(2, 3, units, units, scale=1 / np.sqrt(units))
+        self.u[:, :2] *= F4(0.3)
+        self.v = draw(2, units, languages, scale=0.3)
         self.b = np.zeros(languages, F4)
         self.h = units
         self._pad()
 
     def _pad(self):
         self.table[:, :, PAD] = 0
-        self.table[:, : self.h, PAD] = 40
+        self.table[:, 0, PAD] = 1000
 
     def parameters(self):
         return [self.table, self.u, self.v, self.b]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross-entropy of all positions of segments x with languages y, and its gradients."""
-        h, n, steps = self.h, len(x), x.shape[1]
+        n, steps = len(x), x.shape[1]
         real = x.T != PAD
-        both, logits = [], np.repeat(self.b[None, :, None], steps, 0) * np.ones((1, 1, n), F4)
+        both, logits = [], np.tile(self.b, (steps, n, 1))
         for d in (0, 1):
             idx = x.T if d == 0 else x.T[::-1]
-            state, kept = np.zeros((h, n), F4), []
+            state, kept = np.zeros((n, self.h), F4), []
             for t in range(steps):
-                a, g = self.table[d][:, idx[t]], self.u[d] @ state
-                z, r = 1 / (1 + np.exp(-a[:h] - g[:h])), 1 / (1 + np.exp(-a[h : 2 * h] - g[h : 2 * h]))
-                c = np.tanh(a[2 * h :] + r * g[2 * h :])
-                kept.append((state, z, r, c, g[2 * h :]))
+                az, ar, ac = (self.table[d, k][idx[t]] for k in range(3))
+                q = state @ self.u[d, 2]
+                z, r = _gate(az + state @ self.u[d, 0]), _gate(ar + state @ self.u[d, 1])
+                e = ac + r * q
+                c = e / (1 + np.abs(e))
+                kept.append((state, z, r, c, q))
                 state = c + z * (state - c)
-                logits[t if d == 0 else steps - 1 - t] += self.v[d] @ state
+                logits[t if d == 0 else steps - 1 - t] += state @ self.v[d]
             both.append((idx, kept, state))
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        hit = p[:, y, np.arange(n)]
+        p = np.exp(logits - logits.max(axis=2, keepdims=True))
+        p /= p.sum(axis=2, keepdims=True)
+        hit = p[:, np.arange(n), y]
         m = max(int(real.sum()), 1)
         loss = float(-(np.log(np.maximum(hit, 1e-12)) * real).sum() / m)
         out = p
-        out[:, y, np.arange(n)] -= 1
-        out *= real[:, None, :] / m
+        out[:, np.arange(n), y] -= 1
+        out *= real[:, :, None] / F4(m)
         grads = [np.zeros_like(q) for q in self.parameters()]
-        grads[3] += out.sum(axis=(0, 2))
+        grads[3] += out.sum(axis=(0, 1))
         for d, (idx, kept, last) in enumerate(both):
-            back, da = np.zeros((h, n), F4), np.empty((steps, 3 * h, n), F4)
+            back, da = np.zeros((n, self.h), F4), np.empty((3, steps, n, self.h), F4)
             for t in range(steps - 1, -1, -1):
                 state, z, r, c, q = kept[t]
                 after = kept[t + 1][0] if t + 1 < steps else last
                 o = out[t if d == 0 else steps - 1 - t]
-                grads[2][d] += o @ after.T
-                back += self.v[d].T @ o
-                dc = back * (1 - z) * (1 - c * c)
-                dz, dr = back * (state - c) * z * (1 - z), dc * q * r * (1 - r)
-                gate = np.concatenate([dz, dr, dc * r])
-                grads[1][d] += gate @ state.T
-                da[t, :h], da[t, h : 2 * h], da[t, 2 * h :] = dz, dr, dc
-                back = back * z + self.u[d].T @ gate
+                grads[2][d] += after.T @ o
+                back = back + o @ self.v[d].T
+                # the slope of x / (1 + |x|) is (1 - |c|) squared
+                dc = back * (1 - z) * (1 - np.abs(c)) ** 2
+                dz, dr = back * (state - c) * ((z > 0) & (z < 1)), dc * q * ((r > 0) & (r < 1))
+                for k, g in enumerate((dz, dr, dc * r)):
+                    grads[1][d, k] += state.T @ g
+                da[0, t], da[1, t], da[2, t] = dz, dr, dc
+                back = back * z + dz @ self.u[d, 0].T + dr @ self.u[d, 1].T + (dc * r) @ self.u[d, 2].T
             flat = idx.ravel()
-            for k in range(3 * h):
-                grads[0][d, k] += np.bincount(flat, da[:, k].ravel(), 257)
+            for k in range(3):
+                for j in range(self.h):
+                    grads[0][d, k, :, j] += np.bincount(flat, da[k, :, :, j].ravel(), 257)
         grads[0][:, :, PAD] = 0
         return loss, grads
 
@@ -135,37 +147,42 @@ class Network:
         return losses
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """steps x languages x segments: the distribution at every position."""
-        h, n, steps = self.h, len(x), x.shape[1]
-        # sigmoid(a) = (1 + tanh(a / 2)) / 2: gates come from one tanh
-        half = np.ones((3 * h, 1), F4)
-        half[: 2 * h] = 0.5
-        table, u = self.table * half, np.ascontiguousarray(self.u * half)
-        idx = np.stack([x.T, x.T[::-1]])
-        state, logits = np.zeros((2, h, n), F4), np.empty((2, steps, len(self.b), n), F4)
-        a, g = np.empty((2, 3 * h, n), F4), np.empty((2, 3 * h, n), F4)
-        for t in range(steps):
-            for d in (0, 1):
-                np.take(table[d], idx[d, t], axis=1, out=a[d], mode="clip")
-            np.matmul(u, state, out=g)
-            gates = a[:, : 2 * h]
-            gates += g[:, : 2 * h]
-            np.tanh(gates, out=gates)
-            gates *= F4(0.5)
-            gates += F4(0.5)
-            c, q = a[:, 2 * h :], g[:, 2 * h :]
-            q *= gates[:, h:]
-            c += q
-            np.tanh(c, out=c)
-            state -= c
-            state *= gates[:, :h]
-            state += c
-            np.matmul(self.v, state, out=logits[:, t])
-        p = logits[0] + logits[1, ::-1]
-        p += self.b[:, None]
-        p -= p.max(axis=1, keepdims=True)
+        """steps x segments x languages: the distribution at every position."""
+        n, steps, languages = len(x), x.shape[1], len(self.b)
+        forward = np.ascontiguousarray(x.T).astype(np.int64)
+        logits = np.empty((2, steps, n, languages), F4)
+        z, r, c, g, s = (np.empty((n, self.h), F4) for _ in range(5))
+        table = self.table.copy()
+        table[:, :2] += F4(0.5)
+        for d, idx in enumerate((forward, forward[::-1])):
+            (tz, tr, tc), (uz, ur, uc) = table[d], self.u[d]
+            s[:] = 0
+            for t in range(steps):
+                for gate, share, state_share in ((z, tz, uz), (r, tr, ur)):
+                    np.take(share, idx[t], axis=0, out=gate, mode="clip")
+                    np.matmul(s, state_share, out=g)
+                    gate += g
+                    np.maximum(gate, F4(0), out=gate)
+                    np.minimum(gate, F4(1), out=gate)
+                np.take(tc, idx[t], axis=0, out=c, mode="clip")
+                np.matmul(s, uc, out=g)
+                g *= r
+                c += g
+                np.abs(c, out=g)
+                g += F4(1)
+                c /= g
+                s -= c
+                s *= z
+                s += c
+                np.matmul(s, self.v[d], out=logits[d, t])
+        p = logits[0]
+        p += logits[1, ::-1]
+        p += self.b
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
+        total = p[:, :, 0].copy()
+        for k in range(1, languages):
+            total += p[:, :, k]
+        p /= total[:, :, None]
         return p
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -175,8 +192,9 @@ class Network:
         for at in range(0, len(x), LANES):
             part = x[at : at + LANES]
             p = self.positions(part)
-            p *= (part.T != PAD)[:, None, :]
-            np.add.at(total, row[at : at + LANES], p.sum(axis=0).T)
+            if (part[:, -1] == PAD).any():
+                p *= (part.T != PAD)[:, :, None]
+            np.add.at(total, row[at : at + LANES], p.sum(axis=0))
         return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 

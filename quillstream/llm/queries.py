@@ -13,6 +13,7 @@ MODULES = {
     "op4_token_store": "token_store",
     "op5_pii": "pii",
     "op6_benchmark_decontamination": "decontaminate",
+    "op9_language_id": "langid",
     "op10_lm_scoring": "lm_score",
 }
 
