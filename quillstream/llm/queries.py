@@ -13,6 +13,8 @@ MODULES = {
     "op4_token_store": "token_store",
     "op5_pii": "pii",
     "op6_benchmark_decontamination": "decontaminate",
+    "op7_token_counts": "token_counts",
+    "op8_quality_classifier": "quality_model",
     "op9_language_id": "langid",
     "op10_lm_scoring": "lm_score",
 }
