@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -69,19 +69,20 @@ def _node(fp: bytes) -> int:
     return int.from_bytes(fp[:8], "little", signed=True)
 
 
-MEMBERS = "doc_id bigint, node bigint, n bigint, token bigint, docs bigint"
+MEMBERS = "doc_id bigint, row_key bigint, node bigint, n bigint, token bigint, docs bigint"
+_MEMBER_NAMES = [c.split()[0] for c in MEMBERS.split(", ")]
 
 
 def _members(batches):
     """A row for each document, and one for each shingle in 1/HOT of a batch."""
     for batch in batches:
         nodes, sizes, parts = [], [], []
-        for _, tokens in sets_of(batch.column(1)):
+        for _, tokens in sets_of(batch.column(2)):
             nodes.append(_node(_fingerprint(tokens)) if len(tokens) else None)
             sizes.append(len(tokens))
             parts.append(tokens)
         n = len(nodes)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "node", "n", "token", "docs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _MEMBER_NAMES)
         every = np.sort(np.concatenate([*parts, np.zeros(0, U)]))
         least = max(8, -(-n // HOT))
         if len(every) >= least:
@@ -89,7 +90,7 @@ def _members(batches):
             often = np.unique(every[: len(every) - least + 1][every[: len(every) - least + 1] == every[least - 1 :]])
             count = np.searchsorted(every, often, side="right") - np.searchsorted(every, often)
             m = len(often)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 3 + [pa.array(often.view(np.int64)), pa.array(count)], ["doc_id", "node", "n", "token", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 4 + [pa.array(often.view(np.int64)), pa.array(count)], _MEMBER_NAMES)
 
 
 BLOCKS = "key bigint, block bigint, kind int, low binary, high binary, doc binary, extra binary"
@@ -285,12 +286,13 @@ def links(sets: DataFrame) -> DataFrame:
     return components(edges.unionByName(more))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text);
-    also node, which names the row's set (null: empty)."""
+def label(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, n_shingles, component_id for every row of ``docs`` (doc_id,
+    text); also comp, which names the component of a non-empty set."""
     spark = docs.sparkSession
-    found = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_members, MEMBERS), "members")
-    members = found.filter("n IS NOT NULL").select("doc_id", "node", "n")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    found = saved(rows.mapInArrow(_members, MEMBERS), "members")
+    members = found.filter("n IS NOT NULL").select("doc_id", "row_key", "node", "n")
     n_docs, total = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(8, -(-n_docs // HOT))
     hot = [r["token"] for r in found.filter("docs IS NOT NULL").groupBy("token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).collect()]
@@ -301,19 +303,40 @@ def join(docs: DataFrame) -> DataFrame:
     blocks = docs.select("text").mapInArrow(_blocks(ranges, hot), BLOCKS)
     counted = blocks.groupBy("key").applyInArrow(_count, BLOCKS)
     sets = counted.groupBy("block").applyInArrow(_assemble(ranges, n_docs / HOT), SETS)
-    sets = saved(sets.dropDuplicates(["node"]) if ranges > 0 else sets, "sets")
+    # a class that several blocks saw comes from each of them
+    sets = saved(sets.dropDuplicates(["node"]), "sets")
     release(spark)
     comps = links(sets)
+    release(spark)
     classes = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = classes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least")
-    named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
+    named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "comp", "component_id")
     out = members.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "comp")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    return label(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` of each component, that with the least doc_id, with the
+    columns of ``docs``; documents without words are groups of their own."""
+    rows = saved(label(docs).select("doc_id", "row_key", "comp"), "labels")
+    first = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("row_key"))
+    keep = first.unionByName(rows.filter("comp IS NULL").select("row_key"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))
+    kept = packed.join(keep, "row_key", "left_semi")
+    # repeated rows share a key; they stand together already
+    once = Window.partitionBy("row_key").orderBy("row_key")
+    return kept.withColumn("k", F.row_number().over(once)).filter("k = 1").select("row.*")
 
 
 def query(spark, sf_dir):
     """op3_ngram_jaccard_join: see the contract."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE_SQL = r"""
