@@ -1 +1 @@
-
+"""Relational operators of retrieval and question answering."""

@@ -1 +1 @@
-
+"""Registered plans over the synthetic tables and their SQL."""

@@ -1,9 +1,217 @@
-"""Registered queries of the retrieval engine and their SQL."""
+"""Registered queries of the retrieval engine: one for each operator, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import answer, chunking, guard, index, ranking, retrieval, session
+from ..sources.documents import accepted_upload, client_accepted
+from .inputs import attacked, corpus, marked, markdown, questions, table, turns
+from .sql import FILES, SQL
+
+
+def _index(spark, sf_dir):
+    return index.Index(corpus(spark, sf_dir))
+
+
+def sanitize_documents(spark, sf_dir):
+    df = attacked(spark, sf_dir).withColumn("z", guard.sanitize(F.col("text")))
+    return df.select("doc_id", F.col("z.text").alias("text"), (F.col("z.n") > 0).alias("was_modified"))
+
+
+def redaction_counts(spark, sf_dir):
+    df = attacked(spark, sf_dir).select(guard.sanitize(F.col("text"))["n"].cast("long").alias("n_redactions"))
+    return df.groupBy("n_redactions").agg(F.count("*").alias("n_documents"))
+
+
+def normalize_text(spark, sf_dir):
+    return attacked(spark, sf_dir).select("doc_id", guard.normalize(F.col("text")).alias("text"))
+
+
+def guard_regex_flag(spark, sf_dir):
+    df = attacked(spark, sf_dir).withColumn("normal", guard.normalize(F.col("text")))
+    return df.select("doc_id", guard.regex_flag(F.col("text"), F.col("normal")).alias("is_injection"), guard.regex_reason(F.col("text"), F.col("normal")).alias("reason"))
+
+
+def guard_synonym(spark, sf_dir):
+    return attacked(spark, sf_dir).select("doc_id", guard.synonym_reason(F.col("text")).alias("reason"))
+
+
+def guard_subtle(spark, sf_dir):
+    hits = guard.subtle_hits(F.col("text"))
+    return attacked(spark, sf_dir).withColumn("h", hits).select("doc_id", F.size("h").alias("n_hits"), F.array_join("h", "|").alias("hits"))
+
+
+def guard_cascade_no_ml(spark, sf_dir):
+    return guard.verdicts(attacked(spark, sf_dir), "text").select("doc_id", "verdict.*")
+
+
+def scan_chunks_split(spark, sf_dir):
+    df = guard.scan(attacked(spark, sf_dir), "text")
+    return df.groupBy("injection_flagged").agg(F.count("*").alias("n_chunks"), F.min("doc_id").alias("first_doc"), F.max(F.length("text")).alias("longest"))
+
+
+def fail_open_filter(spark, sf_dir):
+    df = attacked(spark, sf_dir).filter("doc_id % 4 <> 0").withColumn("grp", F.floor(F.col("doc_id") / 4).cast("bigint"))
+    return guard.fail_open(guard.scan(df, "text"), "grp").select("grp", "doc_id")
+
+
+def validate_queries(spark, sf_dir):
+    return attacked(spark, sf_dir).withColumn("v", guard.query_validity(F.col("text"))).select("doc_id", "v.ok", "v.reason")
+
+
+def heading_split(spark, sf_dir):
+    return markdown(spark, sf_dir).select("doc_id", F.posexplode(chunking.sections(F.col("text"))).alias("section_ord", "section"))
+
+
+def block_split(spark, sf_dir):
+    return heading_split(spark, sf_dir).select("doc_id", "section_ord", F.posexplode(chunking.blocks(F.col("section"))).alias("block_ord", "block"))
+
+
+def table_detect(spark, sf_dir):
+    df = block_split(spark, sf_dir).select(chunking.is_table(F.col("block")).alias("is_table"), F.length("block").alias("n"))
+    return df.groupBy("is_table").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_chars"))
+
+
+def greedy_pack(spark, sf_dir):
+    long = heading_split(spark, sf_dir).filter(F.length("section") > chunking.CHUNK_SIZE)
+    pieces = long.select("doc_id", "section_ord", F.posexplode(chunking.section_chunks(F.col("section"))).alias("piece_ord", "c"))
+    return pieces.select("doc_id", "section_ord", "piece_ord", F.col("c.kind").alias("chunk_type"), F.col("c.text").alias("text"))
+
+
+def _chunks(spark, sf_dir, cap=chunking.MAX_CHUNKS):
+    pages = markdown(spark, sf_dir).select(F.col("doc_id").alias("file_ord"), F.lit(1).alias("page_number"), "text")
+    return chunking.chunk_pages(pages, max_chunks=cap)
+
+
+def chunk_pages(spark, sf_dir):
+    return _chunks(spark, sf_dir).select(F.col("file_ord").alias("doc_id"), "chunk_ord", "chunk_type", "text")
+
+
+def page_marker_split(spark, sf_dir):
+    return marked(spark, sf_dir).select("doc_id", F.inline(chunking.marked_pages(F.col("text"))))
+
+
+def virtual_pages(spark, sf_dir):
+    return markdown(spark, sf_dir).select("doc_id", F.inline(chunking.virtual_pages(F.col("text"))))
+
+
+def multi_file_cap(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir, 3).withColumn("session_id", F.floor(F.col("file_ord") / 20).cast("bigint"))
+    return chunking.cap_files(chunks, "session_id", 25).select("session_id", F.col("file_ord").alias("doc_id"), "chunk_ord", "text")
+
+
+def bm25_terms(spark, sf_dir):
+    return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(spark, sf_dir):
+    return retrieval.keyword_ranks(_index(spark, sf_dir), questions(spark, sf_dir), 60).select("query_id", "chunk_ord", "keyword_rank")
+
+
+def semantic_topk(spark, sf_dir):
+    return retrieval.semantic_ranks(corpus(spark, sf_dir), questions(spark, sf_dir), 5).select("query_id", "chunk_ord", "semantic_rank")
+
+
+def rrf_fusion(spark, sf_dir):
+    return retrieval.hybrid_query(_index(spark, sf_dir), questions(spark, sf_dir), 5).select("query_id", "text", "retrieval_source", F.round("rrf_score", 9).alias("rrf_score"), "cand_ord")
+
+
+def hybrid_query(spark, sf_dir):
+    return retrieval.hybrid_query(_index(spark, sf_dir), questions(spark, sf_dir), 20).withColumn("rrf_score", F.round("rrf_score", 9))
+
+
+def _final(spark, sf_dir):
+    asked = questions(spark, sf_dir)
+    candidates = retrieval.hybrid_query(_index(spark, sf_dir), asked, 20).join(asked.select("query_id", "question"), "query_id")
+    return asked, ranking.rerank(candidates, 5)
+
+
+def rerank_topk(spark, sf_dir):
+    return _final(spark, sf_dir)[1].select("query_id", "text", "page_number", F.round("rerank_score", 9).alias("rerank_score"), "final_ord")
+
+
+def relevance_gate(spark, sf_dir):
+    out = ranking.gate(*_final(spark, sf_dir), threshold=ranking.LEXICAL_THRESHOLD)
+    return out.withColumn("best_score", F.round("best_score", 9))
+
+
+def followup_resolve(spark, sf_dir):
+    return session.resolve(turns(spark, sf_dir)).select("session_id", "turn_no", "resolved")
+
+
+def history_last5(spark, sf_dir):
+    lines = F.transform("history", lambda t: F.concat(t["question"], F.lit("\n"), t["answer"]))
+    return session.history(turns(spark, sf_dir)).select("session_id", "turn_no", F.size("history").alias("n_history"), F.array_join(lines, "\n").alias("history"))
+
+
+def history_messages(spark, sf_dir):
+    parts = F.transform(session.messages(F.col("history")), lambda m: F.concat(m["role"], F.lit("="), m["parts"][0]))
+    return session.history(turns(spark, sf_dir)).select("session_id", "turn_no", F.array_join(parts, "|").alias("messages"))
+
+
+def session_counts(spark, sf_dir):
+    return session.sessions(turns(spark, sf_dir))
+
+
+def prompt_build(spark, sf_dir):
+    asked, final = _final(spark, sf_dir)
+    chunks = answer.grouped(final, "final_ord", "chunks", "text", "page_number")
+    empty = F.array().cast("array<struct<final_ord:int,text:string,page_number:int>>")
+    rows = asked.join(chunks, "query_id", "left").withColumn("chunks", F.coalesce("chunks", empty))
+    return rows.select("query_id", answer.prompt(F.col("question"), F.col("chunks")).alias("prompt"))
+
+
+def source_strip(spark, sf_dir):
+    head = F.substring("text", 1, 100)
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(head, F.lit(" Source: page "), F.col("doc_id").cast("string"))).otherwise(head)
+    return table(spark, sf_dir, "documents").select("doc_id", answer.without_source(said).alias("answer"))
+
+
+def source_pages(spark, sf_dir):
+    pages = _final(spark, sf_dir)[1].groupBy("query_id").agg(F.collect_set("page_number").alias("p"))
+    return pages.select("query_id", answer.citation(F.col("p")).alias("sources"))
+
+
+def answer_pipeline(spark, sf_dir):
+    return answer.answer_questions(_index(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "status", "answer")
+
+
+def _files(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(f) for f in FILES]), (F.col("doc_id") % len(FILES) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(name.alias("filename"))
+
+
+def collection_names(spark, sf_dir):
+    return _files(spark, sf_dir).withColumn("name", index.collection_name(F.col("filename"))).groupBy("filename", "name").agg(F.count("*").alias("n"))
+
+
+def upload_validation(spark, sf_dir):
+    name = F.col("filename")
+    return _files(spark, sf_dir).withColumns({"accepted": accepted_upload(name), "client_accepted": client_accepted(name)}).groupBy("filename", "accepted", "client_accepted").agg(F.count("*").alias("n"))
+
+
+def row_normalize(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 11 == 0, "  \n").when(k == 0, F.col("text")).when(k == 1, F.lit("")).alias("text"),
+        F.when(k == 1, F.concat(F.lit("  "), F.col("text"), F.lit("\t"))).otherwise(F.col("text")).alias("page_content"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 7).alias("page"),
+    )
+    return index.normalized_chunks(rows).select("doc_id", "text", "page_number")
+
+
+def api_projection(spark, sf_dir):
+    final = _final(spark, sf_dir)[1]
+    return final.select("query_id", "page_number", answer.shown(F.col("text")).alias("preview"), F.format_string("%.4f", "rrf_score").alias("rrf"), F.format_string("%.4f", "rerank_score").alias("rerank"))
 
 
 def queries() -> dict:
-    return {}
+    return {name: globals()[name] for name in SQL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
 
 
-def oracle_sql() -> dict:
-    return {}

@@ -1 +1 @@
-
+"""Document sources."""
