@@ -13,11 +13,12 @@
     share at least min(l, l') shingles of their prefixes.  Each document takes
     the l whose prefix costs least by the frequencies in it: touching the
     prefix's postings and verifying the postings / l candidates that remain.
-4.  Candidates are verified exactly on the shared shingles.  First each document
-    meets the one most often first among its prefix shingles; that links the
-    members of a group of near copies to a few hubs.  Then every pair that shares
-    enough prefix shingles and is not yet in one component is verified.  So all
-    candidate pairs are decided, but pairs inside a component are not listed.
+4.  Candidates are verified exactly on the shared shingles.  First, for a few
+    rounds, each document meets the one most often first among its prefix
+    shingles; that links the members of a group of near copies to a few hubs.
+    Then every pair that shares enough prefix shingles and is not yet in one
+    component is verified, as packed lists of candidates in tasks of bounded size.
+    So all candidate pairs are decided, but pairs of a group are never rows.
 5.  Components of the links, by label propagation.
 
 Defined cases: null, empty or wordless text has the empty set, is linked with
@@ -255,35 +256,166 @@ def _similar_sizes(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
+def _hub_pairs(labelled: DataFrame, k: int) -> DataFrame:
+    """(a, b): for each set the hub that comes first, in the order of round k, in
+    most of its prefix shingles, if it is of another component."""
+    rank = F.xxhash64("node", F.lit(k))
+    first = labelled.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "node", "comp", "n")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    first = first.select("token", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("hub_n"))
+    met = labelled.join(first, "token").filter((F.col("comp") != F.col("hub_comp")) & _similar_sizes("n", "hub_n")).groupBy("node", "hub").count()
+    return met.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
+
+
+LISTS = "x bigint, x_matches int, top bigint, ys binary, counts binary, matches binary"
+_LIST_NAMES = [c.split()[0] for c in LISTS.split(", ")]
+
+
+def _list_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * 3
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], _LIST_NAMES)
+
+
+def _enumerate(table: pa.Table) -> pa.Table:
+    """Candidates by set, from some shingles' postings, as one packed list for each set.
+
+    Postings stand by (size of component, component): a set's candidates are
+    those beyond its own component, so each pair has one direction everywhere."""
+    table = table.sort_by([("token", "ascending"), ("salt", "ascending"), ("size", "ascending"), ("comp", "ascending"), ("node", "ascending")])
+    token, salt, node, n, matches, comp, is_x = (table.column(c).to_numpy() for c in ("token", "salt", "node", "n", "matches", "comp", "is_x"))
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+    cuts = np.append(np.flatnonzero(new), len(node))
+    ends = np.append(np.flatnonzero(np.concatenate([[False], new[1:] | (comp[1:] != comp[:-1])])), len(node))
+    beyond = ends[np.searchsorted(ends, np.arange(len(node)), side="right")]
+    last = cuts[np.searchsorted(cuts, np.arange(len(node)), side="right")]
+    found: dict[int, list] = {}
+    for i in np.flatnonzero(is_x & (beyond < last)):
+        y = slice(beyond[i], last[i])
+        fits = np.flatnonzero((n[y] * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n[y] * PERCENT))
+        if len(fits):
+            # (size, component) of the last candidate: where most of them are
+            found.setdefault(int(node[i]), [int(matches[i]), int(comp[last[i] - 1]), []])[2].append(fits + beyond[i])
+    rows = []
+    for x, (need, top, parts) in found.items():
+        at = np.concatenate(parts)
+        ys, first, counts = np.unique(node[at], return_index=True, return_counts=True)
+        rows.append((x, need, top, ys.astype("<i8").tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes(), matches[at[first]].astype("u1").tobytes()))
+    return _list_table(rows)
+
+
+def _merge_lists(table: pa.Table) -> pa.Table:
+    """Candidates of each set that share enough prefix shingles with it."""
+    found: dict[int, list] = {}
+    for r in table.to_pylist():
+        f = found.setdefault(r["x"], [r["x_matches"], r["top"], [], [], []])
+        for k, (name, kind) in enumerate((("ys", "<i8"), ("counts", "<u2"), ("matches", "u1"))):
+            f[2 + k].append(np.frombuffer(r[name], kind))
+    rows = []
+    for x, (need, top, ys, counts, matches) in found.items():
+        distinct, first, place = np.unique(np.concatenate(ys), return_index=True, return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts), len(distinct))
+        keep = total >= np.minimum(need, np.concatenate(matches)[first])
+        if keep.any():
+            rows.append((x, need, top, distinct[keep].tobytes(), b"", b""))
+    return _list_table(rows)
+
+
+#: Sets and candidates that one verification task holds.
+TASK_SETS, TASK_CANDIDATES = 256, 4000
+TASKS = "task bigint, node bigint, ys binary"
+
+
+def _plan(table: pa.Table) -> pa.Table:
+    """Tasks for some sets with like candidates: every set that a task names comes to it once."""
+    rows = table.to_pylist()
+    group = rows[0]["group"]
+    every = np.unique(np.concatenate([np.frombuffer(r["ys"], "<i8") for r in rows]))
+    parts = -(-len(every) // TASK_CANDIDATES)
+    out = []
+    for k in range(parts):
+        task = int(mix(np.array([(group * 1_000_003 + k) & (1 << 64) - 1], U)).view(np.int64)[0])
+        mine = every[k * TASK_CANDIDATES : (k + 1) * TASK_CANDIDATES]
+        out += [(task, int(y), None) for y in mine]
+        for r in rows:
+            ys = np.frombuffer(r["ys"], "<i8")
+            ys = ys[(ys >= mine[0]) & (ys <= mine[-1])]
+            if len(ys):
+                out.append((task, r["x"], ys.tobytes()))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["task", "node", "ys"])
+
+
+def _verify_task(table: pa.Table) -> pa.Table:
+    """Links (a, b) of a task: for each set one candidate of each component it is similar to."""
+    rows = table.to_pylist()
+    right = sorted((r for r in rows if r["ys"] is None), key=lambda r: r["node"])
+    names = np.array([r["node"] for r in right], np.int64)
+    sizes, comps = (np.array([r[c] for r in right], np.int64) for c in ("n", "comp"))
+    sets = [np.frombuffer(r["shared"], U) for r in right]
+    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    there = np.zeros(len(tokens) + 1, bool)
+    a, b = [], []
+    for r in rows:
+        if r["ys"] is None:
+            continue
+        x = np.frombuffer(r["shared"], U)
+        at = np.searchsorted(tokens, x)
+        at = at[tokens[np.minimum(at, len(tokens) - 1)] == x]
+        there[at] = True
+        both = np.bincount(owner[there[ids]], minlength=len(sets))
+        there[at] = False
+        y = np.searchsorted(names, np.frombuffer(r["ys"], "<i8"))
+        y = y[100 * both[y] >= PERCENT * (r["n"] + sizes[y] - both[y])]
+        _, first = np.unique(comps[y], return_index=True)
+        a += [r["node"]] * len(first)
+        b += names[y[first]].tolist()
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+#: Rounds in which sets meet hubs; postings of a shingle that one task pairs.
+HUB_ROUNDS, SALTED, POSTINGS = 3, 2000, 100_000
+
+
+def _rest(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components: every pair of sets of different components that
+    shares enough prefix shingles is verified; no pair is a row."""
+    sizes = labelled.select("node", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("token", "c")
+    rows = saved(labelled.join(mixed, "token").join(sizes, "comp"), "mixed")
+    n = rows.count()
+    if not n:
+        return sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    ranges = -(-n // POSTINGS)
+    salts = F.ceil(F.col("c") / SALTED).cast("int")
+    rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    rows = rows.withColumn("is_x", F.pmod(F.xxhash64("node"), salts) == F.col("salt")).withColumn("key", F.pmod(F.xxhash64("token", "salt"), F.lit(ranges)))
+    lists = rows.groupBy("key").applyInArrow(_enumerate, LISTS)
+    lists = saved(lists.withColumn("key", F.pmod(F.xxhash64("x"), F.lit(ranges))).groupBy("key").applyInArrow(_merge_lists, LISTS).select("x", "top", "ys"), "candidates")
+    alike = lists.groupBy("top").count()
+    grouped = lists.join(alike, "top").withColumn("group", F.xxhash64("top", F.pmod(F.xxhash64("x"), F.ceil(F.col("count") / TASK_SETS))))
+    tasks = grouped.select("group", "x", "ys").groupBy("group").applyInArrow(_plan, TASKS)
+    comps = labelled.select("node", "comp").distinct()
+    full = tasks.join(sets.select("node", "n", "shared"), "node").join(comps, "node")
+    return full.groupBy("task").applyInArrow(_verify_task, "a bigint, b bigint")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """node, comp of every set that is linked with another, from ``sets`` (SETS)."""
     spark = sets.sparkSession
     postings = saved(sets.select(F.explode("prefix").alias("token"), "node", "n", "matches"), "postings")
-    # hubs: each set meets the one that comes first in most of its prefix shingles
-    first = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("df")).filter("df > 1")
-    met = postings.join(first, "token").filter("node <> hub").groupBy("node", "hub").count()
-    pairs = met.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
-    edges = saved(_links(pairs, sets), "links")
-    release(spark)
-    comps = components(edges)
-    # what is left: pairs of different components, the largest of a shingle on one side only
-    labelled = postings.join(comps, "node", "left").select("token", "node", "n", "matches", F.coalesce("comp", "node").alias("comp"))
-    labelled = saved(labelled, "postings")
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    labelled = labelled.join(mixed, "token", "left_semi")
-    sizes = labelled.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m")).select("token", F.col("m.comp").alias("big"))
-    labelled = saved(labelled.join(sizes, "token"), "mixed")
-    x = labelled.filter("comp <> big").select("token", *[F.col(c).alias("x_" + c) for c in ("node", "n", "matches", "comp")])
-    y = labelled.select("token", "big", *[F.col(c).alias("y_" + c) for c in ("node", "n", "matches", "comp")])
-    once = (F.col("y_comp") == F.col("big")) | (F.col("x_node") < F.col("y_node"))
-    met = x.join(y, "token").filter((F.col("x_comp") != F.col("y_comp")) & once & _similar_sizes("x_n", "y_n"))
-    # x and y change sides from shingle to shingle as the largest component does
-    met = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.least("x_matches", "y_matches").alias("need"))
-    pairs = saved(met.groupBy("a", "b", "need").count().filter("count >= need").select("a", "b"), "pairs")
-    more = saved(_links(pairs, sets), "links")
-    if more.isEmpty():
+    edges, comps = None, None
+    for k in range(HUB_ROUNDS):
+        labelled = postings.withColumn("comp", F.col("node")) if comps is None else postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        more = saved(_links(_hub_pairs(labelled, k), sets), "links")
+        if more.isEmpty():
+            break
+        edges = more if edges is None else edges.unionByName(more)
+        comps = components(edges)
+        release(spark)
+    labelled = postings.withColumn("comp", F.col("node")) if comps is None else postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = saved(_rest(saved(labelled, "postings"), sets), "links")
+    if comps is not None and more.isEmpty():
         return comps
-    return components(edges.unionByName(more))
+    return components(more if edges is None else edges.unionByName(more))
 
 
 def label(docs: DataFrame) -> DataFrame:
