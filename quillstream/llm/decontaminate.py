@@ -7,7 +7,8 @@ largest impact on each block it occurs in.  Passages are windows of twice the
 longest item's words, half a window apart, over whole texts, so that a copied
 item lies within one.  Block-max pruning, for a megabyte of text at a time:
 
-1. terms of many items (non-essential) count with their largest impact anywhere;
+1. terms of many items (non-essential) count as if all were there: with the most
+   that they add to any item of the block;
 2. the others add their block maxima to (half window, block) sums;
 3. a window meets only blocks whose bound reaches the threshold; those items are
    scored exactly, and every item above the threshold is retrieved;
@@ -40,7 +41,7 @@ from .textnum import PUNCTUATION, U, windows, words_by_run
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score at which it is retrieved; share of triples that verifies.
 THRESHOLD, OVERLAP = 0.5, 0.5
-ITEMS_IN_BLOCK = 8
+ITEMS_IN_BLOCK = 4
 #: Terms of more than one in so many items are non-essential.
 ESSENTIAL = 8
 SHARD_CHARS = 32 << 20
@@ -100,6 +101,9 @@ class Index:
         self.first = np.searchsorted(distinct // max(self.blocks, 1), np.arange(len(self.terms) + 1))
         self.most = np.maximum.reduceat(top, self.first[:-1]) if len(self.terms) else np.zeros(0)
         self.essential = df * ESSENTIAL <= max(n, ESSENTIAL)
+        # what the non-essential terms can add to an item, at most in each block
+        rest = np.bincount(item, np.where(self.essential[term], 0.0, impact), n) if n else np.zeros(1)
+        self.rest = np.maximum.reduceat(rest, np.arange(0, max(n, 1), ITEMS_IN_BLOCK))
         # a table of the low bits of terms tells most other words apart at once
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.terms & U(0xFFFF)).astype(np.int64)] = True
@@ -134,12 +138,10 @@ class Index:
             last = np.zeros(n, bool)
             last[base[1:][halves > 0] - 1] = True
             pair = lambda x: np.where(last if x.ndim == 1 else last[:, None], x, x + np.concatenate([x[1:], x[:1]]))  # noqa: E731, B023
-            # the largest impact anywhere: windows whose sum stays below go no further
-            often = ~self.essential[t]
-            slack = pair(np.bincount(c[often], self.most[t[often]], n))
-            ts, cs = t[~often], c[~often]
-            whole = pair(np.bincount(cs, self.most[ts], n)) + slack
-            live = whole >= THRESHOLD
+            # the largest impacts anywhere: windows whose sum stays below go no further
+            rare = self.essential[t]
+            ts, cs = t[rare], c[rare]
+            live = pair(np.bincount(cs, self.most[ts], n)) + self.rest.max() >= THRESHOLD
             if not live.any():
                 continue
             near = live.copy()
@@ -151,7 +153,7 @@ class Index:
             size = self.first[ts + 1] - self.first[ts]
             place = np.repeat(self.first[ts] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             sums = np.bincount(np.repeat(cs, size) * self.blocks + self.block_of[place], self.block_max[place], n * self.blocks).reshape(n, self.blocks)
-            bound = pair(sums) + slack[:, None]
+            bound = pair(sums) + self.rest
             best: dict[tuple[int, int], tuple] = {}
             for k in np.flatnonzero(live & (bound.max(axis=1) >= THRESHOLD)):
                 d = int(np.searchsorted(base, k, side="right")) - 1
@@ -162,10 +164,12 @@ class Index:
                 there[-1] = False
                 found = None
                 for block in np.flatnonzero(bound[k] >= THRESHOLD):
-                    for i in range(block * ITEMS_IN_BLOCK, min(len(self.ids), (block + 1) * ITEMS_IN_BLOCK)):
-                        s = slice(self.item_first[i], self.item_first[i + 1])
-                        score = float(self.item_impact[s][there[self.item_terms[s]]].sum())
-                        if score < THRESHOLD or best.get((d, i), (0,))[0] >= score:
+                    lo_item, hi_item = block * ITEMS_IN_BLOCK, min(len(self.ids), (block + 1) * ITEMS_IN_BLOCK)
+                    at = self.item_first[lo_item : hi_item + 1]
+                    scores = np.add.reduceat(self.item_impact[at[0] : at[-1]] * there[self.item_terms[at[0] : at[-1]]], at[:-1] - at[0])
+                    for i in np.flatnonzero(scores >= THRESHOLD) + lo_item:
+                        score = float(scores[i - lo_item])
+                        if best.get((d, i), (0,))[0] >= score:
                             continue
                         if found is None:
                             found = {m: np.unique(windows(w.hashes[lo:hi], m)) for m in (1, 2, 3) if hi - lo >= m}
