@@ -14,11 +14,12 @@ _STATE = "questions array<string>, answers array<string>"
 _OUT = "session_id string, turn_no long, question string, n_history int, last_question string"
 
 
-def with_history(turns: DataFrame, n: int = HISTORY, idle: str = "1 hour") -> DataFrame:
+def with_history(turns: DataFrame, n: int = HISTORY, idle: str | None = None) -> DataFrame:
     """For each arriving turn (session_id, turn_no, question, answer): how many
-    turns before it are held, at most n, and the question before it.  State of a
-    session that is idle for long is dropped."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    turns before it are held, at most n, and the question before it.  With ``idle``
+    (such as "1 hour") the state of a session that is idle for so long is dropped;
+    such a stream keeps looking for idle sessions and does not end by itself."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,6 +34,8 @@ def with_history(turns: DataFrame, n: int = HISTORY, idle: str = "1 hour") -> Da
                 questions, answers = [*questions, question][-n:], [*answers, answer][-n:]
             yield pd.DataFrame(out, columns=["session_id", "turn_no", "question", "n_history", "last_question"])
         state.update((questions, answers))
-        state.setTimeoutDuration(idle_ms)
+        if idle:
+            state.setTimeoutDuration(idle_ms)
 
-    return turns.groupBy("session_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return turns.groupBy("session_id").applyInPandasWithState(step, _OUT, _STATE, "append", timeout)
