@@ -254,3 +254,46 @@ def query(spark, sf_dir):
     """op6_benchmark_decontamination: documents that contain items of ``benchmark``."""
     found = search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "item_id", "passage", F.round("score", 6).alias("score"), F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"))
+
+
+_SPLIT = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+def _grams(source: str, words: str, keys: str, n: str) -> str:
+    return f"SELECT DISTINCT {keys}, array_to_string(list_slice({words}, i, i + n - 1), ' ') AS g, n FROM (SELECT *, unnest(generate_series(1, len({words}) - n + 1)) AS i FROM (SELECT *, {n} AS n FROM {source}) WHERE len({words}) >= n)"
+
+
+ORACLE_SQL = rf"""
+WITH items AS MATERIALIZED (
+  SELECT item_id, t, CASE WHEN regexp_matches(t, '[.?!]\s+|\n+') THEN regexp_extract(t, '(?s)^(.*(?:[.?!]\s+|\n+))', 1) END AS q
+  FROM (SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM benchmark WHERE text IS NOT NULL)
+), parts AS MATERIALIZED (
+  SELECT item_id, {_SPLIT.format("t")} AS w, {_SPLIT.format("coalesce(q, t)")} AS qw, {_SPLIT.format("CASE WHEN q IS NULL THEN t ELSE substr(t, length(q) + 1) END")} AS aw FROM items
+), tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(w) AS term FROM parts) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+size AS (SELECT count(*) AS n, avg(len(w)) AS mean, max(len(w)) AS half FROM parts WHERE len(w) > 0),
+raw AS (
+  SELECT item_id, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {K1 + 1}::DOUBLE / (tf + {K1}::DOUBLE * ({1 - B}::DOUBLE + {B}::DOUBLE * len(w) / mean)) AS x
+  FROM tf JOIN df USING (term) JOIN parts USING (item_id), size
+), impact AS MATERIALIZED (SELECT item_id, term, x / sum(x) OVER (PARTITION BY item_id) AS x FROM raw),
+docs AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS w FROM documents),
+passages AS MATERIALIZED (
+  SELECT doc_id, k AS passage, list_slice(w, k * half + 1, k * half + 2 * half) AS pw
+  FROM (SELECT doc_id, w, half, unnest(generate_series(0, (len(w) - 1) // half)) AS k FROM docs, size WHERE len(w) > 0)
+), hits AS MATERIALIZED (
+  SELECT doc_id, passage, item_id, sum(x) AS score FROM (SELECT DISTINCT doc_id, passage, unnest(pw) AS term FROM passages) JOIN impact USING (term)
+  GROUP BY ALL HAVING sum(x) >= {THRESHOLD}
+), there AS MATERIALIZED (SELECT DISTINCT doc_id, passage, pw FROM hits JOIN passages USING (doc_id, passage)),
+pg AS MATERIALIZED ({" UNION ALL ".join(_grams("there", "pw", "doc_id, passage", str(n)) for n in (1, 2, 3))}),
+qg AS ({_grams("parts", "qw", "item_id", "least(3, len(qw))")}),
+ag AS ({_grams("parts", "aw", "item_id", "least(3, len(aw))")}),
+shares AS (
+  SELECT h.doc_id, h.passage, h.item_id, h.score,
+    (SELECT count(pg.g)::DOUBLE / count(*) FROM qg LEFT JOIN pg ON pg.doc_id = h.doc_id AND pg.passage = h.passage AND pg.g = qg.g AND pg.n = qg.n WHERE qg.item_id = h.item_id AND qg.n > 0) AS q,
+    (SELECT count(pg.g)::DOUBLE / count(*) FROM ag LEFT JOIN pg ON pg.doc_id = h.doc_id AND pg.passage = h.passage AND pg.g = ag.g AND pg.n = ag.n WHERE ag.item_id = h.item_id AND ag.n > 0) AS a
+  FROM hits h
+)
+SELECT doc_id, item_id, passage, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap
+FROM shares WHERE q >= {OVERLAP} AND a >= {OVERLAP}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(score, 9) DESC, passage) = 1
+"""
