@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import saved
 from .textnum import U, mix, text_buffer, windows, words_by_run
@@ -108,8 +109,7 @@ def _measure(batches):
 def measured(df: DataFrame, text: str) -> DataFrame:
     """Columns of ``df`` but ``text``, then the measures of ``text``."""
     df = df.select(*[c for c in df.columns if c != text], text)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    return df.mapInArrow(_measure, f"{kept}, " + ", ".join(f"{k} bigint" for k in MEASURES))
+    return df.mapInArrow(_measure, T.StructType([*df.schema.fields[:-1], *(T.StructField(k, T.LongType()) for k in MEASURES)]))
 
 
 def base_failed():
