@@ -85,10 +85,12 @@ SQL_MARKED = """marked AS (
 
 
 def corpus(spark, sf_dir) -> DataFrame:
-    """chunk_ord, text, page_number, embedding: documents paired with vectors by number."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(e, "doc_id").select(F.col("doc_id").alias("chunk_ord"), "text", (F.col("doc_id") % 50 + 1).cast("int").alias("page_number"), "embedding")
+    """chunk_ord, text, page_number, embedding: every document, each with some vector."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    # numbers of vectors start from 0; a single row
+    n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(n)).withColumn("v", F.pmod("doc_id", "n"))
+    return d.join(e, "v", "left").select(F.col("doc_id").alias("chunk_ord"), "text", (F.col("doc_id") % 50 + 1).cast("int").alias("page_number"), "embedding")
 
 
 def questions(spark, sf_dir) -> DataFrame:
