@@ -52,7 +52,8 @@ def scan_chunks_split(spark, sf_dir):
 
 
 def fail_open_filter(spark, sf_dir):
-    df = attacked(spark, sf_dir).filter("doc_id % 4 <> 0").withColumn("grp", F.floor(F.col("doc_id") / 4).cast("bigint"))
+    # pairs: one in eight is flagged as a whole
+    df = attacked(spark, sf_dir).withColumn("grp", F.floor(F.col("doc_id") / 2).cast("bigint"))
     return guard.fail_open(guard.scan(df, "text"), "grp").select("grp", "doc_id")
 
 

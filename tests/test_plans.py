@@ -23,3 +23,11 @@ def test_every_document_is_indexed_and_has_a_vector(spark, tables):
     assert len(got) == 12 and got[11] == 0
     near = sorted((r["semantic_rank"], r["chunk_ord"]) for r in registry.semantic_topk(spark, tables).collect())
     assert near == [(0, 0), (1, 3), (2, 6), (3, 9), (4, 1)]  # documents share vectors in turn
+
+
+def test_fail_open_judges_every_document(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(i, f"line {i}\nmore") for i in range(16)], "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r["doc_id"]: r["grp"] for r in registry.fail_open_filter(spark, folder).collect()}
+    clean, whole = {0, 4, 8, 12, 5, 6, 7, 9, 11, 14, 15}, {2, 3}  # the pair 2, 3 has no clean member
+    assert set(got) == clean | whole and all(g == i // 2 for i, g in got.items())
