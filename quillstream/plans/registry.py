@@ -164,8 +164,7 @@ def prompt_build(spark, sf_dir):
 
 
 def source_strip(spark, sf_dir):
-    head = F.substring("text", 1, 100)
-    said = F.when(F.col("doc_id") % 2 == 0, F.concat(head, F.lit(" Source: page "), F.col("doc_id").cast("string"))).otherwise(head)
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" Source: page "), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", answer.without_source(said).alias("answer"))
 
 

@@ -31,3 +31,10 @@ def test_fail_open_judges_every_document(spark, tmp_path):
     got = {r["doc_id"]: r["grp"] for r in registry.fail_open_filter(spark, folder).collect()}
     clean, whole = {0, 4, 8, 12, 5, 6, 7, 9, 11, 14, 15}, {2, 3}  # the pair 2, 3 has no clean member
     assert set(got) == clean | whole and all(g == i // 2 for i, g in got.items())
+
+
+def test_source_strip_reads_whole_texts(spark, tmp_path):
+    folder, long = f"file://{tmp_path}", "long " * 50 + "end"
+    spark.createDataFrame([(0, long), (1, long + " Source: page 3 and more"), (2, "short"), (3, long)], "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r["doc_id"]: r["answer"] for r in registry.source_strip(spark, folder).collect()}
+    assert got == {0: long, 1: long, 2: "short", 3: long}
