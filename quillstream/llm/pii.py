@@ -36,9 +36,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 
-LABELLED = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z_-]{1,30}\x20{0,2}[=:]\x20{0,2}[\"']?[A-Za-z0-9_+/.@-]{6,200}"
-MIXED = r"(?<![A-Za-z0-9_=/+.@-])(?=[A-Za-z_-]{0,40}+[0-9])(?=[0-9_-]{0,40}+[A-Za-z])[A-Za-z0-9_-]{14,200}+(?![A-Za-z0-9_=/+@-])"
-_VALUE = r"[A-Za-z0-9_+/.@-]{6,200}$"
+#: Labels and values are whole runs of any length.  A label is looked for once in
+#: a run of its letters: at its start, or after its first dashes if a digit is
+#: before the run.
+LABELLED = r"(?<![A-Za-z_-])(?:(?<![0-9])-*+|(?<=[0-9])[A-Za-z_]*+-++)[A-Za-z_][A-Za-z_-]++\x20{0,2}[=:]\x20{0,2}[\"']?[A-Za-z0-9_+/.@-]{6,}+"
+MIXED = r"(?<![A-Za-z0-9_=/+.@-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{14,}+(?![A-Za-z0-9_=/+@-])"
+_LABEL = r"^-*+([A-Za-z_][A-Za-z_-]++)\x20{0,2}[=:]"
+_VALUE = r"[=:]\x20{0,2}[\"']?([A-Za-z0-9_+/.@-]++)$"
 
 #: Rounds over the graph; confidence and instances that a pattern needs.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 3
@@ -121,8 +125,8 @@ def with_instances(df: DataFrame, text: Column) -> DataFrame:
         return F.when(known, 1.0).when((F.length(value) >= 16) & (letters >= 2) & (digits >= 4), 0.9).otherwise(0.0)
 
     def labelled(x: Column) -> Column:
-        value = F.regexp_extract(x["value"], _VALUE, 0)
-        label = F.concat(F.lit("label "), F.lower(F.regexp_extract(x["value"], r"^[A-Za-z_-]+", 0)), F.lit(" "), F.regexp_extract(x["value"], "[=:]", 0))
+        value = F.regexp_extract(x["value"], _VALUE, 1)
+        label = F.concat(F.lit("label "), F.lower(F.regexp_extract(x["value"], _LABEL, 1)), F.lit(" "), F.regexp_extract(x["value"], "[=:]", 0))
         return F.struct((x["end"] - F.length(value)).alias("start"), x["end"], value.alias("value"), label.alias("pattern"), seed(value).alias("seed"))
 
     def mixed(x: Column) -> Column:
