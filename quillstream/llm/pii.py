@@ -6,11 +6,15 @@ matched twice, to cut the text and to list its matches; running sums of the
 lengths of pieces and matches give the offsets.
 
 Bootstrapping: labelled values (``word = value``, ``word: value``) and long
-tokens of mixed letters and digits are instances; each occurrence carries the
-lexical patterns around it: its label with operator, or its prefix with its
-length and letter classes.  Seed entities (instances that a base rule accepts,
+tokens of mixed letters and digits are instances, and so are base finds and
+tokens of six characters or more with a digit; each occurrence carries the
+lexical patterns around it: its label with operator, its prefix with its length
+and letter classes, and the two and the three words before and after it (within
+``REACH`` characters, up to the next find of the same kind).  A single word is no
+pattern: "the" stands before everything.  Seed entities (instances that a base rule accepts,
 or that look random) score the patterns they occur with; patterns score their
-instances, and so on for a few rounds over the pattern-instance graph.  Patterns
+instances, and so on for a few rounds over the pattern-instance graph; word
+contexts speak only once they are trusted, as a value has many of them.  Patterns
 of high confidence, seen with several instances, accept all their instances,
 also those that no rule knows.  Labels, not values, decide: nothing is added to
 a text without such a pattern.
@@ -40,25 +44,31 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: a run of its letters: at its start, or after its first dashes if a digit is
 #: before the run.
 LABELLED = r"(?<![A-Za-z_-])(?:(?<![0-9])-*+|(?<=[0-9])[A-Za-z_]*+-++)[A-Za-z_][A-Za-z_-]++\x20{0,2}[=:]\x20{0,2}[\"']?[A-Za-z0-9_+/.@-]{6,}+"
-MIXED = r"(?<![A-Za-z0-9_=/+.@-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{14,}+(?![A-Za-z0-9_=/+@-])"
+TOKEN = r"(?<![A-Za-z0-9_=/+.@-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+(?![A-Za-z0-9_=/+@-])"
 _LABEL = r"^-*+([A-Za-z_][A-Za-z_-]++)\x20{0,2}[=:]"
 _VALUE = r"[=:]\x20{0,2}[\"']?([A-Za-z0-9_+/.@-]++)$"
 
 #: Rounds over the graph; confidence and instances that a pattern needs.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 3
+#: The same for word contexts, and characters in which their words stand.
+CONTEXT_CONFIDENCE, CONTEXT_SUPPORT, REACH = 0.7, 5, 100
 SPAN = "struct<start:int,ord:int,kind:string,end:int>"
-_CUT = "array<struct<start:int,end:int,value:string>>"
+_CUT = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 
 def located(matches: Column, pieces: Column) -> Column:
-    """array<struct<start, end, value>> from a pattern's matches and the pieces between them."""
-    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda s, v: F.struct(F.length(s).alias("s"), F.length(v).alias("n"), v.alias("v")))
+    """array<struct<start, end, value, left, right>> from a pattern's matches and the
+    pieces between them; left and right are the ends of the pieces that meet it."""
+    steps = F.transform(
+        matches,
+        lambda v, i: F.struct(F.length(F.get(pieces, i)).alias("s"), F.length(v).alias("n"), v.alias("v"), F.right(F.get(pieces, i), F.lit(REACH)).alias("l"), F.left(F.get(pieces, i + 1), F.lit(REACH)).alias("r")),
+    )
     return F.aggregate(
         steps,
         F.struct(F.lit(0).alias("at"), F.array().cast(_CUT).alias("out")),
         lambda a, x: F.struct(
             (a["at"] + x["s"] + x["n"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["s"]).alias("start"), (a["at"] + x["s"] + x["n"]).alias("end"), x["v"].alias("value")))).alias("out"),
+            F.concat(a["out"], F.array(F.struct((a["at"] + x["s"]).alias("start"), (a["at"] + x["s"] + x["n"]).alias("end"), x["v"].alias("value"), x["l"].alias("left"), x["r"].alias("right")))).alias("out"),
         ),
         lambda a: a["out"],
     )
@@ -79,6 +89,10 @@ def accepted(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _holds(kind: str):
+    return lambda x: accepted(kind, x["value"])
+
+
 def _guard(kind: str, text: Column) -> Column:
     return text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike("[0-9]")
 
@@ -94,8 +108,7 @@ def _located_columns(df: DataFrame, wanted: dict[str, tuple[Column, str]], text:
 
 
 def _spans(kind: str) -> Column:
-    found = F.filter(F.col(f"at_{kind}"), lambda x: accepted(kind, x["value"]))
-    return F.transform(found, lambda x: F.struct(x["start"], F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), x["end"]).cast(SPAN))
+    return F.transform(f"at_{kind}", lambda x: F.struct(x["start"], F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), x["end"]).cast(SPAN))
 
 
 def _count(kind: str) -> Column:
@@ -103,10 +116,12 @@ def _count(kind: str) -> Column:
 
 
 def with_base(df: DataFrame, text: Column) -> DataFrame:
-    """Adds ``base``: sorted array of SPAN, by start, then kind as listed."""
+    """Adds ``base``: sorted array of SPAN, by start, then kind as listed, and
+    ``known``: the same finds with what is around them."""
     df = _located_columns(df, {f"at_{k}": (_guard(k, text), PATTERNS[k]) for k in KINDS}, text)
+    df = df.withColumns({f"at_{k}": F.filter(f"at_{k}", _holds(k)) for k in KINDS})
     spans = [_spans(k) for k in KINDS]
-    return df.withColumn("base", F.array_sort(F.concat(*spans))).drop(*[f"at_{k}" for k in KINDS])
+    return df.withColumns({"base": F.array_sort(F.concat(*spans)), "known": F.concat(*[f"at_{k}" for k in KINDS])}).drop(*[f"at_{k}" for k in KINDS])
 
 
 def shape(value: Column) -> Column:
@@ -115,9 +130,18 @@ def shape(value: Column) -> Column:
     return F.concat(F.lit("shape "), F.substring(value, 1, 4), F.lit(" "), F.length(value).cast("string"), F.lit(" "), *kinds)
 
 
+def contexts(left: Column, right: Column) -> Column:
+    """Patterns of the two and the three words before and after an instance."""
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
+    last = lambda t, n: F.when(F.size(words(t)) >= n, F.concat(F.lit("before "), F.array_join(F.slice(words(t), -n, n), " ")))
+    first = lambda t, n: F.when(F.size(words(t)) >= n, F.concat(F.lit("after "), F.array_join(F.slice(words(t), 1, n), " ")))
+    return F.filter(F.array(last(left, 2), last(left, 3), first(right, 2), first(right, 3)), lambda p: p.isNotNull())
+
+
 def with_instances(df: DataFrame, text: Column) -> DataFrame:
-    """Adds ``instances``: array<struct<start, end, value, pattern, seed>>."""
-    df = _located_columns(df, {"at_label": (text.rlike("[=:]"), LABELLED), "at_mixed": (text.rlike("[0-9]"), MIXED)}, text)
+    """Adds ``instances``: array<struct<start, end, value, patterns, seed>>, from
+    what ``with_base`` adds."""
+    df = _located_columns(df, {"at_label": (text.rlike("[=:]"), LABELLED), "at_token": (text.rlike("[0-9]"), TOKEN)}, text)
 
     def seed(value: Column) -> Column:
         letters, digits = F.length(F.regexp_replace(value, "[^A-Za-z]", "")), F.length(_digits(value))
@@ -127,14 +151,21 @@ def with_instances(df: DataFrame, text: Column) -> DataFrame:
     def labelled(x: Column) -> Column:
         value = F.regexp_extract(x["value"], _VALUE, 1)
         label = F.concat(F.lit("label "), F.lower(F.regexp_extract(x["value"], _LABEL, 1)), F.lit(" "), F.regexp_extract(x["value"], "[=:]", 0))
-        return F.struct((x["end"] - F.length(value)).alias("start"), x["end"], value.alias("value"), label.alias("pattern"), seed(value).alias("seed"))
+        return F.struct((x["end"] - F.length(value)).alias("start"), x["end"], value.alias("value"), F.array(label).alias("patterns"), seed(value).alias("seed"))
+
+    def token(x: Column) -> Column:
+        mixed = (F.length(x["value"]) >= 14) & x["value"].rlike("[A-Za-z]")
+        covered = F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        none = F.array().cast("array<string>")
+        patterns = F.concat(F.when(mixed, F.array(shape(x["value"]))).otherwise(none), F.when(covered, none).otherwise(contexts(x["left"], x["right"])))
+        return F.struct(x["start"], x["end"], x["value"], patterns.alias("patterns"), seed(x["value"]).alias("seed"))
 
-    def mixed(x: Column) -> Column:
-        return F.struct(x["start"], x["end"], x["value"], shape(x["value"]).alias("pattern"), seed(x["value"]).alias("seed"))
+    def known(x: Column) -> Column:
+        return F.struct(x["start"], x["end"], x["value"], contexts(x["left"], x["right"]).alias("patterns"), F.lit(1.0).alias("seed"))
 
-    kind = "array<struct<start:int,end:int,value:string,pattern:string,seed:double>>"
-    both = F.concat(F.transform("at_label", labelled).cast(kind), F.transform("at_mixed", mixed).cast(kind))
-    return df.withColumn("instances", both).drop("at_label", "at_mixed")
+    kind = "array<struct<start:int,end:int,value:string,patterns:array<string>,seed:double>>"
+    every = F.concat(F.transform("at_label", labelled).cast(kind), F.transform("at_token", token).cast(kind), F.transform("known", known).cast(kind))
+    return df.withColumn("instances", F.filter(every, lambda x: F.size(x["patterns"]) > 0)).drop("at_label", "at_token", "known")
 
 
 def trusted_patterns(instances: DataFrame) -> DataFrame:
@@ -142,21 +173,23 @@ def trusted_patterns(instances: DataFrame) -> DataFrame:
     (value, pattern, seed), by rounds over the pattern-instance graph."""
     edges = saved(instances.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph")
     scores = edges.select("pattern", "value", F.col("seed").alias("score"))
+    context = F.col("pattern").rlike("^(before|after) ")
+    trusted = (F.col("confidence") >= F.when(context, CONTEXT_CONFIDENCE).otherwise(CONFIDENCE)) & (F.col("support") >= F.when(context, CONTEXT_SUPPORT).otherwise(SUPPORT))
     for k in range(ROUNDS):
         patterns = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count("*").alias("support"))
         if k == ROUNDS - 1:
             break
         # 1 - product of doubts, as a sum of logarithms that aggregates on the map side
         doubt = F.sum(F.log1p(-F.least("confidence", F.lit(0.999999))))
-        heard = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("heard"))
-        scores = saved(edges.join(heard, "value").select("pattern", "value", F.greatest("seed", "heard").alias("score")), "pii-scores")
-    return patterns.filter((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern", "confidence")
+        heard = edges.join(patterns.filter(~context | trusted), "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("heard"))
+        scores = saved(edges.join(heard, "value", "left").select("pattern", "value", F.greatest("seed", F.coalesce("heard", F.lit(0.0))).alias("score")), "pii-scores")
+    return patterns.filter(trusted).select("pattern", "confidence")
 
 
 def _discovered(rows: DataFrame) -> DataFrame:
     """row_key and ``more`` (array of SPAN): instances of trusted patterns, from
     rows with ``row_key``, ``base`` and ``instances``."""
-    found = rows.filter(F.size("instances") > 0).select("row_key", "base", F.explode("instances").alias("x")).select("row_key", "base", "x.*")
+    found = rows.filter(F.size("instances") > 0).select("row_key", "base", F.explode("instances").alias("x")).select("row_key", "base", "x.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     patterns = trusted_patterns(found.select("value", "pattern", "seed"))
     new = found.join(patterns, "pattern", "left_semi")
     # spans that a base span covers in part are known already

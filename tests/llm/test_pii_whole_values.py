@@ -21,5 +21,5 @@ def test_labels_are_whole_runs(spark):
     texts = ["--token=abcdef1", "2abc-token: abcdef1", "x_key = 'abcdef1", "ab9-c-d=abcdef1", "-" * 9 + "a" * 30000 + "-a" * 30000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     rows = pii.with_instances(pii.with_base(df, df["text"]), df["text"]).collect()
-    got = {r["doc_id"]: [(x["start"], x["pattern"]) for x in r["instances"] if x["pattern"].startswith("label")] for r in rows}
+    got = {r["doc_id"]: [(x["start"], p) for x in r["instances"] for p in x["patterns"] if p.startswith("label")] for r in rows}
     assert got == {0: [(8, "label token =")], 1: [(12, "label abc-token :")], 2: [(9, "label x_key =")], 3: [(8, "label c-d =")], 4: []}
