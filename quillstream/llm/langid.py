@@ -4,9 +4,11 @@ Texts are cut into segments of 64 bytes; two recurrent layers of gated units
 read each segment from both ends, every position gets a distribution over the
 languages from both states, and a document's probabilities are the mean over
 all its positions.  The network is trained in numpy by backpropagation through
-time, on a bounded sample of labelled rows: the ``SAMPLE_ROWS`` training rows
-with the smallest hash of (doc_id, text), at most ``SEGMENTS_PER_ROW`` segments
-of each, spread over the whole text.  Every document is then read whole.
+time, on a bounded sample of labelled rows: of every language that a training
+row has, an equal share of ``SAMPLE_ROWS`` rows, but ``LANGUAGE_ROWS`` at least
+(all, where there are fewer), those with the smallest hash of (doc_id, text); at
+most ``SEGMENTS_PER_ROW`` segments of each, spread over the whole text.  Every
+document is then read whole.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so
 is every text if no row is labelled.  A null ``doc_id`` is never learned from
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .textnum import text_buffer
 
-SAMPLE_ROWS, SEGMENTS_PER_ROW = 1200, 8
+SAMPLE_ROWS, LANGUAGE_ROWS, SEGMENTS_PER_ROW = 1200, 50, 8
 UNITS, SEGMENT, LANES = 8, 64, 1024
 STEPS, BATCH, RATE = 260, 192, 0.02
 #: Stands beyond the end of a text: its update gate keeps the state.
@@ -202,10 +204,30 @@ def _fold():
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS
 
 
+def sample(rows: DataFrame) -> list:
+    """Rows (text, lang, h) of every language with the smallest h, ordered by h and text."""
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    each = max(LANGUAGE_ROWS, SAMPLE_ROWS // max(len(sizes), 1))
+    # hashes below a limit, of twice as many rows as needed, so that little is sorted
+    wide = 2 * each + 40
+    limits = [(lang, min(2**63 - 1, -(2**63) + 2**64 * wide // n)) for lang, n in sizes.items()]
+    if not limits:
+        return []
+    low = rows.join(F.broadcast(rows.sparkSession.createDataFrame(limits, "lang string, most bigint")), "lang").filter("h <= most").select("text", "lang", "h")
+    found: dict[str, list] = {lang: [] for lang in sizes}
+    for r in low.orderBy("h", "text").limit(2 * wide * len(sizes)).collect():
+        if len(found[r["lang"]]) < each:
+            found[r["lang"]].append(r)
+    for lang, n in sizes.items():
+        if len(found[lang]) < min(each, n):  # many repeated rows
+            found[lang] = rows.filter(F.col("lang") == lang).orderBy("h", "text").limit(each).collect()
+    return sorted((r for part in found.values() for r in part), key=lambda r: (r["h"], r["text"]))
+
+
 def learn(docs: DataFrame) -> tuple[list[str], Network | None]:
     """Languages and network from ``docs`` (doc_id, text, lang), all of them labelled."""
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    rows = rows.orderBy("h", "text").limit(SAMPLE_ROWS).collect()
+    rows = sample(rows)
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return [], None
