@@ -98,8 +98,8 @@ def virtual_pages(spark, sf_dir):
 
 
 def multi_file_cap(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir, 3).withColumn("session_id", F.floor(F.col("file_ord") / 20).cast("bigint"))
-    return chunking.cap_files(chunks, "session_id", 25).select("session_id", F.col("file_ord").alias("doc_id"), "chunk_ord", "text")
+    chunks = _chunks(spark, sf_dir).withColumn("session_id", F.floor(F.col("file_ord") / 20).cast("bigint"))
+    return chunking.cap_files(chunks, "session_id").select("session_id", F.col("file_ord").alias("doc_id"), "chunk_ord", "text")
 
 
 def bm25_terms(spark, sf_dir):
@@ -195,11 +195,13 @@ def row_normalize(spark, sf_dir):
     k = F.col("doc_id") % 3
     rows = table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.when(F.col("doc_id") % 11 == 0, "  \n").when(k == 0, F.col("text")).when(k == 1, F.lit("")).alias("text"),
+        F.when(k == 0, F.col("text")).when(k == 1, F.lit("")).alias("text"),
         F.when(k == 1, F.concat(F.lit("  "), F.col("text"), F.lit("\t"))).otherwise(F.col("text")).alias("page_content"),
         F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 7).alias("page"),
     )
-    return index.normalized_chunks(rows).select("doc_id", "text", "page_number")
+    # blank rows beside every eleventh document
+    blank = rows.filter("doc_id % 11 = 0").withColumns({"text": F.lit("  \n"), "page_content": F.lit("  \n")})
+    return index.normalized_chunks(rows.unionByName(blank)).select("doc_id", "text", "page_number")
 
 
 def api_projection(spark, sf_dir):

@@ -1,7 +1,9 @@
 """Registered plans read all rows of their tables and the whole of each text."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillstream.operators import chunking
 from quillstream.plans import registry
 
 
@@ -38,3 +40,14 @@ def test_source_strip_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(0, long), (1, long + " Source: page 3 and more"), (2, "short"), (3, long)], "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
     got = {r["doc_id"]: r["answer"] for r in registry.source_strip(spark, folder).collect()}
     assert got == {0: long, 1: long, 2: "short", 3: long}
+
+
+def test_caps_are_those_of_the_operator_and_blank_rows_replace_nothing(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    text = "\n".join(f"line {i}" for i in range(30))
+    spark.createDataFrame([(i, text) for i in range(23)], "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    sizes = {r["doc_id"]: r["count"] for r in registry.multi_file_cap(spark, folder).groupBy("doc_id").count().collect()}
+    assert sizes == {i: 10 for i in range(23)}  # a section for every third line
+    assert sorted(r["doc_id"] for r in registry.row_normalize(spark, folder).collect()) == list(range(23))
+    small = chunking.cap_files(registry._chunks(spark, folder, 3).withColumn("session_id", F.lit(0)), "session_id", 25)
+    assert small.count() == 25 and small.groupBy("file_ord").count().agg(F.max("count")).first()[0] == 3
