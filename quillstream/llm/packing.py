@@ -6,8 +6,8 @@ packed by best-fit decreasing and its number of bins is compared with a lower
 bound from dual-feasible functions.  A partition that meets its bound is
 certified and gives up only its emptiest bin; one with a gap gives up every bin
 that is not full.  What was given up is dealt anew, into fewer partitions, and
-packed again, until the total meets the bound of the whole or one partition is
-left.
+packed again, until the total meets the bound of the whole, one partition is
+left, or, after ``ROUNDS`` rounds, a round no longer lowers the total.
 
 Defined cases: null text is empty and still gives its end id; repeated rows are
 packed each for itself; null ``doc_id`` is carried as it is; an empty table
@@ -17,6 +17,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from .shared import saved
 CAPACITY = 4096
 #: Pieces in a partition of the packing, about.
 PER_PARTITION = 3000
-#: Rounds of exchange at most; each shrinks the pieces in play to the loose bins.
+#: Rounds of exchange before one that gains nothing ends it; each shrinks the pieces
+#: in play to the loose bins.
 ROUNDS = 6
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -120,7 +122,7 @@ def _pack_partition(capacity: int, number: int):
         loose &= rooms > 0
         part = table.column("part")[0].as_py()
         cols = [table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-        cols += [pa.array((number << 58) + (part << 28) + bins), pa.array(offsets), pa.array(np.full(len(bins), len(rooms))), pa.array(np.full(len(bins), bound)), pa.array(loose[bins])]
+        cols += [pa.array((number << 52) + (part << 24) + bins), pa.array(offsets), pa.array(np.full(len(bins), len(rooms))), pa.array(np.full(len(bins), bound)), pa.array(loose[bins])]
         return pa.table(cols, [x.split()[0] for x in PLACED.split(", ")])
 
     return run
@@ -131,19 +133,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_P
     bound of the partition that placed them last."""
     left, done = pieces, []
     histogram = sorted(tuple(r) for r in left.groupBy("length").count().collect())  # as many rows as the capacity at most
-    n = sum(count for _, count in histogram)
+    n = sum(k for _, k in histogram)
     whole = lower_bound(*map(np.array, zip(*histogram)), capacity) if n else 0
-    settled = 0
-    for number in range(ROUNDS):
+    settled, before = 0, None
+    for number in count():
         parts = max(1, -(-n // per_partition))
         dealt = left.withColumn("part", F.pmod(F.xxhash64(F.lit(number), "doc_id", "piece", "start", "ids_crc32"), F.lit(parts)))
         placed = saved(dealt.groupBy("part").applyInArrow(_pack_partition(capacity, number), PLACED), "packed")
         sums = placed.agg(F.count_distinct(F.when(~F.col("loose"), F.col("sequence_id"))).alias("kept"), F.count_distinct("sequence_id").alias("all"), F.sum(F.col("loose").cast("long")).alias("n")).first()
         n = sums["n"] or 0
-        if parts == 1 or not n or settled + sums["all"] <= whole or number == ROUNDS - 1:
+        total = settled + sums["all"]
+        gained = before is None or total < before
+        if parts == 1 or not n or total <= whole or (number >= ROUNDS - 1 and not gained):
             done.append(placed)
             break
-        settled += sums["kept"]
+        settled, before = settled + sums["kept"], total
         done.append(placed.filter(~F.col("loose")))
         left = placed.filter("loose").select(*pieces.columns)
     out = done[0]
