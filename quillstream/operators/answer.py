@@ -114,3 +114,9 @@ def answer_questions(index: Index, questions: DataFrame, candidate_k: int = 20,
 def shown(text: Column, n: int = 250) -> Column:
     """A preview: the first n characters, with dots if there are more."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+def fixed(x: Column, digits: int = 4) -> Column:
+    """A score with so many decimals, rounded by its exact binary value (0.01125 lies
+    below the middle and gives 0.0112, where ``format_string`` rounds its print)."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))

@@ -96,14 +96,17 @@ def corpus(spark, sf_dir) -> DataFrame:
 def questions(spark, sf_dir) -> DataFrame:
     """query_id, question, vector: test items, each with some vector."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), (F.col("item_id") * 7 % 200).alias("v"))
-    return b.join(e, "v").select("query_id", "question", "vector")
+    n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    b = table(spark, sf_dir, "benchmark").join(F.broadcast(n)).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.pmod(F.col("item_id") * 7, F.col("n")).alias("v"))
+    return b.join(e, "v", "left").select("query_id", "question", "vector")
 
 
-SQL_CORPUS = """corpus AS MATERIALIZED (
-  SELECT doc_id AS chunk_ord, text, (doc_id % 50 + 1)::INT AS page_number, embedding::DOUBLE[] AS embedding FROM documents JOIN embeddings ON doc_id = vec_id
+SQL_CORPUS = """vectors AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+corpus AS MATERIALIZED (
+  SELECT doc_id AS chunk_ord, text, (doc_id % 50 + 1)::INT AS page_number, embedding::DOUBLE[] AS embedding
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id % (SELECT n FROM vectors)
 ), questions AS MATERIALIZED (
-  SELECT item_id AS query_id, text AS question, embedding::DOUBLE[] AS vector FROM benchmark JOIN embeddings ON vec_id = item_id * 7 % 200
+  SELECT item_id AS query_id, text AS question, embedding::DOUBLE[] AS vector FROM benchmark LEFT JOIN embeddings ON vec_id = item_id * 7 % (SELECT n FROM vectors)
 )"""
 
 

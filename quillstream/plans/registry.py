@@ -206,7 +206,7 @@ def row_normalize(spark, sf_dir):
 
 def api_projection(spark, sf_dir):
     final = _final(spark, sf_dir)[1]
-    return final.select("query_id", "page_number", answer.shown(F.col("text")).alias("preview"), F.format_string("%.4f", "rrf_score").alias("rrf"), F.format_string("%.4f", "rerank_score").alias("rerank"))
+    return final.select("query_id", "page_number", answer.shown(F.col("text")).alias("preview"), answer.fixed(F.col("rrf_score")).alias("rrf"), answer.fixed(F.col("rerank_score")).alias("rerank"))
 
 
 def queries() -> dict:

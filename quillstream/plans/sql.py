@@ -190,7 +190,7 @@ SQL = {
     "guard_subtle": _with(SQL_ATTACKED, f"SELECT doc_id, len({subtle('text')})::INT AS n_hits, array_to_string({subtle('text')}, '|') AS hits FROM attacked"),
     "guard_cascade_no_ml": _with(SQL_ATTACKED, VERDICT, "SELECT * FROM verdicts"),
     "scan_chunks_split": _with(SQL_ATTACKED, f"SELECT {flag('text', 'n')} AS injection_flagged, count(*) AS n_chunks, min(doc_id) AS first_doc, max(length(text))::INT AS longest FROM (SELECT *, {normal('text')} AS n FROM attacked) GROUP BY 1"),
-    "fail_open_filter": _with(SQL_ATTACKED, f"SELECT doc_id // 4 AS grp, doc_id FROM (SELECT *, sum(1 - f) OVER (PARTITION BY doc_id // 4) AS safe FROM (SELECT doc_id, {flag('text', 'n')}::INT AS f FROM (SELECT *, {normal('text')} AS n FROM attacked WHERE doc_id % 4 <> 0))) WHERE f = 0 OR safe = 0"),
+    "fail_open_filter": _with(SQL_ATTACKED, f"SELECT doc_id // 2 AS grp, doc_id FROM (SELECT *, sum(1 - f) OVER (PARTITION BY doc_id // 2) AS safe FROM (SELECT doc_id, {flag('text', 'n')}::INT AS f FROM (SELECT *, {normal('text')} AS n FROM attacked))) WHERE f = 0 OR safe = 0"),
     "validate_queries": _with(SQL_ATTACKED, VERDICT, f"SELECT doc_id, reason = '' AS ok, reason FROM (SELECT doc_id, {VALIDITY} AS reason FROM attacked JOIN verdicts USING (doc_id))"),
     "heading_split": _with(SQL_MARKDOWN, SECTIONS, "SELECT doc_id, section_ord::INT AS section_ord, section FROM sections"),
     "block_split": _with(SQL_MARKDOWN, SECTIONS, BLOCKS, "SELECT doc_id, section_ord::INT AS section_ord, block_ord::INT AS block_ord, block FROM blocks"),
@@ -210,7 +210,7 @@ SQL = {
           {{'page': []::VARCHAR[], 'size': 0::BIGINT, 'pages': []::VARCHAR[]}}) AS r FROM markdown)""", f"""SELECT doc_id, i::INT AS page_number, text FROM (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS i FROM (
         SELECT doc_id, CASE WHEN len(r.page) > 0 THEN list_append(r.pages, array_to_string(r.page, {NL} || {NL})) ELSE r.pages END AS p FROM folded))"""),
     "multi_file_cap": _with(CHUNKS, """SELECT session_id, doc_id, chunk_ord::INT AS chunk_ord, text FROM (
-        SELECT doc_id // 20 AS session_id, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id, chunk_ord) - 1 AS chunk_ord, text FROM chunks WHERE chunk_ord < 3) WHERE chunk_ord < 25"""),
+        SELECT doc_id // 20 AS session_id, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id, chunk_ord) - 1 AS chunk_ord, text FROM chunks WHERE chunk_ord < 1200) WHERE chunk_ord < 1200"""),
     "bm25_terms": _with(SQL_CORPUS, BM25.partition("asked AS")[0].rstrip().rstrip(","), "SELECT term, df, round(idf, 6) AS idf FROM terms"),
     "bm25_topk": _with(SQL_CORPUS, BM25, "SELECT query_id, chunk_ord, (rn - 1)::INT AS keyword_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, chunk_ord) AS rn FROM every) WHERE rn <= 60"),
     "semantic_topk": _with(SQL_CORPUS, BM25, "SELECT query_id, chunk_ord, (rn - 1)::INT AS semantic_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sem DESC, chunk_ord) AS rn FROM every) WHERE rn <= 5"),
@@ -227,7 +227,7 @@ SQL = {
         array_to_string(list('user=' || question || '|model=' || answer) OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '|') AS h FROM turns)"""),
     "session_counts": _with(SQL_TURNS, "SELECT session_id, count(*) AS n_turns, max(turn_no) AS last_turn FROM turns GROUP BY session_id"),
     "prompt_build": _with(RETRIEVAL, RERANK, f"SELECT query_id, 'Context:' || {NL} || coalesce(c, '[No retrieved context]') || {NL} || {NL} || 'Question: ' || {strip('question')} || {NL} || {NL} || 'Answer:' AS prompt FROM questions LEFT JOIN (SELECT query_id, {CONTEXT} AS c FROM final GROUP BY query_id) USING (query_id)"),
-    "source_strip": f"SELECT doc_id, {strip('string_split(a, chr(83) || chr(111) || chr(117) || chr(114) || chr(99) || chr(101) || chr(58))[1]')} AS answer FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 100) || ' Source: page ' || doc_id ELSE left(text, 100) END AS a FROM documents)",
+    "source_strip": f"SELECT doc_id, {strip('string_split(a, chr(83) || chr(111) || chr(117) || chr(114) || chr(99) || chr(101) || chr(58))[1]')} AS answer FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || ' Source: page ' || doc_id ELSE text END AS a FROM documents)",
     "source_pages": _with(RETRIEVAL, RERANK, f"SELECT query_id, {CITED} AS sources FROM final GROUP BY query_id"),
     "answer_pipeline": _with(
         RETRIEVAL,
@@ -242,6 +242,6 @@ SQL = {
     ),
     "collection_names": _with(_FILES, f"SELECT filename, CASE WHEN length(c) < 3 THEN 'doc_' || CASE WHEN c = '' THEN 'file' ELSE c END ELSE c END AS name, count(*) AS n FROM (SELECT filename, {_CLEAN} AS c FROM files) GROUP BY ALL"),
     "upload_validation": _with(_FILES, "SELECT filename, lower(filename) LIKE '%.pdf' OR lower(filename) LIKE '%.docx' AS accepted, filename LIKE '%.pdf' OR filename LIKE '%.docx' AS client_accepted, count(*) AS n FROM files GROUP BY ALL"),
-    "row_normalize": f"""SELECT doc_id, {strip("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  ' || text || chr(9) ELSE text END")} AS text, coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END, 1)::INT AS page_number FROM documents WHERE doc_id % 11 <> 0""",
+    "row_normalize": f"""SELECT doc_id, {strip("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  ' || text || chr(9) ELSE text END")} AS text, coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END, 1)::INT AS page_number FROM documents""",
     "api_projection": _with(RETRIEVAL, RERANK, "SELECT query_id, page_number, CASE WHEN length(text) > 250 THEN left(text, 250) || '...' ELSE text END AS preview, printf('%.4f', rrf_score) AS rrf, printf('%.4f', rerank_score) AS rerank FROM final"),
 }
