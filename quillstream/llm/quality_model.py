@@ -1,17 +1,33 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model.
 
-Trusted text is that of documents with ``quality`` 1.  The model is trained on a
-bounded sample of it (``TRUSTED_ROWS`` rows with the smallest hash, whole texts,
-from three quarters of the rows);
-its counts, continuation counts, discounts and back-off weights come from joins
-of count tables that are sharded by n-gram.  The finished model is bounded by the
-sample; its size is checked before it is broadcast, and a larger one is split
-into shards that are looked up in turn.  Every document is scored whole; trusted
-documents of the last quarter set a perplexity limit for each language, their
-``QUANTILE`` times ``MARGIN``; documents beyond it are not kept.
+Trusted text is that of documents with ``quality`` 1.  Texts fall into two folds
+by their hash; there is a model for each fold, and every document is scored by
+the model of the other one, so that no text, nor a copy of it, is judged by its
+own counts.  A model is trained on a bounded sample of its fold's trusted texts:
+whole distinct texts in the order of their hashes, ``TRUSTED_CHARS`` characters
+at most.
+
+Trigrams are sorted and counted in the tasks that read them and dealt, packed,
+by their middle word; a shard of middle words has all that is counted there:
+trigrams, the pairs' continuation counts, both contexts' totals and counts of
+counts, and its share of the words' continuation counts.  Counts stand by ranges
+of their keys.
+
+    p(w | u v) = [c(uvw) - D]/c(uv) + g(uv) ([n(vw) - D]/n(v) + g(v) p(w))
+
+Every document is scored whole: documents are packed into blocks, a block sends
+the distinct keys that a bit table of the model does not rule out to the ranges,
+sharded joins with the counts answer them, and the answers meet the block again.
+The cross-fitted perplexities of trusted documents set a limit for each language,
+their ``QUANTILE`` times ``MARGIN``; documents beyond it are not kept.
+
+Bounds: a model has at most ``TRUSTED_CHARS`` tokens, so its counts, and the
+groups that train it, are bounded; the bit tables, which are all that is
+broadcast, have ``TRUSTED_CHARS`` bytes together at most.
 
 Defined cases: null or empty text has no word: perplexity null, not kept; a null
-``lang`` is a language of its own; a language without such documents has the limit of all; repeated rows are scored alike; without trusted
+``lang`` is a language of its own; a language without trusted documents has the
+limit of all; repeated rows are scored alike and train once; without trusted
 text all is kept that has words; an empty table gives an empty result; extra
 columns are ignored.
 """
@@ -22,207 +38,350 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import saved
-from .textnum import U, mix, words_by_run
+from .blocks import BOS, Block, before, blocks_of, key, packed, squeeze, squeeze_keys, token_runs, unsqueeze, unsqueeze_keys
+from .shared import release, saved
+from .textnum import U
 
-TRUSTED_ROWS = 3000
+#: Characters of trusted text that a fold's model is trained on, at most.
+TRUSTED_CHARS = 6_000_000
 QUANTILE, MARGIN = 0.99, 1.25
-#: Entries of the model that are looked up at a time; more are looked up in shards.
-SHARD_ENTRIES = 8_000_000
-BOS, END = -2, -1
-_B, _E = np.array([BOS, END], np.int64).view(U)
+FOLDS = 2
+#: Buckets of hashes that are taken into the sample or not.
+BUCKETS = 4096
+#: Trusted characters for each shard of middle words, and range of keys.
+SHARD_CHARS = 1_500_000
+#: Blocks that one answering task serves; picked rows that are broadcast.
+BLOCKS_AT_ONCE, PICKS_AT_ONCE = 64, 200_000
+
+
+def sample(docs: DataFrame, trusted: DataFrame, chars: int) -> DataFrame:
+    """fold, text: distinct trusted texts of each fold, ``chars`` characters at most.
+
+    Buckets of hashes are taken in order while they fit; only their sizes come
+    to the driver."""
+    rows = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    distinct = rows.join(trusted, "doc_id", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
+    bucket = F.pmod(F.shiftrightunsigned("h", 1), F.lit(BUCKETS)).cast("int")
+    distinct = saved(distinct.select("h", "doc_id", "size", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), bucket.alias("bucket")), "trusted-hashes")
+    sizes = distinct.groupBy("fold", "bucket").agg(F.sum("size"), F.count("*")).orderBy("fold", "bucket").collect()
+    taken, total, n = [], dict.fromkeys(range(FOLDS), 0), 0
+    for fold, b, size, rows_in in sizes:
+        if total[fold] + size <= chars:
+            total[fold] += size
+            n += rows_in
+            taken.append((fold, b))
+    taken = docs.sparkSession.createDataFrame(taken, "fold int, bucket int")
+    picks = distinct.join(F.broadcast(taken), ["fold", "bucket"]).select("h", "doc_id", "fold")
+    picks = F.broadcast(picks) if n <= PICKS_AT_ONCE else picks
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(picks, ["doc_id", "h"])
+    return saved(texts.dropDuplicates(["fold", "h"]).select("fold", "text"), "trusted")
+
+
+GRAMS = "fold int, shard int, u binary, v binary, w binary, c binary"
+
+
+def _trigrams(shards: int):
+    """Distinct trigrams of each run of texts, with counts, by shard of the middle word."""
 
-
-def _tokens(column):
-    """(rows, starts, tokens) by runs: word hashes, END closing each row."""
-    for a, b, w in words_by_run(column, lower=True):
-        n = np.diff(w.first)
-        tokens = np.full(len(w.hashes) + len(n), _E, U)
-        tokens[np.arange(len(w.hashes)) + np.repeat(np.arange(len(n)), n)] = w.hashes
-        yield a, b, np.cumsum(n + 1) - (n + 1), tokens
-
-
-def _before(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    out = np.empty_like(x)
-    out[1:] = x[:-1]
-    out[starts] = _B
-    return out
-
-
-def pair_key(v, w):
-    return mix(v * U(0x9FB21C651E98DF25) + w * U(0xD6E8FEB86659FD93))
-
-
-def triple_key(u, v, w):
-    return mix(u * U(0xC2B2AE3D27D4EB4F) + pair_key(v, w))
-
-
-def _trigrams(batches):
-    for batch in batches:
-        for _, _, starts, w in _tokens(batch.column(0)):
-            v = _before(w, starts)
-            u = _before(v, starts)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v, w)], ["u", "v", "w"])
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+    def run(batches):
+        for batch in batches:
+            fold = batch.column(0).to_numpy()
+            out = []
+            for a, b, sizes, w in token_runs(batch.column(1)):
+                starts = np.cumsum(sizes) - sizes
+                v = before(w, starts, BOS)
+                u = before(v, starts, BOS)
+                f = np.repeat(fold[a:b], sizes)
+                _, first, counts = np.unique(key(w, v, u) ^ f.astype(U), return_index=True, return_counts=True)
+                u, v, w, f = u[first], v[first], w[first], f[first]
+                place = f * shards + (key(v) % U(shards)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                cut = np.searchsorted(place[order], np.arange(FOLDS * shards + 1))
+                for k in np.flatnonzero(np.diff(cut)):
+                    at = order[cut[k] : cut[k + 1]]
+                    out.append((int(k) // shards, int(k) % shards, u[at].tobytes(), v[at].tobytes(), w[at].tobytes(), counts[at].astype("<u4").tobytes()))
+            kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [c.split()[0] for c in GRAMS.split(", ")])
+
+    return run
+
+
+#: A range's keys, ascending, and whole numbers for each: kind ``COUNT`` has the
+#: count and its context's total (of words: the shard's share of the count);
+#: ``CONTEXT`` total and numbers of continuations seen once, twice, more;
+#: ``STATISTIC`` (range -1) counts of counts 1 to 4.
+COUNT, CONTEXT, STATISTIC = 0, 1, 2
+MODEL = "fold int, ord int, rng int, kind int, keys binary, vals binary"
+
+
+def _edges(ranges: int) -> np.ndarray:
+    return np.array([(r << 64) // ranges for r in range(ranges)], dtype=U)
+
+
+def _by_range(keys: np.ndarray, ranges: int):
+    """(range, slice) of ascending keys."""
+    cut = np.append(np.searchsorted(keys, _edges(ranges)), len(keys))
+    return [(int(r), slice(cut[r], cut[r + 1])) for r in np.flatnonzero(np.diff(cut))]
+
+
+def _contexts(place: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """n x 4: total and numbers of continuations with count 1, 2, more."""
+    parts = [np.bincount(place, c, n)] + [np.bincount(place, c == k if k < 3 else c >= 3, n) for k in (1, 2, 3)]
+    return np.stack(parts, axis=1).astype(np.int64)
+
+
+def _count(ranges: int):
+    """MODEL rows of a shard of middle words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fold = table.column("fold")[0].as_py()
+        u, v, w, c = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(n)]) for n, kind in (("u", U), ("v", U), ("w", U), ("c", "<u4")))
+        out = []
+
+        def add(order, kind, keys, values):
+            for r, s in _by_range(keys, ranges):
+                out.append((fold, order, r, kind, keys[s].tobytes(), np.ascontiguousarray(values[s]).astype("<u4").tobytes()))
+
+        def statistic(order, counts):
+            out.append((fold, order, -1, STATISTIC, b"", np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype("<i8").tobytes()))
+
+        triples, first, place = np.unique(key(w, v, u), return_index=True, return_inverse=True)
+        c3 = np.bincount(place, c, len(triples)).astype(np.int64)
+        u, v, w = u[first], v[first], w[first]
+        context, at = np.unique(key(v, u), return_inverse=True)
+        facts = _contexts(at, c3, len(context))
+        add(3, COUNT, triples, np.stack([c3, facts[at, 0]], axis=1))
+        add(2, CONTEXT, context, facts)
+        statistic(3, c3)
+        pairs, first, at = np.unique(key(w, v), return_index=True, return_inverse=True)
+        # nothing stands before a beginning: pairs there count as often as they occur
+        c2 = np.bincount(at, np.where(v == BOS, c3, 1), len(pairs)).astype(np.int64)
+        v, w = v[first], w[first]
+        context, at = np.unique(key(v), return_inverse=True)
+        facts = _contexts(at, c2, len(context))
+        add(2, COUNT, pairs, np.stack([c2, facts[at, 0]], axis=1))
+        add(1, CONTEXT, context, facts)
+        statistic(2, c2)
+        words, c1 = np.unique(key(w), return_counts=True)
+        add(1, COUNT, words, c1[:, None])
+        kinds = [pa.int32()] * 4 + [pa.binary()] * 2
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [x.split()[0] for x in MODEL.split(", ")])
+
+    return run
+
+
+def _entries(rows: list[dict], order: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and their numbers from some MODEL rows; words' shares are added up."""
+    width = 4 if kind == CONTEXT else 1 if order == 1 else 2
+    mine = [r for r in rows if r["kind"] == kind]
+    keys = np.concatenate([np.frombuffer(r["keys"], U) for r in mine] + [np.zeros(0, U)])
+    values = np.concatenate([np.frombuffer(r["vals"], "<u4").reshape(-1, width) for r in mine] + [np.zeros((0, width), "<u4")]).astype(np.int64)
+    if kind == COUNT and order == 1:
+        keys, place = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(place, values[:, 0], len(keys)).astype(np.int64)[:, None]
+    by = np.argsort(keys)
+    return keys[by], values[by]
+
+
+def _statistics(table: pa.Table) -> pa.Table:
+    """Counts of counts 1 to 4, sum and number of the counts of a fold and order (words: of a range)."""
+    rows = table.to_pylist()
+    fold, order = rows[0]["fold"], rows[0]["ord"]
+    if order == 1:
+        c = _entries(rows, 1, COUNT)[1][:, 0]
+        n, total, words = np.bincount(np.minimum(c, 5), minlength=6)[1:5], int(c.sum()), len(c)
+    else:
+        n, total, words = sum(np.frombuffer(r["vals"], "<i8") for r in rows), 0, 0
+    return pa.table([pa.array([x]) for x in (fold, order, *map(int, n), total, words)], ["fold", "ord", "n1", "n2", "n3", "n4", "total", "words"])
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """D1, D2, D3+ of modified Kneser-Ney, from the counts of counts."""
-    n = dict(tuple(r) for r in counts.filter("c <= 4").groupBy("c").count().collect())
-    n1, n2, n3, n4 = (n.get(k, 0) or 1 for k in (1, 2, 3, 4))
+    n1, n2, n3, n4 = (n or 1 for n in (n1, n2, n3, n4))
     y = n1 / (n1 + 2 * n2)
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def _discounted(d: tuple[float, float, float]):
-    c = F.col("c")
-    return c - F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-
-
-def _contexts(counts: DataFrame, keys: list[str], d: tuple[float, float, float]) -> DataFrame:
-    """keys, total, gamma (mass left to the shorter history)."""
-    some = [F.sum(F.when(F.col("c") == k if k < 3 else F.col("c") >= 3, 1).otherwise(0)) for k in (1, 2, 3)]
-    return counts.groupBy(*keys).agg(F.sum("c").alias("total"), (some[0] * d[0] + some[1] * d[1] + some[2] * d[2]).alias("left")).select(*keys, "total", (F.col("left") / F.col("total")).alias("gamma"))
-
-
-def train(texts: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the model from ``texts`` (text): words (w, p, gamma), pairs (v, w,
-    p, gamma), triples (u, v, w, p), and the probability of an unknown word."""
-    tri = saved(texts.select("text").mapInArrow(_trigrams, "u bigint, v bigint, w bigint").groupBy("u", "v", "w").agg(F.count("*").alias("c")), "kn3")
-    bi = saved(tri.groupBy("v", "w").agg(F.count("*").alias("c")), "kn2")
-    uni = saved(bi.groupBy("w").agg(F.count("*").alias("c")), "kn1")
-    d1, d2, d3 = _discounts(uni), _discounts(bi), _discounts(tri)
-    top = _contexts(uni, [], d1).first()
-    n_words = uni.count()
-    unknown = (top["gamma"] or 1.0) / (n_words + 1)
-    total = top["total"] or 1
-    ctx2, ctx3 = _contexts(bi, ["v"], d2), _contexts(tri, ["u", "v"], d3)
-    words = uni.select("w", (_discounted(d1) / total + unknown).alias("p"))
-    pairs = bi.join(ctx2, "v").join(words, "w").select("v", "w", (_discounted(d2) / F.col("total") + F.col("gamma") * F.col("p")).alias("p"))
-    pairs = saved(pairs, "kn-pairs")
-    triples = tri.join(ctx3, ["u", "v"]).join(pairs, ["v", "w"]).select("u", "v", "w", (_discounted(d3) / F.col("total") + F.col("gamma") * F.col("p")).alias("p"))
-    # a pair that is no context of a triple, or no pair itself, backs off whole
-    words = words.join(ctx2.select(F.col("v").alias("w"), "gamma"), "w", "full").select("w", F.coalesce("p", F.lit(unknown)).alias("p"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
-    pairs = pairs.join(ctx3.select(F.col("u").alias("v"), F.col("v").alias("w"), "gamma"), ["v", "w"], "full").select("v", "w", "p", F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
-    return {"words": words, "pairs": pairs, "triples": triples, "unknown": unknown}
-
-
-class Table:
-    """Sorted keys with values, and a bit table that tells most other keys apart."""
-
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], [x[order].astype(np.float32) for x in values]
-        self.bits = max(16, int(np.log2(max(len(keys), 1))) + 3)
-        self.maybe = np.zeros(1 << self.bits, bool)
-        self.maybe[(keys >> U(64 - self.bits)).astype(np.int64)] = True
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys, -1 where there is none."""
-        out = np.full(len(keys), -1, np.int64)
-        if len(self.keys):
-            likely = np.flatnonzero(self.maybe[(keys >> U(64 - self.bits)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.keys, keys[likely]), len(self.keys) - 1)
-            hit = self.keys[at] == keys[likely]
-            out[likely[hit]] = at[hit]
-        return out
-
-
 class Model:
-    """log10 probabilities of tokens; values hold logarithms."""
-
-    def __init__(self, words: Table, pairs: list[Table], triples: list[Table], unknown: float):
-        self.words, self.pairs, self.triples, self.unknown = words, pairs, triples, np.float32(np.log10(unknown))
-
-    def log10(self, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        v = _before(w, starts)
-        at = self.words.find(mix(w))
-        p = np.where(at >= 0, self.words.values[0][at], self.unknown) if len(self.words.keys) else np.full(len(w), self.unknown)
-        gamma2 = np.zeros(len(w), np.float32)
-        if len(self.words.keys):
-            back = np.where(at >= 0, self.words.values[1][at], 0)
-            gamma2[1:] = back[:-1]
-            b = int(self.words.find(mix(np.array([_B])))[0])
-            gamma2[starts] = self.words.values[1][b] if b >= 0 else 0
-        p = p + gamma2
-        key = pair_key(v, w)
-        gamma3 = np.zeros(len(w), np.float32)
-        for table in self.pairs:
-            at = table.find(key)
-            hit = at >= 0
-            p[hit] = table.values[0][at[hit]]
-            gamma3[hit] = table.values[1][at[hit]]
-        back = np.zeros(len(w), np.float32)
-        back[1:] = gamma3[:-1]
-        first = pair_key(np.array([_B]), np.array([_B]))
-        back[starts] = sum(float(t.values[1][int(t.find(first)[0])]) for t in self.pairs if t.find(first)[0] >= 0)
-        p = p + back
-        key = triple_key(_before(v, starts), v, w)
-        for table in self.triples:
-            at = table.find(key)
-            hit = at >= 0
-            p[hit] = table.values[0][at[hit]]
-        return p
-
-
-def load(tables: dict) -> Model:
-    """The model's arrays; the sample bounds them (a few numbers for each of its tokens)."""
-    words = tables["words"].toArrow()
-    column = lambda t, c: t.column(c).to_numpy()
-    log = lambda x: np.log10(np.maximum(x.astype(float), 1e-30))
-    word_table = Table(mix(column(words, "w").view(U)), log(column(words, "p")), log(column(words, "gamma")))
-
-    def shards(df: DataFrame, key, n_values: int) -> list[Table]:
-        t = df.toArrow()
-        cols = [column(t, c) for c in t.column_names]
-        keys = key(*[c.view(U) for c in cols[: len(cols) - n_values]])
-        values = [np.where(np.isnan(c.astype(float)), 1.0, c.astype(float)) for c in cols[len(cols) - n_values :]]
-        cuts = range(0, max(len(keys), 1), SHARD_ENTRIES)
-        return [Table(keys[a : a + SHARD_ENTRIES], *[log(x[a : a + SHARD_ENTRIES]) for x in values]) for a in cuts]
-
-    # a pair without a probability of its own is only a context: it is kept apart
-    pairs = tables["pairs"]
-    return Model(word_table, shards(pairs.withColumn("p", F.coalesce("p", F.lit(1.0))), pair_key, 2), shards(tables["triples"], triple_key, 1), tables["unknown"])
-
-
-def score(rows: DataFrame, model: Model, text: str) -> DataFrame:
-    """Columns of ``rows`` but ``text``, n_tokens (with the end) and log10_prob of ``text``."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    rows = rows.select(*[c for c in rows.columns if c != text], text)
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("log10_prob", T.DoubleType())])
+    """A trained model: the sharded counts, and what is known of them as a whole."""
+
+    def __init__(self, counts: DataFrame, ranges: int):
+        self.counts, self.ranges = counts, ranges
+        basis = counts.filter((F.col("kind") == STATISTIC) | ((F.col("ord") == 1) & (F.col("kind") == COUNT)))
+        basis = basis.groupBy("fold", "ord", "rng").applyInArrow(_statistics, "fold bigint, ord bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, total bigint, words bigint")
+        sums = basis.groupBy("fold", "ord").agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4", "total", "words")])
+        # a row for each fold and order
+        facts = {(r[0], r[1]): r[2:] for r in sums.collect()}
+        self.discounts = {k: np.array(discounts(*n[:4])) for k, n in facts.items()}
+        self.total, self.unknown = {}, {}
+        for f in range(FOLDS):
+            n1, n2, n3, _, total, words = facts.get((f, 1), (0, 0, 0, 0, 0, 0))
+            self.total[f] = max(total, 1)
+            d = self.discounts.get((f, 1), np.zeros(3))
+            left = d[0] * n1 + d[1] * n2 + d[2] * (words - n1 - n2)
+            self.unknown[f] = (left / total if total else 1.0) / (words + 1)
+
+    def closed(self) -> dict:
+        """What tasks need besides the counts."""
+        return {"ranges": self.ranges, "discounts": self.discounts, "total": self.total, "unknown": self.unknown}
+
+
+def train(texts: DataFrame, chars: int = TRUSTED_CHARS) -> Model:
+    """The models of all folds from ``texts`` (fold, text)."""
+    parts = max(1, -(-chars // SHARD_CHARS))
+    grams = texts.mapInArrow(_trigrams(parts), GRAMS)
+    return Model(saved(grams.groupBy("fold", "shard").applyInArrow(_count(parts), MODEL), "kneser-ney"), parts)
+
+
+class Bits:
+    """Which keys a model may have: a bit for the high bits of each of its keys."""
+
+    def __init__(self, tables: dict[int, bytes], bits: int):
+        self.tables, self.bits = tables, bits
+
+    def may_have(self, fold: int, keys: np.ndarray) -> np.ndarray:
+        if fold not in self.tables:
+            return np.zeros(len(keys), bool)
+        at = (keys >> U(64 - self.bits)).astype(np.int64)
+        return (np.frombuffer(self.tables[fold], np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_tables(model: Model, chars: int) -> Bits:
+    bits = max(16, int(np.ceil(np.log2(max(chars, 1)))) + 2)
+
+    def run(table: pa.Table) -> pa.Table:
+        there = np.zeros(1 << bits, bool)
+        for keys in table.column("keys"):
+            there[(np.frombuffer(keys.as_buffer(), U) >> U(64 - bits)).astype(np.int64)] = True
+        return pa.table([table.column("fold")[:1], pa.array([np.packbits(there, bitorder="little").tobytes()])], ["fold", "bits"])
+
+    rows = model.counts.filter(F.col("kind") != STATISTIC).select("fold", "keys").groupBy("fold").applyInArrow(run, "fold int, bits binary").collect()
+    return Bits({r["fold"]: bytes(r["bits"]) for r in rows}, bits)
+
+
+_BEGIN = {1: key(np.array([BOS])), 2: key(np.array([BOS]), np.array([BOS])), 3: np.zeros(0, U)}
+
+
+def _asked(b: Block, order: int, fold: int, bits: Bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct keys and the beginning's, whether each is asked for, and every
+    token's place among them (after them, the beginning's)."""
+    keys, place = np.unique(np.concatenate([b.grams(order), _BEGIN[order]]), return_inverse=True)
+    return keys, bits.may_have(fold, keys), place
+
+
+ASKED = "fold int, ord int, rng int, block bigint, keys binary"
+ANSWERS = "block bigint, ord int, rng int, vals binary"
+
+
+def _answer(facts: dict):
+    """Join a range's counts with the keys that blocks ask for: two numbers for each
+    key (of trigrams one), as far as they go into p(w | u v)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        asks, rows, out = right.to_pylist(), left.to_pylist(), []
+        if asks:
+            fold, order = asks[0]["fold"], asks[0]["ord"]
+            d = facts["discounts"]
+            tables = [_entries(rows, order, COUNT)] + ([_entries(rows, order, CONTEXT)] if order < 3 else [])
+            spare = lambda c, k: c - d[fold, k][np.minimum(c, 3) - 1]
+            keys, n = tables[0]
+            if order == 1:
+                values = [(keys, spare(n[:, 0], 1) / facts["total"][fold] + facts["unknown"][fold], facts["unknown"][fold])]
+            else:
+                values = [(keys, spare(n[:, 0], order) / n[:, 1], 0.0)]
+            for keys, n in tables[1:]:
+                values.append((keys, n[:, 1:] @ d[fold, order + 1] / n[:, 0], 1.0))
+            for a in asks:
+                wanted = unsqueeze_keys(a["keys"])
+                found = []
+                for keys, x, absent in values:
+                    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+                    found.append(np.where(keys[at] == wanted, x[at], absent) if len(keys) else np.full(len(wanted), absent))
+                out.append((a["block"], order, a["rng"], squeeze(np.concatenate(found).astype("<f4"))))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [c.split()[0] for c in ANSWERS.split(", ")])
+
+    return run
+
+
+def _probabilities(b: Block, fold: int, answers: list[dict], bits: Bits, facts: dict) -> np.ndarray:
+    """log10 of every token's probability."""
+    columns = {}
+    for order in (1, 2, 3):
+        keys, asked, place = _asked(b, order, fold, bits)
+        defaults = {1: (facts["unknown"][fold], 1.0), 2: (0.0, 1.0), 3: (0.0,)}[order]
+        values = [np.full(len(keys), x) for x in defaults]
+        wanted = np.flatnonzero(asked)
+        by = {a["rng"]: a["vals"] for a in answers if a["ord"] == order}
+        for r, s in _by_range(keys[wanted], facts["ranges"]):
+            n = s.stop - s.start
+            found = unsqueeze(by[r], "<f4", n * len(values)).reshape(len(values), n)
+            for x, y in zip(values, found):
+                x[wanted[s]] = y
+        columns[order] = [x[place] for x in values]
+    n = len(b.tokens)
+    back2 = before(columns[1][1][:n], b.starts, columns[1][1][-1])
+    back3 = before(columns[2][1][:n], b.starts, columns[2][1][-1])
+    return np.log10(columns[3][0] + back3 * (columns[2][0][:n] + back2 * columns[1][0][:n]))
+
 
-    def run(batches):
+SCORES = "doc_id bigint, language string, n_tokens bigint, log10_prob double"
+
+
+def score(docs: DataFrame, model: Model, bits: Bits) -> DataFrame:
+    """SCORES of ``docs`` (doc_id, language, text), each by the other fold's model."""
+    other = F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)) + 1, F.lit(FOLDS)).cast("int")
+    blocks = packed(docs.select(other.alias("fold"), F.col("doc_id").cast("long").alias("doc_id"), "language", "text"), "quality-blocks")
+    shared, facts = docs.sparkSession.sparkContext.broadcast(bits), model.closed()
+
+    def ask(batches):
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for a, b, starts, w in _tokens(batch.column(batch.num_columns - 1)):
-                n[a:b] = np.diff(np.append(starts, len(w)))
-                total[a:b] = np.add.reduceat(shared.value.log10(w, starts).astype(float), starts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(total)], [*batch.schema.names[:-1], "n_tokens", "log10_prob"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def _reserved():
-    """A quarter of the rows: never trained on, they set the limits."""
-    return F.pmod("h", F.lit(4)) == 0
-
-
-def classify(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+            out = []
+            for row, b in blocks_of(batch):
+                for order in (1, 2, 3):
+                    keys, asked, _ = _asked(b, order, row["fold"], shared.value)
+                    keys = keys[asked]
+                    out += [(row["fold"], order, r, row["block"], squeeze_keys(keys[s])) for r, s in _by_range(keys, facts["ranges"])]
+            kinds = [pa.int32()] * 3 + [pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [c.split()[0] for c in ASKED.split(", ")])
+
+    # a range's counts serve some blocks at a time: they are few beside what is asked
+    salts = max(1, -(-blocks.count() // BLOCKS_AT_ONCE))
+    by = ["fold", "ord", "rng", "salt"]
+    asked = blocks.select("block", "fold", "sizes", "words", "tokens").mapInArrow(ask, ASKED).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    counts = model.counts.filter(F.col("kind") != STATISTIC).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    answers = counts.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_answer(facts), ANSWERS)
+
+    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[] for _ in range(4)]
+        for row, b in blocks_of(left):
+            x = _probabilities(b, row["fold"], right.to_pylist(), shared.value, facts)
+            for column, values in zip(out, (row["doc_id"], row["language"], b.sizes.tolist(), np.add.reduceat(x, b.starts).tolist())):
+                column += values
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], [c.split()[0] for c in SCORES.split(", ")])
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, SCORES)
+
+
+def classify(docs: DataFrame, labels: DataFrame, chars: int = TRUSTED_CHARS) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, max_perplexity, kept for
     every row of ``docs`` (doc_id, text, lang); ``labels`` (doc_id, quality)."""
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    trusted = docs.join(good, "doc_id").filter("text IS NOT NULL").select("text", F.xxhash64("doc_id", "text").alias("h"))
-    sample = saved(trusted.filter(~_reserved()).orderBy("h", "text").limit(trusted_rows), "trusted")
-    model = load(train(sample))
-    rows = docs.select("doc_id", F.col("lang").alias("language"), F.xxhash64("doc_id", "text").alias("h"), "text")
-    scored = saved(score(rows, model, "text"), "scored").withColumn("perplexity", F.when(F.col("n_tokens") > 1, F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))))
-    outside = scored.join(good, "doc_id", "left_semi").filter(_reserved() & F.col("perplexity").isNotNull())
+    model = train(sample(docs.select("doc_id", "text"), good, chars), chars)
+    bits = bit_tables(model, chars)
+    release(docs.sparkSession)
+    scored = saved(score(docs.select("doc_id", F.col("lang").alias("language"), "text"), model, bits), "scored")
+    release(docs.sparkSession)
+    scored = scored.withColumn("perplexity", F.when(F.col("n_tokens") > 1, F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))))
+    k = F.coalesce(F.concat(F.lit("="), "language"), F.lit(""))
     quantile = F.percentile_approx("perplexity", QUANTILE, 100000) * MARGIN
-    limits = outside.groupBy(F.coalesce(F.concat(F.lit("="), "language"), F.lit("")).alias("k")).agg(quantile.alias("limit"))
+    outside = scored.join(good, "doc_id", "left_semi").filter(F.col("perplexity").isNotNull())
+    limits = outside.groupBy(k.alias("k")).agg(quantile.alias("limit"))
     every = outside.agg(quantile).first()[0]
     # one number for each language: by key where there are many, not collected
-    out = scored.withColumn("k", F.coalesce(F.concat(F.lit("="), "language"), F.lit(""))).join(limits, "k", "left")
+    out = scored.withColumn("k", k).join(limits, "k", "left")
     most = F.coalesce("limit", F.lit(every if every is not None else float("inf")))
     return out.select("doc_id", F.col("language").alias("lang"), "n_tokens", "log10_prob", "perplexity", most.alias("max_perplexity"), F.coalesce(F.col("perplexity") <= most, F.lit(False)).alias("kept"))
 

@@ -199,19 +199,6 @@ def test_reading_equals_training_forward():
     assert -(np.log(p[:, :, 0]) * real).sum() / real.sum() == pytest.approx(loss, rel=1e-3)
 
 
-def test_kneser_ney_sums_to_one_and_backs_off(spark):
-    texts = ["a b c d", "a b c e", "b c d", "a b a b c", "c d e a b"]
-    tables = quality_model.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    model = quality_model.load(tables)
-    vocabulary = ["a", "b", "c", "d", "e"]
-    for history in ("a b", "c d", "zz b", "zz yy"):
-        total = 0.0
-        for w in [*vocabulary, None, "unseen"]:  # None: the end
-            _, _, starts, tokens = next(quality_model._tokens(pa.array([history + (" " + w if w else "")])))
-            total += 10 ** float(model.log10(tokens, starts)[2])
-        assert total == pytest.approx(1, abs=2e-3)
-
-
 def test_quality_limits_by_language(spark, docs, empty):
     rng = np.random.default_rng(4)
     words = [f"w{k}" for k in range(50)]
