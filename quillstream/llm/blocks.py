@@ -96,12 +96,12 @@ class _Held:
 
 def packed(rows: DataFrame, name: str = "blocks", size: int = BLOCK) -> DataFrame:
     """Blocks of ``rows`` (group, further columns, text), as a written table: block,
-    the group's column, a list for each further column, sizes, words, tokens.
+    n_tokens, the group's column, a list for each further column, sizes, words, tokens.
 
     A block has documents of one group only."""
     group, *meta, text = rows.columns
     lists = [T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in meta]
-    schema = T.StructType([T.StructField("block", T.LongType()), rows.schema[group], *lists, *(T.StructField(c, T.BinaryType()) for c in ("sizes", "words", "tokens"))])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_tokens", T.LongType()), rows.schema[group], *lists, *(T.StructField(c, T.BinaryType()) for c in ("sizes", "words", "tokens"))])
 
     def run(batches):
         from pyspark import TaskContext
@@ -109,7 +109,8 @@ def packed(rows: DataFrame, name: str = "blocks", size: int = BLOCK) -> DataFram
         part, number, held = TaskContext.get().partitionId(), count(), {}
 
         def flush(g):
-            cols = [pa.array([(part << 32) + next(number)]), pa.array([g], kind), *held.pop(g).columns()]
+            h = held.pop(g)
+            cols = [pa.array([(part << 32) + next(number)]), pa.array([h.total]), pa.array([g], kind), *h.columns()]
             return pa.RecordBatch.from_arrays(cols, schema.names)
 
         for batch in batches:
@@ -129,13 +130,17 @@ def packed(rows: DataFrame, name: str = "blocks", size: int = BLOCK) -> DataFram
 
 
 class Block:
-    """The tokens of a row of ``packed``."""
+    """Tokens of some documents, and each document's number of them."""
 
-    def __init__(self, sizes: bytes, words: bytes, tokens: bytes):
-        self.sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        words = unsqueeze_keys(words)
-        self.tokens = words[unsqueeze(tokens, "<u2" if len(words) <= 1 << 16 else "<u4", int(self.sizes.sum()))]
+    def __init__(self, sizes: np.ndarray, tokens: np.ndarray):
+        self.sizes, self.tokens = sizes, tokens
+        self.starts = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def read(cls, sizes: bytes, words: bytes, tokens: bytes) -> Block:
+        """Of a row of ``packed``."""
+        sizes, words = np.frombuffer(sizes, "<u4").astype(np.int64), unsqueeze_keys(words)
+        return cls(sizes, words[unsqueeze(tokens, "<u2" if len(words) <= 1 << 16 else "<u4", int(sizes.sum()))])
 
     def grams(self, order: int) -> np.ndarray:
         """The key of every token's n-gram; BOS stands before a document."""
@@ -148,4 +153,4 @@ class Block:
 def blocks_of(batch: pa.RecordBatch):
     """(row as a dictionary without the tokens, Block) of a batch of ``packed``."""
     for row in batch.to_pylist():
-        yield row, Block(row.pop("sizes"), row.pop("words"), row.pop("tokens"))
+        yield row, Block.read(row.pop("sizes"), row.pop("words"), row.pop("tokens"))

@@ -15,15 +15,20 @@ of their keys.
 
     p(w | u v) = [c(uvw) - D]/c(uv) + g(uv) ([n(vw) - D]/n(v) + g(v) p(w))
 
-Every document is scored whole: documents are packed into blocks, a block sends
-the distinct keys that a bit table of the model does not rule out to the ranges,
-sharded joins with the counts answer them, and the answers meet the block again.
+Every document is scored whole, by joins of its n-grams' keys with the sharded
+counts.  A bit table of the model rules most keys out.  Shards that have at most
+``BROADCAST_BYTES`` together, as the bound on the sample makes them, are broadcast
+one by one, and a task joins the distinct keys of about a megabyte of text with
+each shard in turn, so no text moves.  Larger models are joined by a shuffle:
+documents are packed into blocks, a block sends its distinct keys to the ranges,
+sharded joins answer them, and the answers meet the block again.  Both ways give
+the same numbers.
 The cross-fitted perplexities of trusted documents set a limit for each language,
 their ``QUANTILE`` times ``MARGIN``; documents beyond it are not kept.
 
 Bounds: a model has at most ``TRUSTED_CHARS`` tokens, so its counts, and the
-groups that train it, are bounded; the bit tables, which are all that is
-broadcast, have ``TRUSTED_CHARS`` bytes together at most.
+groups that train it, are bounded; the bit tables have ``TRUSTED_CHARS`` bytes
+together at most.
 
 Defined cases: null or empty text has no word: perplexity null, not kept; a null
 ``lang`` is a language of its own; a language without trusted documents has the
@@ -53,6 +58,10 @@ BUCKETS = 4096
 SHARD_CHARS = 1_500_000
 #: Blocks that one answering task serves; picked rows that are broadcast.
 BLOCKS_AT_ONCE, PICKS_AT_ONCE = 64, 200_000
+#: Shards of counts that are broadcast: bytes of keys and counts.
+BROADCAST_BYTES = 256 << 20
+#: Languages whose limits are broadcast; more are joined by a shuffle.
+LANGUAGES_AT_ONCE = 100_000
 
 
 def sample(docs: DataFrame, trusted: DataFrame, chars: int) -> DataFrame:
@@ -274,52 +283,59 @@ ASKED = "fold int, ord int, rng int, block bigint, keys binary"
 ANSWERS = "block bigint, ord int, rng int, vals binary"
 
 
+def _prepared(rows: list[dict], fold: int, order: int, facts: dict) -> list[tuple]:
+    """From a range's MODEL rows (keys, number, number of other keys): two of them,
+    of trigrams one, as they go into p(w | u v)."""
+    d = facts["discounts"]
+    keys, n = _entries(rows, order, COUNT)
+    spare = n[:, 0] - d[fold, order][np.minimum(n[:, 0], 3) - 1] if len(keys) else np.zeros(0)
+    if order == 1:
+        out = [(keys, spare / facts["total"][fold] + facts["unknown"][fold], facts["unknown"][fold])]
+    else:
+        out = [(keys, spare / n[:, 1], 0.0)]
+    if order < 3:
+        keys, n = _entries(rows, order, CONTEXT)
+        out.append((keys, n[:, 1:] @ d[fold, order + 1] / n[:, 0] if len(keys) else np.zeros(0), 1.0))
+    return [(keys, x.astype("<f4"), np.float32(absent)) for keys, x, absent in out]
+
+
+def _join(prepared: list[tuple], wanted: np.ndarray) -> list[np.ndarray]:
+    """The numbers of ascending keys."""
+    out = []
+    for keys, x, absent in prepared:
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        out.append(np.where(keys[at] == wanted, x[at], absent) if len(keys) else np.full(len(wanted), absent))
+    return out
+
+
 def _answer(facts: dict):
-    """Join a range's counts with the keys that blocks ask for: two numbers for each
-    key (of trigrams one), as far as they go into p(w | u v)."""
+    """Join a range's counts with the keys that blocks ask for."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        asks, rows, out = right.to_pylist(), left.to_pylist(), []
+        asks, out = right.to_pylist(), []
         if asks:
-            fold, order = asks[0]["fold"], asks[0]["ord"]
-            d = facts["discounts"]
-            tables = [_entries(rows, order, COUNT)] + ([_entries(rows, order, CONTEXT)] if order < 3 else [])
-            spare = lambda c, k: c - d[fold, k][np.minimum(c, 3) - 1]
-            keys, n = tables[0]
-            if order == 1:
-                values = [(keys, spare(n[:, 0], 1) / facts["total"][fold] + facts["unknown"][fold], facts["unknown"][fold])]
-            else:
-                values = [(keys, spare(n[:, 0], order) / n[:, 1], 0.0)]
-            for keys, n in tables[1:]:
-                values.append((keys, n[:, 1:] @ d[fold, order + 1] / n[:, 0], 1.0))
+            order = asks[0]["ord"]
+            prepared = _prepared(left.to_pylist(), asks[0]["fold"], order, facts)
             for a in asks:
-                wanted = unsqueeze_keys(a["keys"])
-                found = []
-                for keys, x, absent in values:
-                    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-                    found.append(np.where(keys[at] == wanted, x[at], absent) if len(keys) else np.full(len(wanted), absent))
-                out.append((a["block"], order, a["rng"], squeeze(np.concatenate(found).astype("<f4"))))
+                out.append((a["block"], order, a["rng"], squeeze(np.concatenate(_join(prepared, unsqueeze_keys(a["keys"]))).astype("<f4"))))
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [c.split()[0] for c in ANSWERS.split(", ")])
 
     return run
 
 
-def _probabilities(b: Block, fold: int, answers: list[dict], bits: Bits, facts: dict) -> np.ndarray:
-    """log10 of every token's probability."""
+def _probabilities(b: Block, fold: int, answer, bits: Bits, facts: dict) -> np.ndarray:
+    """log10 of every token's probability; ``answer(order, range, keys)`` joins with the counts."""
     columns = {}
     for order in (1, 2, 3):
         keys, asked, place = _asked(b, order, fold, bits)
         defaults = {1: (facts["unknown"][fold], 1.0), 2: (0.0, 1.0), 3: (0.0,)}[order]
-        values = [np.full(len(keys), x) for x in defaults]
+        values = [np.full(len(keys), np.float32(x)) for x in defaults]
         wanted = np.flatnonzero(asked)
-        by = {a["rng"]: a["vals"] for a in answers if a["ord"] == order}
         for r, s in _by_range(keys[wanted], facts["ranges"]):
-            n = s.stop - s.start
-            found = unsqueeze(by[r], "<f4", n * len(values)).reshape(len(values), n)
-            for x, y in zip(values, found):
+            for x, y in zip(values, answer(order, r, keys[wanted[s]])):
                 x[wanted[s]] = y
-        columns[order] = [x[place] for x in values]
+        columns[order] = [x[place].astype(float) for x in values]
     n = len(b.tokens)
     back2 = before(columns[1][1][:n], b.starts, columns[1][1][-1])
     back3 = before(columns[2][1][:n], b.starts, columns[2][1][-1])
@@ -329,11 +345,47 @@ def _probabilities(b: Block, fold: int, answers: list[dict], bits: Bits, facts:
 SCORES = "doc_id bigint, language string, n_tokens bigint, log10_prob double"
 
 
-def score(docs: DataFrame, model: Model, bits: Bits) -> DataFrame:
+def score(docs: DataFrame, model: Model, bits: Bits, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """SCORES of ``docs`` (doc_id, language, text), each by the other fold's model."""
     other = F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)) + 1, F.lit(FOLDS)).cast("int")
-    blocks = packed(docs.select(other.alias("fold"), F.col("doc_id").cast("long").alias("doc_id"), "language", "text"), "quality-blocks")
-    shared, facts = docs.sparkSession.sparkContext.broadcast(bits), model.closed()
+    rows = docs.select(other.alias("fold"), F.col("doc_id").cast("long").alias("doc_id"), "language", "text")
+    size = model.counts.agg(F.sum(F.length("keys") + F.length("vals"))).first()[0] or 0
+    return _score_in_place(rows, model, bits) if size <= broadcast_bytes else _score_by_shuffle(rows, model, bits)
+
+
+def _score_in_place(rows: DataFrame, model: Model, bits: Bits) -> DataFrame:
+    spark, facts = rows.sparkSession, model.closed()
+    tables, shared = spark.sparkContext.broadcast(bits), []
+    for r in range(model.ranges):
+        found: dict[tuple, list] = {}
+        for x in model.counts.filter((F.col("rng") == r) & (F.col("kind") != STATISTIC)).collect():
+            found.setdefault((x["fold"], x["ord"]), []).append(x.asDict())
+        shared.append(spark.sparkContext.broadcast({k: _prepared(x, *k, facts) for k, x in found.items()}))
+
+    def run(batches):
+        for batch in batches:
+            folds = batch.column(0).to_numpy(zero_copy_only=False)
+            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for a, b, sizes, tokens in token_runs(batch.column(3)):
+                for fold in np.unique(folds[a:b]).tolist():
+                    mine = folds[a:b] == fold
+                    block = Block(sizes[mine], tokens[np.repeat(mine, sizes)])
+
+                    def answer(order, r, keys, fold=fold):
+                        prepared = shared[r].value.get((fold, order))
+                        return _join(prepared, keys) if prepared else []
+
+                    x = _probabilities(block, fold, answer, tables.value, facts)
+                    at = np.flatnonzero(mine) + a
+                    n[at], total[at] = block.sizes, np.add.reduceat(x, block.starts)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n), pa.array(total)], [c.split()[0] for c in SCORES.split(", ")])
+
+    return rows.mapInArrow(run, SCORES)
+
+
+def _score_by_shuffle(rows: DataFrame, model: Model, bits: Bits) -> DataFrame:
+    blocks = packed(rows, "quality-blocks")
+    shared, facts = rows.sparkSession.sparkContext.broadcast(bits), model.closed()
 
     def ask(batches):
         for batch in batches:
@@ -356,7 +408,8 @@ def score(docs: DataFrame, model: Model, bits: Bits) -> DataFrame:
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[] for _ in range(4)]
         for row, b in blocks_of(left):
-            x = _probabilities(b, row["fold"], right.to_pylist(), shared.value, facts)
+            found = {(a["ord"], a["rng"]): a["vals"] for a in right.to_pylist()}
+            x = _probabilities(b, row["fold"], lambda order, r, keys: unsqueeze(found[order, r], "<f4", len(keys) * (2 if order < 3 else 1)).reshape(-1, len(keys)), shared.value, facts)  # noqa: B023
             for column, values in zip(out, (row["doc_id"], row["language"], b.sizes.tolist(), np.add.reduceat(x, b.starts).tolist())):
                 column += values
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64()]
@@ -365,22 +418,23 @@ def score(docs: DataFrame, model: Model, bits: Bits) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, SCORES)
 
 
-def classify(docs: DataFrame, labels: DataFrame, chars: int = TRUSTED_CHARS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, chars: int = TRUSTED_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, max_perplexity, kept for
     every row of ``docs`` (doc_id, text, lang); ``labels`` (doc_id, quality)."""
     good = labels.filter("quality = 1").select("doc_id").distinct()
     model = train(sample(docs.select("doc_id", "text"), good, chars), chars)
     bits = bit_tables(model, chars)
     release(docs.sparkSession)
-    scored = saved(score(docs.select("doc_id", F.col("lang").alias("language"), "text"), model, bits), "scored")
+    scored = saved(score(docs.select("doc_id", F.col("lang").alias("language"), "text"), model, bits, broadcast_bytes), "scored")
     release(docs.sparkSession)
     scored = scored.withColumn("perplexity", F.when(F.col("n_tokens") > 1, F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))))
     k = F.coalesce(F.concat(F.lit("="), "language"), F.lit(""))
     quantile = F.percentile_approx("perplexity", QUANTILE, 100000) * MARGIN
     outside = scored.join(good, "doc_id", "left_semi").filter(F.col("perplexity").isNotNull())
-    limits = outside.groupBy(k.alias("k")).agg(quantile.alias("limit"))
+    limits = saved(outside.groupBy(k.alias("k")).agg(quantile.alias("limit")), "limits")
+    # a language may have most rows: its limit goes to them
+    limits = F.broadcast(limits) if limits.count() <= LANGUAGES_AT_ONCE else limits
     every = outside.agg(quantile).first()[0]
-    # one number for each language: by key where there are many, not collected
     out = scored.withColumn("k", k).join(limits, "k", "left")
     most = F.coalesce("limit", F.lit(every if every is not None else float("inf")))
     return out.select("doc_id", F.col("language").alias("lang"), "n_tokens", "log10_prob", "perplexity", most.alias("max_perplexity"), F.coalesce(F.col("perplexity") <= most, F.lit(False)).alias("kept"))

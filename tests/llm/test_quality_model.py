@@ -85,14 +85,15 @@ def test_sample_is_whole_distinct_and_bounded(spark):
     assert len(quality_model.sample(docs, good, 10**6).collect()) == 61
 
 
-def test_small_blocks_and_ranges_change_nothing(spark, docs, monkeypatch):
+def test_joins_by_shuffle_small_blocks_and_ranges_change_nothing(spark, docs, monkeypatch):
     labels = docs.selectExpr("doc_id", "1 as quality").filter("doc_id % 2 = 0").distinct()
-    result = lambda: sorted(((r["doc_id"], r["n_tokens"], round(r["log10_prob"], 4), r["kept"]) for r in quality_model.classify(docs, labels).collect()), key=str)
+    result = lambda **k: sorted(((r["doc_id"], r["n_tokens"], round(r["log10_prob"], 4), r["kept"]) for r in quality_model.classify(docs, labels, **k).collect()), key=str)
     want = result()
+    assert result(broadcast_bytes=0) == want
     monkeypatch.setattr(quality_model, "SHARD_CHARS", 400_000)
     monkeypatch.setattr(quality_model, "BLOCKS_AT_ONCE", 2)
     monkeypatch.setattr(blocks.packed, "__defaults__", ("blocks", 300))
-    assert result() == want
+    assert result() == want and result(broadcast_bytes=0) == want
 
 
 def test_keys_round_trip():
