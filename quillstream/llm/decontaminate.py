@@ -2,32 +2,43 @@
 
 The test items are the indexed side: an inverted index of BM25 impacts, each
 divided by its item's score for itself, so that a score is the matched share of
-an item and one threshold fits all.  Items stand in blocks; a term keeps its
-largest impact on each block it occurs in.  Passages are windows of twice the
-longest item's words, half a window apart, over whole texts, so that a copied
-item lies within one.  Block-max pruning, for a megabyte of text at a time:
-
-1. terms of many items (non-essential) count as if all were there: with the most
-   that they add to any item of the block;
-2. the others add their block maxima to (half window, block) sums;
-3. a window meets only blocks whose bound reaches the threshold; those items are
-   scored exactly, and every item above the threshold is retrieved;
-4. retrieved items are verified: their question (all but the last sentence) and
+an item and one threshold fits all.  Passages are windows of twice the longest
+item's words, half a window apart, over whole texts, so that a copied item lies
+within one.
+
+The index is built by Spark.  Document frequencies, the number of items, their
+mean and longest length are taken over all items; items are dealt by hash into
+shards of about ``SHARD_CHARS`` characters, and each shard's index is built, with
+those numbers, in a task: scores do not depend on the shards.  Indexes are a
+written table.  They are broadcast, ``PASS_BYTES`` of them at a time: more are
+searched in further passes over the documents, each written before the next.
+
+A shard's items stand in blocks of ``ITEMS_IN_BLOCK``, and a term keeps its largest
+impact in each block.  Block-max WAND, for a megabyte of text at a time:
+
+1. terms of many items count as if all were there: with the most that they add to
+   any item of the block; the others' block maxima are summed by half window and
+   block, in tiles of ``TILE`` cells; blocks whose bound reaches the threshold are
+   the live blocks of a passage;
+2. a passage with a live block sets a cursor on each of its terms' postings, which
+   are in item order, and takes its live blocks in turn: the cursors in order of
+   their items, the first at which the block maxima add up to the threshold is the
+   pivot; cursors before it skip to it; an item that all of them have reached is
+   scored exactly.  Every item above the threshold is retrieved;
+3. retrieved items are verified: their question (all but the last sentence) and
    their answer (the last sentence) must each have half of their word triples
    in the passage.
 
-The index is built on the driver from at most ``SHARD_CHARS`` characters of
-items and broadcast; more items are searched shard by shard, each an index of
-its own.
-
 Defined cases: null or empty texts have no passage and no hit; an item without a
-word is no item; a null ``doc_id`` is carried; repeated rows hit alike; an empty
-benchmark or table gives no hits; extra columns are ignored by ``search`` and
-carried through by ``clean``.
+word is no item; repeated items (same id and text) are one; an item with a null
+``item_id`` is searched as any other and reported with a null id; a null
+``doc_id`` is carried; repeated rows hit alike; an empty benchmark or table gives
+no hits; extra columns are ignored by ``search`` and carried through by ``clean``.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -36,15 +47,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import saved
 from .textnum import PUNCTUATION, U, windows, words_by_run
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score at which it is retrieved; share of triples that verifies.
 THRESHOLD, OVERLAP = 0.5, 0.5
 ITEMS_IN_BLOCK = 4
-#: Terms of more than one in so many items are non-essential.
+#: Terms of more than one in so many of a shard's items are non-essential.
 ESSENTIAL = 8
-SHARD_CHARS = 32 << 20
+#: Characters of items in a shard, about; bytes of indexes that are broadcast at a time.
+SHARD_CHARS, PASS_BYTES = 1 << 20, 128 << 20
+#: Cells of a tile of bounds.
+TILE = 4 << 20
+_SLACK = 1e-9
 
 
 def _words(texts: list[str]) -> list[np.ndarray]:
@@ -66,44 +82,52 @@ def question_answer(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """Impacts of the items' terms, by term and by block of items."""
+    """Impacts of a shard's items, by term in item order, and by block of items.
+
+    ``df`` gives the number of all items that have a term; ``n``, ``mean`` and
+    ``longest`` are of all items as well."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], n: int, mean: float, longest: int, df: dict[int, int]):
         words = _words([t for _, t in items])
         keep = [k for k, w in enumerate(words) if len(w)]
-        self.ids = np.array([items[k][0] for k in keep], np.int64)
+        self.ids = [items[k][0] for k in keep]
         words = [words[k] for k in keep]
         parts = [question_answer(items[k][1]) for k in keep]
         self.questions = [triples(w) for w in _words([q for q, _ in parts])]
         self.answers = [triples(w) for w in _words([a for _, a in parts])]
-        n = len(words)
-        self.longest = max([len(w) for w in words], default=1)
-        mean = np.mean([len(w) for w in words]) if n else 1.0
-        item = np.repeat(np.arange(n), [len(w) for w in words])
+        self.longest, m = longest, len(words)
+        item = np.repeat(np.arange(m), [len(w) for w in words])
         pairs, tf = np.unique(np.stack([np.concatenate([*words, np.zeros(0, U)]), item.astype(U)]), axis=1, return_counts=True)
+        # postings by term, in item order
         self.terms, term = np.unique(pairs[0], return_inverse=True)
         item = pairs[1].astype(np.int64)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        counts = np.array([df[int(t)] for t in self.terms.view(np.int64)], float)
+        idf = np.log1p((n - counts + 0.5) / (counts + 0.5))
         size = np.array([len(w) for w in words], float)
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean)) if n else np.zeros(0)
-        impact = impact / np.bincount(item, impact, n)[item] if n else impact
-        # postings by item, and block maxima by term
-        order = np.lexsort((term, item))
-        self.item_terms, self.item_impact = term[order], impact[order]
-        self.item_first = np.searchsorted(item[order], np.arange(n + 1))
-        self.blocks = -(-n // ITEMS_IN_BLOCK)
-        key = term * max(self.blocks, 1) + item // ITEMS_IN_BLOCK
-        distinct, place = np.unique(key, return_inverse=True)
-        top = np.zeros(len(distinct))
-        np.maximum.at(top, place, impact)
-        self.block_of, self.block_max = distinct % max(self.blocks, 1), top
-        self.first = np.searchsorted(distinct // max(self.blocks, 1), np.arange(len(self.terms) + 1))
-        self.most = np.maximum.reduceat(top, self.first[:-1]) if len(self.terms) else np.zeros(0)
-        self.essential = df * ESSENTIAL <= max(n, ESSENTIAL)
-        # what the non-essential terms can add to an item, at most in each block
-        rest = np.bincount(item, np.where(self.essential[term], 0.0, impact), n) if n else np.zeros(1)
-        self.rest = np.maximum.reduceat(rest, np.arange(0, max(n, 1), ITEMS_IN_BLOCK))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean)) if m else np.zeros(0)
+        impact = impact / np.bincount(item, impact, m)[item] if m else impact
+        self.items, self.impact = item, impact
+        self.width = max(m, 1)
+        self.places = term * self.width + item
+        self.ends = np.searchsorted(term, np.arange(len(self.terms)), side="right")
+        # block maxima by term
+        self.blocks = max(-(-m // ITEMS_IN_BLOCK), 1)
+        key = term * self.blocks + item // ITEMS_IN_BLOCK
+        self.block_keys, place = np.unique(key, return_inverse=True)
+        self.block_max = np.zeros(len(self.block_keys))
+        np.maximum.at(self.block_max, place, impact)
+        self.block_of = self.block_keys % self.blocks
+        self.first = np.searchsorted(self.block_keys // self.blocks, np.arange(len(self.terms) + 1))
+        # what the non-essential terms can add to an item, at most in each block: below the threshold
+        most = max(m, ESSENTIAL) // ESSENTIAL
+        here = np.bincount(term, minlength=len(self.terms))
+        while True:
+            self.essential = here <= most
+            rest = np.bincount(item, np.where(self.essential[term], 0.0, impact), m) if m else np.zeros(1)
+            self.rest = np.maximum.reduceat(rest, np.arange(0, max(m, 1), ITEMS_IN_BLOCK))
+            if self.rest.max() < THRESHOLD / 2:
+                break
+            most *= 2
         # a table of the low bits of terms tells most other words apart at once
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.terms & U(0xFFFF)).astype(np.int64)] = True
@@ -118,9 +142,62 @@ class Index:
             out[likely[hit]] = at[hit]
         return out
 
+    def _block_maxima(self, terms: np.ndarray, block: int) -> np.ndarray:
+        key = terms * self.blocks + block
+        at = np.minimum(np.searchsorted(self.block_keys, key), len(self.block_keys) - 1)
+        return np.where(self.block_keys[at] == key, self.block_max[at], 0.0)
+
+    def retrieve(self, terms: np.ndarray, live: np.ndarray):
+        """(item, score) of the items of the live blocks that a passage's distinct
+        terms bring to the threshold, by block-max WAND."""
+        for block in live.tolist():
+            most = self._block_maxima(terms, block)
+            at_work = most > 0
+            t, most = terms[at_work], most[at_work]
+            beyond = min((block + 1) * ITEMS_IN_BLOCK, self.width)
+            cursor = np.searchsorted(self.places, t * self.width + block * ITEMS_IN_BLOCK)
+            stop = np.searchsorted(self.places, t * self.width + beyond)
+            while True:
+                there = np.where(cursor < stop, self.items[np.minimum(cursor, len(self.items) - 1)], beyond)
+                order = np.argsort(there, kind="stable")
+                pivot = int(np.searchsorted(np.cumsum(most[order]), THRESHOLD - _SLACK))
+                if pivot == len(order) or there[order[pivot]] >= beyond:
+                    break
+                item = int(there[order[pivot]])
+                if there[order[0]] < item:
+                    behind = there < item
+                    cursor[behind] = np.searchsorted(self.places, t[behind] * self.width + item)
+                    continue
+                mine = there == item
+                score = float(self.impact[cursor[mine]].sum())
+                if score >= THRESHOLD:
+                    yield item, score
+                cursor[mine] += 1
+
+    def _live(self, c: np.ndarray, t: np.ndarray, last: np.ndarray):
+        """(half windows' numbers, bounds of the passages that begin there, by block)
+        in tiles, from the distinct (half window, essential term) pairs in order."""
+        rows = max(TILE // self.blocks, 2)
+        n = len(last)
+        for lo in range(0, n, rows - 1):
+            hi = min(lo + rows, n)
+            a, b = np.searchsorted(c, (lo, hi))
+            size = self.first[t[a:b] + 1] - self.first[t[a:b]]
+            place = np.repeat(self.first[t[a:b]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            cell = np.repeat(c[a:b] - lo, size) * self.blocks + self.block_of[place]
+            sums = np.bincount(cell, self.block_max[place], (hi - lo) * self.blocks).reshape(hi - lo, self.blocks)
+            # the last row only completes the one before it, if there are more
+            m = hi - lo if hi == n else hi - lo - 1
+            bound = sums[:m] + self.rest
+            follows = np.flatnonzero(~last[lo : lo + m])
+            bound[follows] += sums[follows + 1]
+            yield lo, bound
+            if hi == n:
+                return
+
     def hits(self, column):
         """(row, item, passage, score, question and answer overlap), the best passage of each row and item."""
-        if not len(self.ids):
+        if not self.ids:
             return
         half = self.longest
         for a, b, w in words_by_run(column, lower=True, between=PUNCTUATION):
@@ -130,54 +207,33 @@ class Index:
             halves = -(-n_words // half)
             base = np.concatenate([[0], np.cumsum(halves)])
             row = np.repeat(np.arange(b - a), n_words)
-            chunk = base[row] + (np.arange(len(w.hashes)) - w.first[row]) // half
+            half_of = base[row] + (np.arange(len(w.hashes)) - w.first[row]) // half
             term = self.look_up(w.hashes)
-            at = np.flatnonzero(term >= 0)
-            t, c = term[at], chunk[at]
-            n = int(base[-1])
-            last = np.zeros(n, bool)
+            last = np.zeros(int(base[-1]), bool)
             last[base[1:][halves > 0] - 1] = True
-            pair = lambda x: np.where(last if x.ndim == 1 else last[:, None], x, x + np.concatenate([x[1:], x[:1]]))  # noqa: E731, B023
-            # the largest impacts anywhere: windows whose sum stays below go no further
-            rare = self.essential[t]
-            ts, cs = t[rare], c[rare]
-            live = pair(np.bincount(cs, self.most[ts], n)) + self.rest.max() >= THRESHOLD
-            if not live.any():
-                continue
-            near = live.copy()
-            near[1:] |= live[:-1] & ~last[:-1]
-            ts, cs = ts[near[cs]], cs[near[cs]]
+            at = np.flatnonzero(term >= 0)
+            at = at[self.essential[term[at]]]
             # a term twice in a half counts once: bounds of repeated text would be far too high
-            u = np.unique(cs * len(self.terms) + ts)
-            ts, cs = u % len(self.terms), u // len(self.terms)
-            size = self.first[ts + 1] - self.first[ts]
-            place = np.repeat(self.first[ts] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            sums = np.bincount(np.repeat(cs, size) * self.blocks + self.block_of[place], self.block_max[place], n * self.blocks).reshape(n, self.blocks)
-            bound = pair(sums) + self.rest
+            u = np.unique(half_of[at] * len(self.terms) + term[at])
             best: dict[tuple[int, int], tuple] = {}
-            for k in np.flatnonzero(live & (bound.max(axis=1) >= THRESHOLD)):
-                d = int(np.searchsorted(base, k, side="right")) - 1
-                lo = w.first[d] + (k - base[d]) * half
-                hi = min(lo + 2 * half, w.first[d + 1])
-                there = np.zeros(len(self.terms) + 1, bool)
-                there[term[lo:hi]] = True
-                there[-1] = False
-                found = None
-                for block in np.flatnonzero(bound[k] >= THRESHOLD):
-                    lo_item, hi_item = block * ITEMS_IN_BLOCK, min(len(self.ids), (block + 1) * ITEMS_IN_BLOCK)
-                    at = self.item_first[lo_item : hi_item + 1]
-                    scores = np.add.reduceat(self.item_impact[at[0] : at[-1]] * there[self.item_terms[at[0] : at[-1]]], at[:-1] - at[0])
-                    for i in np.flatnonzero(scores >= THRESHOLD) + lo_item:
-                        score = float(scores[i - lo_item])
-                        if best.get((d, i), (0,))[0] >= score:
+            for lo, bound in self._live(u // len(self.terms), u % len(self.terms), last):
+                live = bound >= THRESHOLD - _SLACK
+                for k in np.flatnonzero(live.any(axis=1)) + lo:
+                    d = int(np.searchsorted(base, k, side="right")) - 1
+                    begin = w.first[d] + (k - base[d]) * half
+                    end = min(begin + 2 * half, w.first[d + 1])
+                    terms = np.unique(term[begin:end])
+                    found = None
+                    for i, score in self.retrieve(terms[terms >= 0], np.flatnonzero(live[k - lo])):
+                        if best.get((d, i), (0,))[0] >= score - _SLACK:
                             continue
                         if found is None:
-                            found = {m: np.unique(windows(w.hashes[lo:hi], m)) for m in (1, 2, 3) if hi - lo >= m}
+                            found = {m: np.unique(windows(w.hashes[begin:end], m)) for m in (1, 2, 3) if end - begin >= m}
                         q, x = (self._share(part, found) for part in (self.questions[i], self.answers[i]))
                         if q >= OVERLAP and x >= OVERLAP:
                             best[d, i] = (score, int(k - base[d]), q, x)
             for (d, i), (score, passage, q, x) in sorted(best.items()):
-                yield a + d, int(self.ids[i]), passage, score, q, x
+                yield a + d, self.ids[i], passage, score, q, x
 
     @staticmethod
     def _share(part: np.ndarray, found: dict[int, np.ndarray]) -> float:
@@ -187,66 +243,98 @@ class Index:
         return max(float(np.isin(part, grams).mean()) for grams in found.values())
 
 
-def indexes(items: DataFrame, shard_chars: int = SHARD_CHARS) -> list[Index]:
-    """Indexes of ``items`` (item_id, text), of so many characters each.
+TERMS = "shard int, term bigint, words bigint"
+
+
+def _terms(batches):
+    """For each item (shard, text) its number of words, and its distinct terms."""
+    for batch in batches:
+        shard = batch.column(0).to_pylist()
+        for k, w in zip(shard, _words(batch.column(1).to_pylist())):
+            terms = np.unique(w).view(np.int64)
+            n = len(terms) + 1
+            cols = [pa.array([k] * n, pa.int32()), pa.array([None, *terms.tolist()], pa.int64()), pa.array([len(w)] + [None] * (n - 1), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "term", "words"])
+
 
-    Items arrive in shards dealt by their running length; the driver holds one
-    shard's texts at a time."""
-    out: list[Index] = []
+def build(items: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """shard, size, data: the indexes of ``items`` (item_id, text), as a written table."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
+    shards = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // shard_chars))
+    items = saved(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int")), "items")
+    rows = saved(items.select("shard", "text").mapInArrow(_terms, TERMS), "item-terms")
+    # three numbers, whatever the number of items
+    n, mean, longest = rows.filter("words > 0").agg(F.count("*"), F.avg("words"), F.max("words")).first()
+    terms = rows.filter("term IS NOT NULL")
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    df = terms.select("shard", "term").distinct().join(df, "term")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if right.num_rows:
+            left = left.sort_by([("item_id", "ascending"), ("text", "ascending")])
+            items = list(zip(left.column("item_id").to_pylist(), left.column("text").to_pylist()))
+            index = Index(items, n, mean, longest, dict(zip(right.column("term").to_pylist(), right.column("df").to_pylist())))
+            out = [(left.column("shard")[0].as_py(), pickle.dumps(index, protocol=5))]
+        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([len(x[1]) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["shard", "size", "data"])
+
+    return saved(items.groupBy("shard").cogroup(df.groupBy("shard")).applyInArrow(run, "shard int, size bigint, data binary"), "item-index")
+
+
+def passes(index: DataFrame, pass_bytes: int = PASS_BYTES):
+    """Broadcasts of lists of indexes, of so many bytes each; one is held at a time."""
+    spark = index.sparkSession
     held, size = [], 0
-    for r in items.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-        if size >= shard_chars:
-            out.append(Index(held))
+    sizes = sorted(tuple(r) for r in index.select("shard", "size").collect())
+    for k, (shard, n) in enumerate(sizes):
+        held.append(shard)
+        size += n
+        if size >= pass_bytes or k == len(sizes) - 1:
+            blobs = [bytes(r["data"]) for r in index.filter(F.col("shard").isin(held)).orderBy("shard").collect()]
+            yield spark.sparkContext.broadcast([pickle.loads(x) for x in blobs]), k == len(sizes) - 1
             held, size = [], 0
-    if held or not out:
-        out.append(Index(held))
-    return out
 
 
 HITS = "doc_id bigint, item_id bigint, passage bigint, score double, question_overlap double, answer_overlap double"
 
 
-def search(docs: DataFrame, items: DataFrame) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """HITS: a row for every document and the items that it contains, with the
     best passage; ``docs`` (doc_id, text), ``items`` (item_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = docs.sparkSession.createDataFrame([], HITS)
+    for shared, last in passes(build(items, shard_chars), pass_bytes):
 
-    def part(index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches):
+        def run(batches, shared=shared):
             for batch in batches:
-                found = list(shared.value.hits(batch.column(1)))
-                rows = [list(x) for x in zip(*found)] or [[] for _ in range(6)]
+                found = [x for index in shared.value for x in index.hits(batch.column(1))]
+                cols = [list(x) for x in zip(*found)] or [[] for _ in range(6)]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(x, k) for x, k in zip(rows[1:], kinds))], [x.split()[0] for x in HITS.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(x, k) for x, k in zip(cols[1:], kinds))], [x.split()[0] for x in HITS.split(", ")])
 
-        return docs.mapInArrow(run, HITS)
-
-    first, *rest = [part(x) for x in indexes(items)]
-    for more in rest:
-        first = first.unionByName(more)
-    return first
+        part = rows.mapInArrow(run, HITS)
+        out = part if last and out.isEmpty() else out.unionByName(part if last else saved(part, "hits"))
+        if not last:
+            shared.unpersist()
+    return out
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of ``docs`` that contain no test item, with the columns of ``docs``."""
-    spark = docs.sparkSession
-    for index in indexes(items):
-        shared = spark.sparkContext.broadcast(index)
+    for shared, last in passes(build(items, shard_chars), pass_bytes):
 
         def run(batches, shared=shared):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in shared.value.hits(batch.column(1))]] = False
+                for index in shared.value:
+                    keep[[x[0] for x in index.hits(batch.column(1))]] = False
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
 
         packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("searched"))
         out = packed.mapInArrow(run, T.StructType([T.StructField("row", packed.schema["row"].dataType)]))
-        docs = out.select("row.*")
+        docs = out.select("row.*") if last else saved(out, "clean").select("row.*")
+        if not last:
+            shared.unpersist()
     return docs
 
 

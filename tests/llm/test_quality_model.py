@@ -100,7 +100,7 @@ def test_keys_round_trip():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for keys in (np.zeros(0, U), np.array([0, 5, (1 << 64) - 1], U), np.unique(rng.integers(0, 1 << 64, 100_000, dtype=U))):
+    for keys in (np.zeros(0, U), np.array([0, 5, (1 << 64) - 1], U), np.unique(rng.integers(0, 1 << 64, 100_000, dtype=U)), np.arange(5, 99, dtype=U)):
         assert (blocks.unsqueeze_keys(blocks.squeeze_keys(keys)) == keys).all()
     x = rng.integers(0, 9, 1000).astype("<u2")
     assert (blocks.unsqueeze(blocks.squeeze(x), "<u2", 1000) == x).all()

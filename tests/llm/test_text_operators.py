@@ -94,27 +94,6 @@ def test_decontaminate_finds_copies_and_near_copies(spark):
     assert decontaminate.search(docs, items.limit(0)).count() == 0
 
 
-def test_block_max_search_equals_scoring_everything(rows):
-    rng = np.random.default_rng(2)
-    vocabulary = [f"v{k}" for k in range(120)]
-    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(4, 20))) + ". " + " ".join(rng.choice(vocabulary, 3))) for i in range(60)]
-    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 200))) for _ in range(40)] + [items[7][1], items[8][1] + " " + items[9][1]]
-    index = decontaminate.Index(items)
-    got = {(row, i): round(s, 9) for row, i, _, s, _, _ in index.hits(pa.array(texts))}
-    want = {}
-    for row, text in enumerate(texts):
-        w = decontaminate._words([text])[0]
-        for lo in range(0, max(len(w), 1), index.longest):
-            part = w[lo : lo + 2 * index.longest]
-            grams = {m: np.unique(decontaminate.windows(part, m)) for m in (1, 2, 3) if len(part) >= m}
-            for k, i in enumerate(index.ids):
-                s = slice(index.item_first[k], index.item_first[k + 1])
-                score = index.item_impact[s][np.isin(index.terms[index.item_terms[s]], part)].sum()
-                if score >= decontaminate.THRESHOLD and grams and all(index._share(p[k], grams) >= decontaminate.OVERLAP for p in (index.questions, index.answers)):
-                    want[row, int(i)] = max(want.get((row, int(i)), 0), round(float(score), 9))
-    assert got == want and (40, 7) in got and (41, 8) in got and (41, 9) in got
-
-
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
