@@ -59,16 +59,19 @@ def unsqueeze(data: bytes, kind: str, n: int) -> np.ndarray:
 
 
 def squeeze_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences, in 6 bytes each where they fit."""
+    """Ascending keys as their differences, in 4 or 6 bytes each where they fit."""
     step = np.diff(keys, prepend=U(0))
-    if len(step) and int(step.max()) < 1 << 48:
+    most = int(step.max()) if len(step) else 0
+    if most < 1 << 32:
+        return b"4" + step.astype("<u4").tobytes()
+    if most < 1 << 48:
         return b"6" + step.astype("<u4").tobytes() + (step >> U(32)).astype("<u2").tobytes()
     return b"8" + step.astype("<u8").tobytes()
 
 
 def unsqueeze_keys(data: bytes) -> np.ndarray:
-    if data[:1] == b"8":
-        return np.cumsum(np.frombuffer(data, "<u8", offset=1), dtype=U)
+    if data[:1] != b"6":
+        return np.cumsum(np.frombuffer(data, f"<u{data[:1].decode()}", offset=1), dtype=U)
     n = (len(data) - 1) // 6
     low, high = np.frombuffer(data, "<u4", n, 1), np.frombuffer(data, "<u2", n, 1 + 4 * n)
     return np.cumsum(low.astype(U) | high.astype(U) << U(32), dtype=U)

@@ -1,10 +1,11 @@
 """Deleted-interpolation n-gram scoring of every document.
 
 Counts of words, pairs and triples are taken over all training documents:
-blocks of about a million tokens send their distinct n-grams, as sorted packed
-keys with counts, to ranges of the key space; each range sums them and answers
-every block with the totals of the keys that it sent, in the same order, so an
-answer is nothing but counts.  A block and its answers meet again to be scored.
+blocks of about a million tokens (a written table) send their distinct n-grams,
+as sorted packed keys with counts, to ranges of the key space; each range sums
+them and answers every block with the totals of the keys that it sent, in the
+same order, so an answer is nothing but counts.  A block and its answers meet
+again to be scored.
 
     p(w | u v) = l3 c(uvw)/c(uv) + l2 c(vw)/c(v) + l1 c(w)/N + l0 / (V + 1)
 
@@ -16,16 +17,16 @@ are summed in a grid of half octaves, so that what the driver iterates over has
 a fixed bound however large the corpus is; the grid only shapes the weights,
 scores use exact counts.
 
+A training document is scored with counts that include its own, as the contract
+has it (V and N are of all training tokens); held-out documents are not.
+
 Defined cases: null text is empty and consists of its end alone; a null
 ``doc_id`` counts as crc32 0; repeated rows count and score each for itself; an
-empty table gives an empty result; extra columns are ignored.  A text's block
-must be the same when it is read again: ``docs`` has to be stored data (a read
-in another order is noticed and raises).
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -33,81 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Block, before, blocks_of, packed, squeeze_keys, unsqueeze_keys
 from .shared import release, saved
-from .textnum import U, mix, words_by_run
+from .textnum import U
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-#: Tokens in a block, about; distinct keys in a range, about.
-BLOCK, RANGE = 1_200_000, 4_000_000
+#: Distinct keys in a range, about.
+RANGE = 4_000_000
 KEY_BITS = 40
 ORDERS = 3
-_END, _BOS = U(0x7F4A7C15F39CC061), U(0x2545F4914F6CDD1D)
-_MULS = [U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F)]
 
 
 def fold(doc_id) -> int:
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
 
 
-class Block:
-    """Some documents: their tokens' hashes, with an end after each document."""
-
-    def __init__(self, doc_ids: list, texts: list, deleted: bool):
-        self.doc_ids, self.texts, self.deleted = doc_ids, texts, deleted
-        parts, sizes = [], []
-        for _, _, w in words_by_run(pa.array(texts, pa.string()), lower=True):
-            n = np.diff(w.first)
-            at = np.arange(len(w.hashes)) + np.repeat(np.arange(len(n)), n)
-            tokens = np.full(len(w.hashes) + len(n), _END, U)
-            tokens[at] = w.hashes
-            parts.append(tokens)
-            sizes.append(n + 1)
-        self.tokens = np.concatenate([*parts, np.zeros(0, U)])
-        self.sizes = np.concatenate([*sizes, np.zeros(0, np.int64)])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        held = np.array([fold(d) == HELD_OUT for d in doc_ids], bool)
-        self.trains = np.repeat(~held, self.sizes)
-        self.n_docs = int((~held).sum())
-        # texts are part of the name: copies under one id are other blocks
-        name = hashlib.blake2b(repr(doc_ids).encode(), digest_size=8)
-        name.update(self.tokens.tobytes())
-        self.name = int.from_bytes(name.digest(), "little", signed=True)
-
-    def before(self, values: np.ndarray, start) -> np.ndarray:
-        """For each token the value of the token before it, ``start`` at a document's first."""
-        out = np.empty_like(values)
-        out[1:] = values[:-1]
-        out[self.starts] = start
-        return out
-
-    def keys(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of the n-grams, ascending, and each token's place among them."""
-        h, w = self.tokens * _MULS[0], self.tokens
-        for k in range(1, order):
-            w = self.before(w, _BOS)
-            h = h + w * _MULS[k]
-        return np.unique(mix(h + U(order)), return_inverse=True)
-
-
-def blocks(batches):
-    """Cut a partition's rows (doc_id, text) into blocks: those of the deleted fold, and the others."""
-    held = {True: ([], [], 0), False: ([], [], 0)}
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            deleted = fold(doc_id) == DELETED
-            ids, texts, size = held[deleted]
-            ids.append(doc_id)
-            texts.append(text or "")
-            size += len(texts[-1]) // 5 + 1
-            if size >= BLOCK:
-                yield Block(ids, texts, deleted)
-                ids, texts, size = [], [], 0
-            held[deleted] = (ids, texts, size)
-    for deleted, (ids, texts, _) in held.items():
-        if ids:
-            yield Block(ids, texts, deleted)
-
-
 def _edges(ranges: int) -> np.ndarray:
     return np.array([(r << 64) // ranges for r in range(ranges)], dtype=U)
 
@@ -125,25 +66,27 @@ def _unpack(small: bytes, big: bytes) -> np.ndarray:
     return out
 
 
-ASKED = "key bigint, block bigint, deleted boolean, low binary, high binary, small binary, big binary"
+ASKED = "key bigint, block bigint, deleted boolean, keys binary, small binary, big binary"
 
 
 def _ask(ranges: int):
     edges, shift = _edges(ranges), U(max(0, 64 - KEY_BITS - int(np.log2(ranges))))
 
     def run(batches):
-        for b in blocks(batches):
-            rows = []
+        for row, b in (x for batch in batches for x in blocks_of(batch)):
+            rows, name, deleted = [], row["block"], row["deleted"]
+            held = np.array(row["held_out"], bool)
+            trains = np.repeat(~held, b.sizes)
             for order in range(1, ORDERS + 1):
-                keys, place = b.keys(order)
-                counts = np.bincount(place[b.trains], minlength=len(keys))
+                keys, place = np.unique(b.grams(order), return_inverse=True)
+                counts = np.bincount(place[trains], minlength=len(keys))
                 cut = np.append(np.searchsorted(keys, edges), len(keys))
                 for r in np.flatnonzero(np.diff(cut)):
                     k = (keys[cut[r] : cut[r + 1]] - edges[r]) >> shift
-                    rows.append((order * ranges + int(r), b.name, b.deleted, k.astype("<u4").tobytes(), (k >> U(32)).astype("<u2").tobytes(), *_pack(counts[cut[r] : cut[r + 1]])))
+                    rows.append((order * ranges + int(r), name, deleted, squeeze_keys(k), *_pack(counts[cut[r] : cut[r + 1]])))
             # the block's documents and tokens, under a key of no order
-            rows.append((b.name % ranges, b.name, b.deleted, b"", b"", *_pack(np.array([b.n_docs, b.trains.sum()]))))
-            kinds = [pa.int64(), pa.int64(), pa.bool_()] + [pa.binary()] * 4
+            rows.append((name % ranges, name, deleted, b"", *_pack(np.array([(~held).sum(), trains.sum()]))))
+            kinds = [pa.int64(), pa.int64(), pa.bool_()] + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in ASKED.split(", ")])
 
     return run
@@ -164,7 +107,7 @@ def _answer(ranges: int):
                 own = r["deleted"]
                 out.append({"block": r["block"], "key": key, "small": b"", "big": b"", "own_small": b"", "own_big": b""} | nothing | {"docs": docs, "tokens": tokens, "own_docs": docs * own, "own_tokens": tokens * own})
         else:
-            keys = [np.frombuffer(r["low"], "<u4").astype(U) | np.frombuffer(r["high"], "<u2").astype(U) << U(32) for r in rows]
+            keys = [unsqueeze_keys(r["keys"]) for r in rows]
             distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
             counts = np.concatenate([_unpack(r["small"], r["big"]) for r in rows])
             own = counts * np.repeat([r["deleted"] for r in rows], [len(k) for k in keys])
@@ -203,11 +146,11 @@ def _features(b: Block, answers: list[dict], ranges: int, stats: dict, delete: b
             by_order[r["key"] // ranges].append(total - _unpack(r["own_small"], r["own_big"]) if delete else total)
     counts = {}
     for order, parts in by_order.items():
-        _, place = b.keys(order)
+        _, place = np.unique(b.grams(order), return_inverse=True)
         counts[order] = np.concatenate(parts)[place]
     docs = stats["docs"] - stats["own_docs"] * delete
     n = stats["tokens"] - stats["own_tokens"] * delete
-    word, pair = b.before(counts[1], docs), b.before(counts[2], docs)
+    word, pair = before(counts[1], b.starts, docs), before(counts[2], b.starts, docs)
     f = [counts[1] / max(n, 1), counts[2] / np.maximum(word, 1), counts[3] / np.maximum(pair, 1)]
     return counts[1], f, bucket(pair, word)
 
@@ -245,36 +188,17 @@ def learn_weights(rows: list[tuple[int, int, int, int, int]], words: int, rounds
     return weights
 
 
-def _met(left: pa.Table, right: pa.Table):
-    """The block and its answers that a cogroup brought together."""
-    if not right.num_rows:
-        return None, None  # an answer to a block that this pass doesn't score
-    if not left.num_rows:
-        raise RuntimeError("a block has no answers: its input was read in another order; store the input first")
-    row = right.to_pylist()[0]
-    return Block(row["doc_ids"], row["texts"], row["deleted"]), left.to_pylist()
-
-
-def _packed(only_deleted: bool):
-    def run(batches):
-        for b in blocks(batches):
-            if b.deleted or not only_deleted:
-                yield pa.RecordBatch.from_arrays([pa.array([b.name]), pa.array([b.deleted]), pa.array([b.doc_ids], pa.list_(pa.int64())), pa.array([b.texts], pa.list_(pa.string()))], ["block", "deleted", "doc_ids", "texts"])
-
-    return run
-
-
-_PACKED = "block bigint, deleted boolean, doc_ids array<bigint>, texts array<string>"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def score(docs: DataFrame) -> DataFrame:
     """SCORES for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
-    ranges = max(1, -(-size // 3 // RANGE))
-    asked = docs.mapInArrow(_ask(ranges), ASKED)
+    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % FOLDS
+    rows = docs.select((remainder == DELETED).alias("deleted"), F.col("doc_id").cast("long").alias("doc_id"), (remainder == HELD_OUT).alias("held_out"), "text")
+    blocks = packed(rows, "lm-blocks")
+    ranges = max(1, -(-2 * (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // RANGE))
+    asked = blocks.mapInArrow(_ask(ranges), ASKED)
     answers = saved(asked.groupBy("key").applyInArrow(_answer(ranges), ANSWERS), "answers")
     release(spark)
     sums = ("docs", "own_docs", "tokens", "own_tokens", "words")
@@ -282,36 +206,34 @@ def score(docs: DataFrame) -> DataFrame:
     n, words = stats["tokens"], stats["words"]
     answers = answers.filter(F.col("key") >= ranges).drop(*sums)
 
-    def tally(left, right):
-        b, found = _met(left, right)
+    def tally(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = np.zeros((0, 5), np.int64)
-        if b is not None:
-            _, f, k = _features(b, found, ranges, stats, True)
+        for _, b in blocks_of(right):
+            _, f, k = _features(b, left.to_pylist(), ranges, stats, True)
             tuples = np.stack([k, *map(_grid, f)], axis=1)
             distinct, counts = np.unique(tuples, axis=0, return_counts=True)
             rows = np.concatenate([distinct, counts[:, None]], axis=1)
         return pa.table(list(rows.T), ["bucket", "f1", "f2", "f3", "n"])
 
-    own = docs.mapInArrow(_packed(True), _PACKED)
+    own = blocks.filter("deleted").select("block", "sizes", "words", "tokens")
     tallies = answers.filter(F.length("own_small") > 0).groupBy("block").cogroup(own.groupBy("block")).applyInArrow(tally, "bucket bigint, f1 bigint, f2 bigint, f3 bigint, n bigint")
     # a grid of fixed size, however many tokens it sums
     weights = learn_weights([tuple(r) for r in tallies.groupBy("bucket", "f1", "f2", "f3").agg(F.sum("n")).collect()], words)
     release(spark)
 
-    def rate(left, right):
-        b, found = _met(left, right)
-        if b is None:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.bool_())] + [pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())] * 2, [x.split()[0] for x in SCORES.split(", ")])
-        c, f, k = _features(b, found, ranges, stats, False)
-        w = weights[k]
-        p = w[:, 0] / (words + 1) + w[:, 1] * f[0] + w[:, 2] * f[1] + w[:, 3] * f[2]
-        base = np.log10(c + 1) - np.log10(n + words + 1)
-        total = lambda x: np.add.reduceat(x, b.starts)
-        cols = [pa.array(b.doc_ids, pa.int64()), pa.array([fold(d) == HELD_OUT for d in b.doc_ids]), pa.array(b.sizes), pa.array(total((c > 0).astype(np.int64))), pa.array(np.full(len(b.sizes), n))]
-        return pa.table([*cols, pa.array(total(base)), pa.array(total(np.log10(p)))], [x.split()[0] for x in SCORES.split(", ")])
-
-    texts = docs.mapInArrow(_packed(False), _PACKED)
-    return answers.select("block", "key", "small", "big").groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(rate, SCORES)
+    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
+        cols = [pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)]
+        for row, b in blocks_of(right):
+            c, f, k = _features(b, left.to_pylist(), ranges, stats, False)
+            w = weights[k]
+            p = w[:, 0] / (words + 1) + w[:, 1] * f[0] + w[:, 2] * f[1] + w[:, 3] * f[2]
+            base = np.log10(c + 1) - np.log10(n + words + 1)
+            total = lambda x: np.add.reduceat(x, b.starts)  # noqa: E731, B023
+            cols = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(b.sizes), pa.array(total((c > 0).astype(np.int64))), pa.array(np.full(len(b.sizes), n)), pa.array(total(base)), pa.array(total(np.log10(p)))]
+        return pa.table(cols, [x.split()[0] for x in SCORES.split(", ")])
+
+    scored = blocks.select("block", "doc_id", "held_out", "sizes", "words", "tokens")
+    return answers.select("block", "key", "small", "big").groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(rate, SCORES)
 
 
 def query(spark, sf_dir):
