@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = r"[\s\x1c-\x1f]"
@@ -20,8 +20,9 @@ def any_of(patterns: list[str]) -> str:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    """Without white space at both ends.  A run inside the text is looked at once:
+    only its first character may begin a match, and it gives nothing back."""
+    return F.regexp_replace(c, rf"(?U)^{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z", "")
 
 
 def words(c: Column) -> Column:
@@ -38,6 +39,13 @@ def non_empty(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that is
+    heavy on each row; rows move only if the input has fewer splits than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bind(value: Column, use) -> Column:
     """``use(value)`` with value computed once, however often ``use`` names it."""
     return F.transform(F.array(value), use)[0]

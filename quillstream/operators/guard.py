@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, bind, blank, first_of, java
+from ..functions.text import bind, blank, first_of, java
 
 # The guard's patterns, synonym groups and letter map must equal
 # those of the system whose results are matched.  (pattern, ignores case)
@@ -84,8 +84,57 @@ LEET_FROM, LEET_TO = "01345678@$!|", "oieasgtbasii"
 REDACTED = "[REDACTED]"
 THRESHOLD, MAX_QUERY = 0.7, 2000
 BLOCKED_EMPTY, BLOCKED_LONG, BLOCKED_CONTENT = "Empty query", "Query too long — max 2000 characters", "Query contains potentially malicious content"
+REASON_REGEX, REASON_NORMAL = "Regex", "Regex (normalized)"
+REASON_SYNONYM, REASON_EXTRACTION = "Synonym attack", "System prompt extraction via synonyms"
+REASON_SUBTLE, REASON_POSSIBLE = "Multiple subtle patterns", "Possible"
+REASON_MODEL, REASON_JUDGE = "DeBERTa", "LlamaGuard"
 # End of fixed values.
 
+#: Words that a text must hold for each pattern to match it, in the patterns'
+#: order: all of them, one of those with a bar between.
+HARD_WORDS = [
+    "instruction ignore previous|prior|above",
+    "instruction disregard previous|prior|above",
+    "instruction forget previous|prior|above",
+    "instruction override",
+    "instruction new",
+    "instruction updated",
+    "now you are",
+    "act as",
+    "pretend",
+    "persona|role|identity your new",
+    "switch mode developer|admin|god|jailbreak",
+    "mode developer|admin|god|jailbreak you",
+    "dan mode",
+    "reveal system prompt",
+    "system print prompt",
+    "show system|instruction your|the",
+    "system|instruction what your",
+    "repeat system|instruction",
+    "[system]",
+    "[inst]",
+    "[agent]",
+    "[override]",
+    "[internal",
+    "< system",
+    "< instruction",
+    "### system",
+    "### instruction",
+    "send data|content|document|context|history",
+    "exfiltrate",
+    "leak data|content|document",
+    "transmit",
+    "output first answer then",
+    "answering|responding before",
+    "answering|responding after",
+    "jailbreak",
+    "bypass safety|filter|restriction|guideline",
+    "remove safety|filter|restriction|guideline",
+    "without restriction|filter|limitation",
+]
+TAG_WORDS = ["[system", "[inst", "[agent", "< /system|system", "[internal"]
+SUBTLE_WORDS = ["[ ai", "[ note", "( ai", "assistant :", "human :", "< assistant", "< human", "format response|answer all|your", "always respond|reply|answer", "from now on"]
+
 HARD = [java(p, i) for p, i in HARD_PATTERNS]
 TAGS = [java(p, True, True) for p in ROLE_TAGS]
 SUBTLE = [java(p) for p in SUBTLE_PATTERNS]
@@ -94,47 +143,74 @@ VERDICT = "struct<is_injection:boolean,reason:string,confidence:double>"
 
 def normalize(text: Column) -> Column:
     """Without zero-width characters, digits and signs that stand for letters as
-    letters, runs of white space as one space, dots between letters dropped."""
-    plain = F.translate(F.regexp_replace(text, "[​‌‍⁠﻿]", ""), LEET_FROM, LEET_TO)
-    return F.regexp_replace(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " "), r"(?<=[a-zA-Z])\.(?=[a-zA-Z])", "")
+    letters, runs of white space as one space, dots between letters dropped.
+
+    A single space is a run that stays as it is, and no match."""
+    plain = F.translate(text, LEET_FROM + "\u200b\u200c\u200d\u2060\ufeff", LEET_TO)
+    return F.regexp_replace(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*+| [\s\x1c-\x1f]++", " "), r"(?<=[a-zA-Z])\.(?=[a-zA-Z])", "")
+
+
+def folded(text: Column) -> Column:
+    """Lower case, and the four letters that equal an ASCII letter when case is ignored."""
+    return F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
+
+
+def _may_match(low: Column, words: str) -> Column:
+    """Whether a folded text holds the words without which a pattern can't match it."""
+    out = F.lit(True)
+    for part in words.split():
+        one = F.lit(False)
+        for w in part.split("|"):
+            one = one | low.contains(w)
+        out = out & one
+    return out
+
+
+def _found(text: Column, low: Column, patterns: list[str], words: list[str]) -> Column:
+    """array<string>: each pattern's first match, '' for none.  Searching for a few
+    words in turn is much cheaper than trying every pattern at every character."""
+    return F.array(*[F.when(_may_match(low, w), F.regexp_extract(text, p, 0)).otherwise("") for p, w in zip(patterns, words)])
+
+
+def hard_matches(text: Column) -> Column:
+    """array<string>: the first match of each hard pattern, '' for none."""
+    return bind(folded(text), lambda low: _found(text, low, HARD, HARD_WORDS))
+
+
+def _any(found: Column) -> Column:
+    return F.exists(found, lambda x: x != "")
 
 
 def regex_flag(text: Column, normal: Column) -> Column:
     """Whether a hard pattern matches the text or its normal form."""
-    return text.rlike(any_of(HARD)) | normal.rlike(any_of(HARD))
+    return _any(hard_matches(text)) | _any(hard_matches(normal))
 
 
-def _quoted(label: str, text: Column, pattern: Column) -> Column:
-    return F.concat(F.lit(label + ": '"), F.substring(F.regexp_substr(text, pattern), 1, 50), F.lit("'"))
+def _quoted(label: str, match: Column) -> Column:
+    return F.when(match != "", F.concat(F.lit(label + ": '"), F.substring(match, 1, 50), F.lit("'")))
 
 
 def regex_reason(text: Column, normal: Column, interleaved: bool = False) -> Column:
     """The first match, cut to 50 characters; null if there is none.
 
     All patterns on the text, then all on its normal form; ``interleaved``:
-    pattern by pattern on both, as the layered verdict does.  One alternation
-    decides whether there is a match; only then patterns are tried in turn."""
-    patterns = F.array(*[F.lit(p) for p in HARD])
-    none = F.lit(None).cast("string")
-    on_text = lambda p: _quoted("Regex", text, p)
-    on_normal = lambda p: _quoted("Regex (normalized)", normal, p)
-    if interleaved:
-        found = F.aggregate(patterns, none, lambda a, p: F.coalesce(a, on_text(p), on_normal(p)))
-    else:
-        found = F.coalesce(F.aggregate(patterns, none, lambda a, p: F.coalesce(a, on_text(p))), F.aggregate(patterns, none, lambda a, p: F.coalesce(a, on_normal(p))))
-    return F.when(regex_flag(text, normal), found)
+    pattern by pattern on both, as the layered verdict does."""
+    on_text = F.transform(hard_matches(text), lambda m: _quoted(REASON_REGEX, m))
+    on_normal = F.transform(hard_matches(normal), lambda m: _quoted(REASON_NORMAL, m))
+    both = F.flatten(F.zip_with(on_text, on_normal, lambda a, b: F.array(a, b))) if interleaved else F.concat(on_text, on_normal)
+    return F.get(F.filter(both, lambda r: r.isNotNull()), F.lit(0))
 
 
 def synonym_reason(text: Column) -> Column:
     """Why the text combines synonyms of an attack; null if it does not."""
-    pair = lambda a, b: F.concat(F.lit("Synonym attack: '"), a, F.lit("' + '"), b, F.lit("'"))
+    pair = lambda a, b: F.concat(F.lit(REASON_SYNONYM + ": '"), a, F.lit("' + '"), b, F.lit("'"))
 
     def reason(lower: Column) -> Column:
         first = {k: first_of(v, lower.contains) for k, v in SYNONYMS.items()}
         asked = first["system prompt"].isNotNull() & first_of(EXTRACTION_VERBS, lower.contains).isNotNull()
         return F.coalesce(
             bind(first["ignore"], lambda i: F.when(i.isNotNull(), F.coalesce(pair(i, first["instructions"]), pair(i, first["previous"])))),
-            F.when(asked, F.lit("System prompt extraction via synonyms")),
+            F.when(asked, F.lit(REASON_EXTRACTION)),
         )
 
     return bind(F.lower(text), reason)
@@ -142,8 +218,7 @@ def synonym_reason(text: Column) -> Column:
 
 def subtle_hits(text: Column) -> Column:
     """Matches of the subtle patterns, one for each that matches."""
-    found = F.array(*[F.regexp_substr(text, F.lit(p)) for p in SUBTLE])
-    return F.filter(found, lambda x: x.isNotNull())
+    return F.filter(bind(folded(text), lambda low: _found(text, low, SUBTLE, SUBTLE_WORDS)), lambda x: x != "")
 
 
 def _verdict(flag, reason, confidence) -> Column:
@@ -161,10 +236,10 @@ def _late(text: Column) -> Column:
     """Verdict of the layer after the models."""
 
     def judge(hits: Column) -> Column:
-        listed = F.concat(F.lit("Multiple subtle patterns: ['"), F.array_join(hits, "', '"), F.lit("']"))
+        listed = F.concat(F.lit(REASON_SUBTLE + ": ['"), F.array_join(hits, "', '"), F.lit("']"))
         return (
             F.when(F.size(hits) >= 2, _verdict(True, listed, 0.7))
-            .when(F.size(hits) == 1, _verdict(False, F.concat(F.lit("Possible: "), F.get(hits, F.lit(0))), 0.3))
+            .when(F.size(hits) == 1, _verdict(False, F.concat(F.lit(REASON_POSSIBLE + ": "), F.get(hits, F.lit(0))), 0.3))
             .otherwise(_verdict(False, F.lit(""), 0.0))
         )
 
@@ -200,11 +275,11 @@ def verdicts(df: DataFrame, text: str, classifier=None, judge=None, threshold: f
     if classifier is not None:
         open_ = open_.withColumn("__ml", classifier(model_input(F.col("__normal"))))
         label, score = F.col("__ml.label"), F.col("__ml.score")
-        found = F.when((label == "INJECTION") & (score >= threshold), _verdict(True, F.format_string("DeBERTa: %s (%.3f)", label, score), 0.0).withField("confidence", score.cast("double")))
+        found = F.when((label == "INJECTION") & (score >= threshold), _verdict(True, F.format_string(REASON_MODEL + ": %s (%.3f)", label, score), 0.0).withField("confidence", score.cast("double")))
     open_ = open_.withColumn("verdict", found)
     if judge is not None:
         said = open_.filter(F.col("verdict").isNull()).withColumn("__said", F.lower(F.trim(judge(F.col("__normal")))))
-        unsafe = F.when(F.col("__said").startswith("unsafe"), _verdict(True, F.concat(F.lit("LlamaGuard: "), F.substring(F.replace(F.col("__said"), F.lit("\n"), F.lit(" ")), 1, 80)), 0.9))
+        unsafe = F.when(F.col("__said").startswith("unsafe"), _verdict(True, F.concat(F.lit(REASON_JUDGE + ": "), F.substring(F.replace(F.col("__said"), F.lit("\n"), F.lit(" ")), 1, 80)), 0.9))
         open_ = open_.filter(F.col("verdict").isNotNull()).unionByName(said.withColumn("verdict", unsafe).drop("__said"))
     open_ = open_.withColumn("verdict", F.coalesce("verdict", _late(t)))
     return decided.select(*df.columns, "verdict").unionByName(open_.select(*df.columns, "verdict")).drop("__normal", "__early")
@@ -212,15 +287,21 @@ def verdicts(df: DataFrame, text: str, classifier=None, judge=None, threshold: f
 
 def sanitize(text: Column) -> Column:
     """struct<text, n>: every hard pattern, then every role tag, in one ordered
-    pass, replaced; n counts all matches.  Texts that no pattern meets stay as
-    they are after a single search."""
+    pass, replaced; n counts all matches.
+
+    Only patterns whose words the text holds are tried: what replaces a match
+    stands in brackets and adds no such word.  They are tried on what the ones
+    before left."""
     start = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    fold = F.aggregate(
-        F.array(*[F.lit(p) for p in HARD + TAGS]),
-        start,
-        lambda a, p: F.struct(F.regexp_replace(a["text"], p, F.lit(REDACTED)).alias("text"), (a["n"] + F.regexp_count(a["text"], p)).alias("n")),
-    )
-    return F.when(text.rlike(any_of(HARD + TAGS)), fold).otherwise(start)
+
+    def step(a: Column, p: Column) -> Column:
+        replaced = F.struct(F.regexp_replace(a["text"], p, F.lit(REDACTED)).alias("text"), (a["n"] + F.regexp_count(a["text"], p)).alias("n"))
+        return F.when(F.rlike(a["text"], p), replaced).otherwise(a)
+
+    def patterns(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(_may_match(low, w), F.lit(p)) for p, w in zip(HARD + TAGS, HARD_WORDS + TAG_WORDS)]))
+
+    return F.when(text.isNull(), start).otherwise(bind(bind(folded(text), patterns), lambda ps: F.aggregate(ps, start, step)))
 
 
 def scan(df: DataFrame, text: str, use_models: bool = False, threshold: float = THRESHOLD, **models) -> DataFrame:

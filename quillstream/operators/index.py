@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import non_empty, strip, words
+from ..store import saved
 
 # The scoring library's defaults.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+# End of fixed values.
 
 
 def normalized_chunks(df: DataFrame) -> DataFrame:
@@ -24,54 +26,64 @@ def normalized_chunks(df: DataFrame) -> DataFrame:
     return df.select(*rest, ids.alias("chunk_id"), text.alias("text"), page.alias("page_number")).filter((F.col("text") != "") & F.col("text").isNotNull())
 
 
-def postings(chunks: DataFrame, key: str = "chunk_ord") -> DataFrame:
-    """key, term, tf."""
-    return chunks.select(key, F.explode(words(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def term_rows(chunks: DataFrame) -> DataFrame:
+    """term, df, chunks, words: for each distinct term the chunks that have it, and,
+    spread over the terms, numbers that add up to all chunks and all their words.
 
+    A chunk's terms are distinct before they leave it, so what is shuffled is a
+    count for each term of a task."""
+    rows = chunks.select(words(F.col("text")).alias("w")).select(F.coalesce(F.size("w"), F.lit(0)).alias("n"), F.posexplode_outer(F.array_distinct("w")).alias("at", "term"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    return rows.groupBy("term").agg(F.count("term").alias("df"), F.sum(F.when(first, 1).otherwise(0)).alias("chunks"), F.sum(F.when(first, F.col("n")).otherwise(0)).alias("words"))
 
-def lengths(chunks: DataFrame, key: str = "chunk_ord") -> DataFrame:
-    """key, dl: terms of each chunk."""
-    return chunks.select(key, F.size(words(F.col("text"))).alias("dl"))
 
-
-def term_statistics(post: DataFrame, n: int) -> DataFrame:
+def term_statistics(rows: DataFrame, n: int, mean_raw: float) -> DataFrame:
     """term, df, idf over ``n`` chunks; a negative idf becomes EPSILON times the
     mean of all raw ones."""
-    terms = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = terms.withColumn("raw", raw)
-    mean = terms.agg(F.avg("raw").alias("mean_raw"))
-    # a single row
-    out = terms.join(F.broadcast(mean))
-    return out.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
+    raw = _raw_idf(n)
+    return rows.filter("term IS NOT NULL").select("term", "df", F.when(raw < 0, F.lit(EPSILON * mean_raw)).otherwise(raw).alias("idf"))
+
+
+def _raw_idf(n: int) -> Column:
+    return F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
 def impact(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+#: Distinct terms of a batch of questions that are broadcast; more are joined by shuffles.
+TERMS_AT_ONCE = 500_000
+
+
 class Index:
     """BM25 tables of a chunk collection (chunk_ord, text, page_number, embedding).
 
-    ``terms`` and ``post`` are derived once; the number of chunks and their mean
-    length are two numbers held by the driver."""
+    ``terms`` (the vocabulary) is a written table; the number of chunks, their mean
+    length and the mean raw idf are three numbers held by the driver.  Postings are
+    not stored: a batch of questions selects its terms in the chunks' own tasks."""
 
     def __init__(self, chunks: DataFrame):
         self.chunks = chunks
-        self.lengths = lengths(chunks)
-        self.n, self.avgdl = self.lengths.agg(F.count("*"), F.avg("dl")).first()
-        self.post = postings(chunks)
-        self.terms = term_statistics(self.post, self.n)
+        rows = saved(term_rows(chunks), "terms")
+        n, total = rows.agg(F.sum("chunks"), F.sum("words")).first()
+        self.n, self.avgdl = n or 0, (total or 0) / (n or 1)
+        mean = rows.filter("term IS NOT NULL").agg(F.avg(_raw_idf(self.n))).first()[0]
+        self.terms = term_statistics(rows, self.n, mean or 0.0)
 
     def scores(self, questions: DataFrame) -> DataFrame:
         """query_id, chunk_ord, score of chunks that share a term with a question
         (query_id, question); a term counts as often as the question has it.
 
-        Questions' terms select postings first, so only their lists are scored."""
+        Words that no question has go before anything is shuffled."""
         asked = questions.select("query_id", F.explode(words(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        wanted = self.post.join(asked, "term").join(self.terms, "term").join(self.lengths, "chunk_ord")
-        part = F.col("times") * impact(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(self.avgdl))
-        return wanted.groupBy("query_id", "chunk_ord").agg(F.sum(part).alias("score"))
+        asked = saved(asked.join(self.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "asked")
+        wanted = asked.select("term").distinct()
+        few = wanted.count() <= TERMS_AT_ONCE
+        tokens = self.chunks.select("chunk_ord", words(F.col("text")).alias("w")).select("chunk_ord", F.size("w").alias("dl"), F.explode("w").alias("term"))
+        post = tokens.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("chunk_ord", "dl", "term").agg(F.count("*").alias("tf"))
+        part = impact(F.col("weight"), F.col("tf"), F.col("dl"), F.lit(self.avgdl))
+        return post.join(asked, "term").groupBy("query_id", "chunk_ord").agg(F.sum(part).alias("score"))
 
 
 def write_vectors(chunks: DataFrame, path: str, encoder=None, session: str = "session_id", mode: str = "append") -> None:

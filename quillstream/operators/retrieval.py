@@ -7,14 +7,21 @@ not decide between equals; ties go to the earlier chunk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import saved
 from .index import Index
 
 RRF, SEMANTIC_WEIGHT = 60, 0.6
 #: Questions' vectors that are broadcast at a time: a bound on what every task holds.
 QUESTIONS_AT_ONCE = 4096
+#: Hashes of found texts that are broadcast to look their pages up; more are joined by a shuffle.
+TEXTS_AT_ONCE = 500_000
+#: Ranked rows that are broadcast to fetch their texts; more are joined by a shuffle.
+RANKED_AT_ONCE = 1_000_000
 
 
 def fetch_width(k: int) -> int:
@@ -22,10 +29,6 @@ def fetch_width(k: int) -> int:
     return max(3 * k, 20)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def ranked(scored: DataFrame, width: int, rank: str) -> DataFrame:
     """The ``width`` best rows of each query with 0-based ``rank``; the limit is
     stated on the row number, so each task cuts its own rows before the shuffle."""
@@ -33,20 +36,58 @@ def ranked(scored: DataFrame, width: int, rank: str) -> DataFrame:
     return scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= width).withColumn(rank, F.col("rn") - 1).drop("rn")
 
 
+#: Vectors of chunks that are scored at a time, against a block of questions.
+VECTORS_AT_ONCE = 1024
+
+
+def _nearest(ids: np.ndarray, vectors: np.ndarray, width: int):
+    """A task's function: of its chunks (chunk_ord, embedding) the ``width`` best for
+    each question, as (query_id, chunk_ord, score)."""
+
+    def run(batches):
+        best, number = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            for at in range(0, batch.num_rows, VECTORS_AT_ONCE):
+                part = batch.slice(at, VECTORS_AT_ONCE)
+                e = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                score = np.concatenate([best, np.round(vectors @ e.T, 9)], axis=1)
+                ords = np.concatenate([number, np.tile(part.column(0).to_numpy(), (len(ids), 1))], axis=1)
+                top = np.lexsort((ords, -score), axis=1)[:, :width]
+                best, number = np.take_along_axis(score, top, 1), np.take_along_axis(ords, top, 1)
+        n = best.shape[1]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(number.ravel()), pa.array(best.ravel())], ["query_id", "chunk_ord", "score"])
+
+    return run
+
+
 def semantic_ranks(chunks: DataFrame, questions: DataFrame, width: int) -> DataFrame:
     """query_id, chunk_ord, text, page_number, semantic_rank by cosine of unit vectors.
 
-    Every chunk meets every question of a block; blocks keep the broadcast side
-    bounded, and each task keeps ``width`` rows a question."""
-    asked = questions.filter("vector IS NOT NULL").select("query_id", "vector")
+    Exact: every chunk meets every question, as products of matrices in the chunks'
+    own tasks, which keep ``width`` rows a question; only those are shuffled.
+    Questions come in blocks of a bounded number of vectors."""
+    asked = questions.filter("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector")
     n = asked.count()
-    blocks = [asked] if n <= QUESTIONS_AT_ONCE else [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUESTIONS_AT_ONCE))) == k) for k in range(-(-n // QUESTIONS_AT_ONCE))]
-    out = None
-    for block in blocks:
-        scored = chunks.join(F.broadcast(block)).select("query_id", "chunk_ord", F.round(dot(F.col("embedding"), F.col("vector")), 9).alias("score"))
-        part = ranked(scored, width, "semantic_rank")
+    blocks = -(-n // QUESTIONS_AT_ONCE)
+    out, rows = None, chunks.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), "embedding")
+    for k in range(max(blocks, 1)):
+        block = asked if blocks <= 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        held = block.toArrow()
+        vectors = np.array(held.column("vector").to_pylist(), float).reshape(held.num_rows, -1)
+        found = rows.mapInArrow(_nearest(held.column("query_id").to_numpy(), vectors, width), "query_id long, chunk_ord long, score double")
+        part = ranked(found, width, "semantic_rank")
         out = part if out is None else out.unionByName(part)
-    return out.join(chunks.select("chunk_ord", "text", "page_number"), "chunk_ord").select("query_id", "chunk_ord", "text", "page_number", "semantic_rank")
+    return _with_chunks(out, chunks, "semantic_rank")
+
+
+def _with_chunks(top: DataFrame, chunks: DataFrame, rank: str) -> DataFrame:
+    """Ranked rows with the text and page of their chunk.  The ranked rows are few
+    beside the chunks and go to them, so that other chunks' texts stay where they are."""
+    top = saved(top.select("query_id", "chunk_ord", rank), "ranked")
+    top = F.broadcast(top) if top.count() <= RANKED_AT_ONCE else top
+    return chunks.select("chunk_ord", "text", "page_number").join(top, "chunk_ord").select("query_id", "chunk_ord", "text", "page_number", rank)
 
 
 def keyword_ranks(index: Index, questions: DataFrame, width: int) -> DataFrame:
@@ -59,7 +100,7 @@ def keyword_ranks(index: Index, questions: DataFrame, width: int) -> DataFrame:
     filler = questions.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))
     both = scores.unionByName(filler).groupBy("query_id", "chunk_ord").agg(F.max(F.struct(F.col("score") != 0, "score")).alias("s")).select("query_id", "chunk_ord", F.col("s.score").alias("score"))
     out = ranked(both, width, "keyword_rank")
-    return out.join(index.chunks.select("chunk_ord", "text", "page_number"), "chunk_ord").select("query_id", "chunk_ord", "text", "page_number", "keyword_rank")
+    return _with_chunks(out, index.chunks, "keyword_rank")
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, chunks: DataFrame, k: int, weight: float = SEMANTIC_WEIGHT) -> DataFrame:
@@ -76,10 +117,15 @@ def fuse(semantic: DataFrame, keyword: DataFrame, chunks: DataFrame, k: int, wei
     both = both.withColumn("rrf_score", share(F.col("semantic_rank"), weight) + share(F.col("keyword_rank"), 1 - weight)).withColumn("first", F.least("ord_s", "ord_k"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", 12)), "first")
     top = both.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
-    # a text that only keywords found has the page of its first chunk
-    pages = chunks.groupBy("text").agg(F.min_by("page_number", "chunk_ord").alias("page_k"))
+    top = saved(top, "fused")
+    # a text that only keywords found has the page of its first chunk; texts are
+    # told apart by two hashes, so that no text but the found ones is moved
+    key = [F.xxhash64("text").alias("h1"), F.hash("text", F.length("text")).alias("h2")]
+    sought = top.filter("page_s IS NULL").select(*key).distinct()
+    sought = F.broadcast(sought) if sought.count() <= TEXTS_AT_ONCE else sought
+    pages = chunks.select(*key, "chunk_ord", "page_number").join(sought, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min_by("page_number", "chunk_ord").alias("page_k"))
     source = F.when(F.col("semantic_rank").isNull(), "keyword").when(F.col("keyword_rank").isNull(), "semantic").otherwise("hybrid")
-    return top.join(pages, "text", "left").select(
+    return top.withColumns({"h1": key[0], "h2": key[1]}).join(pages, ["h1", "h2"], "left").select(
         "query_id",
         "text",
         F.coalesce("page_s", "page_k", F.lit(1)).alias("page_number"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..operators import answer, chunking, guard, index, ranking, retrieval, session
 from ..sources.documents import accepted_upload, client_accepted
 from .inputs import attacked, corpus, marked, markdown, questions, table, turns
@@ -29,8 +30,8 @@ def normalize_text(spark, sf_dir):
 
 
 def guard_regex_flag(spark, sf_dir):
-    df = attacked(spark, sf_dir).withColumn("normal", guard.normalize(F.col("text")))
-    return df.select("doc_id", guard.regex_flag(F.col("text"), F.col("normal")).alias("is_injection"), guard.regex_reason(F.col("text"), F.col("normal")).alias("reason"))
+    df = attacked(spark, sf_dir).withColumn("reason", bind(guard.normalize(F.col("text")), lambda n: guard.regex_reason(F.col("text"), n)))
+    return df.select("doc_id", F.col("reason").isNotNull().alias("is_injection"), "reason")
 
 
 def guard_synonym(spark, sf_dir):

@@ -99,3 +99,14 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r["turn_no"], r["n_history"], r["last_question"]) for r in spark.sql("select * from turn_history").collect())
     assert got[0] == (0, 0, None) and got[6] == (6, 5, "q5")
+
+
+def test_strip_is_linear(spark):
+    import time
+
+    from quillstream.functions.text import strip
+
+    texts = ["a" + " " * 1_000_000 + "b", " " * 1_000_000, " x\n", " \x1c y  ", "", "z"]
+    start = time.time()
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(strip(F.col("t"))).collect()]
+    assert got == [t.strip() for t in texts] and time.time() - start < 20
