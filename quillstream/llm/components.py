@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import forget, join_hot, saved
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,20 +14,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round every node takes the smallest label next to it, hands it to the
     node that its old label names, and then takes its label's label; the labels
     of a path of n nodes settle in about log n rounds.  Labels are a written
-    table after each round.  Joins are on nodes; a node with very many edges
-    only widens a join that adaptive execution can split.
+    table after each round, and the one before is deleted.  A node with very many
+    edges, and a label that very many nodes have, are hot keys: what they join
+    with is broadcast (``join_hot``); aggregates combine on the map side.
     """
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp"))
     labels = saved(labels, "labels")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("new"))
+        near = join_hot(both, labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = saved(labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("new")), "step")
         # the root of the old label learns what its members found
         heard = step.groupBy(F.col("comp").alias("node")).agg(F.min("new").alias("heard"))
-        step = saved(step.join(heard, "node", "left").select("node", "comp", F.least("new", F.coalesce("heard", "new")).alias("new")), "labels")
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        labels = saved(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("next", "new")).alias("comp"), (F.col("new") != F.col("comp")).alias("moved")), "labels")
+        told = saved(step.join(heard, "node", "left").select("node", "comp", F.least("new", F.coalesce("heard", "new")).alias("new")), "labels")
+        jump = told.select(F.col("node").alias("new"), F.col("new").alias("next"))
+        before, labels = labels, saved(join_hot(told, jump, "new", "left").select("node", F.least("new", F.coalesce("next", "new")).alias("comp"), (F.col("new") != F.col("comp")).alias("moved")), "labels")
+        forget(before, step, told)
         if labels.filter("moved").isEmpty():
+            forget(both)
             return labels.select("node", "comp")
     raise RuntimeError("components did not settle")

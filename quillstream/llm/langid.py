@@ -6,9 +6,11 @@ languages from both states, and a document's probabilities are the mean over
 all its positions.  The network is trained in numpy by backpropagation through
 time, on a bounded sample of labelled rows: of every language that a training
 row has, an equal share of ``SAMPLE_ROWS`` rows, but ``LANGUAGE_ROWS`` at least
-(all, where there are fewer), those with the smallest hash of (doc_id, text); at
-most ``SEGMENTS_PER_ROW`` segments of each, spread over the whole text.  Every
-document is then read whole.
+(all, where there are fewer), those with the smallest hash of (doc_id, text),
+repeated rows once; at most ``SEGMENTS_PER_ROW`` segments of each, spread over the
+whole text.  Hashes are chosen first, and only segments come to the driver, so
+what it gets does not depend on the rows' number or length.  Every document is
+then read whole.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so
 is every text if no row is labelled.  A null ``doc_id`` is never learned from
@@ -204,41 +206,56 @@ def _fold():
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS
 
 
-def sample(rows: DataFrame) -> list:
-    """Rows (text, lang, h) of every language with the smallest h, ordered by h and text."""
+def chosen(rows: DataFrame) -> list[tuple[str, int]]:
+    """(lang, h) of the smallest hashes of every language, from rows (lang, h)."""
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    each = max(LANGUAGE_ROWS, SAMPLE_ROWS // max(len(sizes), 1))
-    # hashes below a limit, of twice as many rows as needed, so that little is sorted
+    if not sizes:
+        return []
+    each = max(LANGUAGE_ROWS, SAMPLE_ROWS // len(sizes))
+    # hashes below a limit, of twice as many rows as needed, so that few are sorted
     wide = 2 * each + 40
     limits = [(lang, min(2**63 - 1, -(2**63) + 2**64 * wide // n)) for lang, n in sizes.items()]
-    if not limits:
-        return []
-    low = rows.join(F.broadcast(rows.sparkSession.createDataFrame(limits, "lang string, most bigint")), "lang").filter("h <= most").select("text", "lang", "h")
+    low = rows.join(F.broadcast(rows.sparkSession.createDataFrame(limits, "lang string, most bigint")), "lang").filter("h <= most")
     found: dict[str, list] = {lang: [] for lang in sizes}
-    for r in low.orderBy("h", "text").limit(2 * wide * len(sizes)).collect():
-        if len(found[r["lang"]]) < each:
-            found[r["lang"]].append(r)
+    for r in low.select("lang", "h").distinct().collect():
+        found[r["lang"]].append(r["h"])
     for lang, n in sizes.items():
         if len(found[lang]) < min(each, n):  # many repeated rows
-            found[lang] = rows.filter(F.col("lang") == lang).orderBy("h", "text").limit(each).collect()
-    return sorted((r for part in found.values() for r in part), key=lambda r: (r["h"], r["text"]))
+            found[lang] = [r["h"] for r in rows.filter(F.col("lang") == lang).select("h").distinct().orderBy("h").limit(each).collect()]
+    return sorted((lang, h) for lang, part in found.items() for h in sorted(part)[:each])
+
+
+SAMPLE = "lang string, h bigint, data binary"
+
+
+def _segments_of(batches):
+    """Segments of each row (lang, h, text), evenly spread over it from a place that its hash gives."""
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(2))
+        x, _, row = segments(data, offsets)
+        first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        out = []
+        for k, h in enumerate(batch.column(1).to_pylist()):
+            n = int(first[k + 1] - first[k])
+            pick = np.random.default_rng(h % (1 << 63)).choice(n, min(n, SEGMENTS_PER_ROW), replace=False)
+            out.append(x[first[k] + np.sort(pick)].astype("<i2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["lang", "h", "data"])
 
 
 def learn(docs: DataFrame) -> tuple[list[str], Network | None]:
     """Languages and network from ``docs`` (doc_id, text, lang), all of them labelled."""
-    rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    rows = sample(rows)
-    languages = sorted({r["lang"] for r in rows})
-    if not languages:
+    rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    picks = chosen(rows.select("lang", "h"))
+    if not picks:
         return [], None
-    rng = np.random.default_rng(3)
+    languages = sorted({lang for lang, _ in picks})
+    picked = F.broadcast(docs.sparkSession.createDataFrame(picks, "lang string, h bigint"))
+    # repeated rows are one by their hash
+    found = rows.join(picked, ["lang", "h"]).select("lang", "h", "text").mapInArrow(_segments_of, SAMPLE).dropDuplicates(["lang", "h"]).collect()
     xs, ys = [], []
-    for r in rows:
-        data, offsets = text_buffer(pa.array([r["text"]]))
-        x, _, _ = segments(data, offsets)
-        pick = np.sort(rng.choice(len(x), min(len(x), SEGMENTS_PER_ROW), replace=False))
-        xs.append(x[pick])
-        ys.append(np.full(len(pick), languages.index(r["lang"])))
+    for r in sorted(found, key=lambda r: (r["h"], r["lang"])):
+        xs.append(np.frombuffer(r["data"], "<i2").astype(np.int16).reshape(-1, SEGMENT))
+        ys.append(np.full(len(xs[-1]), languages.index(r["lang"])))
     network = Network(len(languages))
     if len(languages) > 1:
         network.train(np.concatenate(xs), np.concatenate(ys))

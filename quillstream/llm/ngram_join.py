@@ -5,9 +5,11 @@
 2.  Shingles are dealt by ranges of their hashes, as packed blocks of a few
     million, and counted over all documents.  What comes back to a document are
     its shingles that some other document has; shingles of one document alone
-    cannot match and only count.  Shingles in more than 1/64 of all documents
-    (of which there can be no more than 64 times the mean set size) are found
-    beforehand, stay out of the dealing and rank last, so no range holds a hot one.
+    cannot match and only count.  Hot shingles (of which there can be no more than
+    64 times the mean set size) are found beforehand, stay out of the dealing and
+    rank last: those that have 1/64 of all documents in the batches of which they
+    have 1/64.  So one that is dealt is in less than 2/64 of all documents (and
+    less than two more for each batch of fewer than 128).
 3.  Shingles are ranked by document frequency.  A document of n shingles with
     match count l has a prefix of n - ceil(0.8 n) + l; two similar documents
     share at least min(l, l') shingles of their prefixes.  Each document takes
@@ -21,6 +23,10 @@
     So all candidate pairs are decided, but pairs of a group are never rows.
 5.  Components of the links, by label propagation.
 
+Shingles are known by hashes: sets by 128 bits, classes by 64, and shingles, when
+counted and verified, by ``LOW_BITS`` and the bits of their range.  The result is
+exact but for equal hashes of different shingles.
+
 Defined cases: null, empty or wordless text has the empty set, is linked with
 nothing and is its own component; a null ``doc_id`` never names a component
 (one of only such rows has a null component_id); repeated rows are copies;
@@ -37,8 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import squeeze_keys, unsqueeze_keys
 from .components import components
-from .shared import release, saved
+from .shared import join_hot, release, replayable, saved
 from .textnum import U, mix, shingle_set, windows, words_by_run
 
 WORDS = 5
@@ -85,7 +92,7 @@ def _members(batches):
         n = len(nodes)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _MEMBER_NAMES)
         every = np.sort(np.concatenate([*parts, np.zeros(0, U)]))
-        least = max(8, -(-n // HOT))
+        least = max(2, -(-n // HOT))
         if len(every) >= least:
             # sorted: a shingle with so many documents equals the one least - 1 places on
             often = np.unique(every[: len(every) - least + 1][every[: len(every) - least + 1] == every[least - 1 :]])
@@ -94,7 +101,7 @@ def _members(batches):
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 4 + [pa.array(often.view(np.int64)), pa.array(count)], _MEMBER_NAMES)
 
 
-BLOCKS = "key bigint, block bigint, kind int, low binary, high binary, doc binary, extra binary"
+BLOCKS = "key bigint, block bigint, kind int, tokens binary, doc binary, extra binary"
 
 
 def _blocks(ranges: int, hot: np.ndarray):
@@ -111,7 +118,7 @@ def _blocks(ranges: int, hot: np.ndarray):
         at = np.searchsorted(hot, tokens)
         is_hot = (hot[np.minimum(at, len(hot) - 1)] == tokens) if len(hot) else np.zeros(len(tokens), bool)
         extra = np.array([_node(fp) for fp in fps], "<i8").tobytes() + sizes.astype("<i8").tobytes()
-        rows = [(block % ranges, block, 1, tokens[is_hot].tobytes(), b"", docs[is_hot].tobytes(), extra)]
+        rows = [(block % ranges, block, 1, tokens[is_hot].tobytes(), docs[is_hot].tobytes(), extra)]
         tokens, docs = tokens[~is_hot], docs[~is_hot]
         order = np.argsort(tokens)
         tokens, docs = tokens[order], docs[order]
@@ -120,8 +127,8 @@ def _blocks(ranges: int, hot: np.ndarray):
             t, d = tokens[cut[r] : cut[r + 1]] - edges[r], docs[cut[r] : cut[r + 1]]
             t = t >> U(max(0, 64 - LOW_BITS - int(np.log2(ranges))))
             wide = "<u4" if len(sets) > 65535 else "<u2"
-            rows.append((int(r), block, 0 if wide == "<u2" else 2, t.astype("<u4").tobytes(), (t >> U(32)).astype("<u2").tobytes(), d.astype(wide).tobytes(), b""))
-        kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
+            rows.append((int(r), block, 0 if wide == "<u2" else 2, squeeze_keys(t), d.astype(wide).tobytes(), b""))
+        kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in BLOCKS.split(", ")])
 
     def run(batches):
@@ -148,9 +155,10 @@ def _count(table: pa.Table) -> pa.Table:
     tokens, sizes = [], []
     for r in rows:
         if r["kind"] != 1:
-            tokens.append(np.frombuffer(r["low"], "<u4").astype(U) | np.frombuffer(r["high"], "<u2").astype(U) << U(32))
+            tokens.append(unsqueeze_keys(r["tokens"]))
             sizes.append(len(tokens[-1]))
     every = np.concatenate([*tokens, np.zeros(0, U)])
+    held = iter(tokens)
     order = np.argsort(every)
     s = every[order]
     starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
@@ -161,13 +169,13 @@ def _count(table: pa.Table) -> pa.Table:
         if r["kind"] == 1:
             out.append(r)
             continue
-        n = len(r["low"]) // 4
-        f = df[at : at + n]
-        at += n
+        mine = next(held)
+        f = df[at : at + len(mine)]
+        at += len(mine)
         keep = f > 1
         if keep.any():
             pick = lambda name, kind: np.frombuffer(r[name], kind)[keep].tobytes()  # noqa: E731, B023
-            out.append(r | {"low": pick("low", "<u4"), "high": pick("high", "<u2"), "doc": pick("doc", "<u4" if r["kind"] == 2 else "<u2"), "extra": f[keep].tobytes()})
+            out.append(r | {"tokens": squeeze_keys(mine[keep]), "doc": pick("doc", "<u4" if r["kind"] == 2 else "<u2"), "extra": f[keep].tobytes()})
     return pa.Table.from_pylist(out, table.schema)
 
 
@@ -205,11 +213,10 @@ def _assemble(ranges: int, hot_df: float):
         n = len(head[0]["extra"]) // 16
         nodes, sizes = np.frombuffer(head[0]["extra"], "<i8", n), np.frombuffer(head[0]["extra"], "<i8", n, 8 * n)
         # a shingle's number: its hash without the bits that weren't kept; hot ones keep theirs apart
-        doc, token, df = [np.frombuffer(head[0]["doc"], "<u4").astype(np.int64)], [np.frombuffer(head[0]["low"], U) >> U(1) | U(1 << 63)], [np.full(len(head[0]["doc"]) // 4, hot_df)]
+        doc, token, df = [np.frombuffer(head[0]["doc"], "<u4").astype(np.int64)], [np.frombuffer(head[0]["tokens"], U) >> U(1) | U(1 << 63)], [np.full(len(head[0]["doc"]) // 4, hot_df)]
         for r in rows:
             if r["kind"] != 1:
-                low = np.frombuffer(r["low"], "<u4").astype(U) | np.frombuffer(r["high"], "<u2").astype(U) << U(32)
-                token.append((low + U((r["key"] << 64) // ranges >> shift)) & U((1 << 63) - 1))
+                token.append((unsqueeze_keys(r["tokens"]) + U((r["key"] << 64) // ranges >> shift)) & U((1 << 63) - 1))
                 doc.append(np.frombuffer(r["doc"], "<u4" if r["kind"] == 2 else "<u2").astype(np.int64))
                 df.append(np.frombuffer(r["extra"], "<u4").astype(np.float64))
         doc, token, df = np.concatenate(doc), np.concatenate(token), np.concatenate(df)
@@ -422,6 +429,7 @@ def label(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id for every row of ``docs`` (doc_id,
     text); also comp, which names the component of a non-empty set."""
     spark = docs.sparkSession
+    docs = replayable(docs.select("doc_id", "text"), "documents")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     found = saved(rows.mapInArrow(_members, MEMBERS), "members")
     members = found.filter("n IS NOT NULL").select("doc_id", "row_key", "node", "n")
@@ -441,9 +449,10 @@ def label(docs: DataFrame) -> DataFrame:
     comps = links(sets)
     release(spark)
     classes = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = classes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least")
-    named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "comp", "component_id")
-    out = members.join(named, "node", "left")
+    named = saved(classes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least"), "classes")
+    # a component may have most classes, and a class most documents
+    named = saved(join_hot(named, named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "comp", "component_id"), "named")
+    out = join_hot(members, named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "comp")
 

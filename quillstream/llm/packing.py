@@ -7,7 +7,8 @@ bound from dual-feasible functions.  A partition that meets its bound is
 certified and gives up only its emptiest bin; one with a gap gives up every bin
 that is not full.  What was given up is dealt anew, into fewer partitions, and
 packed again, until the total meets the bound of the whole, one partition is
-left, or, after ``ROUNDS`` rounds, a round no longer lowers the total.
+left, or, after ``ROUNDS`` rounds (a parameter), a round no longer lowers the total; the log tells how
+far from the bound it ends.
 
 Defined cases: null text is empty and still gives its end id; repeated rows are
 packed each for itself; null ``doc_id`` is carried as it is; an empty table
@@ -16,6 +17,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from itertools import count
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .encoder import encoder, tokenizer_file
 from .shared import saved
 
+log = logging.getLogger(__name__)
+
 CAPACITY = 4096
 #: Pieces in a partition of the packing, about.
 PER_PARTITION = 3000
@@ -128,8 +132,8 @@ def _pack_partition(capacity: int, number: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
-    """``pieces`` (as of ``encode_pieces``) with sequence_id, offset, and bins and
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int | None = None) -> DataFrame:
+    """``pieces`` (as of ``encode_pieces``, a written table) with sequence_id, offset, and bins and
     bound of the partition that placed them last."""
     left, done = pieces, []
     histogram = sorted(tuple(r) for r in left.groupBy("length").count().collect())  # as many rows as the capacity at most
@@ -138,14 +142,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_P
     settled, before = 0, None
     for number in count():
         parts = max(1, -(-n // per_partition))
-        dealt = left.withColumn("part", F.pmod(F.xxhash64(F.lit(number), "doc_id", "piece", "start", "ids_crc32"), F.lit(parts)))
+        # by place in the written table: repeated rows are dealt like any others
+        dealt = left.withColumn("part", F.pmod(F.xxhash64(F.lit(number), F.monotonically_increasing_id()), F.lit(parts)))
         placed = saved(dealt.groupBy("part").applyInArrow(_pack_partition(capacity, number), PLACED), "packed")
         sums = placed.agg(F.count_distinct(F.when(~F.col("loose"), F.col("sequence_id"))).alias("kept"), F.count_distinct("sequence_id").alias("all"), F.sum(F.col("loose").cast("long")).alias("n")).first()
         n = sums["n"] or 0
         total = settled + sums["all"]
         gained = before is None or total < before
-        if parts == 1 or not n or total <= whole or (number >= ROUNDS - 1 and not gained):
+        if parts == 1 or not n or total <= whole or (number >= (ROUNDS if rounds is None else rounds) - 1 and not gained):
             done.append(placed)
+            log.info("%d sequences, the lower bound is %d", total, whole)
             break
         settled, before = settled + sums["kept"], total
         done.append(placed.filter(~F.col("loose")))

@@ -1,47 +1,39 @@
-"""Session helpers: the shared folder and tables that cut lineage."""
+"""Session helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE_ID = "__row_key"
-
+from ..functions.text import spread
+from ..store import forget, new_folder, saved, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
+__all__ = ["forget", "join_hot", "new_folder", "release", "replayable", "row_key", "saved", "shared_dir", "shuffle_partitions", "spread"]
 
-    Only where that setting is absent (tests, one machine) a temporary folder is
-    made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillstream-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Keys that are told apart as hot, at most.
+HOT_KEYS = 10_000
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def replayable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if a task that is run again meets its rows in the same order: if it is
+    read from files without an exchange; a written copy otherwise."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if "FileScan" in plan and "Exchange" not in plan and "Aggregate" not in plan else saved(df, name)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row for each ``key``.
 
-    The result has no lineage to recompute, survives lost executors, and is
-    column-pruned and compressed, unlike a checkpoint of rows.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    Keys that more than one in HOT_KEYS rows of ``left`` have are HOT_KEYS at most:
+    their rows of ``right`` are broadcast, so that no task gathers a hot key's rows.
+    ``left`` is read three times and should be a written table."""
+    counts = left.groupBy(key).count()
+    n = left.count()
+    hot = saved(counts.filter((F.col("count") > max(n // HOT_KEYS, 1)) & F.col(key).isNotNull()).select(key), "hot-keys")
+    some = right.join(F.broadcast(hot), key, "left_semi")
+    few = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(some), key, how)
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    return few.unionByName(rest)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text"):
