@@ -10,6 +10,7 @@ from .guard import normalize, query_validity, regex_flag, sanitize
 from .index import Index
 from .ranking import LEXICAL_THRESHOLD, lexical_score, rerank
 from .retrieval import hybrid_query
+from .session import messages
 
 # What a caller sees.
 NOT_FOUND = "Not found in document."
@@ -49,6 +50,20 @@ def citation(pages: Column) -> Column:
     return F.when(F.size(pages) > 0, F.concat(F.lit(" [Sources: Pages "), listed, F.lit("]"))).otherwise("")
 
 
+def request(prompt: Column, history: Column | None = None) -> Column:
+    """What a language model is given: struct<system, messages, prompt>; ``history``
+    (array<struct<question, answer>>) becomes alternating messages, null means none."""
+    none = F.array().cast("array<struct<role:string,parts:array<string>>>")
+    before = none if history is None else F.coalesce(messages(history), none)
+    return F.struct(F.lit(SYSTEM_PROMPT).alias("system"), before.alias("messages"), prompt.alias("prompt"))
+
+
+def api_chunk(chunk: Column) -> Column:
+    """A final chunk as the service returns it, defaults in place of nulls."""
+    fill = {"text": None, "page_number": 0, "retrieval_source": "unknown", "rrf_score": 0.0, "rerank_score": 0.0}
+    return F.struct(*[(chunk[k] if v is None else F.coalesce(chunk[k], F.lit(v))).alias(k) for k, v in fill.items()])
+
+
 def extract(chunks: Column) -> Column:
     """Offline stand-in for a language model: the first 300 characters of the best chunk."""
     return F.substring(chunks[0]["text"], 1, 300)
@@ -72,20 +87,23 @@ def _safe(candidates: Column) -> Column:
 
 def answer_questions(index: Index, questions: DataFrame, candidate_k: int = 20, k: int = 5, threshold: float = LEXICAL_THRESHOLD, scorer=None, generator=None) -> DataFrame:
     """query_id, status, answer, pages, final_chunks, candidates for every question
-    (query_id, question, vector, and resolved where a follow-up was resolved).
+    (query_id, question, vector, and, where there was a conversation, resolved: the
+    question that a follow-up stands for, and history: the turns before).
 
     After retrieval a question is one row with an array of at most
     ``candidate_k`` candidates: the scan, the reranking and the gate work within
     the row and shuffle nothing.  A ``scorer`` that is a pandas function gets
-    (question, text) rows instead.  ``generator`` is a function of the prompt,
-    null where nothing is to be generated; offline, the best chunk is quoted.
+    (question, text) rows instead.  ``generator`` is a function of the ``request``
+    (system prompt, messages of the history, prompt), null where nothing is to be
+    generated; offline, the best chunk is quoted.
     """
     q = questions.withColumn("ok", query_validity(F.col("question"))["ok"])
     ask = F.coalesce(F.col("resolved"), F.col("question")) if "resolved" in questions.columns else F.col("question")
-    q = q.withColumn("asked", ask)
+    turns = F.col("history") if "history" in questions.columns else F.lit(None).cast("array<struct<question:string,answer:string>>")
+    q = q.withColumns({"asked": ask, "turns": turns})
     asked = q.filter("ok").select("query_id", F.col("asked").alias("question"), "vector")
     found = grouped(hybrid_query(index, asked, candidate_k), "cand_ord", "candidates", *_FOUND)
-    rows = q.select("query_id", "question", "asked", "ok").join(found, "query_id", "left").withColumn("safe", _safe(F.col("candidates")))
+    rows = q.select("query_id", "question", "asked", "ok", "turns").join(found, "query_id", "left").withColumn("safe", _safe(F.col("candidates")))
     if scorer is None:
         order = lambda c: F.struct((-lexical_score(F.col("asked"), c["text"])).alias("worse"), c["cand_ord"], *[c[f].alias(f) for f in _FINAL[:-1]])
         best = F.slice(F.array_sort(F.transform("safe", order)), 1, k)
@@ -97,7 +115,8 @@ def answer_questions(index: Index, questions: DataFrame, candidate_k: int = 20,
     score = F.coalesce(F.get(F.col("final_chunks"), F.lit(0))["rerank_score"], F.lit(float("-inf")))
     rows = rows.withColumn("relevant", F.col("ok") & (score >= threshold))
     rows = rows.withColumn("prompt", F.when(F.col("relevant"), prompt(F.col("question"), F.col("final_chunks"))))
-    reply = generator(F.col("prompt")) if generator else F.when(F.col("relevant"), extract(F.col("final_chunks")))
+    rows = rows.withColumn("request", F.when(F.col("relevant"), request(F.col("prompt"), F.col("turns"))))
+    reply = generator(F.col("request")) if generator else F.when(F.col("relevant"), extract(F.col("final_chunks")))
     pages = F.array_sort(F.array_distinct(F.transform("final_chunks", lambda c: c["page_number"])))
     rows = rows.withColumn("reply", F.when(F.col("relevant"), sanitize(without_source(reply))["text"]))
     rows = rows.withColumn("pages", F.when(F.col("relevant"), pages).otherwise(F.array().cast("array<int>")))
@@ -114,9 +133,3 @@ def answer_questions(index: Index, questions: DataFrame, candidate_k: int = 20,
 def shown(text: Column, n: int = 250) -> Column:
     """A preview: the first n characters, with dots if there are more."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
-
-
-def fixed(x: Column, digits: int = 4) -> Column:
-    """A score with so many decimals, rounded by its exact binary value (0.01125 lies
-    below the middle and gives 0.0112, where ``format_string`` rounds its print)."""
-    return F.call_function("format_number", x, F.lit("0." + "0" * digits))

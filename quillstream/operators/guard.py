@@ -285,6 +285,18 @@ def verdicts(df: DataFrame, text: str, classifier=None, judge=None, threshold: f
     return decided.select(*df.columns, "verdict").unionByName(open_.select(*df.columns, "verdict")).drop("__normal", "__early")
 
 
+def warm_up(spark, **models) -> dict[str, bool]:
+    """Call each model (a pandas function of a text) once, on one row: whether it
+    answers.  One that fails is left to fail, or to be passed over, when it is used."""
+    out = {}
+    for name, model in models.items():
+        try:
+            out[name] = spark.createDataFrame([("hello",)], "text string").select(model(F.col("text")).alias("x")).first()["x"] is not None
+        except Exception:  # noqa: BLE001  a model that can't be loaded is no error at start
+            out[name] = False
+    return out
+
+
 def sanitize(text: Column) -> Column:
     """struct<text, n>: every hard pattern, then every role tag, in one ordered
     pass, replaced; n counts all matches.

@@ -96,6 +96,11 @@ def write_vectors(chunks: DataFrame, path: str, encoder=None, session: str = "se
     chunks.write.mode(mode).partitionBy(session).parquet(path)
 
 
+def count_vectors(spark, path: str, session: str = "session_id") -> DataFrame:
+    """session, n: chunks that a vector table holds, by session."""
+    return spark.read.parquet(path).groupBy(F.col(session).cast("string").alias(session)).agg(F.count("*").alias("n"))
+
+
 def reset_session(spark, path: str, chunks: DataFrame, session: str = "session_id") -> None:
     """Replace the sessions that ``chunks`` has and leave the others."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(session).parquet(path)

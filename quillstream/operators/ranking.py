@@ -20,6 +20,15 @@ def lexical_score(question: Column, text: Column) -> Column:
     return F.lit(8.0) * shared / F.greatest(F.size(asked), F.lit(1)) - 6.0
 
 
+#: What stands for a candidate's field that retrieval didn't give.
+DEFAULTS = {"retrieval_source": "unknown", "semantic_rank": -1, "keyword_rank": -1, "rrf_score": 0.0}
+
+
+def with_defaults(candidates: DataFrame) -> DataFrame:
+    """``candidates`` with every field of DEFAULTS, null or missing ones filled."""
+    return candidates.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in candidates.columns else F.lit(v) for k, v in DEFAULTS.items()})
+
+
 def rerank(candidates: DataFrame, k: int = 5, scorer=None, question: str = "question") -> DataFrame:
     """The k best candidates of each query with rerank_score and final_ord; ties
     keep the candidates' order.  ``scorer``: function of two columns, native or a

@@ -40,7 +40,7 @@ def ranked(scored: DataFrame, width: int, rank: str) -> DataFrame:
 VECTORS_AT_ONCE = 1024
 
 
-def _nearest(ids: np.ndarray, vectors: np.ndarray, width: int):
+def _nearest(ids: pa.Array, vectors: np.ndarray, width: int):
     """A task's function: of its chunks (chunk_ord, embedding) the ``width`` best for
     each question, as (query_id, chunk_ord, score)."""
 
@@ -57,7 +57,7 @@ def _nearest(ids: np.ndarray, vectors: np.ndarray, width: int):
                 best, number = np.take_along_axis(score, top, 1), np.take_along_axis(ords, top, 1)
         n = best.shape[1]
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(number.ravel()), pa.array(best.ravel())], ["query_id", "chunk_ord", "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), n))), pa.array(number.ravel()), pa.array(best.ravel())], ["query_id", "chunk_ord", "score"])
 
     return run
 
@@ -68,7 +68,7 @@ def semantic_ranks(chunks: DataFrame, questions: DataFrame, width: int) -> DataF
     Exact: every chunk meets every question, as products of matrices in the chunks'
     own tasks, which keep ``width`` rows a question; only those are shuffled.
     Questions come in blocks of a bounded number of vectors."""
-    asked = questions.filter("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    asked = questions.filter("vector IS NOT NULL").select("query_id", "vector")
     n = asked.count()
     blocks = -(-n // QUESTIONS_AT_ONCE)
     out, rows = None, chunks.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), "embedding")
@@ -76,7 +76,8 @@ def semantic_ranks(chunks: DataFrame, questions: DataFrame, width: int) -> DataF
         block = asked if blocks <= 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
         held = block.toArrow()
         vectors = np.array(held.column("vector").to_pylist(), float).reshape(held.num_rows, -1)
-        found = rows.mapInArrow(_nearest(held.column("query_id").to_numpy(), vectors, width), "query_id long, chunk_ord long, score double")
+        ids = held.column("query_id").combine_chunks()
+        found = rows.mapInArrow(_nearest(ids, vectors, width), f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_ord long, score double")
         part = ranked(found, width, "semantic_rank")
         out = part if out is None else out.unionByName(part)
     return _with_chunks(out, chunks, "semantic_rank")

@@ -64,6 +64,18 @@ def sessions(turns: DataFrame) -> DataFrame:
     return turns.groupBy("session_id").agg(F.count("*").alias("n_turns"), F.max("turn_no").alias("last_turn"))
 
 
+def created(uploads: DataFrame, answers: DataFrame) -> DataFrame:
+    """Sessions as uploads (session_id, filenames) make them, with what they hold of
+    ``answers``' turns: session_id, filenames, history_turns, last_question."""
+    held = answers.groupBy("session_id").agg(F.count("*").alias("history_turns"), F.max_by("question", "turn_no").alias("last_question"))
+    return uploads.join(held, "session_id", "left").withColumn("history_turns", F.coalesce("history_turns", F.lit(0).cast("bigint")))
+
+
+def session(sessions_: DataFrame, session_id: str) -> DataFrame:
+    """One session; no row if it is not there."""
+    return sessions_.filter(F.col("session_id") == session_id)
+
+
 def needs_reindex(uploads: DataFrame) -> DataFrame:
     """``uploads`` (session_id, upload_no, filenames) with reindex: whether the
     sorted names differ from those of the upload before."""

@@ -103,11 +103,12 @@ def questions(spark, sf_dir) -> DataFrame:
     return b.join(e, "v", "left").select("query_id", "question", "vector")
 
 
-SQL_CORPUS = """vectors AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+SQL_CHUNKS = """vectors AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
 corpus AS MATERIALIZED (
   SELECT doc_id AS chunk_ord, text, (doc_id % 50 + 1)::INT AS page_number, embedding::DOUBLE[] AS embedding
   FROM documents LEFT JOIN embeddings ON vec_id = doc_id % (SELECT n FROM vectors)
-), questions AS MATERIALIZED (
+)"""
+SQL_CORPUS = SQL_CHUNKS + """, questions AS MATERIALIZED (
   SELECT item_id AS query_id, text AS question, embedding::DOUBLE[] AS vector FROM benchmark LEFT JOIN embeddings ON vec_id = item_id * 7 % (SELECT n FROM vectors)
 )"""
 
@@ -124,3 +125,73 @@ SQL_TURNS = """turns AS (
     SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant'
 )"""
+
+
+def chat_questions(spark, sf_dir) -> DataFrame:
+    """query_id, session_id, turn_no, question, resolved, history, vector: every turn
+    of a conversation as a question, with some vector."""
+    from ..operators.session import history, resolve
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
+    n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    asked = history(resolve(turns(spark, sf_dir))).join(F.broadcast(n)).withColumn("v", F.pmod(F.col("session_id").cast("bigint") * 31 + F.col("turn_no"), F.col("n")))
+    return asked.join(e, "v", "left").select(F.concat_ws("-", "session_id", "turn_no").alias("query_id"), "session_id", "turn_no", "question", "resolved", "history", "vector")
+
+
+def _docx(text: str, n: int) -> bytes:
+    """A document of the lines of a text, every fourth a heading, and a table."""
+    import io
+    import re
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    run = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
+    style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
+    lines = re.sub("[\\x00-\\x09\\x0b-\\x1f]", "", text).split("\n")
+    body = "".join(f"<w:p>{style if i % 4 == 0 else ''}{run(t)}</w:p>" for i, t in enumerate(lines))
+    cell = lambda t: f"<w:tc><w:p>{run(t)}</w:p></w:tc>"
+    grid = "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in (("key", "value"), ("number", str(n))))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}<w:tbl>{grid}</w:tbl></w:body></w:document>")
+    return out.getvalue()
+
+
+def docx_files(spark, sf_dir) -> DataFrame:
+    """path, content: a DOCX file of each attacked document."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = [(f"{i}.docx", _docx(t, i)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+    return attacked(spark, sf_dir).mapInArrow(run, "path string, content binary")
+
+
+def layouts(spark, sf_dir) -> DataFrame:
+    """doc_id, items, markdown, pages: documents as a layout parser gives them, each
+    of five kinds so that another rung of the ladder reads it."""
+    lines, k = F.split("text", "\n"), F.col("doc_id") % 5
+    item = lambda t, i: F.struct(F.when(k == 0, F.floor(i / 10).cast("int") + 1).otherwise(1).alias("page_number"), t.alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.when(k <= 1, F.transform(lines, item)).alias("items"),
+        F.when(k == 1, F.array_join(lines, "<!-- PageBreak -->")).when(k == 2, F.col("text")).when(k == 3, F.array_join(lines, "\n\n")).otherwise("").alias("markdown"),
+        F.when(k == 2, lines).alias("pages"),
+    )
+
+
+SQL_LAYOUTS = """parts AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), on_pages AS (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN (i - 1) // 10 + 1 ELSE i END AS page_number, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text, i FROM parts WHERE doc_id % 5 IN (0, 1, 2)
+), paged AS (
+  SELECT doc_id, page_number, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM on_pages WHERE text <> '' GROUP BY ALL
+), several AS (
+  SELECT * FROM paged QUALIFY doc_id % 5 = 2 OR count(*) OVER (PARTITION BY doc_id) > 1
+), markdown AS (
+  SELECT doc_id, replace(text, chr(10), CASE WHEN doc_id % 5 = 1 THEN '<!-- PageBreak -->' WHEN doc_id % 5 = 2 THEN chr(10) ELSE chr(10) || chr(10) END) AS text FROM documents
+  WHERE doc_id % 5 IN (1, 2, 3) AND text <> '' AND doc_id NOT IN (SELECT doc_id FROM several)
+)"""

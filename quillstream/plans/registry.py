@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import argmax, fixed, kilobytes, softmax
 from ..functions.text import bind
 from ..operators import answer, chunking, guard, index, ranking, retrieval, session
-from ..sources.documents import accepted_upload, client_accepted
-from .inputs import attacked, corpus, marked, markdown, questions, table, turns
+from ..sources.documents import accepted_upload, client_accepted, layout_pages, read_documents
+from ..store import new_folder
+from .inputs import attacked, chat_questions, corpus, docx_files, layouts, marked, markdown, questions, table, turns
 from .sql import FILES, SQL
 
 
@@ -207,7 +209,110 @@ def row_normalize(spark, sf_dir):
 
 def api_projection(spark, sf_dir):
     final = _final(spark, sf_dir)[1]
-    return final.select("query_id", "page_number", answer.shown(F.col("text")).alias("preview"), answer.fixed(F.col("rrf_score")).alias("rrf"), answer.fixed(F.col("rerank_score")).alias("rerank"))
+    return final.select("query_id", "page_number", answer.shown(F.col("text")).alias("preview"), fixed(F.col("rrf_score")).alias("rrf"), fixed(F.col("rerank_score")).alias("rerank"))
+
+
+def chat_requests(spark, sf_dir):
+    rows = session.history(turns(spark, sf_dir))
+    nothing = F.array().cast("array<struct<text:string,page_number:int>>")
+    r = rows.withColumn("r", answer.request(answer.prompt(F.col("question"), nothing), F.col("history")))
+    said = F.transform("r.messages", lambda m: F.concat(m["role"], F.lit("="), m["parts"][0]))
+    return r.select("session_id", "turn_no", F.array_join(F.concat(said, F.array(F.concat(F.lit("user="), F.col("r.prompt")))), "|").alias("messages"))
+
+
+def chat_pipeline(spark, sf_dir):
+    # stands for a model: says how much it was told
+    told = lambda r: F.concat(F.size(r["messages"]).cast("string"), F.lit(" messages; "), F.left(r["prompt"], F.lit(80)))
+    return answer.answer_questions(_index(spark, sf_dir), chat_questions(spark, sf_dir), generator=told).select("query_id", "answer")
+
+
+def answer_outputs(spark, sf_dir):
+    listed = lambda rows, *fields: F.array_join(F.transform(rows, lambda c: F.concat_ws(":", *[f(c) for f in fields])), " ")
+    of = lambda name: lambda c: c[name].cast("string")
+    out = answer.answer_questions(_index(spark, sf_dir), questions(spark, sf_dir))
+    return out.select(
+        "query_id",
+        "status",
+        F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"),
+        F.coalesce(listed(F.col("final_chunks"), of("final_ord"), of("page_number"), of("retrieval_source"), lambda c: F.length(c["text"]).cast("string")), F.lit("")).alias("final_chunks"),
+        F.coalesce(listed(F.col("candidates"), of("cand_ord"), of("page_number"), of("retrieval_source"), of("semantic_rank"), of("keyword_rank")), F.lit("")).alias("candidates"),
+    )
+
+
+def api_defaults(spark, sf_dir):
+    # fields that a store didn't keep
+    gone = {"page_number": F.col("query_id") % 2 == 0, "retrieval_source": F.col("final_ord") % 2 == 0, "rrf_score": F.col("query_id") % 3 == 0, "rerank_score": F.col("final_ord") == 1}
+    rows = _final(spark, sf_dir)[1].withColumns({c: F.when(~when, F.col(c)) for c, when in gone.items()})
+    chunk = F.struct("text", "page_number", "retrieval_source", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 9).alias("rerank_score"))
+    return rows.withColumn("c", answer.api_chunk(chunk)).select("query_id", "final_ord", "c.*")
+
+
+def rerank_defaults(spark, sf_dir):
+    asked = questions(spark, sf_dir)
+    rows = retrieval.hybrid_query(_index(spark, sf_dir), asked, 20).drop("semantic_rank", "rrf_score")
+    rows = rows.withColumns({"retrieval_source": F.when(F.col("page_number") % 2 != 0, F.col("retrieval_source")), "keyword_rank": F.when(F.col("page_number") % 3 != 0, F.col("keyword_rank"))})
+    out = ranking.rerank(ranking.with_defaults(rows).join(asked.select("query_id", "question"), "query_id"), 5)
+    return out.select("query_id", "final_ord", "retrieval_source", "semantic_rank", "keyword_rank", "rrf_score", F.round("rerank_score", 9).alias("rerank_score"))
+
+
+def guard_models(spark, sf_dir):
+    # stand for the models: answer by the length of what they read; null: not there
+    n = F.length
+    classifier = lambda m: F.struct(F.when(n(m) % 2 == 0, "INJECTION").otherwise("SAFE").alias("label"), (n(m) % 100 / 100).alias("score"))
+    judge = lambda m: F.when(n(m) % 7 == 0, F.concat(F.lit(" Unsafe\nS"), (n(m) % 10).cast("string"))).when(n(m) % 7 != 1, "safe")
+    return guard.verdicts(attacked(spark, sf_dir), "text", classifier=classifier, judge=judge).select("doc_id", "verdict.*")
+
+
+def docx_pages(spark, sf_dir):
+    rows = read_documents(docx_files(spark, sf_dir))
+    return rows.select(F.concat(F.replace("path", F.lit(".docx"), F.lit("#")), F.col("page_number").cast("string")).alias("page"), "text", F.col("n_redactions").cast("bigint").alias("n_redactions"))
+
+
+def layout_ladder(spark, sf_dir):
+    return layouts(spark, sf_dir).select("doc_id", F.inline(layout_pages(F.col("items"), F.col("markdown"), F.col("pages"))))
+
+
+def vector_sink(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_ord"), "text", (F.col("doc_id") % 5).cast("string").alias("session_id"))
+    # stands for an encoder
+    encoder = lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float"))
+    path = new_folder(spark, "vectors")
+    index.write_vectors(chunks.filter("session_id < '3'"), path, encoder)
+    index.write_vectors(chunks.filter("session_id >= '3'"), path, encoder)
+    again = chunks.filter("session_id < '2' AND chunk_ord % 3 = 0").withColumn("embedding", encoder(F.col("text")))
+    index.reset_session(spark, path, again)
+    kept = index.count_vectors(spark, path)
+    unit = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 5) == 1
+    sound = spark.read.parquet(path).filter(unit | (F.col("session_id") < 2)).groupBy(F.col("session_id").cast("string").alias("session_id")).agg(F.count("*").alias("n_kept"))
+    return kept.join(sound, "session_id")
+
+
+def append_turns(spark, sf_dir):
+    old = turns(spark, sf_dir)
+    more = old.select("session_id").distinct().select("session_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("order"))
+    said = lambda w: F.concat(F.lit(w), F.col("order").cast("string"))
+    return session.append_turns(old, more.select("session_id", "order", said("more ").alias("question"), said("said ").alias("answer")))
+
+
+def session_info(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(f) for f in FILES]), (F.col("conv_id") % len(FILES) + 1).cast("int"))
+    uploads = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), name.alias("filenames")).distinct()
+    return session.created(uploads, turns(spark, sf_dir))
+
+
+def reindex_flags(spark, sf_dir):
+    names = F.array(F.concat(F.lit("a"), F.floor((F.col("turn") + F.col("conv_id")) / 2).cast("bigint").cast("string")), F.concat(F.lit("b"), (F.col("conv_id") % 3).cast("string")))
+    uploads = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("upload_no"), names.alias("filenames"))
+    return session.needs_reindex(uploads).select("session_id", "upload_no", "reindex")
+
+
+def softmax_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("p", softmax(F.col("embedding"))).withColumn("label", argmax(F.col("p")))
+    return rows.select("vec_id", "label", F.round(F.get("p", F.col("label").cast("int")), 9).alias("score"))
+
+
+def file_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", kilobytes(F.octet_length("text")).alias("size"))
 
 
 def queries() -> dict:

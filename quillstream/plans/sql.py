@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import guard as g
 from ..operators import session as s
-from .inputs import SQL_ATTACKED, SQL_CORPUS, SQL_MARKDOWN, SQL_MARKED, SQL_TURNS, sql_string
+from .inputs import SQL_ATTACKED, SQL_CHUNKS, SQL_CORPUS, SQL_LAYOUTS, SQL_MARKDOWN, SQL_MARKED, SQL_TURNS, sql_string
 
 NL = "chr(10)"
 
@@ -176,6 +176,17 @@ _BASE = r"CASE WHEN contains(filename, '.') THEN regexp_replace(filename, '\.[^.
 _CLEAN = rf"regexp_replace(regexp_replace({_BASE}, '[^a-zA-Z0-9._-]', '_', 'g'), '^[._-]+|[._-]+$', '', 'g')"
 
 
+FOLDED = f"""folded AS (
+        SELECT doc_id, list_reduce(list_transform(list_filter(list_transform(string_split(text, {NL} || {NL}), lambda x: {strip('x')}), lambda x: x <> ''),
+            lambda x: {{'page': [x], 'size': length(x), 'pages': []::VARCHAR[]}}),
+          lambda a, b: CASE WHEN a.size + b.size > 3000 AND len(a.page) > 0
+            THEN {{'page': b.page, 'size': b.size, 'pages': list_append(a.pages, array_to_string(a.page, {NL} || {NL}))}}
+            ELSE {{'page': list_concat(a.page, b.page), 'size': a.size + b.size, 'pages': a.pages}} END,
+          {{'page': []::VARCHAR[], 'size': 0::BIGINT, 'pages': []::VARCHAR[]}}) AS r FROM markdown)"""
+VIRTUAL = f"""SELECT doc_id, i::INT AS page_number, text FROM (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS i FROM (
+        SELECT doc_id, CASE WHEN len(r.page) > 0 THEN list_append(r.pages, array_to_string(r.page, {NL} || {NL})) ELSE r.pages END AS p FROM folded))"""
+
+
 def _with(*parts: str) -> str:
     """CTE groups, then the query."""
     return "WITH " + ", ".join(parts[:-1]) + " " + parts[-1]
@@ -201,14 +212,7 @@ SQL = {
         SELECT doc_id, i, {strip('part')} AS text FROM (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (
           SELECT doc_id, CASE WHEN contains(text, chr(12)) THEN string_split(text, chr(12)) WHEN contains(text, '<!-- PageBreak -->') THEN string_split(text, '<!-- PageBreak -->')
             ELSE string_split(text, {NL} || '---' || {NL}) END AS p FROM marked))) WHERE text <> ''"""),
-    "virtual_pages": _with(SQL_MARKDOWN, f"""folded AS (
-        SELECT doc_id, list_reduce(list_transform(list_filter(list_transform(string_split(text, {NL} || {NL}), lambda x: {strip('x')}), lambda x: x <> ''),
-            lambda x: {{'page': [x], 'size': length(x), 'pages': []::VARCHAR[]}}),
-          lambda a, b: CASE WHEN a.size + b.size > 3000 AND len(a.page) > 0
-            THEN {{'page': b.page, 'size': b.size, 'pages': list_append(a.pages, array_to_string(a.page, {NL} || {NL}))}}
-            ELSE {{'page': list_concat(a.page, b.page), 'size': a.size + b.size, 'pages': a.pages}} END,
-          {{'page': []::VARCHAR[], 'size': 0::BIGINT, 'pages': []::VARCHAR[]}}) AS r FROM markdown)""", f"""SELECT doc_id, i::INT AS page_number, text FROM (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS i FROM (
-        SELECT doc_id, CASE WHEN len(r.page) > 0 THEN list_append(r.pages, array_to_string(r.page, {NL} || {NL})) ELSE r.pages END AS p FROM folded))"""),
+    "virtual_pages": _with(SQL_MARKDOWN, FOLDED, VIRTUAL),
     "multi_file_cap": _with(CHUNKS, """SELECT session_id, doc_id, chunk_ord::INT AS chunk_ord, text FROM (
         SELECT doc_id // 20 AS session_id, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id, chunk_ord) - 1 AS chunk_ord, text FROM chunks WHERE chunk_ord < 1200) WHERE chunk_ord < 1200"""),
     "bm25_terms": _with(SQL_CORPUS, BM25.partition("asked AS")[0].rstrip().rstrip(","), "SELECT term, df, round(idf, 6) AS idf FROM terms"),
@@ -245,3 +249,53 @@ SQL = {
     "row_normalize": f"""SELECT doc_id, {strip("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  ' || text || chr(9) ELSE text END")} AS text, coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END, 1)::INT AS page_number FROM documents""",
     "api_projection": _with(RETRIEVAL, RERANK, "SELECT query_id, page_number, CASE WHEN length(text) > 250 THEN left(text, 250) || '...' ELSE text END AS preview, printf('%.4f', rrf_score) AS rrf, printf('%.4f', rerank_score) AS rerank FROM final"),
 }
+
+MODEL_TEXT = "CASE WHEN length(n) > 1000 THEN left(n, 500) || ' ... ' || right(n, 500) ELSE n END"
+#: What the stand-ins for models in ``guard_models`` answer: by the length of what they read.
+STUB_SCORE, STUB_SAID = "length(m) % 100 / 100.0::DOUBLE", "CASE length(n) % 7 WHEN 0 THEN ' Unsafe' || chr(10) || 'S' || length(n) % 10 WHEN 1 THEN NULL ELSE 'safe' END"
+CHAT = f"""hist AS (
+  SELECT session_id, turn_no, question, answer, {strip('lower(question)')} AS ql, lag(question) OVER (PARTITION BY session_id ORDER BY turn_no) AS p,
+    least(row_number() OVER (PARTITION BY session_id ORDER BY turn_no) - 1, 5) AS n_history FROM turns
+), questions AS MATERIALIZED (
+  SELECT session_id || '-' || turn_no AS query_id, question AS raw, CASE WHEN p IS NOT NULL AND {FOLLOWUP} THEN p || ' ' || question ELSE question END AS question, n_history, embedding::DOUBLE[] AS vector
+  FROM hist LEFT JOIN embeddings ON vec_id = (session_id::BIGINT * 31 + turn_no) % (SELECT n FROM vectors)
+)"""
+FINAL_ROWS = f"best AS (SELECT query_id, max(rerank_score) AS b, {CONTEXT} AS context, {CITED} AS cited, left(arg_min(text, rn), 300) AS quoted, list_sort(list_distinct(list(page_number))) AS pages, string_agg(rn || ':' || page_number || ':' || retrieval_source || ':' || length(text), ' ' ORDER BY rn) AS chunks FROM final GROUP BY query_id)"
+CANDIDATES = "found AS (SELECT query_id, string_agg(cand_ord || ':' || page_number || ':' || retrieval_source || ':' || semantic_rank || ':' || keyword_rank, ' ' ORDER BY cand_ord) AS candidates FROM candidates GROUP BY query_id)"
+CHECKED = f"asked_ok AS (SELECT doc_id AS query_id, {VALIDITY} = '' AS ok FROM attacked JOIN verdicts USING (doc_id))"
+
+SQL |= {
+    "chat_requests": _with(SQL_TURNS, f"""SELECT session_id, turn_no, coalesce(h || '|', '') || 'user=Context:' || {NL} || '[No retrieved context]' || {NL} || {NL} || 'Question: ' || {strip('question')} || {NL} || {NL} || 'Answer:' AS messages FROM (
+        SELECT session_id, turn_no, question, array_to_string(list('user=' || question || '|model=' || answer) OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '|') AS h FROM turns)"""),
+    "chat_pipeline": _with(SQL_CHUNKS, SQL_TURNS, CHAT, BM25, fusion(20), RERANK, "attacked AS (SELECT query_id AS doc_id, raw AS text FROM questions)", VERDICT, FINAL_ROWS, CHECKED, f"""SELECT query_id,
+        CASE WHEN NOT ok THEN {sql_string('Your query could not be processed for security reasons.')} WHEN b >= -4.0 THEN n_history * 2 || ' messages; ' || {strip(f"left('Context:' || {NL} || context, 80)")} || cited ELSE 'Not found in document.' END AS answer
+        FROM questions JOIN asked_ok USING (query_id) LEFT JOIN best USING (query_id)"""),
+    "answer_outputs": _with(RETRIEVAL, RERANK, "attacked AS (SELECT query_id AS doc_id, question AS text FROM questions)", VERDICT, FINAL_ROWS, CANDIDATES, CHECKED, """SELECT query_id,
+        CASE WHEN NOT ok THEN 'blocked' WHEN b >= -4.0 THEN 'answered' ELSE 'irrelevant' END AS status,
+        CASE WHEN ok AND b >= -4.0 THEN array_to_string(pages, ',') ELSE '' END AS pages, CASE WHEN ok AND b >= -4.0 THEN chunks ELSE '' END AS final_chunks, CASE WHEN ok THEN candidates ELSE '' END AS candidates
+        FROM asked_ok LEFT JOIN best USING (query_id) LEFT JOIN found USING (query_id)"""),
+    "api_defaults": _with(RETRIEVAL, RERANK, """SELECT query_id, rn::INT AS final_ord, text, CASE WHEN query_id % 2 = 0 THEN 0 ELSE page_number END AS page_number, CASE WHEN rn % 2 = 0 THEN 'unknown' ELSE retrieval_source END AS retrieval_source,
+        CASE WHEN query_id % 3 = 0 THEN 0.0 ELSE round(rrf_score, 9) END::DOUBLE AS rrf_score, CASE WHEN rn = 1 THEN 0.0 ELSE round(rerank_score, 9) END::DOUBLE AS rerank_score FROM final"""),
+    "rerank_defaults": _with(RETRIEVAL, RERANK, "SELECT query_id, rn::INT AS final_ord, CASE WHEN page_number % 2 = 0 THEN 'unknown' ELSE retrieval_source END AS retrieval_source, -1 AS semantic_rank, CASE WHEN page_number % 3 = 0 THEN -1 ELSE keyword_rank END AS keyword_rank, 0.0::DOUBLE AS rrf_score, round(rerank_score, 9) AS rerank_score FROM final"),
+    "guard_models": _with(SQL_ATTACKED, VERDICT, f"""read AS (SELECT doc_id, n, {MODEL_TEXT} AS m FROM (SELECT doc_id, {normal('text')} AS n FROM attacked)),
+        models AS (SELECT doc_id, {STUB_SCORE} AS score, length(m) % 2 = 0 AS bad, {STUB_SAID} AS said FROM read)""", """SELECT doc_id,
+        CASE WHEN confidence >= 0.85 OR blank THEN is_injection WHEN (bad AND score >= 0.85) OR said LIKE ' Unsafe%' THEN true ELSE is_injection END AS is_injection,
+        CASE WHEN confidence >= 0.85 OR blank THEN reason WHEN bad AND score >= 0.85 THEN 'DeBERTa: INJECTION (' || printf('%.3f', score) || ')' WHEN said LIKE ' Unsafe%' THEN 'LlamaGuard: unsafe ' || lower(right(said, 2)) ELSE reason END AS reason,
+        CASE WHEN confidence >= 0.85 OR blank THEN confidence WHEN bad AND score >= 0.85 THEN score WHEN said LIKE ' Unsafe%' THEN 0.9 ELSE confidence END::DOUBLE AS confidence
+        FROM models JOIN verdicts USING (doc_id) JOIN (SELECT doc_id, """ + strip("text") + """ = '' AS blank FROM attacked) USING (doc_id)"""),
+    "docx_pages": _with(SQL_ATTACKED, f"""lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '[\\x00-\\x09\\x0b-\\x1f]', '', 'g'), {NL}) AS l FROM attacked)),
+        paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, CASE WHEN i % 4 = 0 THEN {NL} || '## ' ELSE '' END || {strip('line')} AS item FROM lines WHERE {strip('line')} <> ''),
+        items AS (SELECT * FROM paras UNION ALL SELECT doc_id, coalesce(k, 0), {NL} || '| key | value |' || {NL} || '| --- | --- |' || {NL} || '| number | ' || doc_id || ' |' || {NL} FROM documents LEFT JOIN (SELECT doc_id, count(*) AS k FROM paras GROUP BY doc_id) USING (doc_id)),
+        page AS (SELECT doc_id || '#' || (k // 30 + 1) AS doc_id, {strip(f"string_agg(item, {NL} ORDER BY k)")} AS text FROM (SELECT doc_id::VARCHAR AS doc_id, k, item FROM items) GROUP BY doc_id, k // 30)""", sanitize_chain("page"), "SELECT doc_id AS page, t AS text, n AS n_redactions FROM sanitized"),
+    "layout_ladder": _with(SQL_LAYOUTS, FOLDED, f"SELECT doc_id, page_number::INT AS page_number, text FROM several UNION ALL ({VIRTUAL})"),
+    "vector_sink": "SELECT (doc_id % 5)::VARCHAR AS session_id, count(*) AS n, count(*) FILTER (doc_id % 5 > 1 OR doc_id % 3 = 0) AS n_kept FROM documents WHERE doc_id % 5 > 1 OR doc_id % 3 = 0 GROUP BY 1",
+    "append_turns": _with(SQL_TURNS, """SELECT session_id, turn_no, question, answer FROM turns UNION ALL
+        SELECT session_id, last + k, 'more ' || k, 'said ' || k FROM (SELECT session_id, max(turn_no) AS last FROM turns GROUP BY session_id), (SELECT unnest([1, 2]) AS k)"""),
+    "session_info": _with(SQL_TURNS, f"""uploads AS (SELECT DISTINCT conv_id::VARCHAR AS session_id, ([{', '.join(map(sql_string, FILES))}])[(conv_id % {len(FILES)} + 1)::INT] AS filenames FROM conversations)""", """SELECT session_id, filenames, coalesce(n, 0) AS history_turns, q AS last_question
+        FROM uploads LEFT JOIN (SELECT session_id, count(*) AS n, arg_max(question, turn_no) AS q FROM turns GROUP BY session_id) USING (session_id)"""),
+    "reindex_flags": """SELECT session_id, upload_no, f IS DISTINCT FROM lag(f) OVER (PARTITION BY session_id ORDER BY upload_no) AS reindex
+        FROM (SELECT conv_id::VARCHAR AS session_id, turn AS upload_no, list_sort(['a' || (turn + conv_id) // 2, 'b' || conv_id % 3]) AS f FROM conversations)""",
+    "softmax_labels": """SELECT vec_id, list_position(e, list_max(e)) - 1 AS label, round(1 / list_sum(list_transform(e, lambda x: exp(x - list_max(e)))), 9) AS score
+        FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)""",
+    "file_sizes": "SELECT doc_id, floor(strlen(text) / 1024.0::DOUBLE + 0.5::DOUBLE)::BIGINT || 'KB' AS size FROM documents",
+}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import strip
-from ..operators.chunking import virtual_pages
+from ..operators.chunking import MAX_CHUNKS, cap_files, chunk_pages, marked_pages, virtual_pages
 from ..operators.guard import sanitize
 
 PAGES = "path string, page_number int, text string"
@@ -101,20 +101,33 @@ def parse(files: DataFrame, parser: Parser) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, PAGES)
 
 
+def first_that_reads(*parsers: Parser | None) -> Parser:
+    """A parser that tries others in turn, in one task, until one makes a page; one
+    that fails made none."""
+
+    def run(content: bytes) -> list[tuple[int, str]]:
+        for parser in parsers:
+            try:
+                pages = [p for p in parser(content) if p[1].strip()] if parser else []
+            except Exception:  # noqa: BLE001  the next one may read it
+                pages = []
+            if pages:
+                return pages
+        return []
+
+    return run
+
+
 def read_documents(files: DataFrame, pdf: Parser | None = None, pdf_fallback: Parser | None = None) -> DataFrame:
     """PAGES and n_redactions of ``files``: .docx by name, anything else as PDF.
 
     ``pdf`` and ``pdf_fallback``: parsers of bytes to (page number, text); the
-    second sees only files of which the first made no page."""
+    second sees only files of which the first made no page.  A parser of layouts
+    makes its pages with ``layout_pages``."""
     is_docx = extension(F.col("path")) == ".docx"
     pages = parse(files.filter(is_docx), docx_pages)
-    if pdf is not None:
-        rest = files.filter(~is_docx)
-        first = parse(rest, pdf)
-        pages = pages.unionByName(first)
-        if pdf_fallback is not None:
-            missed = rest.join(first.select("path").distinct(), "path", "left_anti")
-            pages = pages.unionByName(parse(missed, pdf_fallback))
+    if pdf is not None or pdf_fallback is not None:
+        pages = pages.unionByName(parse(files.filter(~is_docx), first_that_reads(pdf, pdf_fallback)))
     return pages.withColumn("z", sanitize(F.col("text"))).select("path", "page_number", F.col("z.text").alias("text"), F.col("z.n").alias("n_redactions"))
 
 
@@ -124,13 +137,45 @@ def item_page(item: str = "item") -> Column:
     return F.coalesce(*[F.col(n) for n in names], F.lit(1)).cast("int")
 
 
+_PAGE = "array<struct<page_number:int,text:string>>"
+
+
+def pages_of_items(items: Column) -> Column:
+    """array<struct<page_number, text>> of layout items, array<struct<page_number, text>>
+    in reading order: the items of a page with blank lines between, blank items dropped."""
+    stripped = F.transform(items, lambda i: F.struct(i["page_number"].cast("int").alias("page_number"), strip(i["text"]).alias("text")))
+    some = F.filter(stripped, lambda i: i["text"] != "")
+    numbers = F.array_sort(F.array_distinct(F.transform(some, lambda i: i["page_number"])))
+    return F.transform(numbers, lambda n: F.struct(n.alias("page_number"), F.array_join(F.transform(F.filter(some, lambda i: i["page_number"] == n), lambda i: i["text"]), "\n\n").alias("text"))).cast(_PAGE)
+
+
 def item_pages(items: DataFrame) -> DataFrame:
     """path, page_number, text from layout items (path, item_ord, page_number, text),
     for files whose items lie on more than one page."""
-    pages = items.filter(strip(F.col("text")) != "").groupBy("path", "page_number").agg(F.sort_array(F.collect_list(F.struct("item_ord", "text"))).alias("x"))
-    pages = pages.select("path", "page_number", F.array_join(F.transform("x", lambda i: i["text"]), "\n").alias("text"))
-    several = pages.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path")
-    return pages.join(several, "path", "left_semi")
+    listed = items.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("item_ord", "page_number", "text"))).alias("x"))
+    pages = listed.select("path", pages_of_items(F.col("x")).alias("pages"))
+    return pages.filter(F.size("pages") > 1).select("path", F.inline("pages"))
+
+
+def layout_pages(items: Column, markdown: Column, pages: Column) -> Column:
+    """array<struct<page_number, text>> of a layout parser's document: the first rung
+    that holds of
+
+    1. its items, if they lie on more than one page;
+    2. its text cut by page marks, if that makes more than one page;
+    3. its own pages' texts, those that aren't blank;
+    4. virtual pages of its text; nothing if there is no text.
+    """
+    by_item, marked = pages_of_items(F.coalesce(items, F.array().cast(_PAGE))), marked_pages(markdown)
+    own = F.filter(F.transform(F.coalesce(pages, F.array().cast("array<string>")), lambda t, i: F.struct((i + 1).alias("page_number"), strip(t).alias("text"))), lambda p: p["text"] != "")
+    some = F.coalesce(markdown, F.lit("")) != ""
+    return (
+        F.when(F.size(by_item) > 1, by_item)
+        .when(some & (F.size(marked) > 1), marked.cast(_PAGE))
+        .when(F.size(own) > 0, own.cast(_PAGE))
+        .when(some, virtual_pages(markdown).cast(_PAGE))
+        .otherwise(F.array().cast(_PAGE))
+    )
 
 
 def text_pages(texts: DataFrame) -> DataFrame:
@@ -138,8 +183,24 @@ def text_pages(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.inline(virtual_pages(F.col("text"))))
 
 
+def index_files(files: DataFrame, session: str = "session_id", max_chunks: int = MAX_CHUNKS, **parsers) -> tuple[DataFrame, DataFrame]:
+    """Pages and chunks of ``files`` (session, file_ord, path, content), chunks capped
+    by file and by session; ``parsers`` as of ``read_documents``."""
+    names = files.select("path", session, "file_ord").distinct()
+    pages = read_documents(files, **parsers).join(names, "path")
+    chunks = chunk_pages(pages, max_chunks=max_chunks, file=(session, "file_ord"))
+    return pages, cap_files(chunks, session, max_chunks)
+
+
+def index_pdf(content: DataFrame, **parsers) -> tuple[DataFrame, DataFrame]:
+    """``index_files`` of a single file (path, content), a session of its own."""
+    return index_files(content.withColumns({"session_id": F.lit("doc"), "file_ord": F.lit(0)}), **parsers)
+
+
 class DocxSource(DataSource):
-    """``spark.read.format("docx").load(folder)``: PAGES of the DOCX files of a local folder."""
+    """``spark.read.format("docx").load(folder)``: PAGES of the DOCX files of a folder that
+    every executor has under one path (a mount, or one machine).  Files in other stores
+    are read by ``read_files`` and ``read_documents``."""
 
     @classmethod
     def name(cls):

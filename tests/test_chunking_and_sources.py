@@ -83,7 +83,26 @@ def test_docx_pages_and_dispatch(spark, tmp_path):
 def test_item_pages(spark):
     rows = [("f", 0, 1, "a"), ("f", 1, 2, "b"), ("f", 2, 1, "c"), ("g", 0, 1, "only")]
     got = sorted(map(tuple, d.item_pages(spark.createDataFrame(rows, "path string, item_ord int, page_number int, text string")).collect()))
-    assert got == [("f", 1, "a\nc"), ("f", 2, "b")]
+    assert got == [("f", 1, "a\n\nc"), ("f", 2, "b")]
+
+
+def test_the_next_parser_reads_what_one_cannot(spark):
+    calls = []
+    first = lambda x: calls.append(x) or ([(1, "one")] if x == b"a" else [(1, "  ")] if x == b"b" else 1 / 0)
+    p = d.first_that_reads(None, first, lambda x: [(2, "two")])
+    assert [p(x) for x in (b"a", b"b", b"c")] == [[(1, "one")], [(2, "two")], [(2, "two")]] and calls == [b"a", b"b", b"c"]
+    assert d.first_that_reads(first)(b"c") == []
+
+
+def test_indexing_files_by_session(spark):
+    rows = [("s1", 0, "x.docx", docx([("para", "")], None)), ("s1", 1, "y.pdf", b"p1;p2"), ("s2", 0, "z.pdf", b"q")]
+    files = spark.createDataFrame(rows, "session_id string, file_ord int, path string, content binary")
+    pages, chunks = d.index_files(files, pdf=lambda x: [(i + 1, t) for i, t in enumerate(x.decode().split(";"))])
+    assert pages.count() == 4
+    got = sorted((r["session_id"], r["chunk_ord"], r["page_number"], r["text"]) for r in chunks.collect())
+    assert got == [("s1", 0, 1, "para"), ("s1", 1, 1, "p1"), ("s1", 2, 2, "p2"), ("s2", 0, 1, "q")]
+    assert d.index_files(files, max_chunks=2, pdf=lambda x: [(1, x.decode())])[1].count() == 3
+    assert d.index_pdf(files.filter("path = 'z.pdf'").select("path", "content"), pdf=lambda x: [(1, x.decode())])[1].count() == 1
 
 
 def test_streams(spark, tmp_path):
