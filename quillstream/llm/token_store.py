@@ -7,17 +7,23 @@ A shard is one file, written by one task:
     index     null-key document count; sorted distinct keys; documents of each
               key; a minimal perfect hash of the keys (levels of bit sets) and,
               by hash slot, fingerprint and first document; documents' lengths
-    trailer   magic, id width, counts, where the index begins
+    trailer   magic, id width, counts, where the index begins, checksum of the payload
     end id    (one more, as Spark's writer closes every record with it)
 
 Spark's own text writer puts the files wherever the session can write: each
 record is the raw ids of some documents, and the "line separator" is the end id
 itself.  Spark's ``binaryFile`` source reads them back.  A document is found in
-constant time: levels of the hash, one slot, a fingerprint test, one slice.
+constant time: levels of the hash, one slot, a fingerprint test, one slice (and
+a look at the stored key, so that an absent key is never found).
+
+A manifest beside the shards has a row for each file with its key range.  A
+lookup reads the manifest, opens only files whose range has a wanted key, and
+looks keys up in the tasks that read the files: nothing of their content moves.
 
 Defined cases: null text is empty and gives its end id alone; documents with a
 null ``doc_id`` come first in the payload and have no key; repeated ids share a
-key that covers all their documents; an empty table gives no shard and an empty
+key that covers all their documents of a shard (an id with very many rows may fill
+several shards); an empty table gives no shard and an empty
 result; extra columns are ignored.
 """
 
@@ -37,7 +43,7 @@ from .shared import new_folder, saved, shuffle_partitions
 from .textnum import U, mix
 
 MAGIC = b"QSTOKEN1"
-TRAILER = struct.Struct("<8sIIQQQQQ")  # magic, width, levels, nulls, keys, docs, payload bytes, index bytes
+TRAILER = struct.Struct("<8sIIQQQQQI")  # magic, width, levels, nulls, keys, docs, payload bytes, index bytes, payload's crc32
 #: Bytes of input that a shard holds, about.
 SHARD_BYTES = 64 << 20
 _GAMMA = 2
@@ -89,7 +95,7 @@ class PerfectHash:
         return out
 
 
-def index_block(nulls: int, doc_keys: np.ndarray, lengths: np.ndarray, width: int, payload: int) -> bytes:
+def index_block(nulls: int, doc_keys: np.ndarray, lengths: np.ndarray, width: int, payload: int, crc: int) -> bytes:
     """Index and trailer of a shard; ``doc_keys``: ascending keys of the documents after the nulls."""
     keys, first, docs = np.unique(doc_keys, return_index=True, return_counts=True)
     mph = PerfectHash.build(keys)
@@ -100,7 +106,7 @@ def index_block(nulls: int, doc_keys: np.ndarray, lengths: np.ndarray, width: in
     for bits in mph.levels:
         parts += [struct.pack("<Q", len(bits)), np.packbits(bits, bitorder="little").tobytes()]
     block = b"".join(parts)
-    return block + TRAILER.pack(MAGIC, width, len(mph.levels), nulls, len(keys), len(lengths), payload, len(block))
+    return block + TRAILER.pack(MAGIC, width, len(mph.levels), nulls, len(keys), len(lengths), payload, len(block), crc)
 
 
 class Shard:
@@ -108,7 +114,7 @@ class Shard:
 
     def __init__(self, content: bytes):
         for width in (2, 4):
-            magic, w, levels, nulls, n, docs, payload, size = TRAILER.unpack_from(content, len(content) - width - TRAILER.size)
+            magic, w, levels, nulls, n, docs, payload, size, self.crc = TRAILER.unpack_from(content, len(content) - width - TRAILER.size)
             if magic == MAGIC and w == width:
                 break
         else:
@@ -116,6 +122,7 @@ class Shard:
         at = len(content) - width - TRAILER.size - size
         take = lambda kind, count: np.frombuffer(content, kind, count, at)
         self.ids = np.frombuffer(content, f"<u{width}", payload // width)
+        self.whole = at == payload
         self.nulls = nulls
         self.keys, at = take("<i8", n), at + 8 * n
         self.docs, at = take("<u4", n), at + 4 * n
@@ -129,13 +136,24 @@ class Shard:
             at += 8 + -(-size // 8)
         self.mph = PerfectHash(bits)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        # first document of each key, keys ascending
+        self.by_key = self.nulls + np.cumsum(self.docs, dtype=np.int64) - self.docs
+
+    def verify(self) -> None:
+        """Raise unless the payload is what was written: the writer passes raw ids as strings."""
+        if not self.whole or zlib.crc32(self.ids.tobytes()) != self.crc:
+            raise ValueError("a token shard was changed on its way to the store")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """First document of each key by hash and fingerprint; -1 where there is none."""
         slot = self.mph(keys)
         there = slot >= 0
         there[there] = self.marks[slot[there]] == fingerprints(keys[there])
-        return np.where(there, self.first[np.where(there, slot, 0)] if len(self.first) else -1, -1)
+        out = np.full(len(keys), -1, np.int64)
+        out[there] = self.first[slot[there]]
+        # a fingerprint may fit by chance: the stored key decides
+        there[there] = self.keys[np.searchsorted(self.by_key, out[there])] == keys[there]
+        return np.where(there, out, -1)
 
     def get(self, key: int) -> np.ndarray | None:
         """Ids of the first document with that key."""
@@ -143,14 +161,24 @@ class Shard:
         return None if d < 0 else self.ids[self.starts[d] : self.starts[d + 1]]
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int = 2) -> None:
-    """Encode ``docs`` (doc_id, text) and write the shards to ``path``.
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes that every id of a vocabulary, and the end id, fit in."""
+    most = max(encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+    return 2 if max(most, end_id) < 1 << 16 else 4
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int | None = None, manifest: bool = True) -> None:
+    """Encode ``docs`` (doc_id, text) and write the shards to ``path``, with ids of
+    ``width`` bytes (by default what the vocabulary needs).
 
     Texts are dealt by ranges of doc_id before they are encoded, so that ids are
     made once, where they are written.
     """
     if not 0 <= end_id < 128:
         raise ValueError("the end id closes records of Spark's writer and must be below 128")
+    if width not in (None, 2, 4) or (width or 4) < id_width(tokenizer, end_id):
+        raise ValueError("ids are 2 or 4 bytes wide, and the vocabulary must fit")
+    width = width or id_width(tokenizer, end_id)
     spark = docs.sparkSession
     kind, end = f"<u{width}", np.array([end_id], f"<u{width}").tobytes()
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -158,7 +186,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, wid
 
     def run(batches):
         encode = encoder(tokenizer).encode
-        nulls, keys, lengths, payload = 0, [], [], 0
+        nulls, keys, lengths, payload, crc = 0, [], [], 0, 0
         for batch in batches:
             found, rows, total = [], [], 0
             for text in batch.column(1):
@@ -175,14 +203,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, wid
             nulls += ids.null_count
             keys.append(ids.drop_null().to_numpy(zero_copy_only=False))
             payload += sum(len(x) + width for x in rows)
+            for x in rows:
+                crc = zlib.crc32(end, zlib.crc32(x, crc))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["data"])
         if lengths:
-            block = index_block(nulls, np.concatenate(keys).astype(np.int64), np.array(lengths), width, payload)
+            block = index_block(nulls, np.concatenate(keys).astype(np.int64), np.array(lengths), width, payload, crc)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["data"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # an id that very many rows have is dealt on by a hash of their texts
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(shards, order, F.xxhash64("text")).sortWithinPartitions(order, F.col("text").asc_nulls_first())
     dealt.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value")).write.option("lineSep", end.decode("latin-1")).text(path)
+    if manifest:
+        write_manifest(spark, path)
 
 
 def _shard_files(spark: SparkSession, path: str) -> DataFrame:
@@ -203,6 +237,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = Shard(content.as_buffer())
+                s.verify()
                 first = s.find(s.keys)
                 docs = np.concatenate([np.arange(s.nulls), np.repeat(first, s.docs) + np.arange(len(s.lengths) - s.nulls) - np.repeat(np.cumsum(s.docs) - s.docs, s.docs)]).astype(np.int64)
                 crcs = [zlib.crc32(s.ids[a:b].astype("<u4")) for a, b in zip(s.starts[docs], s.starts[docs + 1])]
@@ -222,38 +257,79 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
-def get_documents(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """doc_id and ids (array) of the documents that ``keys`` (doc_id) names.
+MANIFEST = "path string, shard bigint, lo bigint, hi bigint, keys bigint"
+#: Wanted keys, and files, that are broadcast to a lookup.
+KEYS_AT_ONCE, FILES_AT_ONCE = 2_000_000, 200_000
 
-    Keys go to the shards by the shards' key ranges; each shard is opened once
-    and looks its keys up by hash.  Keys that no shard holds give no row.
-    """
 
-    def bounds(batches):
+def write_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """MANIFEST of a store, written beside its shards."""
+
+    def run(batches):
         for batch in batches:
+            rows = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = Shard(content.as_buffer())
+                s.verify()
                 if len(s.keys):
-                    yield pa.RecordBatch.from_arrays([pa.array([shard_number(name)]), pa.array(s.keys[:1]), pa.array(s.keys[-1:])], ["shard", "lo", "hi"])
-
-    def look_up(left, right):
-        for content in left.column("content"):
-            s = Shard(content.as_buffer())
-            wanted = np.unique(right.column("doc_id").to_numpy())
-            found = s.find(wanted)
-            hit = np.flatnonzero(found >= 0)
-            return pa.table([pa.array(wanted[hit]), pa.array([s.ids[s.starts[d] : s.starts[d + 1]].astype(np.int64) for d in found[hit]], pa.list_(pa.int64()))], ["doc_id", "ids"])
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], ["doc_id", "ids"])
-
-    files = _shard_files(spark, path)
-    ranges = files.select("path", "content").mapInArrow(bounds, "shard bigint, lo bigint, hi bigint")
-    dealt = keys.select(F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(ranges), F.col("doc_id").between(F.col("lo"), F.col("hi"))).select("shard", "doc_id")
-    content = files.select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("shard"), "content")
-    return content.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(look_up, "doc_id bigint, ids array<bigint>")
+                    rows.append((name, shard_number(name), int(s.keys[0]), int(s.keys[-1]), len(s.keys)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if not k else pa.int64()) for k in range(5)], [c.split()[0] for c in MANIFEST.split(", ")])
+
+    _shard_files(spark, path).select("path", "content").mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{path}/_manifest")
+    return read_manifest(spark, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    # a path that begins with an underscore is hidden from readers of the folder, not from one that names it
+    return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
+
+
+def _look_up(s: Shard, wanted: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    found = s.find(wanted)
+    hit = np.flatnonzero(found >= 0)
+    return wanted[hit], [s.ids[s.starts[d] : s.starts[d + 1]].astype(np.int64) for d in found[hit]]
+
+
+def get_documents(spark: SparkSession, path: str, keys: DataFrame, keys_at_once: int = KEYS_AT_ONCE) -> DataFrame:
+    """doc_id and ids (array) of the documents that ``keys`` (doc_id) names, the
+    first of each key.  Keys that no shard holds give no row.
+
+    The manifest tells the files; keys are looked up where a file is read.  Very
+    many keys go to the files by a shuffle of the keys and the files' content."""
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    manifest = read_manifest(spark, path)
+    few = wanted.count() <= keys_at_once and manifest.count() <= FILES_AT_ONCE
+    if few:
+        held = np.sort(wanted.toArrow().column("doc_id").to_numpy())
+        files = manifest.collect()
+        lo, hi = (np.array([f[c] for f in files], np.int64) for c in ("lo", "hi"))
+        names = [f["path"] for f, n in zip(files, np.searchsorted(held, hi, "right") - np.searchsorted(held, lo)) if n]
+        if not names:
+            return spark.createDataFrame([], "doc_id bigint, ids array<bigint>")
+        shared = spark.sparkContext.broadcast(held)
+
+        def run(batches):
+            for batch in batches:
+                for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    s, all_keys = Shard(content.as_buffer()), shared.value
+                    a, b = np.searchsorted(all_keys, s.keys[0]), np.searchsorted(all_keys, s.keys[-1], "right")
+                    found, ids = _look_up(s, all_keys[a:b])
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), shard_number(name))), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "shard", "ids"])
+
+        found = spark.read.format("binaryFile").load(names).select("path", "content").mapInArrow(run, "doc_id bigint, shard bigint, ids array<bigint>")
+    else:
+        def met(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = [(k, shard, ids) for shard, content in zip(left.column("shard").to_pylist(), left.column("content")) for k, ids in zip(*_look_up(Shard(content.as_buffer()), np.unique(right.column("doc_id").to_numpy())))]
+            return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], ["doc_id", "shard", "ids"])
+
+        dealt = wanted.join(F.broadcast(manifest.select("shard", "lo", "hi")), F.col("doc_id").between(F.col("lo"), F.col("hi"))).select("shard", "doc_id")
+        content = _shard_files(spark, path).select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("shard"), "content")
+        found = content.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(met, "doc_id bigint, shard bigint, ids array<bigint>")
+    return found.groupBy("doc_id").agg(F.min_by("ids", "shard").alias("ids"))
 
 
 def query(spark, sf_dir):
     """op4_token_store: see the contract."""
     path = new_folder(spark, "tokens")
-    write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_file("byte_bpe_50k.json"))
+    write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_file("byte_bpe_50k.json"), manifest=False)
     return read_store(spark, path)

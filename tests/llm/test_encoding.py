@@ -89,6 +89,48 @@ def test_store_round_trip(spark, docs, rows):
     found = {r["doc_id"]: r["ids"] for r in token_store.get_documents(spark, path, keys).collect()}
     assert set(found) == {3, 76}
     assert np.array(found[76], "<u4").tobytes() == next(ids for d, ids in want if d == 76)
+    # keys by a shuffle find the same, and so does any set of keys
+    assert {r["doc_id"]: r["ids"] for r in token_store.get_documents(spark, path, keys, keys_at_once=0).collect()} == found
+    every = {r["doc_id"]: r["ids"] for r in token_store.get_documents(spark, path, docs.select("doc_id")).collect()}
+    assert every.keys() == {d for d, _ in want if d is not None} and every[3] == found[3]
+    assert token_store.get_documents(spark, path, keys.limit(0)).count() == 0
+
+
+def test_absent_keys_with_a_stored_fingerprint_are_not_found():
+    keys = np.arange(0, 6000, 3)
+    block = token_store.index_block(0, keys, np.ones(len(keys), np.int64), 4, 4 * len(keys), 0)
+    shard = token_store.Shard(keys.astype("<u4").tobytes() + block + b"\0" * 4)
+    absent = np.setdiff1d(np.arange(-3000, 9000), keys)
+    assert (shard.find(keys) == np.arange(len(keys))).all() and (shard.find(absent) == -1).all()
+    real = token_store.fingerprints
+    try:
+        token_store.fingerprints = lambda k: np.zeros(len(k), np.uint32)
+        shard.marks = np.zeros(len(keys), np.uint32)
+        assert (shard.find(keys) == np.arange(len(keys))).all() and (shard.find(absent) == -1).all()
+    finally:
+        token_store.fingerprints = real
+    try:
+        shard.verify()
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a changed payload passes")
+
+
+def test_one_id_of_most_rows_and_narrow_ids(spark):
+    rows = [(7, f"text number {i}") for i in range(300)] + [(i, f"other {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path = new_folder(spark, "store")
+    token_store.write_store(docs, path, BYTE)
+    got = token_store.read_store(spark, path).collect()
+    assert len(got) == 320 and len({r["shard"] for r in got if r["doc_id"] == 7}) > 1
+    end = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == end
+        end += r["n_tokens"]
+    assert [r["doc_id"] for r in token_store.get_documents(spark, path, spark.createDataFrame([(7,), (7,), (-1,)], "doc_id bigint")).collect()] == [7]
+    with pytest.raises(ValueError):
+        token_store.write_store(docs, path, BYTE, end_id=5, width=1)
 
 
 def test_perfect_hash_is_minimal_and_perfect():
