@@ -1,10 +1,13 @@
 """Host-level quality rules.
 
 Every document is measured by a few rules.  Failures are summed by host (the
-``source`` column; null is a host of its own), the host's failure rate is
-shrunk towards the mean of all hosts with a beta prior that is fitted to them
-by moments, and the host's verdict is joined back to its documents: documents
-of a ``strict`` host must keep to tighter limits.
+``source`` column by default, or any column, such as ``url_host`` of an address;
+null is a host of its own), the host's failure rate is shrunk towards the mean
+of all hosts with a beta prior that is fitted to them by moments, and the host's
+verdict is joined back to its documents: documents of a ``strict`` host must keep
+to tighter limits.  A host is strict when its posterior leaves no doubt that its
+rate is beyond ``STRICT_TIMES`` the rate of all documents: the posterior's mean
+less ``CERTAIN`` of its standard deviations (the beta's, taken as normal) is.
 
 Verdict of a document: rejected if it fails a base rule, or if one of its
 measures is beyond the limit that its host's verdict selects.
@@ -31,8 +34,9 @@ LIMITS = {
     "normal": {"symbols_per_word": 0.1, "dup_line_share": 0.5, "upper_share": 0.5, "marks_per_word": 0.3, "max_word_chars": 12.0},
     "strict": {"symbols_per_word": 0.05, "dup_line_share": 0.3, "upper_share": 0.3, "marks_per_word": 0.15, "max_word_chars": 10.0},
 }
-#: A host is strict when its shrunk failure rate is beyond this.
-STRICT_RATE = 0.3
+#: A host is strict when its rate is beyond so many times the rate of all
+#: documents, with so many standard deviations to spare (0.95 of a normal).
+STRICT_TIMES, CERTAIN = 1.5, 1.645
 #: Salts of the join with hosts: a host's rows go to so many places.
 SALTS = 32
 
@@ -138,11 +142,12 @@ def host_rates(stats: DataFrame) -> DataFrame:
     """
     hosts = saved(stats.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")), "hosts")
     raw = F.col("n_failed") / F.col("n_docs")
-    # three numbers, whatever the number of hosts
-    m, v, inv = hosts.agg(F.avg(raw), F.var_pop(raw), F.avg(1.0 / F.col("n_docs"))).first()
+    # four numbers, whatever the number of hosts
+    m, v, inv, pooled = hosts.agg(F.avg(raw), F.var_pop(raw), F.avg(1.0 / F.col("n_docs")), F.sum("n_failed") / F.sum("n_docs")).first()
     prior_a, prior_b = beta_prior(m or 0.0, v or 0.0, inv or 0.0)
     rate = (F.col("n_failed") + F.lit(prior_a)) / (F.col("n_docs") + F.lit(prior_a + prior_b))
-    return hosts.withColumns({"prior_a": F.lit(prior_a), "prior_b": F.lit(prior_b), "rate": rate}).withColumn("verdict", F.when(F.col("rate") > STRICT_RATE, "strict").otherwise("normal"))
+    surely = F.col("rate") - CERTAIN * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + F.lit(prior_a + prior_b + 1)))
+    return hosts.withColumns({"prior_a": F.lit(prior_a), "prior_b": F.lit(prior_b), "rate": rate}).withColumn("verdict", F.when(surely > F.lit(STRICT_TIMES * (pooled or 0.0)), "strict").otherwise("normal"))
 
 
 def beta_prior(m: float, v: float, inv: float) -> tuple[float, float]:
@@ -160,10 +165,19 @@ def _with_verdict(rows: DataFrame, hosts: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def url_host(url):
+    """The host of an address; null if there is none."""
+    return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
+
+
+def _host(host):
+    return F.coalesce(F.concat(F.lit("="), F.col("source") if host is None else host), F.lit(""))
+
+
+def judge(docs: DataFrame, host=None) -> DataFrame:
     """doc_id, the measures, base_failed, host, host_rate, host_verdict, kept for
-    every row of ``docs`` (doc_id, text, source)."""
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("host"), F.col("text"))
+    every row of ``docs`` (doc_id, text, and source, or what the column ``host`` reads)."""
+    rows = docs.select(F.col("doc_id"), _host(host).alias("host"), F.col("text"))
     stats = saved(measured(rows, "text"), "quality").withColumn("base_failed", base_failed())
     hosts = host_rates(stats.select("host", (F.col("base_failed") | over("normal")).alias("failed")))
     out = _with_verdict(stats, hosts, "doc_id")
@@ -171,13 +185,13 @@ def judge(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~beyond).withColumnRenamed("rate", "host_rate").withColumnRenamed("verdict", "host_verdict")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, host=None) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``.
 
     Two passes over the texts: the first measures narrow rows for the hosts'
     rates, the second carries each row with its measures to its host's verdict.
     """
-    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    host = _host(host)
     narrow = measured(docs.select(host.alias("host"), F.col("text")), "text")
     hosts = host_rates(narrow.select("host", (base_failed() | over("normal")).alias("failed")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), host.alias("host"), F.xxhash64(F.col("doc_id")).alias("k"), F.col("text").alias("measured_text"))
@@ -234,10 +248,11 @@ WITH d AS (
 ), q AS (
   SELECT m, CASE WHEN v * 1e6 <= m * (1 - m) THEN 1e6 ELSE greatest(m * (1 - m) / v - 1, 1.0) END AS s FROM p
 ), r AS (
-  SELECT source, (k + m * s) / (n + s) AS rate FROM h, q
+  SELECT source, rate, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + s + 1)) > 1.5::DOUBLE * pooled AS strict
+  FROM (SELECT source, n, s, (k + m * s) / (n + s) AS rate, pooled FROM h, q, (SELECT sum(k) / sum(n) AS pooled FROM h))
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (CASE WHEN rate > 0.3 THEN over_strict ELSE over_normal END) AS kept,
-  round(rate, 9) AS host_rate, CASE WHEN rate > 0.3 THEN 'strict' ELSE 'normal' END AS host_verdict
+  NOT base_failed AND NOT (CASE WHEN strict THEN over_strict ELSE over_normal END) AS kept,
+  round(rate, 9) AS host_rate, CASE WHEN strict THEN 'strict' ELSE 'normal' END AS host_verdict
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """

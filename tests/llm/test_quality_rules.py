@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quillstream.llm import quality_rules as q
 
 
@@ -43,6 +45,22 @@ def test_strict_host_holds_documents_to_tighter_limits(spark):
     assert got[16]["kept"] and not got[0]["kept"]
 
 
+def test_hosts_of_addresses_and_doubt(spark):
+    clean, junk = " ".join(f"word{i}" for i in range(40)), "go on " * 30
+    some = clean + " # # #"
+    url = lambda h, i: f"https://user@{h.upper()}:8080/p/{i}?q=1#x"
+    # many hosts fail one in ten; one fails nine in ten of 60, one both of its two
+    rows = [(i, junk if i % 10 == 0 else clean, url(f"h{i // 20}.example", i)) for i in range(400)]
+    rows += [(1000 + i, some if i % 10 == 0 else junk, url("bad.example", i)) for i in range(60)] + [(2000, junk, url("tiny.example", 0)), (2001, some, url("tiny.example", 1)), (3000, some, None), (3001, some, "no address")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, url string")
+    got = {r["doc_id"]: r for r in q.judge(docs, q.url_host(F.col("url"))).collect()}
+    assert got[0]["host"] == "=h0.example" and got[3000]["host"] == got[3001]["host"] == ""
+    assert {r["host"] for r in got.values() if r["host_verdict"] == "strict"} == {"=bad.example"}
+    # the same text is rejected where the host is surely bad, kept where it isn't
+    assert not got[1000]["kept"] and got[2001]["kept"] and got[3000]["kept"]
+    assert {r["doc_id"] for r in q.keep_good(docs, q.url_host(F.col("url"))).collect()} == {i for i, r in got.items() if r["kept"]}
+
+
 def test_prior_shrinks_small_hosts():
     a, b = q.beta_prior(0.1, 0.02, 0.01)
     assert abs(a / (a + b) - 0.1) < 1e-9 and (1 + a) / (1 + a + b) < 0.6
