@@ -40,12 +40,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import squeeze_keys, unsqueeze_keys
 from .components import components
-from .shared import join_hot, release, replayable, saved
+from .shared import join_hot, release, replayable, row_key, saved
 from .textnum import U, mix, shingle_set, windows, words_by_run
 
 WORDS = 5
@@ -77,7 +77,7 @@ def _node(fp: bytes) -> int:
     return int.from_bytes(fp[:8], "little", signed=True)
 
 
-MEMBERS = "doc_id bigint, row_key bigint, node bigint, n bigint, token bigint, docs bigint"
+MEMBERS = "doc_id bigint, row_key struct<a:bigint,b:bigint>, node bigint, n bigint, token bigint, docs bigint"
 _MEMBER_NAMES = [c.split()[0] for c in MEMBERS.split(", ")]
 
 
@@ -98,7 +98,7 @@ def _members(batches):
             often = np.unique(every[: len(every) - least + 1][every[: len(every) - least + 1] == every[least - 1 :]])
             count = np.searchsorted(every, often, side="right") - np.searchsorted(every, often)
             m = len(often)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 4 + [pa.array(often.view(np.int64)), pa.array(count)], _MEMBER_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, batch.column(1).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())] + [pa.array(often.view(np.int64)), pa.array(count)], _MEMBER_NAMES)
 
 
 BLOCKS = "key bigint, block bigint, kind int, tokens binary, doc binary, extra binary"
@@ -385,9 +385,10 @@ HUB_ROUNDS, SALTED, POSTINGS = 3, 2000, 100_000
 def _rest(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components: every pair of sets of different components that
     shares enough prefix shingles is verified; no pair is a row."""
-    sizes = labelled.select("node", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+    nodes = saved(labelled.select("node", "comp").distinct(), "nodes")
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("token", "c")
-    rows = saved(labelled.join(mixed, "token").join(sizes, "comp"), "mixed")
+    rows = saved(join_hot(saved(labelled.join(mixed, "token"), "mixed"), sizes, "comp"), "mixed")
     n = rows.count()
     if not n:
         return sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
@@ -398,10 +399,9 @@ def _rest(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     lists = rows.groupBy("key").applyInArrow(_enumerate, LISTS)
     lists = saved(lists.withColumn("key", F.pmod(F.xxhash64("x"), F.lit(ranges))).groupBy("key").applyInArrow(_merge_lists, LISTS).select("x", "top", "ys"), "candidates")
     alike = lists.groupBy("top").count()
-    grouped = lists.join(alike, "top").withColumn("group", F.xxhash64("top", F.pmod(F.xxhash64("x"), F.ceil(F.col("count") / TASK_SETS))))
+    grouped = join_hot(lists, alike, "top").withColumn("group", F.xxhash64("top", F.pmod(F.xxhash64("x"), F.ceil(F.col("count") / TASK_SETS))))
     tasks = grouped.select("group", "x", "ys").groupBy("group").applyInArrow(_plan, TASKS)
-    comps = labelled.select("node", "comp").distinct()
-    full = tasks.join(sets.select("node", "n", "shared"), "node").join(comps, "node")
+    full = tasks.join(sets.select("node", "n", "shared"), "node").join(nodes, "node")
     return full.groupBy("task").applyInArrow(_verify_task, "a bigint, b bigint")
 
 
@@ -430,7 +430,7 @@ def label(docs: DataFrame) -> DataFrame:
     text); also comp, which names the component of a non-empty set."""
     spark = docs.sparkSession
     docs = replayable(docs.select("doc_id", "text"), "documents")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
     found = saved(rows.mapInArrow(_members, MEMBERS), "members")
     members = found.filter("n IS NOT NULL").select("doc_id", "row_key", "node", "n")
     n_docs, total = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -468,11 +468,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = saved(label(docs).select("doc_id", "row_key", "comp"), "labels")
     first = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("row_key"))
     keep = first.unionByName(rows.filter("comp IS NULL").select("row_key"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("row_key"))
     kept = packed.join(keep, "row_key", "left_semi")
-    # repeated rows share a key; they stand together already
-    once = Window.partitionBy("row_key").orderBy("row_key")
-    return kept.withColumn("k", F.row_number().over(once)).filter("k = 1").select("row.*")
+    # repeated rows share a key: the one whose other columns hash least, found on the map side first
+    return kept.groupBy("row_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def query(spark, sf_dir):

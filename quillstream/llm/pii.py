@@ -20,8 +20,10 @@ also those that no rule knows.  Labels, not values, decide: nothing is added to
 a text without such a pattern.
 
 Defined cases: null text is empty; a null ``doc_id`` is carried as it is;
-repeated rows are searched alike; an empty table gives an empty result; extra
-columns are ignored by ``find`` and carried through by ``redact``.
+repeated rows are searched alike (rows are told apart by 128 bits of hash); an
+empty table gives an empty result; extra columns are ignored by ``find`` and carried
+through by ``redact``.  A pattern, value or row that very many have is a hot key:
+what it joins with is broadcast (``join_hot``).
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from ..functions.text import bind
+from .shared import join_hot, row_key, saved
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Possessive forms of the contract's patterns; a match can start only where a
@@ -52,26 +55,46 @@ _VALUE = r"[=:]\x20{0,2}[\"']?([A-Za-z0-9_+/.@-]++)$"
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 3
 #: The same for word contexts, and characters in which their words stand.
 CONTEXT_CONFIDENCE, CONTEXT_SUPPORT, REACH = 0.7, 5, 100
+#: Trusted patterns that are broadcast; more are joined by a shuffle.
+PATTERNS_AT_ONCE = 200_000
 SPAN = "struct<start:int,ord:int,kind:string,end:int>"
 _CUT = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 
+#: Matches that are put together at a time: an array is copied when it grows.
+AT_ONCE = 256
+
+
 def located(matches: Column, pieces: Column) -> Column:
     """array<struct<start, end, value, left, right>> from a pattern's matches and the
-    pieces between them; left and right are the ends of the pieces that meet it."""
+    pieces between them; left and right are the ends of the pieces that meet it.
+
+    Groups of AT_ONCE matches begin where the lengths before them add up to, so
+    that the work grows with the matches, not with their square."""
     steps = F.transform(
         matches,
         lambda v, i: F.struct(F.length(F.get(pieces, i)).alias("s"), F.length(v).alias("n"), v.alias("v"), F.right(F.get(pieces, i), F.lit(REACH)).alias("l"), F.left(F.get(pieces, i + 1), F.lit(REACH)).alias("r")),
     )
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_CUT).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["s"] + x["n"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["s"]).alias("start"), (a["at"] + x["s"] + x["n"]).alias("end"), x["v"].alias("value"), x["l"].alias("left"), x["r"].alias("right")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    groups = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / AT_ONCE).cast("int")), lambda k: F.slice(x, k * AT_ONCE + 1, F.lit(AT_ONCE)))
+    total = lambda group: F.aggregate(group, F.lit(0), lambda a, x: a + x["s"] + x["n"])
+
+    def place(group: Column, begin: Column) -> Column:
+        return F.aggregate(
+            group,
+            F.struct(begin.alias("at"), F.array().cast(_CUT).alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["s"] + x["n"]).alias("at"),
+                F.concat(a["out"], F.array(F.struct((a["at"] + x["s"]).alias("start"), (a["at"] + x["s"] + x["n"]).alias("end"), x["v"].alias("value"), x["l"].alias("left"), x["r"].alias("right")))).alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+
+    def placed(x: Column) -> Column:
+        cut = groups(x)
+        begins = lambda sums: F.transform(sums, lambda _, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda a, y: a + y))
+        return bind(cut, lambda g: bind(F.transform(g, total), lambda sums: F.flatten(F.zip_with(g, begins(sums), place))))
+
+    return bind(steps, placed)
 
 
 def _digits(value: Column) -> Column:
@@ -181,8 +204,8 @@ def trusted_patterns(instances: DataFrame) -> DataFrame:
             break
         # 1 - product of doubts, as a sum of logarithms that aggregates on the map side
         doubt = F.sum(F.log1p(-F.least("confidence", F.lit(0.999999))))
-        heard = edges.join(patterns.filter(~context | trusted), "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("heard"))
-        scores = saved(edges.join(heard, "value", "left").select("pattern", "value", F.greatest("seed", F.coalesce("heard", F.lit(0.0))).alias("score")), "pii-scores")
+        heard = join_hot(edges, saved(patterns.filter(~context | trusted), "pii-patterns"), "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("heard"))
+        scores = saved(join_hot(edges, saved(heard, "pii-heard"), "value", "left").select("pattern", "value", F.greatest("seed", F.coalesce("heard", F.lit(0.0))).alias("score")), "pii-scores")
     return patterns.filter(trusted).select("pattern", "confidence")
 
 
@@ -190,8 +213,9 @@ def _discovered(rows: DataFrame) -> DataFrame:
     """row_key and ``more`` (array of SPAN): instances of trusted patterns, from
     rows with ``row_key``, ``base`` and ``instances``."""
     found = rows.filter(F.size("instances") > 0).select("row_key", "base", F.explode("instances").alias("x")).select("row_key", "base", "x.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
-    patterns = trusted_patterns(found.select("value", "pattern", "seed"))
-    new = found.join(patterns, "pattern", "left_semi")
+    patterns = saved(trusted_patterns(found.select("value", "pattern", "seed")), "pii-trusted")
+    few = patterns.count() <= PATTERNS_AT_ONCE
+    new = found.join(F.broadcast(patterns) if few else patterns, "pattern", "left_semi")
     # spans that a base span covers in part are known already
     new = new.filter(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])))
     span = F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("secret").alias("kind"), "end").cast(SPAN)
@@ -205,9 +229,9 @@ def _joined(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans for every row of ``docs`` (doc_id, text)."""
     text = F.col("text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", row_key())
     rows = saved(with_instances(with_base(rows, text), text).drop("text"), "pii")
-    out = rows.drop("instances").join(_discovered(rows), "row_key", "left")
+    out = join_hot(rows.drop("instances"), saved(_discovered(rows), "pii-more"), "row_key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))
     counts = [_count(k) for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"))
@@ -234,7 +258,7 @@ def redact(docs: DataFrame) -> DataFrame:
     meet the discovered spans.
     """
     text = F.col("found_text")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("found_text"), F.xxhash64("doc_id", "text").alias("row_key"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("found_text"), row_key().alias("row_key"))
     rows = with_instances(with_base(packed, text), text)
     more = saved(_discovered(saved(rows.filter(F.size("instances") > 0).select("row_key", "base", "instances"), "pii")), "pii-more")
     none = F.array().cast(f"array<{SPAN}>")

@@ -37,9 +37,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text"):
-    """A 64-bit key of a row's id and whole text; equal only for repeated rows
-    (or by a hash collision, which every user of the key tolerates)."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """A 128-bit key of a row's id and whole text, struct<a, b>: equal for repeated rows."""
+    return F.struct(F.xxhash64(F.col(doc_id), F.col(text)).alias("a"), F.xxhash64(F.lit(7), F.col(text), F.col(doc_id)).alias("b"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
