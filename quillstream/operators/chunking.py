@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import bind, strip
 
 CHUNK_SIZE, MAX_CHUNKS, PAGE_SIZE = 1200, 1200, 3000
 #: Page markers in order; the first that cuts a text decides.
@@ -62,18 +62,20 @@ def is_table_line(line: Column) -> Column:
 
 def blocks(section: Column) -> Column:
     """Blocks of a section: maximal runs of table lines, or of other non-blank
-    lines; array<string>, stripped."""
-    empty = F.array().cast(_LIST)
-    start = F.struct(empty.alias("out"), F.lit("").alias("kind"))
+    lines; array<string>, stripped.
+
+    Runs are cut where the kind of line changes, so that the work grows with the
+    lines, however many blocks they make."""
+
+    def kind(line: Column) -> Column:
+        return bind(strip(line), lambda x: F.when(x.startswith("|"), 1).when(x == "", 0).otherwise(2))
 
-    def step(a, line):
-        kind = F.when(is_table_line(line), "table").when(strip(line) == "", "").otherwise("text")
-        last = F.size(a["out"])
-        grown = F.concat(F.slice(a["out"], F.lit(1), last - 1), F.array(F.concat(F.element_at(a["out"], -1), F.lit("\n"), line)))
-        out = F.when(kind == "", a["out"]).when(kind == a["kind"], grown).otherwise(F.concat(a["out"], F.array(line)))
-        return F.struct(out.alias("out"), kind.alias("kind"))
+    def cut(lines: Column, kinds: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        changes = lambda step: F.filter(places, lambda i: (F.get(kinds, i) != 0) & ~F.get(kinds, i).eqNullSafe(F.get(kinds, i + step)))
+        return F.zip_with(changes(-1), changes(1), lambda first, last: strip(F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")))
 
-    return F.aggregate(F.split(section, "\n"), start, step, lambda a: F.transform(a["out"], strip))
+    return bind(F.split(section, "\n"), lambda lines: bind(F.transform(lines, kind), lambda kinds: cut(lines, kinds)))
 
 
 def is_table(block: Column) -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import saved
+from ..store import saved, tidy
 from .index import Index
 
 RRF, SEMANTIC_WEIGHT = 60, 0.6
@@ -62,6 +62,7 @@ def _nearest(ids: pa.Array, vectors: np.ndarray, width: int):
     return run
 
 
+@tidy
 def semantic_ranks(chunks: DataFrame, questions: DataFrame, width: int) -> DataFrame:
     """query_id, chunk_ord, text, page_number, semantic_rank by cosine of unit vectors.
 
@@ -91,6 +92,7 @@ def _with_chunks(top: DataFrame, chunks: DataFrame, rank: str) -> DataFrame:
     return chunks.select("chunk_ord", "text", "page_number").join(top, "chunk_ord").select("query_id", "chunk_ord", "text", "page_number", rank)
 
 
+@tidy
 def keyword_ranks(index: Index, questions: DataFrame, width: int) -> DataFrame:
     """query_id, chunk_ord, text, page_number, keyword_rank by BM25.
 
@@ -104,6 +106,7 @@ def keyword_ranks(index: Index, questions: DataFrame, width: int) -> DataFrame:
     return _with_chunks(out, index.chunks, "keyword_rank")
 
 
+@tidy
 def fuse(semantic: DataFrame, keyword: DataFrame, chunks: DataFrame, k: int, weight: float = SEMANTIC_WEIGHT) -> DataFrame:
     """The k best texts of each query by weighted reciprocal ranks: query_id, text,
     page_number, retrieval_source, semantic_rank, keyword_rank, rrf_score, cand_ord.
@@ -143,6 +146,7 @@ def semantic_query(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataF
     return semantic_ranks(chunks, questions, k).select("query_id", "text", "page_number", "semantic_rank")
 
 
+@tidy
 def hybrid_query(index: Index, questions: DataFrame, k: int = 5, weight: float = SEMANTIC_WEIGHT) -> DataFrame:
     """Fused candidates of each question; an empty collection gives none."""
     width = fetch_width(k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -42,9 +43,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._saved_at = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+#: Tables written within each ``tidy`` call that runs.
+_SCOPES: list[list[DataFrame]] = []
+
+
+def tidy(function):
+    """Delete what ``function`` saved on its way, but for the tables that the
+    DataFrame it returns reads; those are left to the caller."""
+
+    @functools.wraps(function)
+    def run(*args, **kwargs):
+        _SCOPES.append([])
+        out = None
+        try:
+            out = function(*args, **kwargs)
+            return out
+        finally:
+            made = _SCOPES.pop()
+            read = "\n".join(out.inputFiles()) if made and out is not None else ""
+            kept = [t for t in made if t._saved_at.rpartition("/")[2] in read]
+            forget(*[t for t in made if not any(t is k for k in kept)])
+            if _SCOPES:
+                _SCOPES[-1].extend(kept)
+
+    return run
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete what ``saved`` wrote for these tables (others are left alone): no
     plan that is still to run may read them."""

@@ -39,6 +39,17 @@ def test_chunks(spark, text, want):
     assert chunk(spark, text) == want
 
 
+def test_blocks_of_very_many_lines(spark):
+    import time
+
+    lines = ["text", "| a | b |", "| 1 | 2 |", "", "more", " ", "| c |"] * 6000
+    df = spark.createDataFrame([("\n".join(lines),), ("",), ("x",), ("| a |\n| b |",), ("\n\n",)], "s string").coalesce(1)
+    start = time.time()
+    got = [r[0] for r in df.select(c.blocks(F.col("s"))).collect()]
+    one = ["text", "| a | b |\n| 1 | 2 |", "more", "| c |"]
+    assert got[0] == one * 6000 and got[1:] == [[], ["x"], ["| a |\n| b |"], []] and time.time() - start < 20
+
+
 def test_caps(spark):
     rows = spark.createDataFrame([(f, 1, "# a\n# b\n# c") for f in range(3)], "file_ord int, page_number int, text string")
     chunks = c.chunk_pages(rows, max_chunks=2).withColumn("session_id", F.lit("s"))
