@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, join_hot, saved
+from .shared import forget, join_hot, saved, tidy
 
 
+@tidy
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, comp (the smallest node reachable) for every node of ``edges`` (a, b).
 

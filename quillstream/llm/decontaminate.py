@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import saved
+from .shared import saved, tidy
 from .textnum import PUNCTUATION, U, windows, words_by_run
 
 K1, B = 1.2, 0.75
@@ -257,6 +257,7 @@ def _terms(batches):
             yield pa.RecordBatch.from_arrays(cols, ["shard", "term", "words"])
 
 
+@tidy
 def build(items: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """shard, size, data: the indexes of ``items`` (item_id, text), as a written table."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
@@ -298,6 +299,7 @@ def passes(index: DataFrame, pass_bytes: int = PASS_BYTES):
 HITS = "doc_id bigint, item_id bigint, passage bigint, score double, question_overlap double, answer_overlap double"
 
 
+@tidy
 def search(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """HITS: a row for every document and the items that it contains, with the
     best passage; ``docs`` (doc_id, text), ``items`` (item_id, text)."""
@@ -319,6 +321,7 @@ def search(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS, pa
     return out
 
 
+@tidy
 def clean(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of ``docs`` that contain no test item, with the columns of ``docs``."""
     for shared, last in passes(build(items, shard_chars), pass_bytes):

@@ -18,7 +18,10 @@ a fixed bound however large the corpus is; the grid only shapes the weights,
 scores use exact counts.
 
 A training document is scored with counts that include its own, as the contract
-has it (V and N are of all training tokens); held-out documents are not.
+has it (V and N are of all training tokens); held-out documents are not.  What the
+rest of the corpus says of a document is beside the score: ``n_new`` tokens (their
+share is ``new_share``) end a triple that no other training document has; a
+document that occurs twice has next to none.
 
 Defined cases: null text is empty and consists of its end alone; a null
 ``doc_id`` counts as crc32 0; repeated rows count and score each for itself; an
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, before, blocks_of, packed, squeeze_keys, unsqueeze_keys
-from .shared import release, saved
+from .shared import release, saved, tidy
 from .textnum import U
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -138,7 +141,8 @@ BUCKETS = 61
 
 
 def _features(b: Block, answers: list[dict], ranges: int, stats: dict, delete: bool):
-    """c(w), the three relative frequencies and the bucket of every token of a block."""
+    """c(w), the three relative frequencies, the bucket, and c(uvw) with the trigram's
+    place among the block's, of every token of a block."""
     by_order: dict[int, list] = {k: [] for k in range(1, ORDERS + 1)}
     for r in sorted(answers, key=lambda r: r["key"]):
         if r["key"] >= ranges:
@@ -152,7 +156,7 @@ def _features(b: Block, answers: list[dict], ranges: int, stats: dict, delete: b
     n = stats["tokens"] - stats["own_tokens"] * delete
     word, pair = before(counts[1], b.starts, docs), before(counts[2], b.starts, docs)
     f = [counts[1] / max(n, 1), counts[2] / np.maximum(word, 1), counts[3] / np.maximum(pair, 1)]
-    return counts[1], f, bucket(pair, word)
+    return counts[1], f, bucket(pair, word), counts[3], place
 
 
 _STEP, _FLOOR = 2.0, -60
@@ -188,9 +192,10 @@ def learn_weights(rows: list[tuple[int, int, int, int, int]], words: int, rounds
     return weights
 
 
-SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_new bigint, new_share double"
 
 
+@tidy
 def score(docs: DataFrame) -> DataFrame:
     """SCORES for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -209,7 +214,7 @@ def score(docs: DataFrame) -> DataFrame:
     def tally(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = np.zeros((0, 5), np.int64)
         for _, b in blocks_of(right):
-            _, f, k = _features(b, left.to_pylist(), ranges, stats, True)
+            _, f, k, _, _ = _features(b, left.to_pylist(), ranges, stats, True)
             tuples = np.stack([k, *map(_grid, f)], axis=1)
             distinct, counts = np.unique(tuples, axis=0, return_counts=True)
             rows = np.concatenate([distinct, counts[:, None]], axis=1)
@@ -222,14 +227,18 @@ def score(docs: DataFrame) -> DataFrame:
     release(spark)
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols = [pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)]
+        cols = [pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64(), pa.float64())]
         for row, b in blocks_of(right):
-            c, f, k = _features(b, left.to_pylist(), ranges, stats, False)
+            c, f, k, triples, place = _features(b, left.to_pylist(), ranges, stats, False)
             w = weights[k]
             p = w[:, 0] / (words + 1) + w[:, 1] * f[0] + w[:, 2] * f[1] + w[:, 3] * f[2]
             base = np.log10(c + 1) - np.log10(n + words + 1)
             total = lambda x: np.add.reduceat(x, b.starts)  # noqa: E731, B023
-            cols = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(b.sizes), pa.array(total((c > 0).astype(np.int64))), pa.array(np.full(len(b.sizes), n)), pa.array(total(base)), pa.array(total(np.log10(p)))]
+            # tokens whose trigram occurs in no training document but this one
+            doc = np.repeat(np.arange(len(b.sizes)), b.sizes)
+            _, at, own = np.unique(doc * (int(place.max()) + 1) + place, return_inverse=True, return_counts=True)
+            new = total((triples == own[at] * ~np.array(row["held_out"], bool)[doc]).astype(np.int64))
+            cols = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(b.sizes), pa.array(total((c > 0).astype(np.int64))), pa.array(np.full(len(b.sizes), n)), pa.array(total(base)), pa.array(total(np.log10(p))), pa.array(new), pa.array(new / b.sizes)]
         return pa.table(cols, [x.split()[0] for x in SCORES.split(", ")])
 
     scored = blocks.select("block", "doc_id", "held_out", "sizes", "words", "tokens")

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .blocks import squeeze_keys, unsqueeze_keys
 from .components import components
-from .shared import join_hot, release, replayable, row_key, saved
+from .shared import join_hot, release, replayable, row_key, saved, tidy
 from .textnum import U, mix, shingle_set, windows, words_by_run
 
 WORDS = 5
@@ -405,6 +405,7 @@ def _rest(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     return full.groupBy("task").applyInArrow(_verify_task, "a bigint, b bigint")
 
 
+@tidy
 def links(sets: DataFrame) -> DataFrame:
     """node, comp of every set that is linked with another, from ``sets`` (SETS)."""
     spark = sets.sparkSession
@@ -425,6 +426,7 @@ def links(sets: DataFrame) -> DataFrame:
     return components(more if edges is None else edges.unionByName(more))
 
 
+@tidy
 def label(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id for every row of ``docs`` (doc_id,
     text); also comp, which names the component of a non-empty set."""
@@ -457,11 +459,13 @@ def label(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "comp")
 
 
+@tidy
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     return label(docs).select("doc_id", "n_shingles", "component_id")
 
 
+@tidy
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` of each component, that with the least doc_id, with the
     columns of ``docs``; documents without words are groups of their own."""

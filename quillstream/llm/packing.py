@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoder import encoder, tokenizer_file
-from .shared import saved
+from .shared import saved, tidy
 
 log = logging.getLogger(__name__)
 
@@ -132,6 +132,7 @@ def _pack_partition(capacity: int, number: int):
     return run
 
 
+@tidy
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int | None = None) -> DataFrame:
     """``pieces`` (as of ``encode_pieces``, a written table) with sequence_id, offset, and bins and
     bound of the partition that placed them last."""
@@ -162,6 +163,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_P
     return out.drop("loose")
 
 
+@tidy
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and pack them: one row for each piece."""
     pieces = encode_pieces(docs, tokenizer or tokenizer_file("word_bpe_49k.json"), end_id, capacity)

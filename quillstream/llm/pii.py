@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
-from .shared import join_hot, row_key, saved
+from .shared import join_hot, row_key, saved, tidy
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Possessive forms of the contract's patterns; a match can start only where a
@@ -191,6 +191,7 @@ def with_instances(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("instances", F.filter(every, lambda x: F.size(x["patterns"]) > 0)).drop("at_label", "at_token", "known")
 
 
+@tidy
 def trusted_patterns(instances: DataFrame) -> DataFrame:
     """pattern, confidence: those that accept their instances, from occurrences
     (value, pattern, seed), by rounds over the pattern-instance graph."""
@@ -226,15 +227,17 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+@tidy
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans for every row of ``docs`` (doc_id, text)."""
+    """doc_id, counts by kind, base_sha256, spans, n_spans for every row of ``docs`` (doc_id, text)."""
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", row_key())
     rows = saved(with_instances(with_base(rows, text), text).drop("text"), "pii")
     out = join_hot(rows.drop("instances"), saved(_discovered(rows), "pii-more"), "row_key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))))
     counts = [_count(k) for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+    out = out.withColumn("every", spans)
+    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))
 
 
 def replaced(text: Column, spans: Column) -> Column:
@@ -251,6 +254,7 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, fold).otherwise(text)
 
 
+@tidy
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced; other columns and null texts stay.
 

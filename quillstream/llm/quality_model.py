@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BOS, Block, before, blocks_of, key, packed, squeeze, squeeze_keys, token_runs, unsqueeze, unsqueeze_keys
-from .shared import release, saved
+from .shared import release, saved, tidy
 from .textnum import U
 
 #: Characters of trusted text that a fold's model is trained on, at most.
@@ -64,6 +64,7 @@ BROADCAST_BYTES = 256 << 20
 LANGUAGES_AT_ONCE = 100_000
 
 
+@tidy
 def sample(docs: DataFrame, trusted: DataFrame, chars: int) -> DataFrame:
     """fold, text: distinct trusted texts of each fold, ``chars`` characters at most.
 
@@ -418,6 +419,7 @@ def _score_by_shuffle(rows: DataFrame, model: Model, bits: Bits) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, SCORES)
 
 
+@tidy
 def classify(docs: DataFrame, labels: DataFrame, chars: int = TRUSTED_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, max_perplexity, kept for
     every row of ``docs`` (doc_id, text, lang); ``labels`` (doc_id, quality)."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import saved
+from .shared import saved, tidy
 from .textnum import U, mix, text_buffer, windows, words_by_run
 
 #: Limits of a document's measures by its host's verdict.
@@ -174,6 +174,7 @@ def _host(host):
     return F.coalesce(F.concat(F.lit("="), F.col("source") if host is None else host), F.lit(""))
 
 
+@tidy
 def judge(docs: DataFrame, host=None) -> DataFrame:
     """doc_id, the measures, base_failed, host, host_rate, host_verdict, kept for
     every row of ``docs`` (doc_id, text, and source, or what the column ``host`` reads)."""
@@ -185,6 +186,7 @@ def judge(docs: DataFrame, host=None) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~beyond).withColumnRenamed("rate", "host_rate").withColumnRenamed("verdict", "host_verdict")
 
 
+@tidy
 def keep_good(docs: DataFrame, host=None) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``.
 

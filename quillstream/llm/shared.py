@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import spread
-from ..store import forget, new_folder, saved, shared_dir
+from ..store import forget, new_folder, saved, shared_dir, tidy
 
-__all__ = ["forget", "join_hot", "new_folder", "release", "replayable", "row_key", "saved", "shared_dir", "shuffle_partitions", "spread"]
+__all__ = ["forget", "join_hot", "new_folder", "release", "replayable", "row_key", "saved", "shared_dir", "shuffle_partitions", "spread", "tidy"]
 
 #: Keys that are told apart as hot, at most.
 HOT_KEYS = 10_000

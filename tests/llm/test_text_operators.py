@@ -102,7 +102,7 @@ def test_scores_equal_a_plain_model(docs, rows, monkeypatch):
     learned = {}
     learn = lm_score.learn_weights
     monkeypatch.setattr(lm_score, "learn_weights", lambda *a, **k: learned.setdefault("w", learn(*a, **k)))
-    got = Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in lm_score.score(docs).collect())
+    got = Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in lm_score.score(docs).drop("n_new", "new_share").collect())
     weights = learned["w"]
     c1, c2, c3, docs_in = Counter(), Counter(), Counter(), 0
     for doc_id, text, *_ in rows:
@@ -191,3 +191,17 @@ def test_quality_limits_by_language(spark, docs, empty):
     assert not any(got[i][0]["kept"] for i in [*range(900, 910), 990, 991])
     assert quality_model.classify(empty, labels).count() == 0
     assert quality_model.classify(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_new_tokens_are_those_of_no_other_training_document(docs, rows):
+    grams = []
+    for doc_id, text, *_ in rows:
+        w = ["<s>", "<s>", *words_of(text), "</s>"]
+        grams.append((lm_score.fold(doc_id) != lm_score.HELD_OUT, list(zip(w, w[1:], w[2:]))))
+    trained = Counter(g for train, x in grams if train for g in set(x))
+    want = Counter()
+    for (doc_id, *_), (train, x) in zip(rows, grams):
+        n = sum(trained[g] - train == 0 for g in x)
+        want[doc_id, n, round(n / len(x), 9)] += 1
+    assert Counter((r["doc_id"], r["n_new"], round(r["new_share"], 9)) for r in lm_score.score(docs).collect()) == want
+    assert any(n == 0 for _, n, _ in want) and any(n > 20 for _, n, _ in want)
