@@ -9,7 +9,7 @@ costs one stage's tasks.
 from __future__ import annotations
 
 from quillstream.llm import decontaminate, ngram_join, packing, pii, quality_rules
-from quillstream.llm.shared import saved
+from quillstream.llm.shared import forget, saved
 
 
 def _quality_rules(spark, docs, sf_dir):
@@ -50,8 +50,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(before)  # the documents themselves are no saved table
+    return STAGES[-1][1](spark, docs, sf_dir)
