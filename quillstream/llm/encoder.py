@@ -24,6 +24,7 @@ REMEMBERED = 600_000
 #: Longer words are not remembered.
 LONGEST = 64
 
+_MARKS = frozenset(".,;:!?")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -71,7 +72,7 @@ class Encoder:
         self.cut = regex.compile(_WORD_PATTERN if self.lower else public_tokenizers.PATTERN).findall
         letters = _byte_letters()
         self.ascii = str.maketrans({b: letters[b] for b in range(128)})
-        self.letters = letters
+        self.letters, self.space = letters, letters[0x20]
         self.pretokens = _Known(self._pretoken)
         self.words = _Known(self._word if self.lower else self._spaced)
         self.heads = _Known(self._unspaced)
@@ -79,12 +80,25 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pretoken(self, token: str) -> bytes:
-        text = token.translate(self.ascii) if token.isascii() else "".join(map(self.letters.__getitem__, token.encode()))
+    def _ids(self, text: str) -> bytes:
+        """Ids of a pre-token that is written in byte letters."""
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
+    def _pretoken(self, token: str) -> bytes:
+        return self._ids(token.translate(self.ascii) if token.isascii() else "".join(map(self.letters.__getitem__, token.encode())))
+
+    # Letters alone are one pre-token, and a mark after them is one more: most words
+    # need no cut, and a word with a mark needs no ids of its own.
+
     def _word(self, word: str) -> bytes:
         """A word between white space, for tokenizers that drop white space."""
+        if word.isalpha():
+            if word.isascii():
+                return self._ids(word.lower())
+            if max(word) < "\u0130":
+                return self._ids("".join(map(self.letters.__getitem__, word.lower().encode())))
+        elif word[-1] in _MARKS and word[:-1].isalpha() and max(word) < "\u0130":
+            return self.words[word[:-1]] + self.pretokens[word[-1]]
         if word.isascii() or max(word) < "\u0130":
             return b"".join(map(self.pretokens.__getitem__, self.cut(word.lower())))
         return self.whole(word)
@@ -96,6 +110,13 @@ class Encoder:
 
     def _spaced(self, word: str) -> bytes:
         """A word with the space before it."""
+        if word.isalpha():
+            if word.isascii():
+                return self._ids(self.space + word)
+            if max(word) < "\u0130":
+                return self._ids(self.space + "".join(map(self.letters.__getitem__, word.encode())))
+        elif word[-1:] in _MARKS and word[:-1].isalpha() and max(word) < "\u0130":
+            return self.words[word[:-1]] + self.pretokens[word[-1]]
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Irregular
         return self._cut(" " + word)

@@ -179,3 +179,15 @@ def test_empty(spark, empty):
     assert token_counts.count(empty).count() == 0
     path = new_folder(spark, "store")
     token_store.write_store(empty, path, BYTE)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_with_marks_and_odd_letters_encode_as_the_library_does(name):
+    import random
+
+    rng = random.Random(1)
+    parts = ["a", "Straße", "É", "ñ", "ª", "İ", "ı", "ſ", "\u212a", "日本", "Ωμ", ".", ",", "!", "?", "'s", "don't", "x1", "1", "\n", "\t", "é.", "ß,", "İ.", "  ", "Ā", "Ł.", "ʼn", "é", "ǅ", "²", "½", "a²"]
+    texts = [rng.choice([" ", ""]).join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts += [" ".join(rng.choice(parts) + rng.choice(parts) for _ in range(6)) for _ in range(1500)]
+    enc = Encoder(tokenizer_file(name))
+    assert [t for t in texts if enc.encode(t) != enc.whole(t)] == []
