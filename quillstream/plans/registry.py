@@ -204,7 +204,7 @@ def row_normalize(spark, sf_dir):
     )
     # blank rows beside every eleventh document
     blank = rows.filter("doc_id % 11 = 0").withColumns({"text": F.lit("  \n"), "page_content": F.lit("  \n")})
-    return index.normalized_chunks(rows.unionByName(blank)).select("doc_id", "text", "page_number")
+    return index.normalized_chunks(rows.unionByName(blank)).select("doc_id", "text", "page_number", "chunk_id")
 
 
 def api_projection(spark, sf_dir):

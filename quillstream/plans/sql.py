@@ -246,7 +246,8 @@ SQL = {
     ),
     "collection_names": _with(_FILES, f"SELECT filename, CASE WHEN length(c) < 3 THEN 'doc_' || CASE WHEN c = '' THEN 'file' ELSE c END ELSE c END AS name, count(*) AS n FROM (SELECT filename, {_CLEAN} AS c FROM files) GROUP BY ALL"),
     "upload_validation": _with(_FILES, "SELECT filename, lower(filename) LIKE '%.pdf' OR lower(filename) LIKE '%.docx' AS accepted, filename LIKE '%.pdf' OR filename LIKE '%.docx' AS client_accepted, count(*) AS n FROM files GROUP BY ALL"),
-    "row_normalize": f"""SELECT doc_id, {strip("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  ' || text || chr(9) ELSE text END")} AS text, coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END, 1)::INT AS page_number FROM documents""",
+    "row_normalize": f"""SELECT doc_id, text, page_number, sha256(page_number || chr(31) || text) AS chunk_id FROM (
+        SELECT doc_id, {strip("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  ' || text || chr(9) ELSE text END")} AS text, coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END, 1)::INT AS page_number FROM documents)""",
     "api_projection": _with(RETRIEVAL, RERANK, "SELECT query_id, page_number, CASE WHEN length(text) > 250 THEN left(text, 250) || '...' ELSE text END AS preview, printf('%.4f', rrf_score) AS rrf, printf('%.4f', rerank_score) AS rerank FROM final"),
 }
 
