@@ -57,6 +57,8 @@ ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 3
 CONTEXT_CONFIDENCE, CONTEXT_SUPPORT, REACH = 0.7, 5, 100
 #: Trusted patterns that are broadcast; more are joined by a shuffle.
 PATTERNS_AT_ONCE = 200_000
+#: Rows whose discovered spans are broadcast to rewrite texts.
+ROWS_AT_ONCE = 200_000
 SPAN = "struct<start:int,ord:int,kind:string,end:int>"
 _CUT = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
@@ -258,17 +260,24 @@ def replaced(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced; other columns and null texts stay.
 
-    Rows without instances are rewritten where they are read; only the others
-    meet the discovered spans.
+    Discovered spans of ROWS_AT_ONCE rows at most are broadcast, and every row is
+    rewritten where it is read; of more, only rows with instances meet them, by a
+    shuffle.
     """
     text = F.col("found_text")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("found_text"), row_key().alias("row_key"))
-    rows = with_instances(with_base(packed, text), text)
-    more = saved(_discovered(saved(rows.filter(F.size("instances") > 0).select("row_key", "base", "instances"), "pii")), "pii-more")
+    based = with_base(packed, text)
+    # a number that isn't deterministic stops the filter from being computed below the
+    # columns it needs, where each of them would be worked out again
+    rows = with_instances(based, text).withColumn("n", F.size("instances") + (F.rand() * 0).cast("int"))
+    more = saved(_discovered(saved(rows.filter("n > 0").select("row_key", "base", "instances"), "pii")), "pii-more")
     none = F.array().cast(f"array<{SPAN}>")
-    plain = rows.filter(F.size("instances") == 0).withColumn("more", none)
-    met = rows.filter(F.size("instances") > 0).join(more, "row_key", "left").withColumn("more", F.coalesce("more", none))
-    out = plain.unionByName(met.select(plain.columns))
+    if more.count() <= ROWS_AT_ONCE:
+        out = based.drop("known").join(F.broadcast(more), "row_key", "left").withColumn("more", F.coalesce("more", none))
+    else:
+        plain = rows.filter("n = 0").withColumn("more", none)
+        met = rows.filter("n > 0").join(more, "row_key", "left").withColumn("more", F.coalesce("more", none))
+        out = plain.unionByName(met.select(plain.columns))
     new = replaced(text, F.array_sort(F.concat("base", "more")))
     return out.withColumn("new_text", F.when(F.col("row")["text"].isNotNull(), new)).select(*[F.col("new_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
