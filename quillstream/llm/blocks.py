@@ -12,6 +12,7 @@ Hashes have 64 bits: n-grams whose hashes are equal are taken for one.
 
 from __future__ import annotations
 
+import struct
 from itertools import count
 
 import numpy as np
@@ -59,22 +60,25 @@ def unsqueeze(data: bytes, kind: str, n: int) -> np.ndarray:
 
 
 def squeeze_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences, in 4 or 6 bytes each where they fit."""
-    step = np.diff(keys, prepend=U(0))
-    most = int(step.max()) if len(step) else 0
-    if most < 1 << 32:
-        return b"4" + step.astype("<u4").tobytes()
-    if most < 1 << 48:
-        return b"6" + step.astype("<u4").tobytes() + (step >> U(32)).astype("<u2").tobytes()
-    return b"8" + step.astype("<u8").tobytes()
+    """Ascending keys as the bytes of their differences, by significance: the low
+    ones, which differences of their size fill evenly, as they are, the others compressed."""
+    if not len(keys):
+        return b""
+    step = np.diff(keys.astype("<u8"), prepend=np.zeros(1, "<u8"))
+    even = max(int(int(keys[-1]) // len(keys)).bit_length() - 2, 0) // 8
+    planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T)
+    return struct.pack("<BQ", even, len(keys)) + planes[:even].tobytes() + squeeze(planes[even:])
 
 
 def unsqueeze_keys(data: bytes) -> np.ndarray:
-    if data[:1] != b"6":
-        return np.cumsum(np.frombuffer(data, f"<u{data[:1].decode()}", offset=1), dtype=U)
-    n = (len(data) - 1) // 6
-    low, high = np.frombuffer(data, "<u4", n, 1), np.frombuffer(data, "<u2", n, 1 + 4 * n)
-    return np.cumsum(low.astype(U) | high.astype(U) << U(32), dtype=U)
+    if not data:
+        return np.zeros(0, U)
+    even, n = struct.unpack_from("<BQ", data)
+    at = struct.calcsize("<BQ")
+    low = np.frombuffer(data, np.uint8, even * n, at)
+    high = unsqueeze(data[at + even * n :], "u1", (8 - even) * n)
+    step = np.ascontiguousarray(np.concatenate([low, high]).reshape(8, n).T).view("<u8").ravel()
+    return np.cumsum(step, dtype=U)
 
 
 class _Held:

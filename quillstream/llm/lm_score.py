@@ -30,6 +30,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, before, blocks_of, packed, squeeze_keys, unsqueeze_keys
+from .blocks import Block, before, blocks_of, packed, squeeze, squeeze_keys, unsqueeze, unsqueeze_keys
 from .shared import release, saved, tidy
 from .textnum import U
 
@@ -57,13 +58,14 @@ def _edges(ranges: int) -> np.ndarray:
 
 
 def _pack(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as single bytes, and those from 255 on as (place, count)."""
+    """Counts as compressed single bytes after their number, and those from 255 on as (place, count)."""
     big = np.flatnonzero(counts >= 255)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), np.concatenate([big, counts[big]]).astype("<i8").tobytes()
+    small = struct.pack("<Q", len(counts)) + squeeze(np.minimum(counts, 255).astype(np.uint8))
+    return small, np.concatenate([big, counts[big]]).astype("<i8").tobytes()
 
 
 def _unpack(small: bytes, big: bytes) -> np.ndarray:
-    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out = unsqueeze(small[8:], "u1", struct.unpack_from("<Q", small)[0]).astype(np.int64) if small else np.zeros(0, np.int64)
     pairs = np.frombuffer(big, "<i8")
     out[pairs[: len(pairs) // 2]] = pairs[len(pairs) // 2 :]
     return out
