@@ -307,8 +307,8 @@ def reindex_flags(spark, sf_dir):
 
 
 def softmax_labels(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").withColumn("p", softmax(F.col("embedding"))).withColumn("label", argmax(F.col("p")))
-    return rows.select("vec_id", "label", F.round(F.get("p", F.col("label").cast("int")), 9).alias("score"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("p", softmax(F.col("embedding"))).withColumn("label", argmax(F.col("p")).cast("int"))
+    return rows.select("vec_id", "label", F.round(F.get("p", F.col("label")), 9).alias("score"))
 
 
 def file_sizes(spark, sf_dir):
