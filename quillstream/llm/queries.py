@@ -17,6 +17,7 @@ MODULES = {
     "op8_quality_classifier": "quality_model",
     "op9_language_id": "langid",
     "op10_lm_scoring": "lm_score",
+    "op11_source_divergence": "divergence",
 }
 
 
