@@ -18,6 +18,7 @@ MODULES = {
     "op9_language_id": "langid",
     "op10_lm_scoring": "lm_score",
     "op11_source_divergence": "divergence",
+    "op12_conversation_trie": "prefix_trie",
 }
 
 
