@@ -19,6 +19,7 @@ MODULES = {
     "op10_lm_scoring": "lm_score",
     "op11_source_divergence": "divergence",
     "op12_conversation_trie": "prefix_trie",
+    "op13_cutting_stock_packing": "cutting_stock",
 }
 
 
