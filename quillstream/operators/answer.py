@@ -101,7 +101,8 @@ def answer_questions(index: Index, questions: DataFrame, candidate_k: int = 20,
     ask = F.coalesce(F.col("resolved"), F.col("question")) if "resolved" in questions.columns else F.col("question")
     turns = F.col("history") if "history" in questions.columns else F.lit(None).cast("array<struct<question:string,answer:string>>")
     q = q.withColumns({"asked": ask, "turns": turns})
-    asked = q.filter("ok").select("query_id", F.col("asked").alias("question"), "vector")
+    of = [c for c in ("session_id",) if c in questions.columns]
+    asked = q.filter("ok").select("query_id", *of, F.col("asked").alias("question"), "vector")
     found = grouped(hybrid_query(index, asked, candidate_k), "cand_ord", "candidates", *_FOUND)
     rows = q.select("query_id", "question", "asked", "ok", "turns").join(found, "query_id", "left").withColumn("safe", _safe(F.col("candidates")))
     if scorer is None:

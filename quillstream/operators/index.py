@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,64 +29,112 @@ def normalized_chunks(df: DataFrame) -> DataFrame:
     return df.select(*rest, ids.alias("chunk_id"), text.alias("text"), page.alias("page_number")).filter((F.col("text") != "") & F.col("text").isNotNull())
 
 
-def term_rows(chunks: DataFrame) -> DataFrame:
-    """term, df, chunks, words: for each distinct term the chunks that have it, and,
-    spread over the terms, numbers that add up to all chunks and all their words.
-
-    A chunk's terms are distinct before they leave it, so what is shuffled is a
-    count for each term of a task."""
-    rows = chunks.select(words(F.col("text")).alias("w")).select(F.coalesce(F.size("w"), F.lit(0)).alias("n"), F.posexplode_outer(F.array_distinct("w")).alias("at", "term"))
-    first = F.coalesce(F.col("at"), F.lit(0)) == 0
-    return rows.groupBy("term").agg(F.count("term").alias("df"), F.sum(F.when(first, 1).otherwise(0)).alias("chunks"), F.sum(F.when(first, F.col("n")).otherwise(0)).alias("words"))
-
-
-def term_statistics(rows: DataFrame, n: int, mean_raw: float) -> DataFrame:
-    """term, df, idf over ``n`` chunks; a negative idf becomes EPSILON times the
-    mean of all raw ones."""
-    raw = _raw_idf(n)
-    return rows.filter("term IS NOT NULL").select("term", "df", F.when(raw < 0, F.lit(EPSILON * mean_raw)).otherwise(raw).alias("idf"))
-
-
-def _raw_idf(n: int) -> Column:
-    return F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-
-
-def impact(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
+def with_session(rows: DataFrame) -> DataFrame:
+    """``rows`` with session_id, the collection they belong to: the empty one where there is no such column."""
+    return rows if "session_id" in rows.columns else rows.withColumn("session_id", F.lit(""))
+
+
+#: Chunks in a block of postings; folders of terms by their hash; blocks that a writing task takes of a folder.
+BLOCK, FOLDERS, BLOCKS_AT_ONCE = 2048, 64, 64
+_ENTRIES = "session_id string, term string, block long, base long, gaps array<int>, tfs array<int>, dls array<int>, top_tf int, least_dl int"
+
+
+def _entries(batches):
+    """(session_id, chunk_ord, words) to _ENTRIES, a row for each term of each block that a batch has chunks of.
+
+    The empty term, which no text has, lists all chunks of a block."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = batch.column(2).fill_null([])
+        dl = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        session = batch.column(0).dictionary_encode()
+        names = ["", *coded.dictionary.to_pylist()]
+        # one token of the empty term for each chunk
+        row = np.concatenate([np.arange(len(dl)), np.repeat(np.arange(len(dl)), dl)])
+        term = np.concatenate([np.zeros(len(dl), np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1])
+        pair, tf = np.unique(row * len(names) + term, return_counts=True)
+        row, term = pair // len(names), pair % len(names)
+        number, of = batch.column(1).to_numpy(), session.indices.to_numpy(zero_copy_only=False)[row]
+        order = np.lexsort((number[row], number[row] // BLOCK, term, of))
+        row, term, of, tf = row[order], term[order], of[order], tf[order].astype(np.int32)
+        ords, length = number[row], dl[row].astype(np.int32)
+        new = np.ones(len(row), bool)
+        new[1:] = (of[1:] != of[:-1]) | (term[1:] != term[:-1]) | (ords[1:] // BLOCK != ords[:-1] // BLOCK)
+        start = np.flatnonzero(new)
+        ends = pa.array(np.append(start, len(row)), pa.int32())
+        gaps = np.where(new, 0, np.diff(ords, prepend=ords[:1])).astype(np.int32)
+        listed = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (gaps, tf, length)]
+        yield pa.RecordBatch.from_arrays(
+            [session.dictionary.take(pa.array(of[start])), pa.array(names).take(pa.array(term[start])), pa.array(ords[start] // BLOCK), pa.array(ords[start]), *listed, pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(length, start))],
+            [c.split()[0] for c in _ENTRIES.split(", ")],
+        )
+
+
+def folder(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """_ENTRIES and folder: for each term and block of chunks the chunks that have
+    it, as gaps, with how often and how long they are, and bounds on both."""
+    rows = with_session(chunks).select("session_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), words(F.col("text")).alias("w"))
+    found = rows.mapInArrow(_entries, _ENTRIES).withColumn("folder", folder(F.col("term")))
+    # a frequent term's blocks are several tasks' work
+    dealt = found.repartition("folder", F.expr(f"block div {BLOCKS_AT_ONCE}"))
+    return dealt.sortWithinPartitions("folder", "term", "session_id", "block")
+
+
+def _raw_idf(n: Column) -> Column:
+    return F.log(n.cast("double") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def impact(idf, tf, dl, avgdl):
+    """Of columns or of arrays; grows with tf and falls with dl where idf is positive."""
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-#: Distinct terms of a batch of questions that are broadcast; more are joined by shuffles.
-TERMS_AT_ONCE = 500_000
-
-
 class Index:
-    """BM25 tables of a chunk collection (chunk_ord, text, page_number, embedding).
-
-    ``terms`` (the vocabulary) is a written table; the number of chunks, their mean
-    length and the mean raw idf are three numbers held by the driver.  Postings are
-    not stored: a batch of questions selects its terms in the chunks' own tasks."""
-
-    def __init__(self, chunks: DataFrame):
-        self.chunks = chunks
-        rows = saved(term_rows(chunks), "terms")
-        n, total = rows.agg(F.sum("chunks"), F.sum("words")).first()
-        self.n, self.avgdl = n or 0, (total or 0) / (n or 1)
-        mean = rows.filter("term IS NOT NULL").agg(F.avg(_raw_idf(self.n))).first()[0]
-        self.terms = term_statistics(rows, self.n, mean or 0.0)
+    """BM25 tables of chunks (chunk_ord, text, page_number, embedding and, where
+    collections are several, session_id; chunk_ord tells all chunks apart).
+
+    ``entries`` are the stored postings, in folders by the term's hash and sorted by
+    term: a question reads the folders and blocks of its words.  Statistics are each
+    session's own: ``sizes`` (session_id, n, words, avgdl, mean_raw) and ``terms``
+    (session_id, term, df, idf).  ``entries`` given from elsewhere (a stored
+    collection) are used as they are."""
+
+    def __init__(self, chunks: DataFrame, entries: DataFrame | None = None):
+        self.chunks = with_session(chunks)
+        self.entries = saved(postings(chunks), "postings", by="folder") if entries is None else entries
+        counted = self.entries.groupBy("session_id", "term").agg(F.sum(F.size("gaps")).alias("df"), F.sum(F.when(F.col("term") == "", F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x))).alias("words"))
+        counted = saved(counted, "vocabulary")
+        sizes = counted.filter("term = ''").select("session_id", F.col("df").alias("n"), "words", (F.col("words") / F.col("df")).alias("avgdl"))
+        known = counted.filter("term <> ''").select("session_id", "term", "df").join(sizes.select("session_id", "n"), "session_id").withColumn("raw", _raw_idf(F.col("n")))
+        means = known.groupBy("session_id").agg(F.avg("raw").alias("mean_raw"))
+        self.sizes = saved(sizes.join(means, "session_id", "left"), "sizes")
+        # a negative idf becomes EPSILON times the mean of all raw ones
+        idf = F.when(F.col("raw") < 0, F.col("mean_raw") * EPSILON).otherwise(F.col("raw"))
+        self.terms = known.join(self.sizes.select("session_id", "mean_raw"), "session_id").select("session_id", "term", "df", idf.alias("idf"))
+        self.n, total = self.sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+        self.avgdl = total / (self.n or 1)
+
+    def asked(self, questions: DataFrame) -> DataFrame:
+        """query_id, session_id, term, folder, weight, avgdl: the words of questions that
+        their session has; a word counts as often as the question has it."""
+        rows = with_session(questions).select("query_id", "session_id", F.explode(words(F.col("question"))).alias("term")).groupBy("query_id", "session_id", "term").agg(F.count("*").alias("times"))
+        known = rows.join(self.terms, ["session_id", "term"]).join(self.sizes.select("session_id", "avgdl"), "session_id")
+        return known.select("query_id", "session_id", "term", folder(F.col("term")).alias("folder"), (F.col("times") * F.col("idf")).alias("weight"), "avgdl")
 
     def scores(self, questions: DataFrame) -> DataFrame:
-        """query_id, chunk_ord, score of chunks that share a term with a question
-        (query_id, question); a term counts as often as the question has it.
-
-        Words that no question has go before anything is shuffled."""
-        asked = questions.select("query_id", F.explode(words(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        asked = saved(asked.join(self.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "asked")
-        wanted = asked.select("term").distinct()
-        few = wanted.count() <= TERMS_AT_ONCE
-        tokens = self.chunks.select("chunk_ord", words(F.col("text")).alias("w")).select("chunk_ord", F.size("w").alias("dl"), F.explode("w").alias("term"))
-        post = tokens.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("chunk_ord", "dl", "term").agg(F.count("*").alias("tf"))
-        part = impact(F.col("weight"), F.col("tf"), F.col("dl"), F.lit(self.avgdl))
-        return post.join(asked, "term").groupBy("query_id", "chunk_ord").agg(F.sum(part).alias("score"))
+        """query_id, chunk_ord, score of every chunk that shares a word with a question: one row for
+        each, so for few questions only; ``retrieval.keyword_ranks`` keeps the best."""
+        numbered = F.posexplode(F.arrays_zip("gaps", "tfs", "dls"))
+        running = F.aggregate(F.slice("gaps", F.lit(1), F.col("pos") + 1), F.lit(0).cast("long"), lambda a, g: a + g)
+        rows = self.asked(questions).join(self.entries.drop("folder"), ["session_id", "term"]).select("*", numbered)
+        part = impact(F.col("weight"), F.col("col.tfs"), F.col("col.dls"), F.col("avgdl"))
+        return rows.select("query_id", (F.col("base") + running).alias("chunk_ord"), part.alias("part")).groupBy("query_id", "chunk_ord").agg(F.sum("part").alias("score"))
 
 
 def write_vectors(chunks: DataFrame, path: str, encoder=None, session: str = "session_id", mode: str = "append") -> None:

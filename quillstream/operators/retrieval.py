@@ -1,6 +1,8 @@
 """Hybrid retrieval: exact vector search, BM25, weighted reciprocal rank fusion.
 
 Questions are rows (query_id, question, vector); one or a million take one plan.
+Where chunks and questions have a session_id, a question searches its session's
+chunks alone, with that session's statistics; without one they are one collection.
 Scores are rounded before they rank, so that a different order of summation does
 not decide between equals; ties go to the earlier chunk.
 """
@@ -9,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import saved, tidy
-from .index import Index
+from .index import Index, folder, impact, with_session
 
 RRF, SEMANTIC_WEIGHT = 60, 0.6
 #: Questions' vectors that are broadcast at a time: a bound on what every task holds.
@@ -40,45 +43,76 @@ def ranked(scored: DataFrame, width: int, rank: str) -> DataFrame:
 VECTORS_AT_ONCE = 1024
 
 
-def _nearest(ids: pa.Array, vectors: np.ndarray, width: int):
-    """A task's function: of its chunks (chunk_ord, embedding) the ``width`` best for
-    each question, as (query_id, chunk_ord, score)."""
+class _Best:
+    """A task's ``width`` best chunks for each of some questions, by (score, earlier chunk)."""
+
+    def __init__(self, n: int, width: int):
+        self.width = width
+        self.score, self.number = np.full((n, width), -np.inf), np.full((n, width), np.iinfo(np.int64).max)
+
+    def offer(self, of: np.ndarray, score: np.ndarray, number: np.ndarray) -> None:
+        """Scores (a row for each question ``of``) of the chunks ``number``; minus infinity is none."""
+        score = np.concatenate([self.score[of], score], axis=1)
+        number = np.concatenate([self.number[of], np.tile(number, (len(of), 1))], axis=1)
+        top = np.lexsort((number, -score), axis=1)[:, : self.width]
+        self.score[of], self.number[of] = np.take_along_axis(score, top, 1), np.take_along_axis(number, top, 1)
+
+    def rows(self, ids: pa.Array):
+        of, k = np.nonzero(self.score > -np.inf)
+        if len(of):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(self.number[of, k]), pa.array(self.score[of, k])], ["query_id", "chunk_ord", "score"])
+
+
+def _by_value(values: list) -> dict:
+    """Places of each distinct value."""
+    out: dict = {}
+    for i, v in enumerate(values):
+        out.setdefault(v, []).append(i)
+    return {v: np.array(i) for v, i in out.items()}
+
+
+def _nearest(ids: pa.Array, sessions: list, vectors: np.ndarray, width: int):
+    """A task's function: of its chunks (session_id, chunk_ord, embedding) the ``width`` best for
+    each question of their session, as (query_id, chunk_ord, score)."""
+    questions = _by_value(sessions)
 
     def run(batches):
-        best, number = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+        best = _Best(len(ids), width)
         for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
+            batch = batch.filter(batch.column(2).is_valid())
             for at in range(0, batch.num_rows, VECTORS_AT_ONCE):
                 part = batch.slice(at, VECTORS_AT_ONCE)
-                e = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
-                score = np.concatenate([best, np.round(vectors @ e.T, 9)], axis=1)
-                ords = np.concatenate([number, np.tile(part.column(0).to_numpy(), (len(ids), 1))], axis=1)
-                top = np.lexsort((ords, -score), axis=1)[:, :width]
-                best, number = np.take_along_axis(score, top, 1), np.take_along_axis(ords, top, 1)
-        n = best.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), n))), pa.array(number.ravel()), pa.array(best.ravel())], ["query_id", "chunk_ord", "score"])
+                e = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                number = part.column(1).to_numpy()
+                for session, rows in _by_value(part.column(0).to_pylist()).items():
+                    of = questions.get(session)
+                    if of is not None:
+                        best.offer(of, np.round(vectors[of] @ e[rows].T, 9), number[rows])
+        yield from best.rows(ids)
 
     return run
 
 
+def _in_blocks(questions: DataFrame) -> list[DataFrame]:
+    """Questions in blocks of at most about QUESTIONS_AT_ONCE."""
+    blocks = -(-questions.count() // QUESTIONS_AT_ONCE)
+    return [questions] if blocks <= 1 else [questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
 @tidy
 def semantic_ranks(chunks: DataFrame, questions: DataFrame, width: int) -> DataFrame:
-    """query_id, chunk_ord, text, page_number, semantic_rank by cosine of unit vectors.
+    """query_id, chunk_ord, session_id, text, page_number, semantic_rank by cosine of unit vectors.
 
-    Exact: every chunk meets every question, as products of matrices in the chunks'
-    own tasks, which keep ``width`` rows a question; only those are shuffled.
+    Exact: every chunk meets every question of its session, as products of matrices in the
+    chunks' own tasks, which keep ``width`` rows a question; only those are shuffled.
     Questions come in blocks of a bounded number of vectors."""
-    asked = questions.filter("vector IS NOT NULL").select("query_id", "vector")
-    n = asked.count()
-    blocks = -(-n // QUESTIONS_AT_ONCE)
-    out, rows = None, chunks.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), "embedding")
-    for k in range(max(blocks, 1)):
-        block = asked if blocks <= 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+    chunks, asked = with_session(chunks), with_session(questions).filter("vector IS NOT NULL").select("query_id", "session_id", "vector")
+    out, rows = None, chunks.select("session_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), "embedding")
+    for block in _in_blocks(asked):
         held = block.toArrow()
         vectors = np.array(held.column("vector").to_pylist(), float).reshape(held.num_rows, -1)
         ids = held.column("query_id").combine_chunks()
-        found = rows.mapInArrow(_nearest(ids, vectors, width), f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_ord long, score double")
+        found = rows.mapInArrow(_nearest(ids, held.column("session_id").to_pylist(), vectors, width), f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_ord long, score double")
         part = ranked(found, width, "semantic_rank")
         out = part if out is None else out.unionByName(part)
     return _with_chunks(out, chunks, "semantic_rank")
@@ -89,21 +123,108 @@ def _with_chunks(top: DataFrame, chunks: DataFrame, rank: str) -> DataFrame:
     beside the chunks and go to them, so that other chunks' texts stay where they are."""
     top = saved(top.select("query_id", "chunk_ord", rank), "ranked")
     top = F.broadcast(top) if top.count() <= RANKED_AT_ONCE else top
-    return chunks.select("chunk_ord", "text", "page_number").join(top, "chunk_ord").select("query_id", "chunk_ord", "text", "page_number", rank)
+    return chunks.select("chunk_ord", "session_id", "text", "page_number").join(top, "chunk_ord").select("query_id", "chunk_ord", "session_id", "text", "page_number", rank)
+
+
+#: Questions that are scored at a time, against a block of chunks.
+SCORED_AT_ONCE = 256
+
+
+def _best_of_blocks(ids: pa.Array, asked: dict, width: int, every: bool):
+    """A task's function: of its postings, sorted by session and block, the ``width`` best
+    chunks for each question, as (query_id, chunk_ord, score).
+
+    ``asked``: session -> (avgdl, term -> (questions, weights)).  A question meets a block
+    only if the block's bounds on its words allow a score that its ``width`` best so far don't
+    beat.  With ``every``, chunks without a score take part, as some scores may be negative."""
+
+    def run(batches):
+        best = _Best(len(ids), width)
+
+        def score(session, rows):
+            avgdl, terms = asked[session]
+            ords = [r["base"] + np.cumsum(r["gaps"]) for r in rows]
+            number = np.unique(np.concatenate(ords))
+            bound = np.full(len(ids), 0.0 if every else -np.inf)
+            for r in rows:
+                of, weight = terms.get(r["term"], ((), ()))
+                if len(of):
+                    most = impact(weight, r["top_tf"], r["least_dl"], avgdl)
+                    bound[of] = np.where(np.isinf(bound[of]), 0, bound[of]) + np.maximum(most, 0)
+            # as sums are rounded, a bound that is short by a rounding still counts
+            alive = np.flatnonzero((bound + 1e-8 >= best.score[:, -1]) & (bound > -np.inf))
+            place = np.full(len(ids), -1)
+            for at in range(0, len(alive), SCORED_AT_ONCE):
+                some = alive[at : at + SCORED_AT_ONCE]
+                place[:] = -1
+                place[some] = np.arange(len(some))
+                total, met = np.zeros((len(some), len(number))), np.full((len(some), len(number)), every)
+                for r, o in zip(rows, ords):
+                    of, weight = terms.get(r["term"], ((), ()))
+                    if len(of):
+                        here = place[of] >= 0
+                        if here.any():
+                            where = np.ix_(place[of][here], np.searchsorted(number, o))
+                            total[where] += weight[here][:, None] * impact(1.0, r["tfs"].astype(float), r["dls"], avgdl)
+                            met[where] = True
+                total = np.round(total, 9)
+                best.offer(some, np.where(met, total, -np.inf), number)
+
+        key, rows = None, []
+        for batch in batches:
+            for session, block, term, base, gaps, tfs, dls, top_tf, least_dl in zip(*(batch.column(i) if 4 <= i <= 6 else batch.column(i).to_pylist() for i in range(9))):
+                if (session, block) != key:
+                    if rows:
+                        score(key[0], rows)
+                    key, rows = (session, block), []
+                flat = [x.values.to_numpy() for x in (gaps, tfs, dls)]
+                rows.append(dict(zip(("term", "base", "gaps", "tfs", "dls", "top_tf", "least_dl"), (term, base, *flat, top_tf, least_dl))))
+        if rows:
+            score(key[0], rows)
+        yield from best.rows(ids)
+
+    return run
 
 
 @tidy
 def keyword_ranks(index: Index, questions: DataFrame, width: int) -> DataFrame:
-    """query_id, chunk_ord, text, page_number, keyword_rank by BM25.
+    """query_id, chunk_ord, session_id, text, page_number, keyword_rank by BM25 within the question's session.
 
-    Chunks without a score are ranked too, after the others: the first ``width``
-    chunks in insertion order are enough to fill every query's list."""
-    scores = index.scores(questions).select("query_id", "chunk_ord", F.round("score", 9).alias("score"))
-    first = index.chunks.select("chunk_ord").orderBy("chunk_ord").limit(width)
-    filler = questions.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    both = scores.unionByName(filler).groupBy("query_id", "chunk_ord").agg(F.max(F.struct(F.col("score") != 0, "score")).alias("s")).select("query_id", "chunk_ord", F.col("s.score").alias("score"))
-    out = ranked(both, width, "keyword_rank")
-    return _with_chunks(out, index.chunks, "keyword_rank")
+    Exact.  The postings of the questions' words are read from their folders and dealt by
+    blocks of chunks; a task keeps ``width`` chunks a question, so that no word, however
+    frequent, makes rows of (question, chunk).  Chunks without a score are ranked too, after
+    the others: the first ``width`` chunks of the session are enough to fill a list."""
+    questions = with_session(questions).select("query_id", "session_id", "question")
+    entries, out, lists = index.entries, None, None
+    schema = f"query_id {questions.schema['query_id'].dataType.simpleString()}, chunk_ord long, score double"
+    for block in _in_blocks(questions):
+        held = index.asked(block).toArrow()  # the words of a bounded number of questions
+        listed = pc.unique(held.column("query_id"))
+        place = {q: i for i, q in enumerate(listed.to_pylist())}
+        asked: dict = {}
+        for q, session, term, weight, avgdl in zip(*(held.column(c).to_pylist() for c in ("query_id", "session_id", "term", "weight", "avgdl"))):
+            of, weights = asked.setdefault(session, (avgdl, {}))[1].setdefault(term, ([], []))
+            of.append(place[q])
+            weights.append(weight)
+        asked = {s: (avgdl, {t: (np.array(of), np.array(w)) for t, (of, w) in terms.items()}) for s, (avgdl, terms) in asked.items()}
+        every = bool(held.num_rows) and pc.min(held.column("weight")).as_py() < 0
+        wanted = block.sparkSession.createDataFrame([(s, t) for s, (_, terms) in asked.items() for t in [*terms, *[""] * every]], "session_id string, term string")
+        folders = sorted({*held.column("folder").to_pylist(), *([block.sparkSession.range(1).select(folder(F.lit(""))).first()[0]] if every else [])})
+        read = entries.filter(F.col("folder").isin(folders)).join(F.broadcast(wanted), ["session_id", "term"], "left_semi")
+        by = ["session_id", "block"]
+        dealt = read.repartition(*by).sortWithinPartitions(*by).select(*by, "term", "base", "gaps", "tfs", "dls", "top_tf", "least_dl")
+        found = dealt.mapInArrow(_best_of_blocks(listed, asked, width, every), schema)
+        out = found if out is None else out.unionByName(found)
+        # where every chunk took part, there is nothing to fill up
+        scored = block.sparkSession.createDataFrame([(q,) for q in listed.to_pylist()] if every else [], f"query_id {questions.schema['query_id'].dataType.simpleString()}")
+        open_ = block.select("query_id", "session_id").join(F.broadcast(scored), "query_id", "left_anti")
+        lists = open_ if lists is None else lists.unionByName(open_)
+    place = Window.partitionBy("session_id").orderBy("chunk_ord")
+    first = index.chunks.select("session_id", F.col("chunk_ord").cast("long").alias("chunk_ord")).withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= width).drop("rn")
+    filler = lists.join(first, "session_id").select("query_id", "chunk_ord", F.lit(0.0).alias("score"))
+    # a chunk that has a score, if a negative one, isn't filler
+    both = out.unionByName(filler).groupBy("query_id", "chunk_ord").agg(F.max(F.struct(F.col("score") != 0, "score")).alias("s")).select("query_id", "chunk_ord", F.col("s.score").alias("score"))
+    return _with_chunks(ranked(both, width, "keyword_rank"), index.chunks, "keyword_rank")
 
 
 @tidy
@@ -114,22 +235,24 @@ def fuse(semantic: DataFrame, keyword: DataFrame, chunks: DataFrame, k: int, wei
     Ranks are of texts: of equal texts in a channel's window the last counts.  A
     channel without the text counts as rank ``fetch_width(k)``; its rank is -1."""
     width = fetch_width(k)
-    s = semantic.groupBy("query_id", "text").agg(F.max("semantic_rank").alias("semantic_rank"), F.max_by("page_number", "semantic_rank").alias("page_s"), F.min("chunk_ord").alias("ord_s"))
-    w = keyword.groupBy("query_id", "text").agg(F.max("keyword_rank").alias("keyword_rank"), F.min("chunk_ord").alias("ord_k"))
-    both = s.join(w, ["query_id", "text"], "full")
+    semantic, keyword, chunks = map(with_session, (semantic, keyword, chunks))
+    s = semantic.groupBy("query_id", "session_id", "text").agg(F.max("semantic_rank").alias("semantic_rank"), F.max_by("page_number", "semantic_rank").alias("page_s"), F.min("chunk_ord").alias("ord_s"))
+    w = keyword.groupBy("query_id", "session_id", "text").agg(F.max("keyword_rank").alias("keyword_rank"), F.min("chunk_ord").alias("ord_k"))
+    both = s.join(w, ["query_id", "session_id", "text"], "full")
     share = lambda rank, part: F.lit(part) / (F.lit(RRF) + F.coalesce(rank, F.lit(width)))
     both = both.withColumn("rrf_score", share(F.col("semantic_rank"), weight) + share(F.col("keyword_rank"), 1 - weight)).withColumn("first", F.least("ord_s", "ord_k"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", 12)), "first")
     top = both.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
     top = saved(top, "fused")
-    # a text that only keywords found has the page of its first chunk; texts are
+    # a text that only keywords found has the page of its session's first chunk with it; texts are
     # told apart by two hashes, so that no text but the found ones is moved
     key = [F.xxhash64("text").alias("h1"), F.hash("text", F.length("text")).alias("h2")]
-    sought = top.filter("page_s IS NULL").select(*key).distinct()
+    sought = top.filter("page_s IS NULL").select("session_id", *key).distinct()
     sought = F.broadcast(sought) if sought.count() <= TEXTS_AT_ONCE else sought
-    pages = chunks.select(*key, "chunk_ord", "page_number").join(sought, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min_by("page_number", "chunk_ord").alias("page_k"))
+    same = ["session_id", "h1", "h2"]
+    pages = chunks.select("session_id", *key, "chunk_ord", "page_number").join(sought, same, "left_semi").groupBy(*same).agg(F.min_by("page_number", "chunk_ord").alias("page_k"))
     source = F.when(F.col("semantic_rank").isNull(), "keyword").when(F.col("keyword_rank").isNull(), "semantic").otherwise("hybrid")
-    return top.withColumns({"h1": key[0], "h2": key[1]}).join(pages, ["h1", "h2"], "left").select(
+    return top.withColumns({"h1": key[0], "h2": key[1]}).join(pages, same, "left").select(
         "query_id",
         "text",
         F.coalesce("page_s", "page_k", F.lit(1)).alias("page_number"),

@@ -95,6 +95,12 @@ def corpus(spark, sf_dir) -> DataFrame:
     return d.join(e, "v", "left").select(F.col("doc_id").alias("chunk_ord"), "text", (F.col("doc_id") % 50 + 1).cast("int").alias("page_number"), "embedding")
 
 
+def session_corpus(spark, sf_dir) -> DataFrame:
+    """``corpus`` dealt to the sessions that conversations are: session_id besides."""
+    n = table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n_sessions"))
+    return corpus(spark, sf_dir).join(F.broadcast(n)).withColumn("session_id", F.pmod("chunk_ord", "n_sessions").cast("string")).drop("n_sessions")
+
+
 def questions(spark, sf_dir) -> DataFrame:
     """query_id, question, vector: test items, each with some vector."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
@@ -103,13 +109,15 @@ def questions(spark, sf_dir) -> DataFrame:
     return b.join(e, "v", "left").select("query_id", "question", "vector")
 
 
-SQL_CHUNKS = """vectors AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+_CHUNKS = """vectors AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
 corpus AS MATERIALIZED (
-  SELECT doc_id AS chunk_ord, text, (doc_id % 50 + 1)::INT AS page_number, embedding::DOUBLE[] AS embedding
+  SELECT doc_id AS chunk_ord, %s AS session_id, text, (doc_id % 50 + 1)::INT AS page_number, embedding::DOUBLE[] AS embedding
   FROM documents LEFT JOIN embeddings ON vec_id = doc_id % (SELECT n FROM vectors)
 )"""
+SQL_CHUNKS = _CHUNKS.replace("%s", "''")
+SQL_SESSION_CHUNKS = _CHUNKS.replace("%s", "(doc_id % (SELECT max(conv_id) + 1 FROM conversations))::VARCHAR")
 SQL_CORPUS = SQL_CHUNKS + """, questions AS MATERIALIZED (
-  SELECT item_id AS query_id, text AS question, embedding::DOUBLE[] AS vector FROM benchmark LEFT JOIN embeddings ON vec_id = item_id * 7 % (SELECT n FROM vectors)
+  SELECT item_id AS query_id, '' AS session_id, text AS question, embedding::DOUBLE[] AS vector FROM benchmark LEFT JOIN embeddings ON vec_id = item_id * 7 % (SELECT n FROM vectors)
 )"""
 
 

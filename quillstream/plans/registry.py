@@ -8,8 +8,8 @@ from ..functions.numbers import argmax, fixed, kilobytes, softmax
 from ..functions.text import bind
 from ..operators import answer, chunking, guard, index, ranking, retrieval, session
 from ..sources.documents import accepted_upload, client_accepted, layout_pages, read_documents
-from ..store import new_folder
-from .inputs import attacked, chat_questions, corpus, docx_files, layouts, marked, markdown, questions, table, turns
+from ..store import new_folder, tidy
+from .inputs import attacked, chat_questions, corpus, docx_files, layouts, marked, markdown, questions, session_corpus, table, turns
 from .sql import FILES, SQL
 
 
@@ -223,7 +223,26 @@ def chat_requests(spark, sf_dir):
 def chat_pipeline(spark, sf_dir):
     # stands for a model: says how much it was told
     told = lambda r: F.concat(F.size(r["messages"]).cast("string"), F.lit(" messages; "), F.left(r["prompt"], F.lit(80)))
-    return answer.answer_questions(_index(spark, sf_dir), chat_questions(spark, sf_dir), generator=told).select("query_id", "answer")
+    chunks = index.Index(session_corpus(spark, sf_dir))
+    return answer.answer_questions(chunks, chat_questions(spark, sf_dir), generator=told).select("query_id", "answer")
+
+
+def session_terms(spark, sf_dir):
+    return index.Index(session_corpus(spark, sf_dir)).terms.select("session_id", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _session_questions(spark, sf_dir):
+    return chat_questions(spark, sf_dir).select("query_id", "session_id", F.col("resolved").alias("question"), "vector")
+
+
+def session_bm25(spark, sf_dir):
+    chunks = index.Index(session_corpus(spark, sf_dir))
+    return retrieval.keyword_ranks(chunks, _session_questions(spark, sf_dir), 60).select("query_id", "chunk_ord", "keyword_rank")
+
+
+def session_hybrid(spark, sf_dir):
+    rows = retrieval.hybrid_query(index.Index(session_corpus(spark, sf_dir)), _session_questions(spark, sf_dir), 20)
+    return rows.withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 def answer_outputs(spark, sf_dir):
@@ -316,7 +335,8 @@ def file_sizes(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in SQL}
+    # what a query has written on its way goes, but for what its result reads
+    return {name: tidy(globals()[name]) for name in SQL}
 
 
 def oracle_sql() -> dict[str, str]:

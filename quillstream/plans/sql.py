@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import guard as g
 from ..operators import session as s
-from .inputs import SQL_ATTACKED, SQL_CHUNKS, SQL_CORPUS, SQL_LAYOUTS, SQL_MARKDOWN, SQL_MARKED, SQL_TURNS, sql_string
+from .inputs import SQL_ATTACKED, SQL_CORPUS, SQL_LAYOUTS, SQL_MARKDOWN, SQL_MARKED, SQL_SESSION_CHUNKS, SQL_TURNS, sql_string
 
 NL = "chr(10)"
 
@@ -120,18 +120,18 @@ PACKED = f"""packed AS (
 CHUNKS = ", ".join([SQL_MARKDOWN, SECTIONS, BLOCKS, PACKED])
 
 BM25 = f"""post AS MATERIALIZED (
-  SELECT chunk_ord, term, count(*) AS tf FROM (SELECT chunk_ord, unnest({words('text')}) AS term FROM corpus) GROUP BY ALL
-), lens AS (SELECT chunk_ord, len({words('text')}) AS dl FROM corpus),
-stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM lens),
-raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM stats) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post GROUP BY term),
-terms AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({words('question')}) AS term FROM questions) GROUP BY ALL),
+  SELECT session_id, chunk_ord, term, count(*) AS tf FROM (SELECT session_id, chunk_ord, unnest({words('text')}) AS term FROM corpus) GROUP BY ALL
+), lens AS (SELECT session_id, chunk_ord, len({words('text')}) AS dl FROM corpus),
+stats AS (SELECT session_id, count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM lens GROUP BY session_id),
+raw AS (SELECT session_id, term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT session_id, term, count(*) AS df FROM post GROUP BY ALL) JOIN stats USING (session_id)),
+terms AS MATERIALIZED (SELECT session_id, term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * avg(raw) OVER (PARTITION BY session_id) ELSE raw END AS idf FROM raw),
+asked AS (SELECT query_id, session_id, term, count(*) AS times FROM (SELECT query_id, session_id, unnest({words('question')}) AS term FROM questions) GROUP BY ALL),
 scores AS (
   SELECT query_id, chunk_ord, round(sum(times * (idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 9) AS score
-  FROM asked JOIN post USING (term) JOIN terms USING (term) JOIN lens USING (chunk_ord), stats GROUP BY ALL
+  FROM asked JOIN post USING (session_id, term) JOIN terms USING (session_id, term) JOIN lens USING (session_id, chunk_ord) JOIN stats USING (session_id) GROUP BY query_id, chunk_ord
 ), every AS MATERIALIZED (
-  SELECT q.query_id, c.chunk_ord, coalesce(s.score, 0.0) AS kw, round(list_sum(list_transform(list_zip(c.embedding, q.vector), lambda z: z[1] * z[2])), 9) AS sem
-  FROM questions q CROSS JOIN corpus c LEFT JOIN scores s ON s.query_id = q.query_id AND s.chunk_ord = c.chunk_ord
+  SELECT q.query_id, c.session_id, c.chunk_ord, coalesce(s.score, 0.0) AS kw, round(list_sum(list_transform(list_zip(c.embedding, q.vector), lambda z: z[1] * z[2])), 9) AS sem
+  FROM questions q JOIN corpus c ON c.session_id = q.session_id LEFT JOIN scores s ON s.query_id = q.query_id AND s.chunk_ord = c.chunk_ord
 )"""
 
 
@@ -142,15 +142,15 @@ def fusion(k: int) -> str:
 ), kws AS (
   SELECT query_id, chunk_ord, rn - 1 AS r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, chunk_ord) AS rn FROM every) WHERE rn <= {width}
 ), st AS (
-  SELECT query_id, text, max(r) AS semantic_rank, arg_max(page_number, r) AS page_s, min(chunk_ord) AS o FROM sem JOIN corpus USING (chunk_ord) GROUP BY ALL
+  SELECT query_id, corpus.session_id, text, max(r) AS semantic_rank, arg_max(page_number, r) AS page_s, min(chunk_ord) AS o FROM sem JOIN corpus USING (chunk_ord) GROUP BY ALL
 ), kt AS (
-  SELECT query_id, text, max(r) AS keyword_rank, min(chunk_ord) AS o FROM kws JOIN corpus USING (chunk_ord) GROUP BY ALL
+  SELECT query_id, corpus.session_id, text, max(r) AS keyword_rank, min(chunk_ord) AS o FROM kws JOIN corpus USING (chunk_ord) GROUP BY ALL
 ), fused AS (
-  SELECT query_id, text, page_s, semantic_rank, keyword_rank, least(st.o, kt.o) AS o,
+  SELECT query_id, session_id, text, page_s, semantic_rank, keyword_rank, least(st.o, kt.o) AS o,
     0.6::DOUBLE / (60 + coalesce(semantic_rank, {width})) + 0.4::DOUBLE / (60 + coalesce(keyword_rank, {width})) AS rrf_score
-  FROM st FULL JOIN kt USING (query_id, text)
+  FROM st FULL JOIN kt USING (query_id, session_id, text)
 ), candidates AS MATERIALIZED (
-  SELECT query_id, text, coalesce(page_s, (SELECT arg_min(page_number, chunk_ord) FROM corpus c WHERE c.text = f.text), 1)::INT AS page_number,
+  SELECT query_id, text, coalesce(page_s, (SELECT arg_min(page_number, chunk_ord) FROM corpus c WHERE c.text = f.text AND c.session_id = f.session_id), 1)::INT AS page_number,
     CASE WHEN semantic_rank IS NULL THEN 'keyword' WHEN keyword_rank IS NULL THEN 'semantic' ELSE 'hybrid' END AS retrieval_source,
     coalesce(semantic_rank, -1)::INT AS semantic_rank, coalesce(keyword_rank, -1)::INT AS keyword_rank, rrf_score, (rn - 1)::INT AS cand_ord
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, o) AS rn FROM fused) f WHERE rn <= {k}
@@ -258,7 +258,7 @@ CHAT = f"""hist AS (
   SELECT session_id, turn_no, question, answer, {strip('lower(question)')} AS ql, lag(question) OVER (PARTITION BY session_id ORDER BY turn_no) AS p,
     least(row_number() OVER (PARTITION BY session_id ORDER BY turn_no) - 1, 5) AS n_history FROM turns
 ), questions AS MATERIALIZED (
-  SELECT session_id || '-' || turn_no AS query_id, question AS raw, CASE WHEN p IS NOT NULL AND {FOLLOWUP} THEN p || ' ' || question ELSE question END AS question, n_history, embedding::DOUBLE[] AS vector
+  SELECT session_id || '-' || turn_no AS query_id, session_id, question AS raw, CASE WHEN p IS NOT NULL AND {FOLLOWUP} THEN p || ' ' || question ELSE question END AS question, n_history, embedding::DOUBLE[] AS vector
   FROM hist LEFT JOIN embeddings ON vec_id = (session_id::BIGINT * 31 + turn_no) % (SELECT n FROM vectors)
 )"""
 FINAL_ROWS = f"best AS (SELECT query_id, max(rerank_score) AS b, {CONTEXT} AS context, {CITED} AS cited, left(arg_min(text, rn), 300) AS quoted, list_sort(list_distinct(list(page_number))) AS pages, string_agg(rn || ':' || page_number || ':' || retrieval_source || ':' || length(text), ' ' ORDER BY rn) AS chunks FROM final GROUP BY query_id)"
@@ -268,9 +268,12 @@ CHECKED = f"asked_ok AS (SELECT doc_id AS query_id, {VALIDITY} = '' AS ok FROM a
 SQL |= {
     "chat_requests": _with(SQL_TURNS, f"""SELECT session_id, turn_no, coalesce(h || '|', '') || 'user=Context:' || {NL} || '[No retrieved context]' || {NL} || {NL} || 'Question: ' || {strip('question')} || {NL} || {NL} || 'Answer:' AS messages FROM (
         SELECT session_id, turn_no, question, array_to_string(list('user=' || question || '|model=' || answer) OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '|') AS h FROM turns)"""),
-    "chat_pipeline": _with(SQL_CHUNKS, SQL_TURNS, CHAT, BM25, fusion(20), RERANK, "attacked AS (SELECT query_id AS doc_id, raw AS text FROM questions)", VERDICT, FINAL_ROWS, CHECKED, f"""SELECT query_id,
+    "chat_pipeline": _with(SQL_SESSION_CHUNKS, SQL_TURNS, CHAT, BM25, fusion(20), RERANK, "attacked AS (SELECT query_id AS doc_id, raw AS text FROM questions)", VERDICT, FINAL_ROWS, CHECKED, f"""SELECT query_id,
         CASE WHEN NOT ok THEN {sql_string('Your query could not be processed for security reasons.')} WHEN b >= -4.0 THEN n_history * 2 || ' messages; ' || {strip(f"left('Context:' || {NL} || context, 80)")} || cited ELSE 'Not found in document.' END AS answer
         FROM questions JOIN asked_ok USING (query_id) LEFT JOIN best USING (query_id)"""),
+    "session_terms": _with(SQL_SESSION_CHUNKS, BM25.partition("asked AS")[0].rstrip().rstrip(","), "SELECT session_id, term, df, round(idf, 6) AS idf FROM terms"),
+    "session_bm25": _with(SQL_SESSION_CHUNKS, SQL_TURNS, CHAT, BM25, "SELECT query_id, chunk_ord, (rn - 1)::INT AS keyword_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, chunk_ord) AS rn FROM every) WHERE rn <= 60"),
+    "session_hybrid": _with(SQL_SESSION_CHUNKS, SQL_TURNS, CHAT, BM25, fusion(20), "SELECT query_id, text, page_number, retrieval_source, semantic_rank, keyword_rank, round(rrf_score, 9) AS rrf_score, cand_ord FROM candidates"),
     "answer_outputs": _with(RETRIEVAL, RERANK, "attacked AS (SELECT query_id AS doc_id, question AS text FROM questions)", VERDICT, FINAL_ROWS, CANDIDATES, CHECKED, """SELECT query_id,
         CASE WHEN NOT ok THEN 'blocked' WHEN b >= -4.0 THEN 'answered' ELSE 'irrelevant' END AS status,
         CASE WHEN ok AND b >= -4.0 THEN array_to_string(pages, ',') ELSE '' END AS pages, CASE WHEN ok AND b >= -4.0 THEN chunks ELSE '' END AS final_chunks, CASE WHEN ok THEN candidates ELSE '' END AS candidates

@@ -30,8 +30,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in folders by a column if one is
+    named, and read it back.
 
     The result has no lineage to recompute, survives lost executors, and is
     column-pruned and compressed, unlike a checkpoint of rows.  ``forget``
@@ -40,7 +41,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._saved_at = path
     if _SCOPES:
