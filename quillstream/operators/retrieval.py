@@ -71,10 +71,10 @@ def _by_value(values: list) -> dict:
     return {v: np.array(i) for v, i in out.items()}
 
 
-def _nearest(ids: pa.Array, sessions: list, vectors: np.ndarray, width: int):
-    """A task's function: of its chunks (session_id, chunk_ord, embedding) the ``width`` best for
-    each question of their session, as (query_id, chunk_ord, score)."""
-    questions = _by_value(sessions)
+def nearest(ids: pa.Array, questions: dict, vectors: np.ndarray, width: int):
+    """A task's function: of its chunks (key, chunk_ord, embedding) the ``width`` best for
+    each question, as (query_id, chunk_ord, score); ``questions``: key (a session, or a
+    list of one) -> places in ``ids`` of those that search it."""
 
     def run(batches):
         best = _Best(len(ids), width)
@@ -93,7 +93,7 @@ def _nearest(ids: pa.Array, sessions: list, vectors: np.ndarray, width: int):
     return run
 
 
-def _in_blocks(questions: DataFrame) -> list[DataFrame]:
+def in_blocks(questions: DataFrame) -> list[DataFrame]:
     """Questions in blocks of at most about QUESTIONS_AT_ONCE."""
     blocks = -(-questions.count() // QUESTIONS_AT_ONCE)
     return [questions] if blocks <= 1 else [questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
@@ -108,17 +108,17 @@ def semantic_ranks(chunks: DataFrame, questions: DataFrame, width: int) -> DataF
     Questions come in blocks of a bounded number of vectors."""
     chunks, asked = with_session(chunks), with_session(questions).filter("vector IS NOT NULL").select("query_id", "session_id", "vector")
     out, rows = None, chunks.select("session_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), "embedding")
-    for block in _in_blocks(asked):
+    for block in in_blocks(asked):
         held = block.toArrow()
         vectors = np.array(held.column("vector").to_pylist(), float).reshape(held.num_rows, -1)
         ids = held.column("query_id").combine_chunks()
-        found = rows.mapInArrow(_nearest(ids, held.column("session_id").to_pylist(), vectors, width), f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_ord long, score double")
+        found = rows.mapInArrow(nearest(ids, _by_value(held.column("session_id").to_pylist()), vectors, width), f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_ord long, score double")
         part = ranked(found, width, "semantic_rank")
         out = part if out is None else out.unionByName(part)
-    return _with_chunks(out, chunks, "semantic_rank")
+    return with_chunks(out, chunks, "semantic_rank")
 
 
-def _with_chunks(top: DataFrame, chunks: DataFrame, rank: str) -> DataFrame:
+def with_chunks(top: DataFrame, chunks: DataFrame, rank: str) -> DataFrame:
     """Ranked rows with the text and page of their chunk.  The ranked rows are few
     beside the chunks and go to them, so that other chunks' texts stay where they are."""
     top = saved(top.select("query_id", "chunk_ord", rank), "ranked")
@@ -197,7 +197,7 @@ def keyword_ranks(index: Index, questions: DataFrame, width: int) -> DataFrame:
     questions = with_session(questions).select("query_id", "session_id", "question")
     entries, out, lists = index.entries, None, None
     schema = f"query_id {questions.schema['query_id'].dataType.simpleString()}, chunk_ord long, score double"
-    for block in _in_blocks(questions):
+    for block in in_blocks(questions):
         held = index.asked(block).toArrow()  # the words of a bounded number of questions
         listed = pc.unique(held.column("query_id"))
         place = {q: i for i, q in enumerate(listed.to_pylist())}
@@ -224,7 +224,7 @@ def keyword_ranks(index: Index, questions: DataFrame, width: int) -> DataFrame:
     filler = lists.join(first, "session_id").select("query_id", "chunk_ord", F.lit(0.0).alias("score"))
     # a chunk that has a score, if a negative one, isn't filler
     both = out.unionByName(filler).groupBy("query_id", "chunk_ord").agg(F.max(F.struct(F.col("score") != 0, "score")).alias("s")).select("query_id", "chunk_ord", F.col("s.score").alias("score"))
-    return _with_chunks(ranked(both, width, "keyword_rank"), index.chunks, "keyword_rank")
+    return with_chunks(ranked(both, width, "keyword_rank"), index.chunks, "keyword_rank")
 
 
 @tidy

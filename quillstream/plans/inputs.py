@@ -91,7 +91,11 @@ def corpus(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
     # numbers of vectors start from 0; a single row
     n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).join(F.broadcast(n)).withColumn("v", F.pmod("doc_id", "n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    # a table in few files is dealt in order: chunks that follow each other share blocks of the index
+    d = d if d.rdd.getNumPartitions() >= cores else d.repartitionByRange(cores, "doc_id")
+    d = d.join(F.broadcast(n)).withColumn("v", F.pmod("doc_id", "n"))
     return d.join(e, "v", "left").select(F.col("doc_id").alias("chunk_ord"), "text", (F.col("doc_id") % 50 + 1).cast("int").alias("page_number"), "embedding")
 
 

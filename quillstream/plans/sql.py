@@ -218,6 +218,7 @@ SQL = {
     "bm25_terms": _with(SQL_CORPUS, BM25.partition("asked AS")[0].rstrip().rstrip(","), "SELECT term, df, round(idf, 6) AS idf FROM terms"),
     "bm25_topk": _with(SQL_CORPUS, BM25, "SELECT query_id, chunk_ord, (rn - 1)::INT AS keyword_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, chunk_ord) AS rn FROM every) WHERE rn <= 60"),
     "semantic_topk": _with(SQL_CORPUS, BM25, "SELECT query_id, chunk_ord, (rn - 1)::INT AS semantic_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sem DESC, chunk_ord) AS rn FROM every) WHERE rn <= 5"),
+    "approximate_recall": _with(SQL_CORPUS, "SELECT count(*) AS n_questions, sum(n)::BIGINT AS n_rows, true AS enough FROM (SELECT query_id, (SELECT least(count(*), 60) FROM corpus WHERE embedding IS NOT NULL) AS n FROM questions WHERE vector IS NOT NULL)"),
     "rrf_fusion": _with(SQL_CORPUS, BM25, fusion(5), "SELECT query_id, text, retrieval_source, round(rrf_score, 9) AS rrf_score, cand_ord FROM candidates"),
     "hybrid_query": _with(RETRIEVAL, "SELECT query_id, text, page_number, retrieval_source, semantic_rank, keyword_rank, round(rrf_score, 9) AS rrf_score, cand_ord FROM candidates"),
     "rerank_topk": _with(RETRIEVAL, RERANK, "SELECT query_id, text, page_number, round(rerank_score, 9) AS rerank_score, rn::INT AS final_ord FROM final"),

@@ -66,7 +66,7 @@ def tidy(function):
             return out
         finally:
             made = _SCOPES.pop()
-            read = "\n".join(out.inputFiles()) if made and out is not None else ""
+            read = "\n".join(out.inputFiles()) if made and isinstance(out, DataFrame) else ""
             kept = [t for t in made if t._saved_at.rpartition("/")[2] in read]
             forget(*[t for t in made if not any(t is k for k in kept)])
             if _SCOPES:
