@@ -86,6 +86,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("folder", "term", "session_id", "block")
 
 
+def vocabulary(entries: DataFrame) -> DataFrame:
+    """session_id, term, df, words: chunks that have the term; all chunks and all their words for the empty term."""
+    total = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
+    return entries.groupBy("session_id", "term").agg(F.sum(F.size("gaps")).alias("df"), F.sum(F.when(F.col("term") == "", total)).alias("words"))
+
+
 def _raw_idf(n: Column) -> Column:
     return F.log(n.cast("double") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
@@ -95,6 +101,10 @@ def impact(idf, tf, dl, avgdl):
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+#: The term of chunks that are no longer there; no text has it, as it holds white space.
+GONE = " gone"
+
+
 class Index:
     """BM25 tables of chunks (chunk_ord, text, page_number, embedding and, where
     collections are several, session_id; chunk_ord tells all chunks apart).
@@ -102,14 +112,13 @@ class Index:
     ``entries`` are the stored postings, in folders by the term's hash and sorted by
     term: a question reads the folders and blocks of its words.  Statistics are each
     session's own: ``sizes`` (session_id, n, words, avgdl, mean_raw) and ``terms``
-    (session_id, term, df, idf).  ``entries`` given from elsewhere (a stored
-    collection) are used as they are."""
+    (session_id, term, df, idf).  ``entries`` and ``counted`` given from elsewhere (a
+    stored collection) are used as they are."""
 
-    def __init__(self, chunks: DataFrame, entries: DataFrame | None = None):
+    def __init__(self, chunks: DataFrame, entries: DataFrame | None = None, counted: DataFrame | None = None):
         self.chunks = with_session(chunks)
         self.entries = saved(postings(chunks), "postings", by="folder") if entries is None else entries
-        counted = self.entries.groupBy("session_id", "term").agg(F.sum(F.size("gaps")).alias("df"), F.sum(F.when(F.col("term") == "", F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x))).alias("words"))
-        counted = saved(counted, "vocabulary")
+        counted = saved(vocabulary(self.entries), "vocabulary") if counted is None else counted
         sizes = counted.filter("term = ''").select("session_id", F.col("df").alias("n"), "words", (F.col("words") / F.col("df")).alias("avgdl"))
         known = counted.filter("term <> ''").select("session_id", "term", "df").join(sizes.select("session_id", "n"), "session_id").withColumn("raw", _raw_idf(F.col("n")))
         means = known.groupBy("session_id").agg(F.avg("raw").alias("mean_raw"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import saved, tidy
-from .index import Index, folder, impact, with_session
+from .index import GONE, Index, folder, impact, with_session
 
 RRF, SEMANTIC_WEIGHT = 60, 0.6
 #: Questions' vectors that are broadcast at a time: a bound on what every task holds.
@@ -145,6 +145,8 @@ def _best_of_blocks(ids: pa.Array, asked: dict, width: int, every: bool):
             avgdl, terms = asked[session]
             ords = [r["base"] + np.cumsum(r["gaps"]) for r in rows]
             number = np.unique(np.concatenate(ords))
+            gone = [o for r, o in zip(rows, ords) if r["term"] == GONE]
+            gone = np.isin(number, np.concatenate(gone)) if gone else np.zeros(len(number), bool)
             bound = np.full(len(ids), 0.0 if every else -np.inf)
             for r in rows:
                 of, weight = terms.get(r["term"], ((), ()))
@@ -168,7 +170,7 @@ def _best_of_blocks(ids: pa.Array, asked: dict, width: int, every: bool):
                             total[where] += weight[here][:, None] * impact(1.0, r["tfs"].astype(float), r["dls"], avgdl)
                             met[where] = True
                 total = np.round(total, 9)
-                best.offer(some, np.where(met, total, -np.inf), number)
+                best.offer(some, np.where(met & ~gone, total, -np.inf), number)
 
         key, rows = None, []
         for batch in batches:
@@ -208,8 +210,9 @@ def keyword_ranks(index: Index, questions: DataFrame, width: int) -> DataFrame:
             weights.append(weight)
         asked = {s: (avgdl, {t: (np.array(of), np.array(w)) for t, (of, w) in terms.items()}) for s, (avgdl, terms) in asked.items()}
         every = bool(held.num_rows) and pc.min(held.column("weight")).as_py() < 0
-        wanted = block.sparkSession.createDataFrame([(s, t) for s, (_, terms) in asked.items() for t in [*terms, *[""] * every]], "session_id string, term string")
-        folders = sorted({*held.column("folder").to_pylist(), *([block.sparkSession.range(1).select(folder(F.lit(""))).first()[0]] if every else [])})
+        wanted = block.sparkSession.createDataFrame([(s, t) for s, (_, terms) in asked.items() for t in [*terms, GONE, *[""] * every]], "session_id string, term string")
+        beside = block.sparkSession.range(1).select(folder(F.lit(GONE)), folder(F.lit(""))).first()
+        folders = sorted({*held.column("folder").to_pylist(), beside[0], *beside[1:][: int(every)]})
         read = entries.filter(F.col("folder").isin(folders)).join(F.broadcast(wanted), ["session_id", "term"], "left_semi")
         by = ["session_id", "block"]
         dealt = read.repartition(*by).sortWithinPartitions(*by).select(*by, "term", "base", "gaps", "tfs", "dls", "top_tf", "least_dl")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import argmax, fixed, kilobytes, softmax
 from ..functions.text import bind
-from ..operators import answer, approximate, chunking, guard, index, ranking, retrieval, session
+from ..operators import answer, approximate, chunking, collection, guard, index, ranking, retrieval, session
 from ..sources.documents import accepted_upload, client_accepted, layout_pages, read_documents
 from ..store import new_folder, tidy
 from .inputs import attacked, chat_questions, corpus, docx_files, layouts, marked, markdown, questions, session_corpus, table, turns
@@ -109,6 +109,17 @@ def bm25_terms(spark, sf_dir):
     return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def incremental_terms(spark, sf_dir):
+    # every document is a file; at first a fifth has an older text and there are other files besides
+    d = table(spark, sf_dir, "documents").select(F.lit("s").alias("session_id"), F.col("doc_id").cast("string").alias("file_id"), F.lit(0).alias("chunk_no"), F.lit(1).alias("page_number"), "text", F.lit(None).cast("array<float>").alias("embedding"))
+    older = d.withColumn("text", F.when(F.col("file_id").cast("long") % 5 == 0, F.concat(F.lit("older words "), F.reverse("text"))).otherwise(F.col("text")))
+    other = d.filter("file_id % 3 = 0").withColumns({"file_id": F.concat(F.lit("other "), F.col("file_id")), "text": F.concat("text", F.lit(" other words"))})
+    stored = collection.Collection(spark, new_folder(spark, "collection"))
+    stored.change(older.unionByName(other))
+    stored.change(d, other)
+    return stored.index().terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 def bm25_topk(spark, sf_dir):
     return retrieval.keyword_ranks(_index(spark, sf_dir), questions(spark, sf_dir), 60).select("query_id", "chunk_ord", "keyword_rank")
 

@@ -252,6 +252,8 @@ SQL = {
     "api_projection": _with(RETRIEVAL, RERANK, "SELECT query_id, page_number, CASE WHEN length(text) > 250 THEN left(text, 250) || '...' ELSE text END AS preview, printf('%.4f', rrf_score) AS rrf, printf('%.4f', rerank_score) AS rerank FROM final"),
 }
 
+SQL["incremental_terms"] = SQL["bm25_terms"]
+
 MODEL_TEXT = "CASE WHEN length(n) > 1000 THEN left(n, 500) || ' ... ' || right(n, 500) ELSE n END"
 #: What the stand-ins for models in ``guard_models`` answer: by the length of what they read.
 STUB_SCORE, STUB_SAID = "length(m) % 100 / 100.0::DOUBLE", "CASE length(n) % 7 WHEN 0 THEN ' Unsafe' || chr(10) || 'S' || length(n) % 10 WHEN 1 THEN NULL ELSE 'safe' END"
