@@ -5,7 +5,7 @@ by their hash; there is a model for each fold, and every document is scored by
 the model of the other one, so that no text, nor a copy of it, is judged by its
 own counts.  A model is trained on a bounded sample of its fold's trusted texts:
 whole distinct texts in the order of their hashes, ``TRUSTED_CHARS`` characters
-at most.
+at most, whatever the size of the trusted text (``sample`` fills it up to the bound).
 
 Trigrams are sorted and counted in the tasks that read them and dealt, packed,
 by their middle word; a shard of middle words has all that is counted there:
@@ -24,7 +24,8 @@ documents are packed into blocks, a block sends its distinct keys to the ranges,
 sharded joins answer them, and the answers meet the block again.  Both ways give
 the same numbers.
 The cross-fitted perplexities of trusted documents set a limit for each language,
-their ``QUANTILE`` times ``MARGIN``; documents beyond it are not kept.
+their ``QUANTILE`` times ``MARGIN``; documents beyond it are not kept.  The margin is there since
+the quantile itself gives up one in a hundred texts that are as good as the trusted ones.
 
 Bounds: a model has at most ``TRUSTED_CHARS`` tokens, so its counts, and the
 groups that train it, are bounded; the bit tables have ``TRUSTED_CHARS`` bytes
@@ -32,8 +33,9 @@ together at most.
 
 Defined cases: null or empty text has no word: perplexity null, not kept; a null
 ``lang`` is a language of its own; a language without trusted documents has the
-limit of all; repeated rows are scored alike and train once; without trusted
-text all is kept that has words; an empty table gives an empty result; extra
+limit of all; repeated rows are scored alike and train once; equal hashes are one text;
+without trusted text all is kept that has words; trusted texts that are all longer than the
+bound raise an error; very long texts are scored whole; an empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -52,8 +54,8 @@ from .textnum import U
 TRUSTED_CHARS = 6_000_000
 QUANTILE, MARGIN = 0.99, 1.25
 FOLDS = 2
-#: Buckets of hashes that are taken into the sample or not.
-BUCKETS = 4096
+#: Parts of a range of hashes that are looked at at once; how full a sample is to be; looks at most.
+BUCKETS, FILLED, LOOKS = 4096, 0.9, 100
 #: Trusted characters for each shard of middle words, and range of keys.
 SHARD_CHARS = 1_500_000
 #: Blocks that one answering task serves; picked rows that are broadcast.
@@ -64,25 +66,59 @@ BROADCAST_BYTES = 256 << 20
 LANGUAGES_AT_ONCE = 100_000
 
 
+def _ranges(rows: DataFrame, chars: int) -> tuple[list[tuple[int, int]], int]:
+    """Ranges of ``place`` whose texts (place, size) have ``chars`` characters at most, and how many they are.
+
+    Sub-ranges are taken in order while they fit and what doesn't fit is looked at more
+    closely, down to single texts; it ends where all is taken or the sample is filled to
+    ``FILLED``, or only texts longer than what is left were met ``LOOKS`` times.  Sums of at most
+    BUCKETS sub-ranges come to the driver."""
+    taken, left, n = [], chars, 0
+    todo = [(0, 1 << 63)]
+    for _ in range(LOOKS):
+        if not todo or left < (1 - FILLED) * chars:
+            break
+        lo, hi = todo.pop()
+        step = max(1, -(-(hi - lo) // BUCKETS))
+        inside = rows.filter(F.col("place").between(lo, hi - 1)).groupBy(F.expr(f"(place - {lo}L) div {step}L").alias("b"))
+        at = lo
+        for bucket, size, count in inside.agg(F.sum("size"), F.count("*")).orderBy("b").collect():
+            if size <= left:
+                left, n = left - size, n + count
+                continue
+            first = lo + bucket * step
+            taken.append((at, first))
+            at = min(first + step, hi)
+            # the rest of the range comes after a closer look at this part of it
+            if at < hi:
+                todo.append((at, hi))
+            if count > 1 and step > 1:
+                todo.append((first, at))
+            break
+        else:
+            taken.append((at, hi))
+    return [r for r in taken if r[0] < r[1]], n
+
+
 @tidy
 def sample(docs: DataFrame, trusted: DataFrame, chars: int) -> DataFrame:
-    """fold, text: distinct trusted texts of each fold, ``chars`` characters at most.
+    """fold, text: distinct trusted texts of each fold in the order of their hashes,
+    ``chars`` characters at most; a text that doesn't fit any more is passed over.
 
-    Buckets of hashes are taken in order while they fit; only their sizes come
-    to the driver."""
+    A sample that stays empty beside trusted words is an error, not a model."""
     rows = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
     distinct = rows.join(trusted, "doc_id", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
-    bucket = F.pmod(F.shiftrightunsigned("h", 1), F.lit(BUCKETS)).cast("int")
-    distinct = saved(distinct.select("h", "doc_id", "size", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), bucket.alias("bucket")), "trusted-hashes")
-    sizes = distinct.groupBy("fold", "bucket").agg(F.sum("size"), F.count("*")).orderBy("fold", "bucket").collect()
-    taken, total, n = [], dict.fromkeys(range(FOLDS), 0), 0
-    for fold, b, size, rows_in in sizes:
-        if total[fold] + size <= chars:
-            total[fold] += size
-            n += rows_in
-            taken.append((fold, b))
-    taken = docs.sparkSession.createDataFrame(taken, "fold int, bucket int")
-    picks = distinct.join(F.broadcast(taken), ["fold", "bucket"]).select("h", "doc_id", "fold")
+    place = F.shiftrightunsigned("h", 1)
+    distinct = saved(distinct.select("h", "doc_id", "size", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), place.alias("place")), "trusted-hashes")
+    chosen, n = F.lit(False), 0
+    for fold in range(FOLDS):
+        ranges, count = _ranges(distinct.filter(F.col("fold") == fold).select("place", "size"), chars)
+        n += count
+        for lo, hi in ranges:
+            chosen = chosen | ((F.col("fold") == fold) & F.col("place").between(lo, hi - 1))
+    if not n and distinct.limit(1).count():
+        raise ValueError(f"no trusted text has at most {chars} characters: nothing to train on")
+    picks = distinct.filter(chosen).select("h", "doc_id", "fold")
     picks = F.broadcast(picks) if n <= PICKS_AT_ONCE else picks
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(picks, ["doc_id", "h"])
     return saved(texts.dropDuplicates(["fold", "h"]).select("fold", "text"), "trusted")
