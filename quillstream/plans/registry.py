@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import argmax, fixed, kilobytes, softmax
+from ..functions.tables import register
 from ..functions.text import bind
 from ..operators import answer, approximate, chunking, collection, guard, index, ranking, retrieval, session
-from ..sources.documents import accepted_upload, client_accepted, layout_pages, read_documents
+from ..sources.documents import accepted_upload, client_accepted, layout_pages, read_attempts, read_documents
 from ..store import new_folder, tidy
 from .inputs import attacked, chat_questions, corpus, docx_files, layouts, marked, markdown, questions, session_corpus, table, turns
 from .sql import FILES, SQL
@@ -311,6 +312,20 @@ def docx_pages(spark, sf_dir):
     return rows.select(F.concat(F.replace("path", F.lit(".docx"), F.lit("#")), F.col("page_number").cast("string")).alias("page"), "text", F.col("n_redactions").cast("bigint").alias("n_redactions"))
 
 
+def failed_files(spark, sf_dir):
+    files = docx_files(spark, sf_dir)
+    # beside each file one that is cut off
+    cut = files.select(F.concat(F.lit("cut "), "path").alias("path"), F.substring("content", 1, 100).alias("content"))
+    rows = read_attempts(files.unionByName(cut))
+    return rows.groupBy("path").agg(F.count("page_number").alias("n_pages"), F.max("stage").alias("stage"), F.max("reason").alias("reason"))
+
+
+def chunk_udtf(spark, sf_dir):
+    register(spark)
+    markdown(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), "text").createOrReplaceTempView("markdown_pages")
+    return spark.sql("SELECT doc_id, chunk_ord, chunk_type, text FROM chunk(TABLE(markdown_pages) PARTITION BY doc_id ORDER BY page_number)")
+
+
 def layout_ladder(spark, sf_dir):
     return layouts(spark, sf_dir).select("doc_id", F.inline(layout_pages(F.col("items"), F.col("markdown"), F.col("pages"))))
 

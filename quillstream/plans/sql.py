@@ -253,6 +253,7 @@ SQL = {
 }
 
 SQL["incremental_terms"] = SQL["bm25_terms"]
+SQL["chunk_udtf"] = SQL["chunk_pages"]
 
 MODEL_TEXT = "CASE WHEN length(n) > 1000 THEN left(n, 500) || ' ... ' || right(n, 500) ELSE n END"
 #: What the stand-ins for models in ``guard_models`` answer: by the length of what they read.
@@ -294,6 +295,9 @@ SQL |= {
         paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, CASE WHEN i % 4 = 0 THEN {NL} || '## ' ELSE '' END || {strip('line')} AS item FROM lines WHERE {strip('line')} <> ''),
         items AS (SELECT * FROM paras UNION ALL SELECT doc_id, coalesce(k, 0), {NL} || '| key | value |' || {NL} || '| --- | --- |' || {NL} || '| number | ' || doc_id || ' |' || {NL} FROM documents LEFT JOIN (SELECT doc_id, count(*) AS k FROM paras GROUP BY doc_id) USING (doc_id)),
         page AS (SELECT doc_id || '#' || (k // 30 + 1) AS doc_id, {strip(f"string_agg(item, {NL} ORDER BY k)")} AS text FROM (SELECT doc_id::VARCHAR AS doc_id, k, item FROM items) GROUP BY doc_id, k // 30)""", sanitize_chain("page"), "SELECT doc_id AS page, t AS text, n AS n_redactions FROM sanitized"),
+    "failed_files": _with(SQL_ATTACKED, f"""lines AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[\\x00-\\x09\\x0b-\\x1f]', '', 'g'), {NL})) AS line FROM attacked),
+        n AS (SELECT doc_id, count(*) AS k FROM lines WHERE {strip('line')} <> '' GROUP BY doc_id)""", """SELECT doc_id || '.docx' AS path, coalesce(k, 0) // 30 + 1 AS n_pages, NULL AS stage, NULL AS reason FROM documents LEFT JOIN n USING (doc_id)
+        UNION ALL SELECT 'cut ' || doc_id || '.docx', 0, 'docx', 'BadZipFile: File is not a zip file' FROM documents"""),
     "layout_ladder": _with(SQL_LAYOUTS, FOLDED, f"SELECT doc_id, page_number::INT AS page_number, text FROM several UNION ALL ({VIRTUAL})"),
     "vector_sink": "SELECT (doc_id % 5)::VARCHAR AS session_id, count(*) AS n, count(*) FILTER (doc_id % 5 > 1 OR doc_id % 3 = 0) AS n_kept FROM documents WHERE doc_id % 5 > 1 OR doc_id % 3 = 0 GROUP BY 1",
     "append_turns": _with(SQL_TURNS, """SELECT session_id, turn_no, question, answer FROM turns UNION ALL

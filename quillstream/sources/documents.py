@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -101,6 +101,49 @@ def parse(files: DataFrame, parser: Parser) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, PAGES)
 
 
+ATTEMPTS = f"{PAGES}, stage string, reason string"
+
+
+def attempts(files: DataFrame, *stages: tuple[str, Parser | None]) -> DataFrame:
+    """ATTEMPTS of ``files`` (path, content): the pages of the first of the named ``stages``
+    that makes one, and a row without page for every stage that failed, with the reason.
+
+    A file that no stage found any text in has a row of the last one: no file vanishes."""
+    real = [(name, parser) for name, parser in stages if parser is not None]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pages, failed, stage = [], False, None
+                for stage, parser in real:
+                    try:
+                        pages = [p for p in parser(content) if p[1].strip()]
+                    except Exception as e:  # noqa: BLE001  told in a row
+                        rows.append((path, None, None, stage, f"{type(e).__name__}: {e}"[:500]))
+                        failed = True
+                    if pages:
+                        break
+                    failed = failed and stage == real[-1][0]
+                rows += [(path, n, text, None, None) for n, text in pages]
+                if not pages and not failed:
+                    rows.append((path, None, None, stage, "no text" if real else "no parser"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], [c.split()[0] for c in ATTEMPTS.split(", ")])
+
+    return files.select("path", "content").mapInArrow(run, ATTEMPTS)
+
+
+def read_attempts(files: DataFrame, pdf: Parser | None = None, pdf_fallback: Parser | None = None, counts: Observation | None = None) -> DataFrame:
+    """Like ``read_documents``, with failures: ATTEMPTS and n_redactions of every file.
+    ``counts`` is told n_pages and n_failures by whatever job reads the result."""
+    is_docx = extension(F.col("path")) == ".docx"
+    rows = attempts(files.filter(is_docx), ("docx", docx_pages)).unionByName(attempts(files.filter(~is_docx | is_docx.isNull()), ("pdf", pdf), ("pdf_fallback", pdf_fallback)))
+    rows = rows.withColumn("z", F.when(F.col("text").isNotNull(), sanitize(F.col("text")))).select("path", "page_number", F.col("z.text").alias("text"), "stage", "reason", F.col("z.n").alias("n_redactions"))
+    if counts is not None:
+        rows = rows.observe(counts, F.count_if(F.col("stage").isNull()).alias("n_pages"), F.count_if(F.col("stage").isNotNull()).alias("n_failures"))
+    return rows
+
+
 def first_that_reads(*parsers: Parser | None) -> Parser:
     """A parser that tries others in turn, in one task, until one makes a page; one
     that fails made none."""
