@@ -113,11 +113,13 @@ class Index:
     term: a question reads the folders and blocks of its words.  Statistics are each
     session's own: ``sizes`` (session_id, n, words, avgdl, mean_raw) and ``terms``
     (session_id, term, df, idf).  ``entries`` and ``counted`` given from elsewhere (a
-    stored collection) are used as they are."""
+    stored collection) are used as they are.  ``texts``: the chunks without their vectors,
+    where those are joined from another table that texts needn't be moved for."""
 
-    def __init__(self, chunks: DataFrame, entries: DataFrame | None = None, counted: DataFrame | None = None):
+    def __init__(self, chunks: DataFrame, entries: DataFrame | None = None, counted: DataFrame | None = None, texts: DataFrame | None = None):
         self.chunks = with_session(chunks)
-        self.entries = saved(postings(chunks), "postings", by="folder") if entries is None else entries
+        self.texts = self.chunks if texts is None else with_session(texts)
+        self.entries = saved(postings(self.texts), "postings", by="folder") if entries is None else entries
         counted = saved(vocabulary(self.entries), "vocabulary") if counted is None else counted
         sizes = counted.filter("term = ''").select("session_id", F.col("df").alias("n"), "words", (F.col("words") / F.col("df")).alias("avgdl"))
         known = counted.filter("term <> ''").select("session_id", "term", "df").join(sizes.select("session_id", "n"), "session_id").withColumn("raw", _raw_idf(F.col("n")))

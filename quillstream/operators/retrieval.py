@@ -100,12 +100,12 @@ def in_blocks(questions: DataFrame) -> list[DataFrame]:
 
 
 @tidy
-def semantic_ranks(chunks: DataFrame, questions: DataFrame, width: int) -> DataFrame:
+def semantic_ranks(chunks: DataFrame, questions: DataFrame, width: int, texts: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_ord, session_id, text, page_number, semantic_rank by cosine of unit vectors.
 
     Exact: every chunk meets every question of its session, as products of matrices in the
     chunks' own tasks, which keep ``width`` rows a question; only those are shuffled.
-    Questions come in blocks of a bounded number of vectors."""
+    Questions come in blocks of a bounded number of vectors.  ``texts``: see ``Index``."""
     chunks, asked = with_session(chunks), with_session(questions).filter("vector IS NOT NULL").select("query_id", "session_id", "vector")
     out, rows = None, chunks.select("session_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), "embedding")
     for block in in_blocks(asked):
@@ -115,7 +115,7 @@ def semantic_ranks(chunks: DataFrame, questions: DataFrame, width: int) -> DataF
         found = rows.mapInArrow(nearest(ids, _by_value(held.column("session_id").to_pylist()), vectors, width), f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_ord long, score double")
         part = ranked(found, width, "semantic_rank")
         out = part if out is None else out.unionByName(part)
-    return with_chunks(out, chunks, "semantic_rank")
+    return with_chunks(out, chunks if texts is None else with_session(texts), "semantic_rank")
 
 
 def with_chunks(top: DataFrame, chunks: DataFrame, rank: str) -> DataFrame:
@@ -223,11 +223,11 @@ def keyword_ranks(index: Index, questions: DataFrame, width: int) -> DataFrame:
         open_ = block.select("query_id", "session_id").join(F.broadcast(scored), "query_id", "left_anti")
         lists = open_ if lists is None else lists.unionByName(open_)
     place = Window.partitionBy("session_id").orderBy("chunk_ord")
-    first = index.chunks.select("session_id", F.col("chunk_ord").cast("long").alias("chunk_ord")).withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= width).drop("rn")
+    first = index.texts.select("session_id", F.col("chunk_ord").cast("long").alias("chunk_ord")).withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= width).drop("rn")
     filler = lists.join(first, "session_id").select("query_id", "chunk_ord", F.lit(0.0).alias("score"))
     # a chunk that has a score, if a negative one, isn't filler
     both = out.unionByName(filler).groupBy("query_id", "chunk_ord").agg(F.max(F.struct(F.col("score") != 0, "score")).alias("s")).select("query_id", "chunk_ord", F.col("s.score").alias("score"))
-    return with_chunks(ranked(both, width, "keyword_rank"), index.chunks, "keyword_rank")
+    return with_chunks(ranked(both, width, "keyword_rank"), index.texts, "keyword_rank")
 
 
 @tidy
@@ -276,4 +276,4 @@ def semantic_query(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataF
 def hybrid_query(index: Index, questions: DataFrame, k: int = 5, weight: float = SEMANTIC_WEIGHT) -> DataFrame:
     """Fused candidates of each question; an empty collection gives none."""
     width = fetch_width(k)
-    return fuse(semantic_ranks(index.chunks, questions, width), keyword_ranks(index, questions, width), index.chunks, k, weight)
+    return fuse(semantic_ranks(index.chunks, questions, width, index.texts), keyword_ranks(index, questions, width), index.texts, k, weight)

@@ -86,23 +86,28 @@ SQL_MARKED = """marked AS (
 )"""
 
 
+def corpus_texts(spark, sf_dir) -> DataFrame:
+    """chunk_ord, text, page_number: every document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    # a table in few files is dealt in order: chunks that follow each other share blocks of the index
+    d = d if d.rdd.getNumPartitions() >= cores else d.repartitionByRange(cores, "doc_id")
+    return d.select(F.col("doc_id").alias("chunk_ord"), "text", (F.col("doc_id") % 50 + 1).cast("int").alias("page_number"))
+
+
 def corpus(spark, sf_dir) -> DataFrame:
     """chunk_ord, text, page_number, embedding: every document, each with some vector."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
     # numbers of vectors start from 0; a single row
     n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    # a table in few files is dealt in order: chunks that follow each other share blocks of the index
-    d = d if d.rdd.getNumPartitions() >= cores else d.repartitionByRange(cores, "doc_id")
-    d = d.join(F.broadcast(n)).withColumn("v", F.pmod("doc_id", "n"))
-    return d.join(e, "v", "left").select(F.col("doc_id").alias("chunk_ord"), "text", (F.col("doc_id") % 50 + 1).cast("int").alias("page_number"), "embedding")
+    d = corpus_texts(spark, sf_dir).join(F.broadcast(n)).withColumn("v", F.pmod("chunk_ord", "n"))
+    return d.join(e, "v", "left").select("chunk_ord", "text", "page_number", "embedding")
 
 
-def session_corpus(spark, sf_dir) -> DataFrame:
-    """``corpus`` dealt to the sessions that conversations are: session_id besides."""
+def in_sessions(spark, sf_dir, chunks: DataFrame) -> DataFrame:
+    """``chunks`` dealt to the sessions that conversations are: session_id besides."""
     n = table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n_sessions"))
-    return corpus(spark, sf_dir).join(F.broadcast(n)).withColumn("session_id", F.pmod("chunk_ord", "n_sessions").cast("string")).drop("n_sessions")
+    return chunks.join(F.broadcast(n)).withColumn("session_id", F.pmod("chunk_ord", "n_sessions").cast("string")).drop("n_sessions")
 
 
 def questions(spark, sf_dir) -> DataFrame:

@@ -10,12 +10,16 @@ from ..functions.text import bind
 from ..operators import answer, approximate, chunking, collection, guard, index, ranking, retrieval, session
 from ..sources.documents import accepted_upload, client_accepted, layout_pages, read_attempts, read_documents
 from ..store import new_folder, tidy
-from .inputs import attacked, chat_questions, corpus, docx_files, layouts, marked, markdown, questions, session_corpus, table, turns
+from .inputs import attacked, chat_questions, corpus, corpus_texts, docx_files, in_sessions, layouts, marked, markdown, questions, table, turns
 from .sql import FILES, SQL
 
 
 def _index(spark, sf_dir):
-    return index.Index(corpus(spark, sf_dir))
+    return index.Index(corpus(spark, sf_dir), texts=corpus_texts(spark, sf_dir))
+
+
+def _session_index(spark, sf_dir):
+    return index.Index(in_sessions(spark, sf_dir, corpus(spark, sf_dir)), texts=in_sessions(spark, sf_dir, corpus_texts(spark, sf_dir)))
 
 
 def sanitize_documents(spark, sf_dir):
@@ -248,12 +252,12 @@ def chat_requests(spark, sf_dir):
 def chat_pipeline(spark, sf_dir):
     # stands for a model: says how much it was told
     told = lambda r: F.concat(F.size(r["messages"]).cast("string"), F.lit(" messages; "), F.left(r["prompt"], F.lit(80)))
-    chunks = index.Index(session_corpus(spark, sf_dir))
+    chunks = _session_index(spark, sf_dir)
     return answer.answer_questions(chunks, chat_questions(spark, sf_dir), generator=told).select("query_id", "answer")
 
 
 def session_terms(spark, sf_dir):
-    return index.Index(session_corpus(spark, sf_dir)).terms.select("session_id", "term", "df", F.round("idf", 6).alias("idf"))
+    return _session_index(spark, sf_dir).terms.select("session_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _session_questions(spark, sf_dir):
@@ -261,12 +265,12 @@ def _session_questions(spark, sf_dir):
 
 
 def session_bm25(spark, sf_dir):
-    chunks = index.Index(session_corpus(spark, sf_dir))
+    chunks = _session_index(spark, sf_dir)
     return retrieval.keyword_ranks(chunks, _session_questions(spark, sf_dir), 60).select("query_id", "chunk_ord", "keyword_rank")
 
 
 def session_hybrid(spark, sf_dir):
-    rows = retrieval.hybrid_query(index.Index(session_corpus(spark, sf_dir)), _session_questions(spark, sf_dir), 20)
+    rows = retrieval.hybrid_query(_session_index(spark, sf_dir), _session_questions(spark, sf_dir), 20)
     return rows.withColumn("rrf_score", F.round("rrf_score", 9))
 
 
