@@ -40,36 +40,44 @@ _ENTRIES = "session_id string, term string, block long, base long, gaps array<in
 
 
 def _entries(batches):
-    """(session_id, chunk_ord, words) to _ENTRIES, a row for each term of each block that a batch has chunks of.
+    """(session_id, chunk_ord, words) to _ENTRIES, a row for each term of each block that a slice has chunks of.
 
-    The empty term, which no text has, lists all chunks of a block."""
+    Slices end where the block changes or, where chunks come in no order, after BLOCK chunks."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        words = batch.column(2).fill_null([])
-        dl = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        session = batch.column(0).dictionary_encode()
-        names = ["", *coded.dictionary.to_pylist()]
-        # one token of the empty term for each chunk
-        row = np.concatenate([np.arange(len(dl)), np.repeat(np.arange(len(dl)), dl)])
-        term = np.concatenate([np.zeros(len(dl), np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1])
-        pair, tf = np.unique(row * len(names) + term, return_counts=True)
-        row, term = pair // len(names), pair % len(names)
-        number, of = batch.column(1).to_numpy(), session.indices.to_numpy(zero_copy_only=False)[row]
-        order = np.lexsort((number[row], number[row] // BLOCK, term, of))
-        row, term, of, tf = row[order], term[order], of[order], tf[order].astype(np.int32)
-        ords, length = number[row], dl[row].astype(np.int32)
-        new = np.ones(len(row), bool)
-        new[1:] = (of[1:] != of[:-1]) | (term[1:] != term[:-1]) | (ords[1:] // BLOCK != ords[:-1] // BLOCK)
-        start = np.flatnonzero(new)
-        ends = pa.array(np.append(start, len(row)), pa.int32())
-        gaps = np.where(new, 0, np.diff(ords, prepend=ords[:1])).astype(np.int32)
-        listed = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (gaps, tf, length)]
-        yield pa.RecordBatch.from_arrays(
-            [session.dictionary.take(pa.array(of[start])), pa.array(names).take(pa.array(term[start])), pa.array(ords[start] // BLOCK), pa.array(ords[start]), *listed, pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(length, start))],
-            [c.split()[0] for c in _ENTRIES.split(", ")],
-        )
+        edges = np.flatnonzero(np.diff(batch.column(1).to_numpy() // BLOCK)) + 1
+        if len(edges) > batch.num_rows // 64:
+            edges = np.arange(BLOCK, batch.num_rows, BLOCK)
+        for at, to in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            if to > at:
+                yield _listed(batch.slice(at, to - at))
+
+
+def _listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """_ENTRIES of a slice.  The empty term, which no text has, lists all its chunks."""
+    words = batch.column(2).fill_null([])
+    dl = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    session = batch.column(0).dictionary_encode()
+    names = pa.concat_arrays([pa.array([""], pa.string()), coded.dictionary.cast(pa.string())])
+    # one token of the empty term for each chunk
+    row = np.concatenate([np.arange(len(dl)), np.repeat(np.arange(len(dl)), dl)])
+    term = np.concatenate([np.zeros(len(dl), np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1])
+    pair, tf = np.unique(row * len(names) + term, return_counts=True)
+    row, term = pair // len(names), pair % len(names)
+    number, of = batch.column(1).to_numpy(), session.indices.to_numpy(zero_copy_only=False)[row]
+    order = np.lexsort((number[row], number[row] // BLOCK, term, of))
+    row, term, of, tf = row[order], term[order], of[order], tf[order].astype(np.int32)
+    ords, length = number[row], dl[row].astype(np.int32)
+    new = np.ones(len(row), bool)
+    new[1:] = (of[1:] != of[:-1]) | (term[1:] != term[:-1]) | (ords[1:] // BLOCK != ords[:-1] // BLOCK)
+    start = np.flatnonzero(new)
+    ends = pa.array(np.append(start, len(row)), pa.int32())
+    gaps = np.where(new, 0, np.diff(ords, prepend=ords[:1])).astype(np.int32)
+    listed = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (gaps, tf, length)]
+    return pa.RecordBatch.from_arrays(
+        [session.dictionary.take(pa.array(of[start])), names.take(pa.array(term[start])), pa.array(ords[start] // BLOCK), pa.array(ords[start]), *listed, pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(length, start))],
+        [c.split()[0] for c in _ENTRIES.split(", ")],
+    )
 
 
 def folder(term: Column) -> Column:
