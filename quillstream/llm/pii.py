@@ -19,6 +19,11 @@ of high confidence, seen with several instances, accept all their instances,
 also those that no rule knows.  Labels, not values, decide: nothing is added to
 a text without such a pattern.
 
+Very long texts: work and memory grow with a text's length and finds.  Whether a
+base find covers an instance is read from a mask of the text (a byte for each code
+point), overlapping spans are merged by running ends, and a text is cut from its
+fixed-width form, where a place is found without counting from the start.
+
 Defined cases: null text is empty; a null ``doc_id`` is carried as it is;
 repeated rows are searched alike (rows are told apart by 128 bits of hash); an
 empty table gives an empty result; extra columns are ignored by ``find`` and carried
@@ -57,8 +62,8 @@ ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 3
 CONTEXT_CONFIDENCE, CONTEXT_SUPPORT, REACH = 0.7, 5, 100
 #: Trusted patterns that are broadcast; more are joined by a shuffle.
 PATTERNS_AT_ONCE = 200_000
-#: Rows whose discovered spans are broadcast to rewrite texts.
-ROWS_AT_ONCE = 200_000
+#: Rows and discovered spans (some 60 bytes each) that are broadcast to rewrite texts.
+ROWS_AT_ONCE, SPANS_AT_ONCE = 200_000, 500_000
 SPAN = "struct<start:int,ord:int,kind:string,end:int>"
 _CUT = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
@@ -67,6 +72,11 @@ _CUT = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 AT_ONCE = 256
 
 
+def _groups(x: Column) -> Column:
+    """Slices of AT_ONCE elements of a non-empty array."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / AT_ONCE).cast("int")), lambda k: F.slice(x, k * AT_ONCE + 1, F.lit(AT_ONCE)))
+
+
 def located(matches: Column, pieces: Column) -> Column:
     """array<struct<start, end, value, left, right>> from a pattern's matches and the
     pieces between them; left and right are the ends of the pieces that meet it.
@@ -77,7 +87,6 @@ def located(matches: Column, pieces: Column) -> Column:
         matches,
         lambda v, i: F.struct(F.length(F.get(pieces, i)).alias("s"), F.length(v).alias("n"), v.alias("v"), F.right(F.get(pieces, i), F.lit(REACH)).alias("l"), F.left(F.get(pieces, i + 1), F.lit(REACH)).alias("r")),
     )
-    groups = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / AT_ONCE).cast("int")), lambda k: F.slice(x, k * AT_ONCE + 1, F.lit(AT_ONCE)))
     total = lambda group: F.aggregate(group, F.lit(0), lambda a, x: a + x["s"] + x["n"])
 
     def place(group: Column, begin: Column) -> Column:
@@ -92,7 +101,7 @@ def located(matches: Column, pieces: Column) -> Column:
         )
 
     def placed(x: Column) -> Column:
-        cut = groups(x)
+        cut = _groups(x)
         begins = lambda sums: F.transform(sums, lambda _, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda a, y: a + y))
         return bind(cut, lambda g: bind(F.transform(g, total), lambda sums: F.flatten(F.zip_with(g, begins(sums), place))))
 
@@ -149,6 +158,22 @@ def with_base(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumns({"base": F.array_sort(F.concat(*spans)), "known": F.concat(*[f"at_{k}" for k in KINDS])}).drop(*[f"at_{k}" for k in KINDS])
 
 
+def _mask(kind: str) -> Column:
+    """A byte for each code point up to the end of the last find of the kind in ``base``:
+    x within a find (finds of one kind do not overlap)."""
+    mark = lambda x, before: F.concat(F.repeat(F.lit("."), x["start"] - before), F.repeat(F.lit("x"), x["end"] - x["start"]))
+    build = lambda found: F.array_join(F.transform(found, lambda x, i: mark(x, F.coalesce(F.get(found, i - 1)["end"], F.lit(0)))), "")
+    return bind(F.filter("base", lambda b: b["kind"] == kind), build).cast("binary")
+
+
+def _marked(spans: Column) -> Column:
+    """array<struct<x, covered>>: each span, and whether a base find covers a part of it."""
+    hit = lambda mask, x: F.contains(F.substring(mask, x["start"] + 1, x["end"] - x["start"]), F.lit(b"x"))
+    look = lambda masks: F.transform(spans, lambda x: F.struct(x.alias("x"), F.exists(masks, lambda mask: hit(mask, x)).alias("covered")))
+    free = F.transform(spans, lambda x: F.struct(x.alias("x"), F.lit(False).alias("covered")))
+    return F.when((F.size("base") > 0) & (F.size(spans) > 0), bind(F.array(*[_mask(k) for k in KINDS]), look)).otherwise(free)
+
+
 def shape(value: Column) -> Column:
     """Prefix of four letters, length and letter classes of a value."""
     kinds = [F.when(value.rlike(p), c).otherwise("") for p, c in (("[A-Z]", "U"), ("[a-z]", "l"), ("[0-9]", "d"), ("[^A-Za-z0-9]", "-"))]
@@ -164,8 +189,8 @@ def contexts(left: Column, right: Column) -> Column:
 
 
 def with_instances(df: DataFrame, text: Column) -> DataFrame:
-    """Adds ``instances``: array<struct<start, end, value, patterns, seed>>, from
-    what ``with_base`` adds."""
+    """Adds ``instances``: array<struct<start, end, value, patterns, seed, free>>, from
+    what ``with_base`` adds; free: no base find covers a part of it."""
     df = _located_columns(df, {"at_label": (text.rlike("[=:]"), LABELLED), "at_token": (text.rlike("[0-9]"), TOKEN)}, text)
 
     def seed(value: Column) -> Column:
@@ -173,22 +198,28 @@ def with_instances(df: DataFrame, text: Column) -> DataFrame:
         known = value.rlike(rf"^{EMAIL}$") | (value.rlike(rf"^{CARD}$") & accepted("card", value)) | (value.rlike(rf"^{IP}$") & accepted("ip", value))
         return F.when(known, 1.0).when((F.length(value) >= 16) & (letters >= 2) & (digits >= 4), 0.9).otherwise(0.0)
 
-    def labelled(x: Column) -> Column:
+    def cut(x: Column) -> Column:
         value = F.regexp_extract(x["value"], _VALUE, 1)
-        label = F.concat(F.lit("label "), F.lower(F.regexp_extract(x["value"], _LABEL, 1)), F.lit(" "), F.regexp_extract(x["value"], "[=:]", 0))
-        return F.struct((x["end"] - F.length(value)).alias("start"), x["end"], value.alias("value"), F.array(label).alias("patterns"), seed(value).alias("seed"))
+        return F.struct((x["end"] - F.length(value)).alias("start"), x["end"], value.alias("value"), x["value"].alias("whole"))
+
+    def labelled(m: Column) -> Column:
+        x = m["x"]
+        label = F.concat(F.lit("label "), F.lower(F.regexp_extract(x["whole"], _LABEL, 1)), F.lit(" "), F.regexp_extract(x["whole"], "[=:]", 0))
+        return F.struct(x["start"], x["end"], x["value"], F.array(label).alias("patterns"), seed(x["value"]).alias("seed"), (~m["covered"]).alias("free"))
 
-    def token(x: Column) -> Column:
+    def token(m: Column) -> Column:
+        x = m["x"]
         mixed = (F.length(x["value"]) >= 14) & x["value"].rlike("[A-Za-z]")
-        covered = F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         none = F.array().cast("array<string>")
-        patterns = F.concat(F.when(mixed, F.array(shape(x["value"]))).otherwise(none), F.when(covered, none).otherwise(contexts(x["left"], x["right"])))
-        return F.struct(x["start"], x["end"], x["value"], patterns.alias("patterns"), seed(x["value"]).alias("seed"))
+        patterns = F.concat(F.when(mixed, F.array(shape(x["value"]))).otherwise(none), F.when(m["covered"], none).otherwise(contexts(x["left"], x["right"])))
+        return F.struct(x["start"], x["end"], x["value"], patterns.alias("patterns"), seed(x["value"]).alias("seed"), (~m["covered"]).alias("free"))
 
     def known(x: Column) -> Column:
-        return F.struct(x["start"], x["end"], x["value"], contexts(x["left"], x["right"]).alias("patterns"), F.lit(1.0).alias("seed"))
+        return F.struct(x["start"], x["end"], x["value"], contexts(x["left"], x["right"]).alias("patterns"), F.lit(1.0).alias("seed"), F.lit(False).alias("free"))
 
-    kind = "array<struct<start:int,end:int,value:string,patterns:array<string>,seed:double>>"
+    kind = "array<struct<start:int,end:int,value:string,patterns:array<string>,seed:double,free:boolean>>"
+    df = df.withColumn("at_label", F.transform("at_label", cut))
+    df = df.withColumns({c: _marked(F.col(c)) for c in ("at_label", "at_token")})
     every = F.concat(F.transform("at_label", labelled).cast(kind), F.transform("at_token", token).cast(kind), F.transform("known", known).cast(kind))
     return df.withColumn("instances", F.filter(every, lambda x: F.size(x["patterns"]) > 0)).drop("at_label", "at_token", "known")
 
@@ -214,13 +245,12 @@ def trusted_patterns(instances: DataFrame) -> DataFrame:
 
 def _discovered(rows: DataFrame) -> DataFrame:
     """row_key and ``more`` (array of SPAN): instances of trusted patterns, from
-    rows with ``row_key``, ``base`` and ``instances``."""
-    found = rows.filter(F.size("instances") > 0).select("row_key", "base", F.explode("instances").alias("x")).select("row_key", "base", "x.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
+    rows with ``row_key`` and ``instances``."""
+    found = rows.filter(F.size("instances") > 0).select("row_key", F.explode("instances").alias("x")).select("row_key", "x.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     patterns = saved(trusted_patterns(found.select("value", "pattern", "seed")), "pii-trusted")
     few = patterns.count() <= PATTERNS_AT_ONCE
-    new = found.join(F.broadcast(patterns) if few else patterns, "pattern", "left_semi")
     # spans that a base span covers in part are known already
-    new = new.filter(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])))
+    new = found.filter("free").join(F.broadcast(patterns) if few else patterns, "pattern", "left_semi")
     span = F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("secret").alias("kind"), "end").cast(SPAN)
     return new.groupBy("row_key").agg(F.collect_set(span).alias("more"))
 
@@ -242,27 +272,41 @@ def find(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))
 
 
+def _ends_before(spans: Column) -> Column:
+    """For each span the largest end of the spans before it (0: none), then that of all."""
+    most = lambda x, begin: F.aggregate(x, begin, lambda a, b: F.greatest(a, b["end"]))
+    within = lambda group, begin: F.transform(group, lambda _, i: most(F.slice(group, F.lit(1), i), begin))
+    begins = lambda tops: F.transform(tops, lambda _, k: F.aggregate(F.slice(tops, F.lit(1), k), F.lit(0), lambda a, b: F.greatest(a, b)))
+    each = lambda g: bind(F.transform(g, lambda x: most(x, F.lit(0))), lambda tops: F.flatten(F.zip_with(g, begins(tops), within)))
+    return F.concat(bind(_groups(spans), each), F.array(most(spans, F.lit(0))))
+
+
 def replaced(text: Column, spans: Column) -> Column:
-    """``text`` with each span, or run of overlapping spans, replaced by its kind in brackets."""
-    fold = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(
-            x["start"] >= a["at"],
-            F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, fold).otherwise(text)
+    """``text`` with each span, or run of overlapping spans, replaced by its kind in brackets.
+
+    A run begins where no span before it reaches; what is kept before it begins where
+    the spans before it end."""
+
+    def rebuilt(x: Column) -> Column:
+        wide, found, ends = x["wide"], x["spans"], x["ends"]
+        kept = lambda a, n: F.decode(F.substring(wide, a * 4 + 1, n * 4), "UTF-32")
+        heads = F.filter(F.zip_with(found, F.slice(ends, F.lit(1), F.size(found)), lambda s, at: F.struct(s["start"], at.alias("at"), s["kind"])), lambda h: h["start"] >= h["at"])
+        parts = F.transform(heads, lambda h: F.concat(kept(h["at"], h["start"] - h["at"]), F.lit("["), F.upper(h["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), kept(F.element_at(ends, -1), F.length(wide)))
+
+    def begun(x: Column) -> Column:
+        return bind(F.struct(F.encode(F.make_valid_utf8(text), "UTF-32").alias("wide"), x.alias("spans"), _ends_before(x).alias("ends")), rebuilt)
+
+    return bind(spans, lambda x: F.when(F.size(x) > 0, begun(x)).otherwise(text))
 
 
 @tidy
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced; other columns and null texts stay.
 
-    Discovered spans of ROWS_AT_ONCE rows at most are broadcast, and every row is
-    rewritten where it is read; of more, only rows with instances meet them, by a
-    shuffle.
+    Discovered spans, SPANS_AT_ONCE in ROWS_AT_ONCE rows at most, are broadcast, and
+    every row is rewritten where it is read; of more, only rows with instances meet
+    them, by a shuffle.
     """
     text = F.col("found_text")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("found_text"), row_key().alias("row_key"))
@@ -270,9 +314,10 @@ def redact(docs: DataFrame) -> DataFrame:
     # a number that isn't deterministic stops the filter from being computed below the
     # columns it needs, where each of them would be worked out again
     rows = with_instances(based, text).withColumn("n", F.size("instances") + (F.rand() * 0).cast("int"))
-    more = saved(_discovered(saved(rows.filter("n > 0").select("row_key", "base", "instances"), "pii")), "pii-more")
+    more = saved(_discovered(saved(rows.filter("n > 0").select("row_key", "instances"), "pii")), "pii-more")
     none = F.array().cast(f"array<{SPAN}>")
-    if more.count() <= ROWS_AT_ONCE:
+    n_rows, n_spans = more.agg(F.count("*"), F.coalesce(F.sum(F.size("more")), F.lit(0))).first()
+    if n_rows <= ROWS_AT_ONCE and n_spans <= SPANS_AT_ONCE:
         out = based.drop("known").join(F.broadcast(more), "row_key", "left").withColumn("more", F.coalesce("more", none))
     else:
         plain = rows.filter("n = 0").withColumn("more", none)

@@ -20,5 +20,5 @@ def test_stages_on_awkward_rows(spark, docs, empty, tmp_path):
 
 def test_every_operator_is_registered():
     names = {q.split("_")[0] for q in queries.queries()}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert set(queries.oracle_sql()) <= set(queries.queries())
