@@ -5,16 +5,19 @@ A shard is one file, written by one task:
     payload   the ids of its documents in ascending doc_id order, unsigned
               little-endian of 2 or 4 bytes, each document closed by the end id
     index     null-key document count; sorted distinct keys; documents of each
-              key; a minimal perfect hash of the keys (levels of bit sets) and,
-              by hash slot, fingerprint and first document; documents' lengths
+              key; a minimal perfect hash of the keys (levels of bit sets, each
+              with the rank of every 64th bit) and, by hash slot, fingerprint,
+              the key's number and first document; where documents start
     trailer   magic, id width, counts, where the index begins, checksum of the payload
     end id    (one more, as Spark's writer closes every record with it)
 
 Spark's own text writer puts the files wherever the session can write: each
 record is the raw ids of some documents, and the "line separator" is the end id
-itself.  Spark's ``binaryFile`` source reads them back.  A document is found in
-constant time: levels of the hash, one slot, a fingerprint test, one slice (and
-a look at the stored key, so that an absent key is never found).
+itself.  Spark's ``binaryFile`` source reads them back, whole.  Within a file a
+document is found in constant time: nothing is unpacked or added up, a lookup reads
+the trailer, a word and a rank of each level of the hash until one holds the key (two
+on average), one slot with its fingerprint, the stored key that the slot numbers, so
+that an absent key is never found, and one slice.
 
 A manifest beside the shards has a row for each file with its key range.  A
 lookup reads the manifest, opens only files whose range has a wanted key, and
@@ -44,8 +47,9 @@ from .textnum import U, mix
 
 MAGIC = b"QSTOKEN1"
 TRAILER = struct.Struct("<8sIIQQQQQI")  # magic, width, levels, nulls, keys, docs, payload bytes, index bytes, payload's crc32
-#: Bytes of input that a shard holds, about.
-SHARD_BYTES = 64 << 20
+#: Bytes of input that a shard holds, about: SHARD_BYTES while that makes SHARDS at
+#: most, then more, but never over SHARD_MOST (a file of 2 GB can't be read back).
+SHARD_BYTES, SHARDS, SHARD_MOST = 64 << 20, 100_000, 512 << 20
 _GAMMA = 2
 
 
@@ -60,24 +64,24 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 class PerfectHash:
     """A minimal perfect hash: at each level the keys that fall alone on a bit
-    are placed; the others go on to the next.  A key's number is the rank of its bit."""
+    are placed; the others go on to the next.  A key's number is the rank of its bit.
 
-    def __init__(self, levels: list[np.ndarray]):
+    A level is its size, its bits in words of 64 and the rank of each word's first bit."""
+
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]]):
         self.levels = levels
-        self.ranks = []
-        base = 0
-        for bits in levels:
-            self.ranks.append(base + np.concatenate([[0], np.cumsum(bits)]))
-            base += int(bits.sum())
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        left, levels = keys, []
+        left, levels, base = keys, [], 0
         while len(left):
             size = max(8, _GAMMA * len(left))
             at = _slot(left, len(levels), size)
             alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone)
+            words = np.packbits(np.pad(alone, (0, -size % 64)), bitorder="little").view("<u8")
+            counts = np.bitwise_count(words).astype(np.int64)
+            levels.append((size, words, (base + np.cumsum(counts) - counts).astype("<u4")))
+            base += int(counts.sum())
             left = left[~alone[at]]
         return cls(levels)
 
@@ -85,12 +89,14 @@ class PerfectHash:
         """Numbers of the keys, -1 for those that surely aren't there."""
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks)):
+        for level, (size, words, ranks) in enumerate(self.levels):
             if not len(left):
                 break
-            at = _slot(keys[left], level, len(bits))
-            hit = bits[at]
-            out[left[hit]] = ranks[at[hit]]
+            at = _slot(keys[left], level, size)
+            word, bit = words[at >> 6], (at & 63).astype(U)
+            hit = (word >> bit & U(1)).astype(bool)
+            below = np.bitwise_count(word & ((U(1) << bit) - U(1)))
+            out[left[hit]] = (ranks[at >> 6].astype(np.int64) + below)[hit]
             left = left[~hit]
         return out
 
@@ -100,17 +106,18 @@ def index_block(nulls: int, doc_keys: np.ndarray, lengths: np.ndarray, width: in
     keys, first, docs = np.unique(doc_keys, return_index=True, return_counts=True)
     mph = PerfectHash.build(keys)
     slot = mph(keys)
-    marks, starts = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u8")
-    marks[slot], starts[slot] = fingerprints(keys), first + nulls
-    parts = [keys.astype("<i8").tobytes(), docs.astype("<u4").tobytes(), marks.tobytes(), starts.tobytes(), lengths.astype("<u4").tobytes()]
-    for bits in mph.levels:
-        parts += [struct.pack("<Q", len(bits)), np.packbits(bits, bitorder="little").tobytes()]
+    marks, numbers, firsts = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<i8")
+    marks[slot], numbers[slot], firsts[slot] = fingerprints(keys), np.arange(len(keys)), first + nulls
+    starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
+    parts = [keys.astype("<i8").tobytes(), docs.astype("<u4").tobytes(), marks.tobytes(), numbers.tobytes(), firsts.tobytes(), starts.tobytes()]
+    for size, words, ranks in mph.levels:
+        parts += [struct.pack("<Q", size), words.tobytes(), ranks.tobytes()]
     block = b"".join(parts)
     return block + TRAILER.pack(MAGIC, width, len(mph.levels), nulls, len(keys), len(lengths), payload, len(block), crc)
 
 
 class Shard:
-    """A shard's bytes, read back."""
+    """A shard's bytes, read back: every array is a view of them."""
 
     def __init__(self, content: bytes):
         for width in (2, 4):
@@ -120,24 +127,25 @@ class Shard:
         else:
             raise ValueError("not a token shard")
         at = len(content) - width - TRAILER.size - size
-        take = lambda kind, count: np.frombuffer(content, kind, count, at)
-        self.ids = np.frombuffer(content, f"<u{width}", payload // width)
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(content, kind, count, at)
+            at += out.nbytes
+            return out
+
         self.whole = at == payload
+        self.ids = np.frombuffer(content, f"<u{width}", payload // width)
         self.nulls = nulls
-        self.keys, at = take("<i8", n), at + 8 * n
-        self.docs, at = take("<u4", n), at + 4 * n
-        self.marks, at = take("<u4", n), at + 4 * n
-        self.first, at = take("<u8", n).astype(np.int64), at + 8 * n
-        self.lengths, at = take("<u4", docs).astype(np.int64), at + 4 * docs
-        bits = []
+        self.keys, self.docs = take("<i8", n), take("<u4", n)
+        #: by slot: fingerprint, the key's number, first document
+        self.marks, self.numbers, self.first = take("<u4", n), take("<u4", n), take("<i8", n)
+        self.starts = take("<i8", docs + 1)
+        found = []
         for _ in range(levels):
-            size = int(take("<u8", 1)[0])
-            bits.append(np.unpackbits(np.frombuffer(content, "u1", -(-size // 8), at + 8), count=size, bitorder="little").astype(bool))
-            at += 8 + -(-size // 8)
-        self.mph = PerfectHash(bits)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        # first document of each key, keys ascending
-        self.by_key = self.nulls + np.cumsum(self.docs, dtype=np.int64) - self.docs
+            bits = int(take("<u8", 1)[0])
+            found.append((bits, take("<u8", -(-bits // 64)), take("<u4", -(-bits // 64))))
+        self.mph = PerfectHash(found)
 
     def verify(self) -> None:
         """Raise unless the payload is what was written: the writer passes raw ids as strings."""
@@ -152,7 +160,7 @@ class Shard:
         out = np.full(len(keys), -1, np.int64)
         out[there] = self.first[slot[there]]
         # a fingerprint may fit by chance: the stored key decides
-        there[there] = self.keys[np.searchsorted(self.by_key, out[there])] == keys[there]
+        there[there] = self.keys[self.numbers[slot[there]]] == keys[there]
         return np.where(there, out, -1)
 
     def get(self, key: int) -> np.ndarray | None:
@@ -167,6 +175,11 @@ def id_width(tokenizer: str, end_id: int) -> int:
     return 2 if max(most, end_id) < 1 << 16 else 4
 
 
+def shards_for(size: int) -> int:
+    """Shards for so many bytes of input."""
+    return max(min(-(-size // SHARD_BYTES), SHARDS), -(-size // SHARD_MOST))
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int | None = None, manifest: bool = True) -> None:
     """Encode ``docs`` (doc_id, text) and write the shards to ``path``, with ids of
     ``width`` bytes (by default what the vocabulary needs).
@@ -182,7 +195,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, wid
     spark = docs.sparkSession
     kind, end = f"<u{width}", np.array([end_id], f"<u{width}").tobytes()
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = max(shuffle_partitions(spark), min(-(-size // SHARD_BYTES), 100_000) if size < 1 << 60 else 0)
+    if size >= 1 << 60:  # no estimate, as after joins
+        size = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    shards = max(shuffle_partitions(spark), shards_for(size))
 
     def run(batches):
         encode = encoder(tokenizer).encode
@@ -239,11 +254,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 s = Shard(content.as_buffer())
                 s.verify()
                 first = s.find(s.keys)
-                docs = np.concatenate([np.arange(s.nulls), np.repeat(first, s.docs) + np.arange(len(s.lengths) - s.nulls) - np.repeat(np.cumsum(s.docs) - s.docs, s.docs)]).astype(np.int64)
+                docs = np.concatenate([np.arange(s.nulls), np.repeat(first, s.docs) + np.arange(len(s.starts) - 1 - s.nulls) - np.repeat(np.cumsum(s.docs) - s.docs, s.docs)]).astype(np.int64)
                 crcs = [zlib.crc32(s.ids[a:b].astype("<u4")) for a, b in zip(s.starts[docs], s.starts[docs + 1])]
                 doc_ids = pa.concat_arrays([pa.nulls(s.nulls, pa.int64()), pa.array(np.repeat(s.keys, s.docs))])
                 n = len(docs)
-                cols = [doc_ids, pa.array(s.starts[docs]), pa.array(s.lengths[docs]), pa.array(crcs, pa.int64()), pa.array(np.full(n, shard_number(name))), pa.array(np.full(n, len(s.ids)))]
+                cols = [doc_ids, pa.array(s.starts[docs]), pa.array(s.starts[docs + 1] - s.starts[docs]), pa.array(crcs, pa.int64()), pa.array(np.full(n, shard_number(name))), pa.array(np.full(n, len(s.ids)))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "shard_tokens"])
 
     rows = saved(_shard_files(spark, path).select("path", "content").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard bigint, shard_tokens bigint"), "store-rows")

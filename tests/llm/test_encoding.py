@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,6 +140,28 @@ def test_perfect_hash_is_minimal_and_perfect():
     assert sorted(mph(keys).tolist()) == list(range(len(keys)))
 
 
+def test_opening_a_shard_unpacks_nothing():
+    keys = np.sort(np.random.default_rng(3).integers(-(2**62), 2**62, 20_000))
+    lengths = np.random.default_rng(4).integers(1, 9, len(keys))
+    ids = np.arange(lengths.sum()).astype("<u4")
+    content = pa.py_buffer(ids.tobytes() + token_store.index_block(0, keys, lengths, 4, 4 * len(ids), zlib.crc32(ids)) + b"\0" * 4)
+    shard = token_store.Shard(content)
+    shard.verify()
+    held = [x for x in vars(shard).values() if isinstance(x, np.ndarray)] + [x for _, *two in shard.mph.levels for x in two]
+    assert len(held) >= 9 and not any(x.flags.owndata for x in held)
+    ends = np.cumsum(lengths)
+    for k in (0, 1, 777, len(keys) - 1):
+        assert shard.get(int(keys[k])).tolist() == list(range(ends[k] - lengths[k], ends[k]))
+    assert shard.get(5) is None
+
+
+def test_shards_grow_in_number_then_in_size_and_never_beyond_what_is_read_back():
+    sizes = [0, 1, 1 << 26, 1 << 30, 1 << 40, 1 << 43, 1 << 46, 1 << 47, 1 << 50]
+    counts = [token_store.shards_for(x) for x in sizes]
+    assert counts == sorted(counts) and counts[:4] == [0, 1, 1, 16]
+    assert all(x <= n * token_store.SHARD_MOST for x, n in zip(sizes, counts)) and counts[-1] == 1 << 21
+
+
 def test_token_counts_add_up(docs, rows):
     got = defaultdict(dict)
     for rule in token_counts.RULES:
