@@ -11,7 +11,7 @@ mean and longest length are taken over all items; items are dealt by hash into
 shards of about ``SHARD_CHARS`` characters, and each shard's index is built, with
 those numbers, in a task: scores do not depend on the shards.  Indexes are a
 written table.  They are broadcast, ``PASS_BYTES`` of them at a time: more are
-searched in further passes over the documents, each written before the next.
+searched in further passes over the documents.
 
 A shard's items stand in blocks of ``ITEMS_IN_BLOCK``, and a term keeps its largest
 impact in each block.  Block-max WAND, for a megabyte of text at a time:
@@ -38,6 +38,7 @@ no hits; extra columns are ignored by ``search`` and carried through by ``clean`
 
 from __future__ import annotations
 
+import functools
 import pickle
 import re
 
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import saved, tidy
+from .shared import join_hot, saved, tidy
 from .textnum import PUNCTUATION, U, windows, words_by_run
 
 K1, B = 1.2, 0.75
@@ -58,6 +59,8 @@ ITEMS_IN_BLOCK = 4
 ESSENTIAL = 8
 #: Characters of items in a shard, about; bytes of indexes that are broadcast at a time.
 SHARD_CHARS, PASS_BYTES = 1 << 20, 128 << 20
+#: Keys of texts (16 bytes each) that are broadcast to leave their rows out.
+KEYS_AT_ONCE = 1_000_000
 #: Cells of a tile of bounds.
 TILE = 4 << 20
 _SLACK = 1e-9
@@ -323,21 +326,33 @@ def search(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS, pa
 
 @tidy
 def clean(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The rows of ``docs`` that contain no test item, with the columns of ``docs``."""
+    """The rows of ``docs`` that contain no test item, with the columns of ``docs``.
+
+    Every pass but the last writes 128-bit keys of the texts that it finds; the last
+    leaves their rows out and carries the others on, once."""
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), F.col("text")).alias("b"))
+    found = []
     for shared, last in passes(build(items, shard_chars), pass_bytes):
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, keep_hits=not last):
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
+                hit = np.zeros(batch.num_rows, bool)
                 for index in shared.value:
-                    keep[[x[0] for x in index.hits(batch.column(1))]] = False
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
+                    hit[[x[0] for x in index.hits(batch.column(1))]] = True
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit if keep_hits else ~hit))], [batch.schema.names[0]])
 
-        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("searched"))
-        out = packed.mapInArrow(run, T.StructType([T.StructField("row", packed.schema["row"].dataType)]))
-        docs = out.select("row.*") if last else saved(out, "clean").select("row.*")
         if not last:
+            texts = docs.select(key.alias("text_key"), "text")
+            found.append(saved(texts.mapInArrow(run, T.StructType([texts.schema["text_key"]])).distinct(), "hit-keys"))
             shared.unpersist()
+            continue
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("searched"), key.alias("text_key"))
+        if found:
+            keys = functools.reduce(DataFrame.unionByName, found).distinct()
+            few = keys.count() <= KEYS_AT_ONCE
+            rows = rows.join(F.broadcast(keys), "text_key", "left_anti") if few else join_hot(rows, keys, "text_key", "left_anti")
+        out = rows.select("row", "searched").mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType)]))
+        docs = out.select("row.*")
     return docs
 
 

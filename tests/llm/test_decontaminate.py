@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from quillstream.llm import decontaminate
+from quillstream.llm.shared import saved
 
 
 def words_of(text):
@@ -95,3 +96,18 @@ def test_no_items(spark):
     for rows in ([], [(1, None)], [(1, "?!")]):
         i = spark.createDataFrame(rows, "item_id bigint, text string")
         assert decontaminate.search(d, i).count() == 0 and decontaminate.clean(d, i).count() == 1
+
+
+@pytest.mark.parametrize("keys_at_once", [0, 1_000_000])
+def test_clean_in_many_passes_writes_keys_and_carries_rows_once(spark, case, monkeypatch, keys_at_once):
+    docs, items = case
+    d = saved(spark.createDataFrame([(k, t, "x", 3) for k, t in docs] + [(-9, None, None, 4), (-9, None, None, 4)], "doc_id bigint, text string, text_key string, row int"), "docs")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    want = Counter(map(tuple, decontaminate.clean(d, i).collect()))
+    monkeypatch.setattr(decontaminate, "KEYS_AT_ONCE", keys_at_once)
+    written, real = [], decontaminate.saved
+    monkeypatch.setattr(decontaminate, "saved", lambda df, name, *a: written.append((name, df.columns)) or real(df, name, *a))
+    out = decontaminate.clean(d, i, 700, 1)
+    assert out.columns == d.columns and Counter(map(tuple, out.collect())) == want and want[-9, None, None, 4] == 2
+    keys = [c for name, c in written if name == "hit-keys"]
+    assert len(keys) > 1 and all(c == ["text_key"] for c in keys) and not any("row" in c for _, c in written)
