@@ -27,6 +27,14 @@ Shingles are known by hashes: sets by 128 bits, classes by 64, and shingles, whe
 counted and verified, by ``LOW_BITS`` and the bits of their range.  The result is
 exact but for equal hashes of different shingles.
 
+What it moves: a block sends a row to each range that it has shingles of, and a
+range answers it with one.  A range without any gets none, so there are never more
+rows than blocks have distinct shingles, in all no more than the corpus has words;
+below that there are blocks times ranges of them.  The lists of candidates of
+step 4 are packed numbers, as many as pairs of sets of different components that
+share enough prefix shingles: sets that are alike but just not similar enough are
+the worst case.
+
 Defined cases: null, empty or wordless text has the empty set, is linked with
 nothing and is its own component; a null ``doc_id`` never names a component
 (one of only such rows has a null component_id); repeated rows are copies;
@@ -59,6 +67,8 @@ BLOCK = 2_000_000
 MATCHES, VERIFY_COST = 4, 20.0
 #: Bits of a shingle's hash below its range that are kept for counting and verifying.
 LOW_BITS = 40
+#: Keys of rows (16 bytes each) that are broadcast to leave rows out.
+KEYS_AT_ONCE = 1_000_000
 
 
 def sets_of(column):
@@ -471,11 +481,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     columns of ``docs``; documents without words are groups of their own."""
     rows = saved(label(docs).select("doc_id", "row_key", "comp"), "labels")
     first = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("row_key"))
-    keep = first.unionByName(rows.filter("comp IS NULL").select("row_key"))
+    keep = first.unionByName(rows.filter("comp IS NULL").select("row_key").distinct()).withColumn("stays", F.lit(1))
+    keys = rows.groupBy("row_key").agg(F.count("*").alias("n")).join(keep, "row_key", "left")
+    # texts that stay and stand once pass as they are: only the others' keys go to them
+    others = saved(keys.filter("stays IS NULL OR n > 1").select("row_key", "stays"), "others")
+    few = others.count() <= KEYS_AT_ONCE
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("row_key"))
-    kept = packed.join(keep, "row_key", "left_semi")
+
+    def matched(keys: DataFrame, how: str) -> DataFrame:
+        return packed.join(F.broadcast(keys), "row_key", how) if few else join_hot(packed, keys, "row_key", how)
+
+    alone = matched(others.select("row_key"), "left_anti").select("row")
     # repeated rows share a key: the one whose other columns hash least, found on the map side first
-    return kept.groupBy("row_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    repeated = matched(others.filter("stays IS NOT NULL").select("row_key"), "left_semi")
+    one = repeated.groupBy("row_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return alone.unionByName(one).select("row.*")
 
 
 def query(spark, sf_dir):

@@ -109,3 +109,39 @@ def test_components_of_a_long_path(spark):
 def test_tiny_tables(spark, rows):
     got = sorted((tuple(r) for r in j.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_one_of_each_with_keys_sent_either_way(docs, monkeypatch, at_once):
+    monkeypatch.setattr(j, "KEYS_AT_ONCE", at_once)
+    kept = j.one_of_each(docs).collect()
+    keys = [(r["doc_id"], r["text"]) for r in kept]
+    # rows repeated under one id and text stay once
+    assert len(keys) == len(set(keys))
+    labels = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in j.join(docs).collect()}
+    named = [labels[i, n] for i, n in labels if n and (i, n) in labels]
+    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} >= {c for c in named if c is not None}
+
+
+def exchanged(spark, words, monkeypatch, operator):
+    """Rows that blocks send to ranges, of a corpus of so many words in small blocks and ranges."""
+    from quillstream.llm import blocks, lm_score
+
+    rng = np.random.default_rng(words)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 50))) for _ in range(words // 50)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    if operator == "op3":
+        monkeypatch.setattr(j, "BLOCK", 200)
+        sent = docs.select("text").mapInArrow(j._blocks(words // 10, np.zeros(0, np.uint64)), j.BLOCKS).filter("kind <> 1")
+    else:
+        packed = blocks.packed(docs.selectExpr("false AS deleted", "doc_id", "false AS held_out", "text"), "few", 200)
+        sent = packed.mapInArrow(lm_score._ask(words // 10), lm_score.ASKED).filter(f"key >= {words // 10}")
+    return sent.count()
+
+
+@pytest.mark.parametrize("operator, most", [("op3", 1), ("op10", 3)])
+def test_rows_sent_are_no_more_than_the_ngrams(spark, monkeypatch, operator, most):
+    for words in (2_000, 16_000):  # blocks and ranges both grow eightfold, their product 64 times
+        documents = words // 50
+        assert exchanged(spark, words, monkeypatch, operator) <= most * (words + documents)
