@@ -16,6 +16,12 @@ Defined cases: a file that comes again with the same chunks is left as it is; ch
 page_number, text and embedding may be null (a null text has no words); the same file_id in
 two sessions is two files; a snapshot number that is taken raises; an empty change
 makes a snapshot like the one before.
+
+``compact`` merges segments of which little is left into one, without what is gone;
+vocabulary and files stay as they are, so it reads and writes those segments alone.
+``vacuum`` deletes what no kept snapshot names; no writer may be at work meanwhile.  A
+collection without any file keeps its segments, and there is nothing to merge where one
+segment alone qualifies and has lost nothing.
 """
 
 from __future__ import annotations
@@ -95,6 +101,22 @@ class Collection:
         entries = self._stored(m, "postings").drop("segment").unionByName(self._table(m["gone"]))
         return Index(self.chunks(version), entries, self._table(m["vocabulary"]))
 
+    def postings(self, version: int | None = None) -> DataFrame:
+        """The postings of a snapshot's segments, with those of what is gone from them."""
+        return self._stored(self.manifest(version), "postings").drop("segment")
+
+    def _segment(self, rows: DataFrame, name: str, first: int) -> tuple[list[int], int]:
+        """Write a segment of ``rows``, its chunks numbered on from ``first``, the start of a block.
+
+        Gives its first block, the one after its last and its number of chunks, and the next number."""
+        rows = rows.select(*_KEY, "chunk_no", "page_number", "text", "embedding")
+        numbered(rows, first).write.parquet(f"{self.path}/segments/{name}/chunks")
+        written = self._table(f"segments/{name}/chunks")
+        postings(written).write.partitionBy("folder").parquet(f"{self.path}/segments/{name}/postings")
+        n, last = written.agg(F.count("*"), F.max("chunk_ord")).first()
+        end = last // BLOCK + 1
+        return [first // BLOCK, end, n], end * BLOCK
+
     def change(self, came: DataFrame, gone: DataFrame | None = None) -> int:
         """Put in the files of ``came`` (session_id, file_id, chunk_no, page_number, text, embedding:
         whole files, new or changed or as they were) and take out those of ``gone``
@@ -114,17 +136,12 @@ class Collection:
         kept = old.join(out, _KEY, "left_anti")
         kept.unionByName(fresh).write.parquet(f"{self.path}/{at}/files")
 
-        # the new segment: its chunks are numbered on, from the next block
-        segments, first = list(before["segments"]), before["next"]
+        segments, ranges, first = list(before["segments"]), dict(before.get("ranges", {})), before["next"]
         counts = []
         if fresh.limit(1).count():
-            rows = came.join(fresh.select(*_KEY), _KEY, "left_semi").select(*_KEY, "chunk_no", "page_number", "text", "embedding")
-            numbered(rows, first).write.parquet(f"{self.path}/segments/{name}/chunks")
-            written = self._table(f"segments/{name}/chunks")
-            postings(written).write.partitionBy("folder").parquet(f"{self.path}/segments/{name}/postings")
+            ranges[name], first = self._segment(came.join(fresh.select(*_KEY), _KEY, "left_semi"), name, first)
             counts.append(vocabulary(self._table(f"segments/{name}/postings")))
             segments.append(name)
-            first = (written.agg(F.max("chunk_ord")).first()[0] // BLOCK + 1) * BLOCK
 
         # what went: read again, to be taken off the vocabulary and marked
         stored = self._stored(before, "chunks")
@@ -146,9 +163,56 @@ class Collection:
             total = self.spark.createDataFrame([], "session_id string, term string, df long, words long")
         total.groupBy("session_id", "term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")).filter("df > 0").write.parquet(f"{self.path}/{at}/vocabulary")
 
-        self._publish(version, {"segments": segments, "next": first, "files": f"{at}/files", "gone": f"{at}/gone", "vocabulary": f"{at}/vocabulary"})
+        self._publish(version, {"segments": segments, "ranges": ranges, "next": first, "files": f"{at}/files", "gone": f"{at}/gone", "vocabulary": f"{at}/vocabulary"})
         return version
 
+    def compact(self, below: int | None = None) -> int:
+        """Merge the segments with fewer than ``below`` chunks left (None: all segments) into one;
+        gives the new snapshot's number, or the latest if there is nothing to merge."""
+        latest, before, files = self.version(), self.manifest(), self.files()
+        # one row for each segment of the manifest
+        left = {r["segment"]: r["n"] for r in files.groupBy("segment").agg(F.sum("n").alias("n")).collect()}
+        merged = [s for s in before["segments"] if below is None or left.get(s, 0) < below]
+        lost = any(left.get(s, 0) < before["ranges"][s][2] for s in merged)
+        if not left or not merged or (len(merged) == 1 and not lost):
+            return latest
+        name, at = uuid.uuid4().hex, f"snapshots/{latest + 1:09d}-{uuid.uuid4().hex}"
+        segments = [s for s in before["segments"] if s not in merged]
+        ranges, first = {s: before["ranges"][s] for s in segments}, before["next"]
+        if any(s in left for s in merged):
+            mine = files.filter(F.col("segment").isin(merged)).select(*_KEY, "segment")
+            rows = self._stored({"segments": merged}, "chunks").join(mine, [*_KEY, "segment"], "left_semi")
+            ranges[name], first = self._segment(rows, name, first)
+            segments.append(name)
+        files.withColumn("segment", F.when(F.col("segment").isin(merged), name).otherwise(F.col("segment"))).write.parquet(f"{self.path}/{at}/files")
+        # blocks belong to one segment: marks of those that went go with them
+        marks = self._table(before["gone"])
+        for s in merged:
+            start, end, _ = before["ranges"][s]
+            marks = marks.filter((F.col("block") < start) | (F.col("block") >= end))
+        marks.write.parquet(f"{self.path}/{at}/gone")
+        self._publish(latest + 1, {"segments": segments, "ranges": ranges, "next": first, "files": f"{at}/files", "gone": f"{at}/gone", "vocabulary": before["vocabulary"]})
+        return latest + 1
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete all snapshots but the latest ``keep``, and what only those named; gives the number of folders deleted."""
+        fs, where = self._fs()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        latest = self.version()
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        kept = [self.manifest(v) for v in sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json")) if v > latest - keep]
+        for n in names:
+            if n.endswith(".json") and int(n.removesuffix(".json")) <= latest - keep:
+                fs.delete(path(where, n), False)
+        used = {s for m in kept for s in m["segments"]} | {m[t].split("/")[1] for m in kept for t in ("files", "gone", "vocabulary")}
+        # checked by name: a snapshot's folder holds tables that later snapshots may still read
+        gone = 0
+        for folder_ in (where, path(f"{self.path}/segments")):
+            for s in fs.listStatus(folder_) if fs.exists(folder_) else []:
+                if s.isDirectory() and s.getPath().getName() not in used:
+                    gone += bool(fs.delete(s.getPath(), True))
+        return gone
+
 
 def numbered(rows: DataFrame, first: int) -> DataFrame:
     """``rows`` with chunk_ord, rising from ``first`` on in the order of session, file and chunk, with gaps."""

@@ -286,12 +286,16 @@ def verdicts(df: DataFrame, text: str, classifier=None, judge=None, threshold: f
 
 
 def warm_up(spark, **models) -> dict[str, bool]:
-    """Call each model (a pandas function of a text) once, on one row: whether it
-    answers.  One that fails is left to fail, or to be passed over, when it is used."""
-    out = {}
+    """Call each model (a pandas function of a text) once in every Python process that
+    will run it: whether it answers in all of them.  The tasks, one for each core, start
+    together, so that none takes another's place.  A model that fails is left to fail, or to
+    be passed over, when it is used."""
+    slots, out = spark.sparkContext.defaultParallelism, {}
     for name, model in models.items():
+        rows = spark.range(0, slots, 1, slots).mapInArrow(lambda batches: batches, "id bigint", barrier=True)
+        said = rows.select(model(F.concat(F.lit("hello "), F.col("id").cast("string"))).alias("x"))
         try:
-            out[name] = spark.createDataFrame([("hello",)], "text string").select(model(F.col("text")).alias("x")).first()["x"] is not None
+            out[name] = said.agg(F.count("x")).first()[0] == slots
         except Exception:  # noqa: BLE001  a model that can't be loaded is no error at start
             out[name] = False
     return out

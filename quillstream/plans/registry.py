@@ -8,7 +8,7 @@ from ..functions.numbers import argmax, fixed, kilobytes, softmax
 from ..functions.tables import register
 from ..functions.text import bind
 from ..operators import answer, approximate, chunking, collection, guard, index, ranking, retrieval, session
-from ..sources.documents import accepted_upload, client_accepted, layout_pages, read_attempts, read_documents
+from ..sources.documents import accepted_upload, client_accepted, item_page, item_pages, layout_pages, read_attempts, read_documents, read_files
 from ..store import new_folder, tidy
 from .inputs import attacked, chat_questions, corpus, corpus_texts, docx_files, in_sessions, layouts, marked, markdown, questions, table, turns
 from .sql import FILES, SQL
@@ -125,6 +125,19 @@ def incremental_terms(spark, sf_dir):
     return stored.index().terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def compacted_terms(spark, sf_dir):
+    # a document is a file; they come in five changes, the last of which takes the words before them away
+    d = table(spark, sf_dir, "documents").select(F.lit("s").alias("session_id"), F.col("doc_id").cast("string").alias("file_id"), F.lit(0).alias("chunk_no"), F.lit(1).alias("page_number"), "text", F.lit(None).cast("array<float>").alias("embedding"))
+    stored = collection.Collection(spark, new_folder(spark, "collection"))
+    for k in range(4):
+        stored.change(d.filter(F.col("file_id").cast("long") % 4 == k).withColumn("text", F.concat(F.lit("older words "), F.reverse("text")) if k == 3 else F.col("text")))
+    stored.change(d.filter("cast(file_id AS long) % 4 = 3"))
+    stored.compact()
+    stored.vacuum()
+    # from the postings: nothing that went is left in them
+    return index.vocabulary(stored.postings()).filter("term <> ''").select("term", F.col("df").cast("bigint").alias("df"))
+
+
 def bm25_topk(spark, sf_dir):
     return retrieval.keyword_ranks(_index(spark, sf_dir), questions(spark, sf_dir), 60).select("query_id", "chunk_ord", "keyword_rank")
 
@@ -274,6 +287,13 @@ def session_hybrid(spark, sf_dir):
     return rows.withColumn("rrf_score", F.round("rrf_score", 9))
 
 
+def unknown_sessions(spark, sf_dir):
+    # every second session asks a store that isn't there
+    asked = _session_questions(spark, sf_dir).withColumn("session_id", F.when(F.col("session_id").cast("bigint") % 2 == 1, F.concat(F.lit("no "), "session_id")).otherwise(F.col("session_id")))
+    found = retrieval.hybrid_query(_session_index(spark, sf_dir), asked, 20).groupBy("query_id").agg(F.count("*").alias("n"))
+    return asked.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_candidates"))
+
+
 def answer_outputs(spark, sf_dir):
     listed = lambda rows, *fields: F.array_join(F.transform(rows, lambda c: F.concat_ws(":", *[f(c) for f in fields])), " ")
     of = lambda name: lambda c: c[name].cast("string")
@@ -334,6 +354,26 @@ def layout_ladder(spark, sf_dir):
     return layouts(spark, sf_dir).select("doc_id", F.inline(layout_pages(F.col("items"), F.col("markdown"), F.col("pages"))))
 
 
+def layout_items(spark, sf_dir):
+    # lines as items whose page is told in one of four ways, or not at all
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("item_ord", "text"))
+    k, page = F.col("item_ord") % 5, F.floor(F.col("item_ord") / 10).cast("int") + 1
+    told = lambda way: F.when(k == way, page)
+    place = lambda first: F.struct(told(first).alias("page_no"), told(first + 1).alias("page"), F.lit(None).cast("int").alias("page_number"))
+    items = lines.withColumn("item", F.struct(F.when(k < 2, F.array(place(0))).otherwise(F.array().cast("array<struct<page_no:int,page:int,page_number:int>>")).alias("prov"), place(2).alias("origin")))
+    return item_pages(items.select("path", "item_ord", item_page().alias("page_number"), "text")).select(F.col("path").cast("bigint").alias("doc_id"), "page_number", "text")
+
+
+def stored_files(spark, sf_dir):
+    # files of fifty documents, whose parser fails on one in two and leaves it to the next
+    path = new_folder(spark, "files")
+    attacked(spark, sf_dir).select("text").write.option("lineSep", "\x1e").option("maxRecordsPerFile", 50).text(path)
+    pages = lambda content: list(enumerate(content.decode().split("\x1e"), 1))
+    even = lambda content: pages(content) if len(content) % 2 == 0 else 1 / 0
+    read = read_documents(read_files(spark, path), pdf=even, pdf_fallback=pages)
+    return read.groupBy(F.sha2("text", 256).alias("page")).agg(F.count("*").alias("n_pages"), F.sum("n_redactions").alias("n_redactions"))
+
+
 def vector_sink(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_ord"), "text", (F.col("doc_id") % 5).cast("string").alias("session_id"))
     # stands for an encoder

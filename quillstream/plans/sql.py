@@ -310,3 +310,10 @@ SQL |= {
         FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)""",
     "file_sizes": "SELECT doc_id, floor(strlen(text) / 1024.0::DOUBLE + 0.5::DOUBLE)::BIGINT || 'KB' AS size FROM documents",
 }
+SQL |= {
+    "compacted_terms": _with(SQL_CORPUS, BM25.partition("asked AS")[0].rstrip().rstrip(","), "SELECT term, df FROM terms"),
+    "unknown_sessions": _with(SQL_SESSION_CHUNKS, SQL_TURNS, CHAT, BM25, fusion(20), "SELECT query_id, CASE WHEN session_id::BIGINT % 2 = 1 THEN 0 ELSE coalesce(n, 0) END AS n_candidates FROM questions LEFT JOIN (SELECT query_id, count(*) AS n FROM candidates GROUP BY query_id) USING (query_id)"),
+    "layout_items": _with(f"""items AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, {NL}) AS l FROM documents)),
+        paged AS (SELECT doc_id, i, (CASE WHEN i % 5 = 4 THEN 1 ELSE i // 10 + 1 END)::INT AS page_number, {strip('line')} AS text FROM items)""", f"SELECT doc_id, page_number, string_agg(text, {NL} || {NL} ORDER BY i) AS text FROM paged WHERE text <> '' GROUP BY doc_id, page_number QUALIFY count(*) OVER (PARTITION BY doc_id) > 1"),
+    "stored_files": _with(SQL_ATTACKED, sanitize_chain("attacked"), f"SELECT sha256(t) AS page, count(*) AS n_pages, sum(n)::BIGINT AS n_redactions FROM sanitized JOIN (SELECT doc_id FROM attacked WHERE {strip('text')} <> '') USING (doc_id) GROUP BY 1"),
+}

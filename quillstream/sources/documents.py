@@ -176,8 +176,8 @@ def read_documents(files: DataFrame, pdf: Parser | None = None, pdf_fallback: Pa
 
 def item_page(item: str = "item") -> Column:
     """Page of a layout item: the first of its provenance's or origin's page numbers, 1 by default."""
-    names = [f"{item}.prov[0].{n}" for n in ("page_no", "page", "page_number")] + [f"{item}.origin.{n}" for n in ("page_no", "page", "page_number")]
-    return F.coalesce(*[F.col(n) for n in names], F.lit(1)).cast("int")
+    places = F.get(F.col(item)["prov"], F.lit(0)), F.col(item)["origin"]
+    return F.coalesce(*[p[n] for p in places for n in ("page_no", "page", "page_number")], F.lit(1)).cast("int")
 
 
 _PAGE = "array<struct<page_number:int,text:string>>"
@@ -241,9 +241,10 @@ def index_pdf(content: DataFrame, **parsers) -> tuple[DataFrame, DataFrame]:
 
 
 class DocxSource(DataSource):
-    """``spark.read.format("docx").load(folder)``: PAGES of the DOCX files of a folder that
-    every executor has under one path (a mount, or one machine).  Files in other stores
-    are read by ``read_files`` and ``read_documents``."""
+    """``spark.read.format("docx").load(path)``: PAGES of a DOCX file or of those in a folder and
+    below it, an absolute path that every executor has or an address of a store that Arrow
+    can read (``file:``, ``hdfs:``, ``s3:``, ``gs:``).  Other stores are read by ``read_files``
+    and ``read_documents``."""
 
     @classmethod
     def name(cls):
@@ -260,13 +261,20 @@ class _DocxReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
+    def _store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path)
+
     def partitions(self):
-        import os
+        from pyarrow import fs
 
-        names = sorted(os.listdir(self.path)) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(os.path.join(self.path, n)) for n in names if n.lower().endswith(".docx")]
+        store, path = self._store()
+        found = store.get_file_info(path)
+        infos = store.get_file_info(fs.FileSelector(path, recursive=True)) if found.type == fs.FileType.Directory else [found]
+        return [InputPartition(i.path) for i in sorted(infos, key=lambda i: i.path) if i.type == fs.FileType.File and i.path.lower().endswith(".docx")]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
+        with self._store()[0].open_input_stream(partition.value) as f:
             for n, text in docx_pages(f.read()):
                 yield partition.value, n, text

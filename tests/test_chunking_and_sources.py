@@ -89,6 +89,11 @@ def test_docx_pages_and_dispatch(spark, tmp_path):
     assert got["A.DOCX", 1][0].startswith("## p0\np1") and got["A.DOCX", 3][0] == "p60\n\n| k | v |\n| --- | --- |\n| 1 | 2 |"
     spark.dataSource.register(d.DocxSource)
     assert spark.read.format("docx").load(str(tmp_path / "A.DOCX")).count() == 3
+    (tmp_path / "folder" / "below").mkdir(parents=True)
+    (tmp_path / "folder" / "below" / "B.docx").write_bytes(body)
+    (tmp_path / "folder" / "c.txt").write_bytes(b"passed over")
+    for path in (f"{tmp_path}/folder", f"file://{tmp_path}/folder"):
+        assert spark.read.format("docx").load(path).count() == 3
 
 
 def test_item_pages(spark):
@@ -97,6 +102,14 @@ def test_item_pages(spark):
     assert got == [("f", 1, "a\n\nc"), ("f", 2, "b")]
 
 
+def test_page_of_an_item(spark):
+    schema = "item struct<prov:array<struct<page_no:int,page:int,page_number:int>>,origin:struct<page_no:int,page:int,page_number:int>>"
+    none = (None, None, None)
+    rows = [([(None, 3, 4), (9, 9, 9)], (5, 5, 5)), ([none], (None, None, 6)), ([], (7, None, None)), (None, None), ([none], none)]
+    got = [r["p"] for r in spark.createDataFrame([(r,) for r in rows], schema).select(d.item_page().alias("p")).collect()]
+    assert got == [3, 6, 7, 1, 1]
+
+
 def test_the_next_parser_reads_what_one_cannot(spark):
     calls = []
     first = lambda x: calls.append(x) or ([(1, "one")] if x == b"a" else [(1, "  ")] if x == b"b" else 1 / 0)

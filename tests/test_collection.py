@@ -59,3 +59,44 @@ def test_a_failed_change_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
         store._publish(1, {})
     assert store.change(chunks_of(spark, {("s", "b"): ["blue hen"]})) == 2
     assert {r["file_id"] for r in store.files(1).collect()} == {"a"} and {r["file_id"] for r in store.files().collect()} == {"a", "b"}
+
+
+def test_compacting_keeps_what_is_there(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    store, files = collection.Collection(spark, f"file://{tmp_path}/c"), {}
+    assert store.compact() == 0 and store.vacuum() == 0
+    for step in range(4):
+        came = {("s", f"f{rng.randrange(6)}"): [" ".join(rng.choices(words, k=5)) for _ in range(1 + 4 * (step == 0))] for _ in range(3)}
+        store.change(chunks_of(spark, came))
+        files |= came
+    asked = spark.createDataFrame([(i, "s", " ".join(rng.choices(words, k=3))) for i in range(6)], "query_id long, session_id string, question string")
+    shown = ["session_id", "file_id", "chunk_no", "page_number", "text", "embedding"]
+    rows = lambda df: sorted(map(str, df.collect()))
+    terms = lambda ix: rows(ix.terms.select("session_id", "term", "df", F.round("idf", 9)))
+
+    def same():
+        want = rebuilt(spark, files)
+        assert rows(store.chunks().select(shown)) == rows(chunks_of(spark, files).select(shown)) and terms(store.index()) == terms(want)
+        place = lambda ix: sorted((r["query_id"], r["keyword_rank"]) for r in retrieval.keyword_ranks(ix, asked, 60).collect())
+        assert place(store.index()) == place(want)
+
+    # segments with little left are merged, the others stay
+    left = {r["segment"]: r["n"] for r in store.files().groupBy("segment").agg(F.sum("n").alias("n")).collect()}
+    small = [s for s in store.manifest()["segments"] if left.get(s, 0) < 5]
+    assert store.compact(below=5) == 5 and len(store.manifest()["segments"]) == 4 - len(small) + 1
+    same()
+    before = rows(store.chunks(4).select(shown))
+    assert before == rows(chunks_of(spark, files).select(shown))  # the old snapshot is there
+    version = store.compact()
+    assert len(store.manifest()["segments"]) == 1 and index.vocabulary(store.postings()).filter("term <> ''").count() == store.index().terms.count()
+    same()
+    assert store.compact() == version and store.vacuum() > 0
+    same()
+    with pytest.raises(Exception):
+        store.chunks(1).count()
+    # changes go on after it
+    store.change(chunks_of(spark, {("s", "new"): ["w1 w2"]}), spark.createDataFrame([("s", next(iter(files))[1])], "session_id string, file_id string"))
+    files.pop(next(iter(files)))
+    files["s", "new"] = ["w1 w2"]
+    same()

@@ -125,3 +125,25 @@ def test_normal_form_of_white_space(spark):
     texts = ["a b", " a  b ", "a\tb", "a b c", "\n\n a \x1c b", "no", "", "x  ", " wide   ", "a. b.c .d"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(g.normalize(F.col("t"))).collect()]
     assert got == [re.sub(r"(?<=[a-zA-Z])\.(?=[a-zA-Z])", "", re.sub(r"\s+", " ", t)) for t in texts]
+
+
+def test_models_are_called_in_every_process(spark, tmp_path):
+    import os
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def noted(texts: pd.Series) -> pd.Series:
+        open(f"{tmp_path}/{os.getpid()}", "w").close()
+        return texts
+
+    @F.pandas_udf("string")
+    def broken(texts: pd.Series) -> pd.Series:
+        raise RuntimeError("no weights here")
+
+    @F.pandas_udf("string")
+    def silent(texts: pd.Series) -> pd.Series:
+        return texts.where(texts == "")
+
+    assert g.warm_up(spark, noted=noted, broken=broken, silent=silent) == {"noted": True, "broken": False, "silent": False}
+    assert len(os.listdir(tmp_path)) == spark.sparkContext.defaultParallelism
