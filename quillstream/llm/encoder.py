@@ -20,7 +20,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words and pre-tokens that an encoder remembers; beyond, it forgets all and starts again.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Longer words are not remembered.
 LONGEST = 64
 
