@@ -81,6 +81,16 @@ def docx_pages(content: bytes) -> list[tuple[int, str]]:
     return [p for p in pages if p[1]]
 
 
+#: Files that a task holds as Python objects, with their pages.
+FILES_AT_ONCE = 64
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, FILES_AT_ONCE):
+            yield batch.slice(at, FILES_AT_ONCE)
+
+
 Parser = Callable[[bytes], list[tuple[int, str]]]
 
 
@@ -88,7 +98,7 @@ def parse(files: DataFrame, parser: Parser) -> DataFrame:
     """PAGES of ``files`` (path, content); files that the parser rejects give none."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
@@ -112,7 +122,7 @@ def attempts(files: DataFrame, *stages: tuple[str, Parser | None]) -> DataFrame:
     real = [(name, parser) for name, parser in stages if parser is not None]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pages, failed, stage = [], False, None
