@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoder import encoder, tokenizer_file
+from .encoder import encoder, shrinking, tokenizer_file
 from .shared import saved, tidy
 
 CAPACITY, GRAIN = 2048, 8
@@ -56,6 +56,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
     kinds = [pa.int64()] * 5 + [pa.binary()]
     names = [c.split()[0] for c in _PIECES.split(", ")]
 
+    @shrinking
     def run(batches):
         encode = encoder(path).encode
         for batch in batches:

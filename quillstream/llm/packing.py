@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoder import encoder, tokenizer_file
+from .encoder import encoder, shrinking, tokenizer_file
 from .shared import saved, tidy
 
 log = logging.getLogger(__name__)
@@ -48,6 +48,7 @@ def encode_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPAC
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
+    @shrinking
     def run(batches):
         encode = encoder(path).encode
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoder import Encoder, _byte_letters, encoder, tokenizer_file
+from .encoder import Encoder, _byte_letters, encoder, shrinking, tokenizer_file
 
 RULES = ("first", "most")
 RESULT = "doc_id bigint, section int, start bigint, end bigint, n_tokens bigint, doc_tokens bigint"
@@ -95,6 +95,7 @@ def count(docs: DataFrame, tokenizer: str | None = None, rule: str = "first", se
     path = tokenizer or tokenizer_file("byte_bpe_50k.json")
     lengths_of: dict[str, np.ndarray] = {}
 
+    @shrinking
     def run(batches):
         enc = encoder(path)
         if path not in lengths_of:

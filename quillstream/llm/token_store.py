@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoder import encoder, tokenizer_file
+from .encoder import encoder, shrinking, tokenizer_file
 from .shared import new_folder, saved, shuffle_partitions
 from .textnum import U, mix
 
@@ -199,6 +199,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, wid
         size = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     shards = max(shuffle_partitions(spark), shards_for(size))
 
+    @shrinking
     def run(batches):
         encode = encoder(tokenizer).encode
         nulls, keys, lengths, payload, crc = 0, [], [], 0, 0
