@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import trimmed
 from .shared import join_hot, saved, tidy
 from .textnum import PUNCTUATION, U, windows, words_by_run
 
@@ -249,6 +250,7 @@ class Index:
 TERMS = "shard int, term bigint, words bigint"
 
 
+@trimmed
 def _terms(batches):
     """For each item (shard, text) its number of words, and its distinct terms."""
     for batch in batches:
@@ -310,6 +312,7 @@ def search(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS, pa
     out = docs.sparkSession.createDataFrame([], HITS)
     for shared, last in passes(build(items, shard_chars), pass_bytes):
 
+        @trimmed
         def run(batches, shared=shared):
             for batch in batches:
                 found = [x for index in shared.value for x in index.hits(batch.column(1))]
@@ -334,6 +337,7 @@ def clean(docs: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS, pas
     found = []
     for shared, last in passes(build(items, shard_chars), pass_bytes):
 
+        @trimmed
         def run(batches, shared=shared, keep_hits=not last):
             for batch in batches:
                 hit = np.zeros(batch.num_rows, bool)

@@ -53,6 +53,7 @@ from pyspark.sql import functions as F
 
 from .blocks import squeeze_keys, unsqueeze_keys
 from .components import components
+from .memory import trimmed
 from .shared import join_hot, release, replayable, row_key, saved, tidy
 from .textnum import U, mix, shingle_set, windows, words_by_run
 
@@ -91,6 +92,7 @@ MEMBERS = "doc_id bigint, row_key struct<a:bigint,b:bigint>, node bigint, n bigi
 _MEMBER_NAMES = [c.split()[0] for c in MEMBERS.split(", ")]
 
 
+@trimmed
 def _members(batches):
     """A row for each document, and one for each shingle in 1/HOT of a batch."""
     for batch in batches:
@@ -141,6 +143,7 @@ def _blocks(ranges: int, hot: np.ndarray):
         kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in BLOCKS.split(", ")])
 
+    @trimmed
     def run(batches):
         seen, parts, total = {}, [], 0
         for batch in batches:
@@ -159,6 +162,7 @@ def _blocks(ranges: int, hot: np.ndarray):
     return run
 
 
+@trimmed
 def _count(table: pa.Table) -> pa.Table:
     """Within a range: the shingles of at least two documents, with their frequency."""
     rows = table.to_pylist()
@@ -215,6 +219,7 @@ def choose_prefix(n: int, alone: int, df: np.ndarray) -> tuple[int, int]:
 def _assemble(ranges: int, hot_df: float):
     shift = max(0, 64 - LOW_BITS - int(np.log2(ranges)))
 
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         head = [r for r in rows if r["kind"] == 1]
@@ -292,6 +297,7 @@ def _list_table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], _LIST_NAMES)
 
 
+@trimmed
 def _enumerate(table: pa.Table) -> pa.Table:
     """Candidates by set, from some shingles' postings, as one packed list for each set.
 
@@ -319,6 +325,7 @@ def _enumerate(table: pa.Table) -> pa.Table:
     return _list_table(rows)
 
 
+@trimmed
 def _merge_lists(table: pa.Table) -> pa.Table:
     """Candidates of each set that share enough prefix shingles with it."""
     found: dict[int, list] = {}
@@ -360,6 +367,7 @@ def _plan(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["task", "node", "ys"])
 
 
+@trimmed
 def _verify_task(table: pa.Table) -> pa.Table:
     """Links (a, b) of a task: for each set one candidate of each component it is similar to."""
     rows = table.to_pylist()

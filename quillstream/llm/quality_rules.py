@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import trimmed
 from .shared import saved, tidy
 from .textnum import U, mix, text_buffer, windows, words_by_run
 
@@ -103,6 +104,7 @@ def measures_of(column) -> dict[str, np.ndarray]:
     return out
 
 
+@trimmed
 def _measure(batches):
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
