@@ -3,14 +3,15 @@
 A collection is a folder of immutable segments and of numbered snapshots.  A segment
 holds the chunks of the files that came or changed together (with their vectors) and
 their postings.  A snapshot names its segments, its table of files (session_id, file_id,
-hash, n, segment), the vocabulary of what is there and the postings of what is gone.  It
+hash, n, segment), the changes to the vocabulary and the postings of what is gone.  It
 exists once its small manifest does, which is written last and never overwritten: readers
 see the whole of a snapshot or the one before, vectors and postings never disagree, and
 of two writers one fails.
 
 A change moves only what changes: files are told apart by a hash of their chunks, the
-new ones become a segment, and document frequencies and lengths are those before, plus
-the new segment's, less those of the chunks that went, which alone are read again.
+new ones become a segment, and what document frequencies and lengths rise by (the new
+segment's, less those of the chunks that went, which alone are read again) is a small table
+of its own.  A reader adds up at most ``PARTS`` of them; beyond, a change does.
 
 Defined cases: a file that comes again with the same chunks is left as it is; chunk_no,
 page_number, text and embedding may be null (a null text has no words); the same file_id in
@@ -32,10 +33,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .index import BLOCK, GONE, Index, folder, postings, vocabulary
+from ..store import saved
+from .index import BLOCK, GONE, Index, entries_of, folder, postings, summed, tallies
 
 _FILES = "session_id string, file_id string, h1 long, h2 long, n long, segment string"
 _KEY = ["session_id", "file_id"]
+#: Tables of changes to the vocabulary that a snapshot has, at most.
+PARTS = 8
 
 
 def files_of(chunks: DataFrame) -> DataFrame:
@@ -99,7 +103,20 @@ class Collection:
         version = self.version() if version is None else version
         m = self.manifest(version)
         entries = self._stored(m, "postings").drop("segment").unionByName(self._table(m["gone"]))
-        return Index(self.chunks(version), entries, self._table(m["vocabulary"]))
+        return Index(self.chunks(version), entries, self._vocabulary(m))
+
+    def _parts(self, manifest: dict) -> list[str]:
+        found = manifest.get("vocabulary", [])
+        return [found] if isinstance(found, str) else found
+
+    def _vocabulary(self, manifest: dict) -> DataFrame:
+        names = self._parts(manifest)
+        if len(names) == 1:
+            return self._table(names[0])
+        parts = self._table(names[0])
+        for name in names[1:]:
+            parts = parts.unionByName(self._table(name))
+        return saved(summed(parts).filter("df > 0"), "vocabulary")
 
     def postings(self, version: int | None = None) -> DataFrame:
         """The postings of a snapshot's segments, with those of what is gone from them."""
@@ -140,7 +157,7 @@ class Collection:
         counts = []
         if fresh.limit(1).count():
             ranges[name], first = self._segment(came.join(fresh.select(*_KEY), _KEY, "left_semi"), name, first)
-            counts.append(vocabulary(self._table(f"segments/{name}/postings")))
+            counts.append(tallies(self._table(f"segments/{name}/postings")))
             segments.append(name)
 
         # what went: read again, to be taken off the vocabulary and marked
@@ -148,22 +165,25 @@ class Collection:
         marks = self._table(before["gone"]) if "gone" in before else None
         if stored is not None:
             lost = stored.join(old.join(out, _KEY, "left_semi").select(*_KEY, "segment"), [*_KEY, "segment"], "left_semi")
-            lost.drop("segment").write.parquet(f"{self.path}/{at}/lost")
-            dead = postings(self._table(f"{at}/lost"))
-            counts.append(vocabulary(dead).select("session_id", "term", (-F.col("df")).alias("df"), (-F.col("words")).alias("words")))
+            entries_of(lost).write.parquet(f"{self.path}/{at}/lost")
+            dead = self._table(f"{at}/lost")
+            counts.append(tallies(dead).select("session_id", "term", (-F.col("df")).alias("df"), (-F.col("words")).alias("words")))
             more = dead.filter("term = ''").withColumns({"term": F.lit(GONE), "folder": folder(F.lit(GONE))})
             marks = more if marks is None else marks.unionByName(more)
         if marks is None:
-            marks = postings(came.limit(0).withColumn("chunk_ord", F.lit(0).cast("long")))
+            marks = entries_of(came.limit(0).withColumn("chunk_ord", F.lit(0).cast("long")))
         marks.write.parquet(f"{self.path}/{at}/gone")
-        total = self._table(before["vocabulary"]) if "vocabulary" in before else None
-        for more in counts:
-            total = more if total is None else total.unionByName(more)
-        if total is None:
-            total = self.spark.createDataFrame([], "session_id string, term string, df long, words long")
-        total.groupBy("session_id", "term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")).filter("df > 0").write.parquet(f"{self.path}/{at}/vocabulary")
-
-        self._publish(version, {"segments": segments, "ranges": ranges, "next": first, "files": f"{at}/files", "gone": f"{at}/gone", "vocabulary": f"{at}/vocabulary"})
+        parts = self._parts(before)
+        if len(parts) >= PARTS:
+            counts += [self._table(p) for p in parts]
+            parts = []
+        total = self.spark.createDataFrame([], "session_id string, term string, df long, words long") if not counts else counts[0]
+        for more in counts[1:]:
+            total = total.unionByName(more)
+        # what is left of a word that went is in the parts before, unless there are none
+        summed(total).filter("df > 0" if not parts else "df <> 0 OR words <> 0").write.parquet(f"{self.path}/{at}/vocabulary")
+
+        self._publish(version, {"segments": segments, "ranges": ranges, "next": first, "files": f"{at}/files", "gone": f"{at}/gone", "vocabulary": [*parts, f"{at}/vocabulary"]})
         return version
 
     def compact(self, below: int | None = None) -> int:
@@ -204,7 +224,7 @@ class Collection:
         for n in names:
             if n.endswith(".json") and int(n.removesuffix(".json")) <= latest - keep:
                 fs.delete(path(where, n), False)
-        used = {s for m in kept for s in m["segments"]} | {m[t].split("/")[1] for m in kept for t in ("files", "gone", "vocabulary")}
+        used = {s for m in kept for s in m["segments"]} | {t.split("/")[1] for m in kept for t in (m["files"], m["gone"], *self._parts(m))}
         # checked by name: a snapshot's folder holds tables that later snapshots may still read
         gone = 0
         for folder_ in (where, path(f"{self.path}/segments")):

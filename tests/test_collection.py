@@ -100,3 +100,18 @@ def test_compacting_keeps_what_is_there(spark, tmp_path):
     files.pop(next(iter(files)))
     files["s", "new"] = ["w1 w2"]
     same()
+
+
+def test_a_change_counts_only_what_changes(spark, tmp_path, monkeypatch):
+    # before, every change read and wrote the whole vocabulary
+    monkeypatch.setattr(collection, "PARTS", 2)
+    store, files = collection.Collection(spark, f"file://{tmp_path}/c"), {("s", "a"): ["red fox of old", None], ("s", "b"): ["red hen"]}
+    store.change(chunks_of(spark, files))
+    rows = lambda ix: sorted(map(str, ix.terms.select("term", "df", F.round("idf", 9)).collect()))
+    for text, parts in (("blue hen", 2), ("green", 1)):
+        files["s", "b"] = [text]
+        store.change(chunks_of(spark, {("s", "b"): [text]}))
+        assert len(store.manifest()["vocabulary"]) == parts
+        there = {r["term"] for r in store._table(store.manifest()["vocabulary"][-1]).collect()}
+        assert ("fox" in there) == (parts == 1) and ("red" in there)
+        assert rows(store.index()) == rows(rebuilt(spark, files))
