@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import spread
 from ..store import forget, new_folder, saved, shared_dir, tidy
 
-__all__ = ["forget", "join_hot", "new_folder", "release", "replayable", "row_key", "saved", "shared_dir", "shuffle_partitions", "spread", "tidy"]
+__all__ = ["forget", "hot_keys", "join_hot", "new_folder", "release", "replayable", "row_key", "saved", "shared_dir", "shuffle_partitions", "spread", "tidy"]
 
 #: Keys that are told apart as hot, at most.
 HOT_KEYS = 10_000
@@ -21,15 +21,20 @@ def replayable(df: DataFrame, name: str) -> DataFrame:
     return df if "FileScan" in plan and "Exchange" not in plan and "Aggregate" not in plan else saved(df, name)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def hot_keys(left: DataFrame, key: str) -> DataFrame:
+    """Keys that more than one in HOT_KEYS rows of ``left`` have: HOT_KEYS at most."""
+    counts = left.groupBy(key).count()
+    n = left.count()
+    return saved(counts.filter((F.col("count") > max(n // HOT_KEYS, 1)) & F.col(key).isNotNull()).select(key), "hot-keys")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """``left`` with the columns of ``right``, which has one row for each ``key``.
 
-    Keys that more than one in HOT_KEYS rows of ``left`` have are HOT_KEYS at most:
-    their rows of ``right`` are broadcast, so that no task gathers a hot key's rows.
+    The rows of ``right`` of the ``hot_keys`` of ``left`` (``hot``, where they are known) are
+    broadcast, so that no task gathers a hot key's rows.
     ``left`` is read three times and should be a written table."""
-    counts = left.groupBy(key).count()
-    n = left.count()
-    hot = saved(counts.filter((F.col("count") > max(n // HOT_KEYS, 1)) & F.col(key).isNotNull()).select(key), "hot-keys")
+    hot = hot_keys(left, key) if hot is None else hot
     some = right.join(F.broadcast(hot), key, "left_semi")
     few = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(some), key, how)
     rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)

@@ -105,6 +105,35 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 300, 250_000])
+def test_components_contracted_or_propagated(spark, monkeypatch, at_once):
+    """Equal whether tasks end the work or labels are propagated between their stars."""
+    from quillstream.llm import components as c
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 400, (2, 180))
+    a[:40] = 1000  # one node with many edges
+    monkeypatch.setattr(c, "EDGES_AT_ONCE", at_once)
+    edges = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a bigint, b bigint").repartition(4)
+    got = {r["node"]: r["comp"] for r in components(edges).collect()}
+    least = {int(x): int(x) for x in [*a, *b]}
+    for _ in range(len(least)):
+        for x, y in zip(a.tolist(), b.tolist()):
+            least[x] = least[y] = min(least[x], least[y])
+    # a node that has no edge but to itself needs no label
+    assert {n: got.get(n, n) for n in least} == least and set(got) <= set(least)
+
+
+def test_components_of_a_small_graph_are_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        components(edges)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 5
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, "a b c"), (None, "a b c")]])
 def test_tiny_tables(spark, rows):
     got = sorted((tuple(r) for r in j.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
