@@ -21,7 +21,8 @@
     Then every pair that shares enough prefix shingles and is not yet in one
     component is verified, as packed lists of candidates in tasks of bounded size.
     So all candidate pairs are decided, but pairs of a group are never rows.
-5.  Components of the links, by label propagation.
+5.  Components of the links: tasks contract theirs to stars, and where those are too
+    many for one task, labels propagate between them.
 
 Shingles are known by hashes: sets by 128 bits, classes by 64, and shingles, when
 counted and verified, by ``LOW_BITS`` and the bits of their range.  The result is
